@@ -6,18 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_rules
+from . import decontaminate, mixing, ngram_join, quality_rules, url_rules, warc
 from .runtime import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.ngram_components(docs).select("doc_id", "n_shingles", "component_id", "class_id", "class_size")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages, url_rules.PLACE_RULES, url_rules.URL_PATTERNS).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mix": op3_mix, "op10_url_filter": op10_url_filter}
-ORACLES: dict[str, str] = {"op3_mix": mixing.ORACLE, "op10_url_filter": url_rules.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_mix": op3_mix,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
+    "op10_url_filter": op10_url_filter,
+}
+ORACLES: dict[str, str] = {
+    "op3_mix": mixing.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op10_url_filter": url_rules.ORACLE,
+}
