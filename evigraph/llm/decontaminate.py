@@ -182,6 +182,25 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _drop_hit(block, text_at: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for part in tokens.slices(batch.column(text_at), tokens.LETTERS):
+                keep[[part.first + k for k in _hits(part, block.value)[1]]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs, with all their columns; null and empty texts stay."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    for block in _blocks(items, block_words):
+        docs = docs.mapInArrow(_drop_hit(docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")), docs.schema)
+    return docs
+
+
 def sha256_of(items: Iterable[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 

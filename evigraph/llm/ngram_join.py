@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import idset, tokens
 from .components import components
 from .runtime import discard, materialize
 
@@ -33,8 +33,6 @@ SKETCH = 1 << 18
 CHUNKS = 32
 #: Sets in one tree at most, about: pairs of a hub beyond that go to further trees.
 TREE = 256
-#: Bits of the filter of ids whose sets a check needs, at most: 8 MB are sent to each task.
-FILTER_BITS = 1 << 26
 #: Rounds of hubs, and the pairs left, as a multiple of the rows, at which no further round is worth it.
 ROUNDS, FEW = 6, 2
 
@@ -115,33 +113,10 @@ def _prefixes(n: int, num: int, den: int, ranks) -> Callable[[Iterable[pa.Record
     return run
 
 
-def _filter_bits(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h = tokens.mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    mask = np.uint64(bits - 1)
-    return tuple((x & mask).astype(np.int64) for x in (h, h >> np.uint64(21), h >> np.uint64(42)))
-
-
-def _fill_filter(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits, bool)
-        for batch in batches:
-            for at in _filter_bits(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                held[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], names=["bits"])
-
-    return run
-
-
-def _sets(n: int, bits: int, ranks, held) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sets(n: int, ranks, held) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(held.value, np.uint8)).view(bool)
         for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted = np.ones(len(ids), bool)
-            for at in _filter_bits(ids, bits):
-                wanted &= known[at]
-            batch = batch.filter(pa.array(wanted))
+            batch = batch.filter(pa.array(idset.may_hold(held.value, batch.column(0))))
             for part in tokens.slices(batch.column(1)):
                 found = [_keys(values, ranks.value) for values in tokens.shingle_sets(part, n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)).cast(pa.int64()), tokens.lists(found)], names=["id", "keys"])
@@ -292,12 +267,8 @@ class NgramJoin:
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """Those pairs that link. The side in fewer pairs is the member, the side in more the hub; ties: b is the hub."""
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("k")), "ngram-ids")
-        bits = min(FILTER_BITS, 1 << max(12, (16 * ids.count()).bit_length()))
-        held = np.zeros(bits // 8, np.uint8)
-        for row in ids.select("id").coalesce(16).mapInArrow(_fill_filter(bits), "bits binary").toLocalIterator():
-            held |= np.frombuffer(bytes(row["bits"]), np.uint8)
-        held = self.spark.sparkContext.broadcast(held.tobytes())
-        sets = self.texts.mapInArrow(_sets(self.n, bits, self.ranks, held), "id long, keys array<long>")
+        held = self.spark.sparkContext.broadcast(idset.build(ids.select("id")))
+        sets = self.texts.mapInArrow(_sets(self.n, self.ranks, held), "id long, keys array<long>")
         sets = materialize(sets.join(ids.select("id"), "id", "left_semi"), "ngram-sets")
         ka, kb = ids.select(F.col("id").alias("a"), F.col("k").alias("ka")), ids.select(F.col("id").alias("b"), F.col("k").alias("kb"))
         turned = pairs.join(ka, "a").join(kb, "b").select(
@@ -330,3 +301,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one document: what either links with is one component. Other columns of docs are not read.
     """
     return NgramJoin(docs, id_col, text_col, n, num, den).documents().withColumnRenamed("id", id_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each component, that of the smallest id, and all columns.
+
+    Rows that repeat a kept id are one row afterwards, the smallest as a struct. Rows with a null id stay. Only rows whose
+    id is in a component of several, or repeated, are shuffled; all others pass with the scan.
+    """
+    found = NgramJoin(docs, id_col, text_col, n, num, den).documents().where("id is not null")
+    found = found.groupBy("id").agg(F.count("*").alias("_n"), F.min("component_id").alias("_c")).where("_n > 1 or _c <> id")
+    found = materialize(found, "ngram-contested")
+    some, rest = idset.split(docs, id_col, idset.build(found.select("id")))
+    some = some.join(found.withColumnRenamed("id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left").where("_c is null or _c = _id")
+    one = some.where("_n is null or _n = 1").select(docs.columns)
+    again = some.where("_n > 1").groupBy("_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return rest.unionByName(one).unionByName(again)
