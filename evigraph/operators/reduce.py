@@ -17,11 +17,11 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def reject_duplicates(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows of keys that occur once, rows of keys that occur more often with their count as n_claims): no key of the
     second kind has a winner. Keys are counted map-side; null keys are equal to each other."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_claims"))
-    same = [rows[k].eqNullSafe(counts[k]) for k in keys]
+    own = [f"_k{i}" for i in range(len(keys))]
+    counts = rows.groupBy(*(F.col(k).alias(x) for k, x in zip(keys, own, strict=True))).agg(F.count("*").alias("n_claims"))
+    same = [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(keys, own, strict=True)]
     once = rows.join(counts.where("n_claims = 1"), same, "left_semi")
-    many = counts.where("n_claims > 1")
-    return once, rows.join(many, [rows[k].eqNullSafe(many[k]) for k in keys]).select(*[rows[c] for c in rows.columns], "n_claims")
+    return once, rows.join(counts.where("n_claims > 1"), same).drop(*own)
 
 
 def ranked(value: Column, order: list[str]) -> Column:

@@ -1,6 +1,425 @@
-"""The operators applied to the driver's tables, each with the SQL it is checked against."""
+"""The operators applied to the driver's tables, each with the SQL it is checked against.
+
+Every query reads whole tables. Thresholds in them (quantities, dates, price bounds) are the definition of what counts as a
+use, a run or a snapshot on these tables, not limits on the work.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing, paths
+from ..operators import delta, fanin, graph, integrity, ledger, lookup, paging, reduce, retention
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of parts: large, well discounted lines; returned ones are the test lane."""
+    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 48 and l_discount >= 0.06")
+    return lines.select(F.col("l_partkey").alias("p_partkey"), (F.col("l_returnflag") == "R").alias("is_test"))
+
+
+def _brand_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses that name a brand only: an order with a line of at least 50 of any of its parts."""
+    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select("l_partkey", "l_orderkey", "l_returnflag")
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    found = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_orderkey")
+    return found.agg(F.min((F.col("l_returnflag") == "R").cast("int")).alias("t")).select("p_brand", (F.col("t") == 1).alias("is_test"))
+
+
+_USES = "SELECT l_partkey, l_returnflag = 'R' AS is_test FROM lineitem WHERE l_quantity >= 48 AND l_discount >= 0.06"
+_EXACT = f"SELECT l_partkey AS k, count(*) FILTER (NOT is_test) AS pe, count(*) FILTER (is_test) AS te FROM ({_USES}) GROUP BY 1"
+_BRAND = """SELECT p_brand AS b, count(*) FILTER (t = 0) AS pb, count(*) FILTER (t = 1) AS tb FROM (
+  SELECT p_brand, l_orderkey, min(CAST(l_returnflag = 'R' AS INT)) AS t FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE l_quantity >= 50 GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query(f"SELECT p_partkey, p_brand, coalesce(pe, 0) AS production_exact, coalesce(te, 0) AS test_exact FROM part LEFT JOIN ({_EXACT}) ON p_partkey = k")
+def fan_in_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return fanin.fan_in(parts, ["p_partkey"], exact=_uses(spark, sf_dir)).select("p_partkey", "p_brand", "production_exact", "test_exact")
+
+
+@query(
+    f"""SELECT p_partkey, p_brand, coalesce(te, 0) AS test_uses,
+    CASE WHEN coalesce(te, 0) > 0 THEN 'used only by tests (' || te || ')' ELSE 'no use found' END AS claim
+    FROM part LEFT JOIN ({_EXACT}) ON p_partkey = k WHERE coalesce(pe, 0) = 0"""
+)
+def zero_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    counted = fanin.fan_in(parts, ["p_partkey"], exact=_uses(spark, sf_dir))
+    return fanin.unused(counted).select("p_partkey", "p_brand", "test_uses", "claim")
+
+
+@query(f"SELECT p_partkey, p_brand, coalesce(pb, 0) AS production_broad, coalesce(tb, 0) AS test_broad FROM part LEFT JOIN ({_BRAND}) ON p_brand = b")
+def broad_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    counted = fanin.fan_in(parts, ["p_partkey"], broad=_brand_uses(spark, sf_dir), broad_keys=["p_brand"])
+    return counted.select("p_partkey", "p_brand", "production_broad", "test_broad")
+
+
+@query(
+    f"""SELECT p_partkey, coalesce(pe, 0) AS production_exact, coalesce(te, 0) AS test_exact, coalesce(pb, 0) AS production_broad,
+    coalesce(tb, 0) AS test_broad, coalesce(n, 0) AS public_surface FROM part LEFT JOIN ({_EXACT}) ON p_partkey = k
+    LEFT JOIN ({_BRAND}) ON p_brand = b LEFT JOIN (SELECT p_type AS y, count(*) AS n FROM part WHERE p_retailprice >= 990 GROUP BY 1) ON p_type = y"""
+)
+def exact_plus_broad_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part")
+    public = parts.where("p_retailprice >= 990").select("p_type")
+    counted = fanin.fan_in(parts, ["p_partkey"], _uses(spark, sf_dir), _brand_uses(spark, sf_dir), ["p_brand"], public, ["p_type"])
+    return counted.select("p_partkey", *fanin.COUNTERS)
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 5000),
+    n AS (SELECT s_nationkey AS k, min(s_suppkey) AS t FROM s GROUP BY 1), r AS (SELECT n_regionkey AS k, min(s_suppkey) AS t FROM s GROUP BY 1)
+    SELECT c_custkey, coalesce(n.t, r.t) AS target, CASE WHEN n.t IS NOT NULL THEN 0 WHEN r.t IS NOT NULL THEN 1 END AS stage
+    FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN n ON n.k = c_nationkey LEFT JOIN r ON r.k = n_regionkey"""
+)
+def ordered_candidate_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    near = lambda n, r: F.array(F.concat(F.lit("n"), F.col(n)), F.concat(F.lit("r"), F.col(r)))
+    customers = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = customers.select("c_custkey", near("c_nationkey", "n_regionkey").alias("candidates"))
+    suppliers = _table(spark, sf_dir, "supplier").where("s_acctbal >= 5000").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    targets = suppliers.select("s_suppkey", F.explode(near("s_nationkey", "n_regionkey")).alias("path"))
+    return lookup.first_candidate(customers, "c_custkey", "candidates", targets, "path", "s_suppkey").select("c_custkey", "target", "stage")
+
+
+def _page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the components of host and path."""
+    return _table(spark, sf_dir, "pages").select("page_id", paths.components(F.regexp_extract("url", "://([^?#]*)", 1)).alias("parts"))
+
+
+_PAGE = "SELECT page_id, list_filter(string_split(regexp_extract(url, '://([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages"
+
+
+@query(
+    f"""WITH p AS ({_PAGE}), r AS (SELECT DISTINCT parts[1:2] AS owner FROM p WHERE page_id % 3 = 0 UNION SELECT DISTINCT parts[1:1] FROM p WHERE page_id % 2 = 0)
+    SELECT page_id, array_to_string(arg_max(owner, len(owner)), '/') AS owner, coalesce(CAST(max(len(owner)) AS INT), -1) AS depth
+    FROM p LEFT JOIN r ON p.parts[1:len(owner)] = owner GROUP BY page_id"""
+)
+def most_specific_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _page_paths(spark, sf_dir)
+    roots = pages.where("page_id % 3 = 0").select(F.slice("parts", 1, 2).alias("root")).union(pages.where("page_id % 2 = 0").select(F.slice("parts", 1, 1)))
+    found = lookup.nearest_ancestor(pages, "parts", roots, "root")
+    return found.select("page_id", paths.display(F.col("owner")).alias("owner"), F.coalesce(F.size("owner"), F.lit(-1)).alias("depth"))
+
+
+_PATTERNS = [("small *", "tiny/*"), ("* gear", "gear/*"), ("small gizmo", "exact"), ("s*", "other/*"), ("red *", "red/*"), ("r*t", "rt/*")]
+
+
+@query(
+    """SELECT p_partkey, matched, CASE matched WHEN 'small gizmo' THEN 'exact' WHEN 'small *' THEN 'tiny/' || p_name[7:] WHEN 'red *' THEN 'red/' || p_name[5:]
+    WHEN 's*' THEN 'other/' || p_name[2:] WHEN 'r*t' THEN 'rt/' || p_name[2:-2] WHEN '* gear' THEN 'gear/' || p_name[:-6] END AS mapped
+    FROM (SELECT p_partkey, p_name, CASE WHEN p_name = 'small gizmo' THEN 'small gizmo' WHEN p_name LIKE 'small %' THEN 'small *' WHEN p_name LIKE 'red %' THEN 'red *'
+      WHEN p_name LIKE 's%' THEN 's*' WHEN p_name LIKE 'r%t' THEN 'r*t' WHEN p_name LIKE '% gear' THEN '* gear' END AS matched FROM part)"""
+)
+def longest_pattern_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.longest_pattern(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", _PATTERNS).drop("p_name")
+
+
+@query(
+    """WITH k AS (SELECT DISTINCT p_brand, p_name[1:2] || '*' AS key FROM part WHERE p_size <= 10 UNION SELECT DISTINCT p_brand, p_name FROM part WHERE p_size = 11
+      UNION SELECT DISTINCT p_brand, p_name[1:1] || '*' FROM part WHERE p_size >= 40)
+    SELECT p_partkey, arg_max(key, struct_pack(x := key NOT LIKE '%*', l := CASE WHEN key LIKE '%*' THEN len(key) - 1 ELSE len(key) END)) AS key
+    FROM part LEFT JOIN k ON part.p_brand = k.p_brand AND (key = p_name OR (key LIKE '%*' AND starts_with(p_name, key[:-2]))) GROUP BY p_partkey"""
+)
+def most_specific_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size")
+    star = lambda n, where: parts.where(where).select("p_brand", F.concat(F.substring("p_name", 1, n), F.lit("*")).alias("pattern"))
+    keys = star(2, "p_size <= 10").union(parts.where("p_size = 11").select("p_brand", "p_name")).union(star(1, "p_size >= 40")).distinct()
+    return lookup.most_specific_key(parts.select("p_partkey", "p_brand", "p_name"), "p_name", keys, "pattern", ["p_brand"]).select("p_partkey", "key")
+
+
+@query("SELECT doc_id, n AS n_claims FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1")
+def duplicate_identity_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("identity"))
+    return reduce.reject_duplicates(docs, ["identity"])[1].select("doc_id", "n_claims")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n = 1")
+def unique_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("identity"))
+    return reduce.reject_duplicates(docs, ["identity"])[0].select("doc_id")
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS o_orderkey, min(o_orderdate) AS o_orderdate FROM orders GROUP BY 1")
+def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return reduce.first_wins(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+_STATES = ["view", "click", "signup", "purchase", "error"]
+
+
+@query("SELECT user_id, ['view', 'click', 'signup', 'purchase', 'error'][max(list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type))] AS event_type FROM events GROUP BY 1")
+def capability_worst_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.worst_state(_table(spark, sf_dir, "events").select("user_id", "event_type"), ["user_id"], "event_type", _STATES)
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, struct_pack(ts := ts, e := event_id)) AS event_id, arg_max(event_type, struct_pack(ts := ts, e := event_id)) AS event_type, false AS conflict FROM events GROUP BY 1")
+def latest_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return reduce.latest(events, ["user_id"], ["ts", "event_id"], ["event_type"])
+
+
+_RANK = "6 - CAST(o_orderpriority[1:1] AS INT)"
+_OLD, _NEW = "timestamp_ntz'1995-07-01'", "timestamp_ntz'2001-01-01'"
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = _table(spark, sf_dir, "orders").withColumn("rank", 6 - F.substring("o_orderpriority", 1, 1).cast("int"))
+    facts = lambda rows: delta.merge_facts(rows.select("o_custkey", F.array("o_orderstatus").alias("targets"), "rank"), ["o_custkey"], ["targets"], ["rank"], [])
+    return facts(orders.where(f"o_orderdate < {_OLD}")), facts(orders.where(f"o_orderdate >= {_NEW}"))
+
+
+_FACTS = f"""b AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS t, min({_RANK}) AS r FROM orders WHERE o_orderdate < TIMESTAMP '1995-07-01' GROUP BY 1),
+    c AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS t, min({_RANK}) AS r FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1),
+    d AS (SELECT coalesce(b.o_custkey, c.o_custkey) AS o_custkey, b.t AS bt, c.t AS ct, b.r AS br, c.r AS cr, b.o_custkey IS NOT NULL AS hb, c.o_custkey IS NOT NULL AS hc
+      FROM b FULL JOIN c ON b.o_custkey = c.o_custkey),
+    e AS (SELECT *, list_filter(ct, lambda x: NOT list_contains(bt, x)) AS up, list_filter(bt, lambda x: NOT list_contains(ct, x)) AS down FROM d)"""
+
+
+@query(
+    f"""WITH {_FACTS} SELECT o_custkey, CASE WHEN NOT hb THEN 'introduced' WHEN NOT hc THEN 'resolved' WHEN cr < br THEN 'regressed' WHEN cr > br THEN 'improved' ELSE 'unchanged' END AS class FROM e"""
+)
+def lifecycle_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, current = _snapshots(spark, sf_dir)
+    return delta.lifecycle(base, current, ["o_custkey"], ranks=["rank"]).select("o_custkey", "class")
+
+
+_CLASS = """CASE WHEN NOT hb THEN 'introduced' WHEN NOT hc THEN 'resolved'
+      WHEN (len(up) > 0 OR cr < br) AND NOT (len(down) > 0 OR cr > br) THEN 'regressed' WHEN (len(down) > 0 OR cr > br) AND NOT (len(up) > 0 OR cr < br) THEN 'improved'
+      WHEN NOT (len(up) > 0 OR cr < br OR len(down) > 0 OR cr > br) THEN 'unchanged' ELSE 'changed-incomparable' END"""
+
+
+@query(
+    f"""WITH {_FACTS} SELECT o_custkey, {_CLASS} AS class,
+    CASE WHEN hb AND hc THEN list_sort(list_concat(CASE WHEN cr < br THEN ['rank'] ELSE [] END, list_transform(up, lambda x: 'targets+' || x))) ELSE [] END AS regressions,
+    CASE WHEN hb AND hc THEN list_sort(list_concat(CASE WHEN cr > br THEN ['rank'] ELSE [] END, list_transform(down, lambda x: 'targets-' || x))) ELSE [] END AS improvements FROM e"""
+)
+def delta_set_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, current = _snapshots(spark, sf_dir)
+    return delta.lifecycle(base, current, ["o_custkey"], ["targets"], ["rank"]).select("o_custkey", "class", "regressions", "improvements")
+
+
+@query(
+    """SELECT l_orderkey, list_sort(list(DISTINCT l_partkey)) AS parts, min(l_linenumber) AS rank, list_sort(list(DISTINCT l_returnflag)) AS flags FROM lineitem GROUP BY 1"""
+)
+def delta_group_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.array("l_partkey").alias("parts"), F.col("l_linenumber").alias("rank"), F.col("l_returnflag").alias("flags"))
+    return delta.merge_facts(lines, ["l_orderkey"], ["parts"], ["rank"], ["flags"])
+
+
+_SIGNALS = f"""{_FACTS}, f AS (SELECT *, {_CLASS} AS class, len(up) > 0 AS adverse, cr < br AS lost FROM e),
+    s AS (SELECT 'adverse-fact-introduced' AS signal, count(*) AS n FROM f WHERE class = 'introduced' UNION ALL SELECT 'pre-existing-adverse-facts', count(*) FROM f WHERE class = 'unchanged'
+      UNION ALL SELECT 'adverse-fact-regressed', count(*) FROM f WHERE class IN ('regressed', 'changed-incomparable') AND adverse
+      UNION ALL SELECT 'lifecycle-evidence-regressed', count(*) FROM f WHERE class IN ('regressed', 'changed-incomparable') AND lost)"""
+
+
+@query(f"WITH {_SIGNALS} SELECT signal, n FROM s WHERE n > 0")
+def delta_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, current = _snapshots(spark, sf_dir)
+    return delta.signals(delta.lifecycle(base, current, ["o_custkey"], ["targets"], ["rank"]), ["rank"])
+
+
+@query(f"WITH {_SIGNALS} SELECT CASE WHEN max(CASE WHEN signal LIKE 'adverse%' THEN 2 WHEN signal LIKE 'lifecycle%' THEN 1 ELSE 0 END) = 2 THEN 'deny' ELSE 'other' END AS decision, count(*) AS n_signals FROM s WHERE n > 0")
+def decision_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta.decide(delta_signals(spark, sf_dir))
+
+
+@query(
+    """WITH b AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderkey) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1),
+    c AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderkey) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1998-02-01' GROUP BY 1)
+    SELECT coalesce(b.k, c.k) AS o_custkey, CASE WHEN b.k IS NULL THEN 'added' WHEN c.k IS NULL THEN 'removed' ELSE 'changed' END AS change,
+      CASE WHEN c_mktsegment = 'BUILDING' THEN 'leased' WHEN c_acctbal < 0 THEN 'protected' ELSE 'unplanned' END AS scope
+    FROM b FULL JOIN c ON b.k = c.k JOIN customer ON c_custkey = coalesce(b.k, c.k) WHERE (b.n, b.m) IS DISTINCT FROM (c.n, c.m)"""
+)
+def input_change_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    state = lambda before: orders.where(f"o_orderdate < timestamp_ntz'{before}'").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("m"))
+    customers = _table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    return delta.input_changes(state("1998-01-01"), state("1998-02-01"), "o_custkey", ["n", "m"], customers.where("c_mktsegment = 'BUILDING'"), customers.where("c_acctbal < 0"))
+
+
+_ORDER = [("o_totalprice", False), ("o_orderkey", True)]
+_SCOPE = paging.Scope("orders", "totalprice-desc.v1")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+_PAGED = "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100"
+
+
+@query(_PAGED)
+def keyset_page_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.page(_orders(spark, sf_dir), _ORDER, _SCOPE).rows
+
+
+@query(f"{_PAGED} OFFSET 100")
+def keyset_page_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    return paging.page(orders, _ORDER, _SCOPE, paging.page(orders, _ORDER, _SCOPE).next_cursor).rows
+
+
+@query("SELECT least(count(*), 100) AS shown, count(*) AS total, count(*) > 100 AS truncated FROM orders")
+def limit_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.probe(_orders(spark, sf_dir))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_quantity >= 49),
+    r(node) AS (SELECT 'o' || min(o) FROM e UNION SELECT x FROM r JOIN (SELECT 'o' || o AS a, 's' || s AS x FROM e UNION ALL SELECT 's' || s, 'o' || o FROM e) ON a = node)
+    SELECT node FROM r WHERE node IS NOT NULL"""
+)
+def adjacency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.state import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    urgent = _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49").join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
+    links = lines.select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
+    seeds = lines.agg(F.concat(F.lit("o"), F.min("l_orderkey")).alias("node"))
+    return graph.reachable(graph.undirected(links, "a", "b"), seeds).select("node")
+
+
+@query(
+    f"""WITH p AS ({_PAGE}), l AS (SELECT page_id, parts[1:2] AS parts FROM p WHERE page_id % 10 = 0)
+    SELECT DISTINCT l.page_id AS "left", r.page_id AS "right" FROM l JOIN p r ON l.parts = r.parts[1:len(l.parts)] OR r.parts = l.parts[1:len(r.parts)]"""
+)
+def lease_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _page_paths(spark, sf_dir)
+    leases = pages.where("page_id % 10 = 0").select("page_id", F.slice("parts", 1, 2).alias("parts"))
+    return graph.overlaps(leases, pages, "page_id", "parts")
+
+
+@query(f"SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 9000)")
+def blocked_scope_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = _table(spark, sf_dir, "customer").where("c_acctbal < 0")
+    blocked = _table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("c_nationkey"))
+    return integrity.outside_scope(findings, blocked, ["c_nationkey"]).select("c_custkey")
+
+
+def _retention(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    runs = orders.withColumn("finished", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")))
+    pins = orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    why = retention.protection_reasons(runs, "o_orderkey", "o_custkey", ["o_orderdate", "o_orderkey"], "finished", "o_orderstatus = 'F'", pins)
+    return retention.plan(runs, "o_orderkey", "finished", dt.datetime(1998, 1, 1), why)
+
+
+_RETENTION = """r AS (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS finished FROM orders),
+    w AS (SELECT arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS k, 'latest-attempt' AS reason FROM r GROUP BY o_custkey
+      UNION ALL SELECT arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)), 'latest-completed' FROM r WHERE o_orderstatus = 'F' GROUP BY o_custkey
+      UNION ALL SELECT o_orderkey, 'pinned' FROM r WHERE o_orderpriority = '1-URGENT'),
+    x AS (SELECT k, list_sort(list(DISTINCT reason)) AS reasons FROM w GROUP BY k), o AS (SELECT * FROM r WHERE finished < TIMESTAMP '1998-01-01')"""
+
+
+@query(f"WITH {_RETENTION} SELECT o_orderkey, finished FROM o WHERE NOT EXISTS (SELECT 1 FROM x WHERE k = o_orderkey)")
+def retention_plan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retention(spark, sf_dir)[0].select("o_orderkey", "finished")
+
+
+@query(f"WITH {_RETENTION} SELECT o_orderkey, reasons FROM o JOIN x ON k = o_orderkey")
+def retention_plan_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retention(spark, sf_dir)[1].select("o_orderkey", "reasons")
+
+
+@query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def orphan_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.orphans(_table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "k"), "doc_id", "k")
+
+
+@query(
+    """SELECT 'lineitem-orders' AS "check", count(*) AS misses FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+    UNION ALL SELECT 'lineitem-part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+    UNION ALL SELECT 'lineitem-rich-supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"""
+)
+def referential_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    suppliers = _table(spark, sf_dir, "supplier").where("s_acctbal > 0")
+    return integrity.closure_report(
+        [
+            ("lineitem-orders", lines, _table(spark, sf_dir, "orders"), "l_orderkey", "o_orderkey"),
+            ("lineitem-part", lines, _table(spark, sf_dir, "part"), "l_partkey", "p_partkey"),
+            ("lineitem-rich-supplier", lines, suppliers, "l_suppkey", "s_suppkey"),
+        ]
+    )
+
+
+_WINDOWED = "SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '{}' AND l_shipdate < TIMESTAMP '{}'"
+_A, _B = _WINDOWED.format("1996-01-01", "1996-03-01"), _WINDOWED.format("1997-01-01", "1997-03-01")
+
+
+@query(f"SELECT l_partkey, 'left' AS side FROM ({_A} EXCEPT {_B}) UNION ALL SELECT l_partkey, 'right' FROM ({_B} EXCEPT {_A})")
+def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    window = lambda a, b: lines.where(f"l_shipdate >= timestamp_ntz'{a}' and l_shipdate < timestamp_ntz'{b}'").select("l_partkey")
+    return integrity.symmetric_difference(window("1996-01-01", "1996-03-01"), window("1997-01-01", "1997-03-01"))
+
+
+@query("SELECT p_partkey, (p_name LIKE '%gear' OR p_name LIKE 'small%') AND NOT p_name LIKE '%ring' AS member FROM part")
+def workspace_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", integrity.member(F.col("p_name"), ["*gear", "small*"], ["*ring"]).alias("member"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN contains(url, 'spam') THEN 'vendored' WHEN regexp_matches(url, '/(fr|es)/') THEN 'authored' WHEN contains(html, '<script>') THEN 'generated' ELSE 'authored' END AS role FROM pages"""
+)
+def role_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url, html = F.col("url"), F.col("html")
+    rules = [(html.contains("<script>"), "generated"), (url.rlike("/(fr|es)/"), None), (url.contains("spam"), "vendored")]
+    return _table(spark, sf_dir, "pages").select("page_id", integrity.last_rule(rules, "authored").alias("role"))
+
+
+@query(
+    """SELECT p_partkey, 'id-' || sha256(unhex(printf('%016x', strlen(p_name)) || hex(encode(p_name)) || printf('%016x', strlen(p_brand)) || hex(encode(p_brand)))) AS identity FROM part"""
+)
+def content_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", hashing.content_identity(F.col("p_name"), F.col("p_brand"), prefix="id-").alias("identity"))
+
+
+@query(
+    f"""WITH p AS ({_PAGE}) SELECT page_id, array_to_string(list_concat(parts[1:1], ['shared', parts[-1]]), '/') AS resolved, CASE WHEN len(parts) < 3 THEN NULL ELSE array_to_string(list_concat(parts[1:-4], ['x']), '/') END AS above FROM p"""
+)
+def relative_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _page_paths(spark, sf_dir)
+    spec = F.concat(F.lit("./../shared/./"), F.element_at("parts", -1))
+    up = paths.resolve_relative(F.slice("parts", 1, 2), spec)
+    above = paths.resolve_relative(F.col("parts"), F.lit("../../../x"))
+    return pages.select("page_id", paths.display(up).alias("resolved"), paths.display(above).alias("above"))
+
+
+@query()
+def ledger_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events are transitions from the type before; every purchase claims to follow a click, which may not hold."""
+    from pyspark.sql import Window as W
+
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    last = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
+    rows = events.withColumn("before", F.when(F.col("event_type") == "purchase", "click").otherwise(last))
+    base = events.select("user_id").distinct().withColumn("state", F.lit(None).cast("string"))
+    return ledger.reconcile(rows, ["user_id"], "event_id", "before", "event_type", base, "state")
