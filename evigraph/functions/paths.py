@@ -70,7 +70,7 @@ SUBSTITUTES = {
 
 
 def candidate_paths(path: Column, types: Column, bare: Column) -> Column:
-    """Ordered candidates of a requested path. bare: whether a missing extension may be filled in, also by an index file."""
+    """Ordered candidates of a requested path. bare: whether a missing extension may be filled in. No index file is tried."""
     out = F.array(path)
     name = F.element_at(F.split(path, "/"), -1)
     for suffix, (values, kinds) in SUBSTITUTES.items():
@@ -78,7 +78,7 @@ def candidate_paths(path: Column, types: Column, bare: Column) -> Column:
         made = lambda names, stem=stem: F.array(*(F.concat(stem, F.lit(f".{n}")) for n in names))
         out = F.when(path.endswith(suffix), F.when(types, made(kinds)).otherwise(made(values))).otherwise(out)
     values, kinds = SUBSTITUTES[".js"]
-    filled = lambda names: F.array(*(F.concat(path, F.lit(f"{mid}.{n}")) for mid in ("", "/index") for n in names))
+    filled = lambda names: F.array(*(F.concat(path, F.lit(f".{n}")) for n in names))
     return F.when(~name.contains("."), F.when(bare, F.when(types, filled(kinds)).otherwise(filled(values))).otherwise(F.array(path))).otherwise(out)
 
 
