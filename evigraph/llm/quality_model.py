@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> bytes:
     found = found.mapInArrow(_featurize, "key string, label int, places array<int>, values array<float>")
     order = [F.xxhash64("key"), "key"]
     model = found.repartition(1).sortWithinPartitions(*order).mapInArrow(_fit, "weights binary")
-    return bytes(model.first()["weights"])
+    row = model.first()  # none where no labelled document is left
+    return bytes(row["weights"]) if row else fit([]).tobytes()
 
 
 def _score(weights) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

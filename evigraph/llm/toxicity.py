@@ -169,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> bytes:
     known = docs.sparkSession.sparkContext.broadcast(np.packbits(informative(*counts)).tobytes())
     found = found.mapInArrow(_featurize(known), "key string, label int, sentences array<int>, places array<int>, n int")
     model = found.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", F.hash("places")).mapInArrow(_fit, "weights binary")
-    return bytes(model.first()["weights"])
+    row = model.first()  # none where no labelled document is left
+    return bytes(row["weights"]) if row else fit([]).tobytes()
 
 
 def _spans(part: tokens.Slice, sentence: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
