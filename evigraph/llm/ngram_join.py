@@ -5,31 +5,35 @@ Exact up to the collision of 64-bit hashes. The steps, each a distributed table
 1. One pass hashes every text to its set's size and 128-bit fingerprint. Texts with equal sets form a class, whose smallest
    id stands for it from here on. The same pass counts n-grams in a sketch of fixed size; n-grams are ordered by that count,
    rarest first, then by hash: one global order, in which what many documents share comes last.
-2. Two sets that link share an n-gram among the first size - required + 1 of either in that order (their prefixes). Prefixes
-   are the first level of the tree: rows (n-gram, class). N-grams with one class are dropped.
+2. Two sets that link share an n-gram among the first size - required + 1 of either in that order (their heads). Heads
+   are the first level of the tree: rows (n-gram, class). N-grams with one class are dropped before rows are shuffled.
 3. Every class is checked against one hub of each of its n-grams, so the number of pairs follows the number of rows. The
    links join classes to components. An n-gram all of whose classes are in one component needs no more checks. A few
    rounds with other hubs follow while many pairs across components are left; then all pairs across components that pass
    the bounds on size and position are checked, whatever their number.
 4. Pairs are checked in a prefix tree of the sets paired with one hub: sets sorted in the global order share the overlap
    counted along their common beginning, and a subtree is left when the overlap so far and the most that can remain are
-   less than required.
+   less than required. A first tree holds heads only, a tenth of the data, and leaves what they already rule out; whole sets
+   are made and moved for the pairs that stay.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from . import idset, tokens
 from .components import components
 from .runtime import discard, materialize
 
-SKETCH = 1 << 18
+#: Cells of the sketch; a task sends them deflated, a few bits each.
+SKETCH = 1 << 22
 CHUNKS = 32
 #: Sets in one tree at most, about: pairs of a hub beyond that go to further trees.
 TREE = 256
@@ -51,7 +55,7 @@ def _fingerprint(values: np.ndarray) -> tuple[int, int]:
 
 def _signatures(n: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for part in tokens.slices(batch.column(1)):
                 sizes, ones, twos = [], [], []
@@ -60,37 +64,56 @@ def _signatures(n: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
                     sizes.append(len(values))
                     ones.append(one)
                     twos.append(two)
-                    if len(values):
-                        np.add.at(counts, (values & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                    counts[(values & np.uint64(SKETCH - 1)).astype(np.int64)] += np.uint32(1)  # of two in one cell one counts
                 m = len(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.first, m).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                     names=["id", "n_shingles", "f1", "f2", "chunk", "counts"],
                 )
-        pieces = [x.tobytes() for x in counts.reshape(CHUNKS, -1)]
+        pieces = [_pack(x) for x in counts.reshape(CHUNKS, -1)]
         none = pa.nulls(CHUNKS, pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(pieces, pa.binary())], names=["id", "n_shingles", "f1", "f2", "chunk", "counts"])
 
     return run
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts by place where few are not zero, else all of them, deflated."""
+    at = np.flatnonzero(counts).astype(np.uint32)
+    sparse = 4 * len(at) < len(counts)
+    return bytes([sparse]) + zlib.compress((np.concatenate([at, counts[at]]) if sparse else counts).tobytes(), 1)
+
+
+def _unpack(piece: bytes, sums: np.ndarray) -> None:
+    values = np.frombuffer(zlib.decompress(piece[1:]), np.uint32)
+    if piece[0]:
+        at, counts = np.split(values, 2)
+        sums[at] += counts
+    else:
+        sums += values
+
+
 def _add_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums a task's pieces of the sketch by chunk."""
     sums = np.zeros((CHUNKS, SKETCH // CHUNKS), np.int64)
     for batch in batches:
         for chunk, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            sums[chunk] += np.frombuffer(piece.as_py(), np.int64)
+            _unpack(piece.as_py(), sums[chunk])
     used = [k for k in range(CHUNKS) if sums[k].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([sums[k].tobytes() for k in used], pa.binary())], names=["chunk", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_rank(sums[k]).tobytes() for k in used], pa.binary())], names=["chunk", "counts"])
+
+
+def _rank(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(1.0 + counts) * 1500, 65535).astype(np.uint16)
 
 
 def _ranks(sketch: DataFrame) -> np.ndarray:
-    """The sketch as 16-bit ranks of log counts: the same few hundred kilobytes whatever the input."""
-    total = np.zeros((CHUNKS, SKETCH // CHUNKS), np.int64)
+    """The sketch as 16-bit ranks of log counts: 8 MB whatever the input."""
+    ranks = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint16)
     summed = sketch.repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary")
     for row in summed.toLocalIterator():
-        total[row["chunk"]] += np.frombuffer(bytes(row["counts"]), np.int64)
-    return np.minimum(np.log2(1.0 + total.reshape(-1)) * 1500, 65535).astype(np.uint16)
+        ranks[row["chunk"]] = np.frombuffer(bytes(row["counts"]), np.uint16)
+    return ranks.reshape(-1)
 
 
 def _keys(values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -108,7 +131,23 @@ def _prefixes(n: int, num: int, den: int, ranks) -> Callable[[Iterable[pa.Record
                     size = len(values)
                     sizes.append(size)
                     heads.append(_keys(values, ranks.value)[: size + (-num * size) // den + 1 if size else 0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(sizes)).cast(pa.int64()), pa.array(sizes, pa.int32()), tokens.lists(heads)], names=["id", "size", "head"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(sizes)).cast(pa.int64()), pa.array(sizes, pa.int32()), tokens.lists(heads)], names=["id", "size", "keys"])
+
+    return run
+
+
+def _rows(held) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Heads (id, size, keys) to rows (gram, id, size, pos) of the n-grams that may be in the filter of shared ones."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.diff(batch.column(2).offsets.to_numpy())
+            grams = batch.column(2).flatten()
+            keep = np.flatnonzero(idset.may_hold(held.value, grams))
+            owner = np.repeat(np.arange(batch.num_rows), counts)[keep]
+            pos = keep - (np.cumsum(counts) - counts)[owner]
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([grams.take(pa.array(keep)), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos.astype(np.int32))], names=["gram", "id", "size", "pos"])
 
     return run
 
@@ -119,70 +158,76 @@ def _sets(n: int, ranks, held) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
             batch = batch.filter(pa.array(idset.may_hold(held.value, batch.column(0))))
             for part in tokens.slices(batch.column(1)):
                 found = [_keys(values, ranks.value) for values in tokens.shingle_sets(part, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)).cast(pa.int64()), tokens.lists(found)], names=["id", "keys"])
+                sizes = pa.array([len(x) for x in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)).cast(pa.int64()), sizes, tokens.lists(found)], names=["id", "size", "keys"])
 
     return run
 
 
 class Tree:
-    """The path to the last set visited, with the overlap counted along it."""
+    """The path to the last set visited, with the overlap counted along it. Sets may be heads: their first keys in order, of
+    which the whole size is known; then a pair is only ruled out, never confirmed."""
 
     BLOCK = 64
 
-    def __init__(self, hub: np.ndarray, num: int, den: int):
-        self.hub, self.num, self.den = hub, num, den
+    def __init__(self, hub: np.ndarray, size: int, num: int, den: int):
+        self.hub, self.size, self.num, self.den = hub, size, num, den
         self.path = np.zeros(0, np.uint64)
         self.overlap = np.zeros(1, np.int64)  # overlap[d]: of the first d of the path; as far as it was counted
 
-    def links(self, keys: np.ndarray) -> bool:
-        """Whether the set links with the hub; sets must come in sorted order."""
-        need = int(required(len(keys), len(self.hub), self.num, self.den))
-        if min(len(keys), len(self.hub)) < need:
+    def may_link(self, keys: np.ndarray, size: int) -> bool:
+        """Whether the set can reach the overlap it needs with the hub; for whole sets: whether it does. Sets must come in
+        sorted order."""
+        need = int(required(size, self.size, self.num, self.den))
+        if min(size, self.size) < need:
             return False
         m = min(len(keys), len(self.path), len(self.overlap) - 1)
         differ = np.flatnonzero(keys[:m] != self.path[:m])
         shared = int(differ[0]) if len(differ) else m
+        # beyond the last key of the hub's head nothing is known
+        end = len(keys) if len(self.hub) == self.size else int(np.searchsorted(keys, self.hub[-1], side="right"))
         self.path, counted = keys, [self.overlap[: shared + 1]]
         depth, have = shared, int(self.overlap[shared])
-        while depth < len(keys):
-            # keys after depth, and the hub's not below the last key counted
-            left = min(len(keys) - depth, len(self.hub) - (int(np.searchsorted(self.hub, keys[depth])) if depth else 0))
-            if have + left < need:
+        while depth < end:
+            if have + min(size - depth, self.size - int(np.searchsorted(self.hub, keys[depth]))) < need:
                 break
-            block = keys[depth : depth + self.BLOCK]
+            block = keys[depth : min(depth + self.BLOCK, end)]
             at = np.minimum(np.searchsorted(self.hub, block), len(self.hub) - 1)
             upto = have + np.cumsum(self.hub[at] == block)
             counted.append(upto)
             depth, have = depth + len(block), int(upto[-1])
         self.overlap = np.concatenate(counted)
-        return depth == len(keys) and have >= need
+        if depth < end:
+            return False
+        passed = int(np.searchsorted(self.hub, keys[depth - 1], side="right")) if depth else 0
+        return have + min(size - depth, self.size - passed) >= need
 
 
 def _check(num: int, den: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (hub, part, id, keys) sorted by hub, part; those with id null hold the hub's own sets. Yields the links."""
+    """Rows (hub, part, id, size, keys) sorted by hub, part; those with id null hold the hub's own sets. Yields what may link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members, hubs = None, [], []
 
         def close() -> list[tuple[int, int]]:
             out = []
-            members.sort(key=lambda x: x[1].astype(">u8").tobytes())
-            for hub in hubs:
-                tree = Tree(hub, num, den)
-                out += [(i, group[0]) for i, keys in members if tree.links(keys)]
+            members.sort(key=lambda x: x[2].astype(">u8").tobytes())
+            for size, keys in hubs:
+                tree = Tree(keys, size, num, den)
+                out += [(i, group[0]) for i, n, own in members if tree.may_link(own, n)]
             return out
 
         for batch in batches:
-            values = batch.column(3)
+            values = batch.column(4)
             flat = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
             offsets = values.offsets.to_numpy()
             found = []
-            for k, (hub, part, i) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            for k, (hub, part, i, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if (hub, part) != group:
                     found += close()
                     group, members, hubs = (hub, part), [], []
                 keys = flat[offsets[k] : offsets[k + 1]].copy()
-                hubs.append(keys) if i is None else members.append((i, keys))
+                hubs.append((size, keys)) if i is None else members.append((i, size, keys))
             yield _pairs(found)
         yield _pairs(close())
 
@@ -208,44 +253,42 @@ class NgramJoin:
         self._run()
 
     def _run(self) -> None:
-        heads = self.texts.where("id is not null").mapInArrow(_prefixes(self.n, self.num, self.den, self.ranks), "id long, size int, head array<long>")
+        heads = self.texts.where("id is not null").mapInArrow(_prefixes(self.n, self.num, self.den, self.ranks), "id long, size int, keys array<long>")
         reps = self.classes.select(F.col("rep").alias("id")).distinct()
         heads = materialize(heads.join(reps, "id", "left_semi"), "ngram-heads")
-        rows = heads.select("id", "size", F.posexplode("head").alias("pos", "gram"))
-        hub = F.min(F.struct("size", "id"))
-        shared = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), hub.alias("hub"))
-        shared = shared.where("n > 1 and low <> high").select("gram", "hub")
-        rows = materialize(rows.join(shared.hint("shuffle_hash"), "gram"), "ngram-rows")
-        discard(heads)
+        counts = heads.select(F.explode("keys").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+        shared = materialize(counts.where("n > 1").select("gram"), "ngram-shared")
+        held = self.spark.sparkContext.broadcast(idset.build(shared))
+        rows = heads.mapInArrow(_rows(held), "gram long, id long, size int, pos int")
+        self.heads = heads
+        rows = materialize(self._with_hub(rows, F.struct("size", "id")), "ngram-rows")
         limit = FEW * rows.count() + 1_000_000
         tested, links, left = None, None, 0
         for turn in range(ROUNDS):
-            pairs = self._new(self._to_hubs(rows), tested)
+            pairs = self._new(rows.where((F.col("id") != F.col("hub.id")) & self._fits(F.col("size"), F.col("hub.size"))).select(F.col("id").alias("a"), F.col("hub.id").alias("b")), tested)
             found = self._verify(pairs)
             tested = pairs if tested is None else tested.union(pairs)
             links = found if links is None else links.union(found)
-            labels = components(links, "a", "b").withColumnRenamed("id", "rep")
-            rows = self._open(rows.drop("component", "hub"), labels)
+            rows = self._open(rows.drop("component", "hub"), links)
             left = rows.groupBy("gram", "component").agg(F.count("*").cast("double").alias("k")).groupBy("gram").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("p"))
             left = left.agg(F.sum("p")).first()[0] or 0
             if left <= limit:
                 break
-            order = F.struct(F.xxhash64("id", F.lit(turn)), "size", "id")
-            hubs = rows.groupBy("gram").agg(F.min(order).alias("h")).select("gram", F.struct("h.size", "h.id").alias("hub"))
-            rows = materialize(rows.join(hubs.hint("shuffle_hash"), "gram"), "ngram-rows")
+            rows = materialize(self._with_hub(rows, F.struct(F.xxhash64("id", F.lit(turn)), "size", "id")), "ngram-rows")
         if left:
             pairs = self._new(self._across(rows), tested)
             links = links.union(self._verify(pairs))
-            labels = components(links, "a", "b").withColumnRenamed("id", "rep")
-        self.links, self.labels = links, labels
+        self.links = links
+        self.labels = components(links, "a", "b").withColumnRenamed("id", "rep")
+
+    def _with_hub(self, rows: DataFrame, order: Column) -> DataFrame:
+        """Adds each n-gram's hub, the class that comes first in the order."""
+        hubs = rows.groupBy("gram").agg(F.min(order).alias("h"), F.count("*").alias("n")).where("n > 1").select("gram", F.struct("h.size", "h.id").alias("hub"))
+        return rows.join(hubs.hint("shuffle_hash"), "gram")
 
     def _fits(self, a, b):
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
-    def _to_hubs(self, rows: DataFrame) -> DataFrame:
-        own = rows.where((F.col("id") != F.col("hub.id")) & self._fits(F.col("size"), F.col("hub.size")))
-        return own.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"))
-
     def _across(self, rows: DataFrame) -> DataFrame:
         """Pairs of two components at the same n-gram that can still reach the overlap they need."""
         a = rows.select("gram", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
@@ -255,35 +298,47 @@ class NgramJoin:
         return a.join(b, "gram").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & self._fits(F.col("sa"), F.col("sb")) & enough).select("a", "b")
 
     def _new(self, pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+        """Pairs (member a, hub b), once each and not tested before."""
         pairs = pairs.distinct()
-        return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
-
-    def _open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows of n-grams that classes of more than one component share."""
+        if tested is not None:
+            both = tested.union(tested.select("b", "a"))
+            pairs = pairs.join(both, ["a", "b"], "left_anti")
+        return materialize(pairs, "ngram-pairs")
+
+    def _open(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows of n-grams whose classes are not all known to be in one component, with component.
+
+        What is known here is cheap: the least neighbour, and the least neighbour of that. It may split a component, which
+        only leaves more pairs to check; components themselves are made once, at the end.
+        """
+        both = links.union(links.select("b", "a"))
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "ngram-low")
+        over = low.select(F.col("a").alias("m"), F.col("m").alias("mm"))
+        labels = low.join(over, "m", "left").select(F.col("a").alias("rep"), F.coalesce("mm", "m").alias("component"))
         rows = rows.join(labels, F.col("id") == F.col("rep"), "left").drop("rep").withColumn("component", F.coalesce("component", "id"))
         open_ = rows.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
         return materialize(rows.join(open_.hint("shuffle_hash"), "gram", "left_semi"), "ngram-rows")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs that link. The side in fewer pairs is the member, the side in more the hub; ties: b is the hub."""
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("k")), "ngram-ids")
-        held = self.spark.sparkContext.broadcast(idset.build(ids.select("id")))
-        sets = self.texts.mapInArrow(_sets(self.n, self.ranks, held), "id long, keys array<long>")
-        sets = materialize(sets.join(ids.select("id"), "id", "left_semi"), "ngram-sets")
-        ka, kb = ids.select(F.col("id").alias("a"), F.col("k").alias("ka")), ids.select(F.col("id").alias("b"), F.col("k").alias("kb"))
-        turned = pairs.join(ka, "a").join(kb, "b").select(
-            F.when(F.col("ka") > F.col("kb"), F.col("a")).otherwise(F.col("b")).alias("hub"),
-            F.when(F.col("ka") > F.col("kb"), F.col("b")).otherwise(F.col("a")).alias("member"),
-        )
-        parts = turned.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(TREE)).cast("int").alias("parts"))
-        turned = turned.join(parts, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.col("member").alias("id"))
-        members = turned.join(sets, "id").select("hub", "part", "id", "keys")
-        hubs = sets.join(parts, sets.id == parts.hub).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"), "keys")
-        trees = members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part")
-        found = materialize(trees.mapInArrow(_check(self.num, self.den), "a long, b long").distinct(), "ngram-links")
+        """Those pairs that link."""
+        possible = self._trees(pairs, self.heads)
+        ids = materialize(possible.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-ids")
+        held = self.spark.sparkContext.broadcast(idset.build(ids))
+        sets = self.texts.mapInArrow(_sets(self.n, self.ranks, held), "id long, size int, keys array<long>")
+        sets = materialize(sets.join(ids, "id", "left_semi"), "ngram-sets")
+        found = self._trees(possible, sets)
         discard(sets)
         return found
 
+    def _trees(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (member a, hub b) that trees of these sets leave. A hub of very many members has several trees."""
+        parts = materialize(pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / F.lit(TREE)).cast("int").alias("parts")), "ngram-hubs")
+        part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+        members = pairs.join(sets, pairs.a == sets.id).join(parts, F.col("b") == F.col("hub")).select("hub", part.alias("part"), "id", "size", "keys")
+        hubs = sets.join(parts, sets.id == parts.hub).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"), "size", "keys")
+        trees = members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part")
+        return materialize(trees.mapInArrow(_check(self.num, self.den), "a long, b long"), "ngram-links")
+
     def documents(self) -> DataFrame:
         """One row for each row of the input: id, n_shingles, component_id, class_id and class_size."""
         labelled = self.classes.join(self.labels, "rep", "left").select("f1", "f2", "n_shingles", "rep", "members", F.coalesce("component", "rep").alias("_c"))

@@ -40,9 +40,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back, which cuts lineage and survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it back, which cuts lineage and survives lost executors.
+
+    The writing tasks are at most a few for each core of the cluster, each taking several partitions in turn, so that a small
+    table does not become very many files.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
