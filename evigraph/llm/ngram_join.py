@@ -321,7 +321,9 @@ class NgramJoin:
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """Those pairs that link."""
-        possible = self._trees(pairs, self.heads)
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-ids")
+        heads, _ = idset.split(self.heads, "id", idset.build(wanted))  # the others need not be shuffled
+        possible = self._trees(pairs, heads)
         ids = materialize(possible.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-ids")
         held = self.spark.sparkContext.broadcast(idset.build(ids))
         sets = self.texts.mapInArrow(_sets(self.n, self.ranks, held), "id long, size int, keys array<long>")
