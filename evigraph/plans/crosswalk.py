@@ -126,6 +126,15 @@ def most_specific_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", paths.display(F.col("owner")).alias("owner"), F.coalesce(F.size("owner"), F.lit(-1)).alias("depth"))
 
 
+@query()
+def most_specific_ancestor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """most_specific_ancestor with the first one and two components of every page as roots."""
+    pages = _page_paths(spark, sf_dir)
+    roots = pages.select(F.slice("parts", 1, 2).alias("root")).union(pages.select(F.slice("parts", 1, 1))).distinct()
+    found = lookup.nearest_ancestor(pages, "parts", roots, "root")
+    return found.select("page_id", paths.display(F.col("owner")).alias("owner"), F.coalesce(F.size("owner"), F.lit(-1)).alias("depth"))
+
+
 _PATTERNS = [("small *", "tiny/*"), ("* gear", "gear/*"), ("small gizmo", "exact"), ("s*", "other/*"), ("red *", "red/*"), ("r*t", "rt/*")]
 
 
@@ -316,6 +325,18 @@ def lease_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.overlaps(leases, pages, "page_id", "parts")
 
 
+@query()
+def lease_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lease_overlap with every page as a lease: what overlaps is found among distinct paths, then given its pages."""
+    pages = _page_paths(spark, sf_dir).distinct()
+    leases = pages.select("page_id", F.slice("parts", 1, 2).alias("parts")).distinct()
+    held, read = (df.select("parts", F.to_json("parts").alias("path")).distinct() for df in (leases, pages))
+    found = graph.overlaps(held, read, "path", "parts")
+    left = leases.select(F.to_json("parts").alias("left"), F.col("page_id").alias("_l"))
+    right = pages.select(F.to_json("parts").alias("right"), F.col("page_id").alias("_r"))
+    return found.join(left, "left").join(right, "right").select(F.col("_l").alias("left"), F.col("_r").alias("right"))
+
+
 @query(f"SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 9000)")
 def blocked_scope_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = _table(spark, sf_dir, "customer").where("c_acctbal < 0")
