@@ -117,13 +117,25 @@ def _featurize(known) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def _chances(w: np.ndarray, sentence: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n sentences the chance that it offends, by weights with the bias after the features and, from fit(), the floor.
+
+    A sentence without a known feature is given the floor: none by fit(), or a text would offend by its length alone.
+    Weights without a floor give it the bias.
+    """
+    p = sigmoid(np.bincount(sentence, w[place], minlength=n) + w[DIMENSIONS])
+    if len(w) > DIMENSIONS + 1:
+        p[np.bincount(sentence, minlength=n) == 0] = w[DIMENSIONS + 1]
+    return p
+
+
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = STEPS) -> np.ndarray:
     """Weights of (label, sentences, places, number of sentences) rows: adaptive proximal gradient steps on the noisy-or's log loss over all rows.
 
     The penalty on weights grows to its full size over the first half, for at the start a word that offends shares its
-    document's label with every sentence of it.
+    document's label with every sentence of it. Here the bias is that of all sentences; scores leave out those without a feature.
     """
-    w = np.zeros(DIMENSIONS + 1)
+    w = np.zeros(DIMENSIONS + 2)
     w[DIMENSIONS] = START
     rows = [r for r in rows if r[3]]
     labels = np.array([r[0] for r in rows], bool)
@@ -192,7 +204,7 @@ def _score(weights, threshold: float) -> Callable[[Iterable[pa.RecordBatch]], It
             for part in tokens.slices(batch.column(1), tokens.LETTERS):
                 sentence, place, text = features(part, known)
                 n = part.last - part.first
-                p = sigmoid(np.bincount(sentence, w[place], minlength=len(text)) + w[DIMENSIONS])
+                p = _chances(w, sentence, place, len(text))
                 none = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
                 found: list[list] = [[] for _ in range(n)]
                 bad = np.flatnonzero(p >= threshold)
@@ -223,7 +235,7 @@ def score(docs: DataFrame, weights: bytes, threshold: float = 0.5) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The op5 contract. Repeated rows score alike; a null doc_id is in no held-out fold (held_out false). Without labels
-    only very long documents score above 0.5 by chance of many sentences; with none of either there is no row."""
+    every document scores 0; without documents there is no row."""
     scored = score(docs, train(docs, labels))
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return scored.select(
@@ -245,7 +257,7 @@ def _clean(weights, text_at: int, threshold: float) -> Callable[[Iterable[pa.Rec
             keep = np.ones(batch.num_rows, bool)
             for part in tokens.slices(batch.column(text_at), tokens.LETTERS):
                 sentence, place, text = features(part, known)
-                p = sigmoid(np.bincount(sentence, w[place], minlength=len(text)) + w[DIMENSIONS])
+                p = _chances(w, sentence, place, len(text))
                 none = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=part.last - part.first)
                 keep[part.first : part.last] = -np.expm1(none) < threshold
             yield batch.filter(pa.array(keep))

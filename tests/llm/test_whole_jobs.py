@@ -7,7 +7,7 @@ import string
 
 import pytest
 
-from evigraph.llm import secrets_scan
+from evigraph.llm import secrets_scan, toxicity
 
 MIXED = string.ascii_letters + string.digits
 
@@ -47,3 +47,19 @@ def test_long_secrets_are_candidates_from_end_to_end(spark, n):
 def test_secret_forms_take_linear_time_on_runs_without_an_end():
     for text in ("eyJ-" * 250000, "a" * 1000000 + "Z ", "-" * 500000, "a1" * 500000 + "!", "-----BEGIN " + " " * 500000):
         assert len(secrets_scan.candidates(text)) <= 1
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_a_clean_text_is_not_toxic_by_its_length(spark, labelled):
+    r = random.Random(4)
+    words = ["river", "stone", "cloud", "table", "green", "letter", "paper", "winter"]
+    clean = lambda n: ". ".join(" ".join(r.choice(words) for _ in range(5)) for _ in range(n)) + "."
+    texts = {k: clean(6) + (" you scoundrel." if k % 4 == 0 else "") for k in range(400)} | {1000: clean(50000), 1001: clean(50000) + " you scoundrel."}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    labels = labels if labelled else labels.limit(0)
+    predicted = {x.doc_id: (x.predicted, x.n_sentences) for x in toxicity.classify(docs, labels).collect()}
+    assert predicted[1000] == (0, 50000) and predicted[1001] == (int(labelled), 50001)
+    assert all(predicted[k][0] == int(labelled and k % 4 == 0) for k in range(400))
+    kept = {x.doc_id for x in toxicity.keep_clean(docs, toxicity.train(docs, labels)).collect()}
+    assert kept == {k for k, (toxic, _) in predicted.items() if not toxic}
