@@ -120,7 +120,7 @@ def _scan(block) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch
                 for k in range(n):
                     own = items.get(k)
                     places.append(np.flatnonzero(hit[part.word_offsets[k] : part.word_offsets[k + 1]]).astype(np.int32) if own else [])
-                    names.append(sorted(block.value.names[x] for x in own) if own else [])
+                    names.append(sorted((block.value.names[x] for x in own), key=lambda x: (x is None, x or "")) if own else [])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.first, n), pa.array(np.diff(part.word_offsets), pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
                     names=["row", "n_words", "hits", "items"],
