@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import new_path
+from .runtime import materialize, new_path
 
 #: Payloads below this many bytes are always written in full.
 MIN_REVISIT = 1000
@@ -147,18 +147,23 @@ def resolve(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """The op7 contract: pages are written as deduplicated archives in the shared folder, and read back from there.
 
-    An empty or null html is an empty payload; url may be null. An empty table gives an archive without records.
+    An empty or null html is an empty payload; url may be null. An empty table gives an archive without records. Length and
+    digest are of the payload that was read, for a revisit that of the response it names; one that names none is an error.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(plan_revisits(pages.select("page_id", "url", "html")), path)
     kind = pages.schema["page_id"].dataType
     page = lambda c: F.when(F.length(c) > 0, F.col(c).cast(kind))
-    found = read(spark, path)
-    return found.select(
+    # of each payload only what is asked of it goes on, so that resolving moves no payloads
+    measured = F.struct(F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"))
+    found = resolve(materialize(read(spark, path).withColumn("payload", measured), "warc-records"))
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit record "), F.coalesce("record_id", F.lit(""))))
+    payload = F.when(F.col("payload").isNull(), lost).otherwise(F.col("payload"))
+    return found.withColumn("payload", payload).select(
         page("record_id").alias("page_id"),
-        F.col("payload_length").alias("payload_bytes"),
-        "payload_digest",
+        F.col("payload.bytes").alias("payload_bytes"),
+        F.col("payload.digest").alias("payload_digest"),
         "record_type",
         page("refers_to").alias("refers_to"),
     )

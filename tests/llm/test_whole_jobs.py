@@ -7,7 +7,7 @@ import string
 
 import pytest
 
-from evigraph.llm import decontaminate, secrets_scan, toxicity
+from evigraph.llm import decontaminate, secrets_scan, toxicity, warc
 
 MIXED = string.ascii_letters + string.digits
 
@@ -73,3 +73,19 @@ def test_items_without_id_hit_but_are_not_named(spark, block_words):
     found = {r.doc_id: (len(r.hits), r["items"]) for r in decontaminate.find_contamination(docs, bench, block_words).collect()}
     assert found == {1: (26, ["5", "7"]), 2: (12, []), 3: (0, []), 4: (2, ["5"])}
     assert [r.doc_id for r in decontaminate.keep_clean(docs, bench, block_words).collect()] == [3]
+
+
+def test_a_revisit_without_its_response_is_an_error(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, None, "same " * 400) for k in range(3)], "page_id long, url string, html string")
+    assert sorted(r.record_type for r in warc.round_trip(pages).collect()) == ["response", "revisit", "revisit"]
+    plan = warc.plan_revisits
+    monkeypatch.setattr(warc, "plan_revisits", lambda df: plan(df).where("record_type = 'revisit'"))
+    with pytest.raises(Exception, match="no response for the revisit record"):
+        warc.round_trip(pages).collect()
+
+
+def test_a_revisit_has_the_length_of_its_response_not_of_its_header(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, None, "same " * 400) for k in range(3)], "page_id long, url string, html string")
+    plan = warc.plan_revisits
+    monkeypatch.setattr(warc, "plan_revisits", lambda df: plan(df).selectExpr("* except (payload_bytes)", "7L as payload_bytes"))
+    assert {r.payload_bytes for r in warc.round_trip(pages).collect()} == {2000}
