@@ -315,6 +315,18 @@ def adjacency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(graph.undirected(links, "a", "b"), seeds).select("node")
 
 
+@query()
+def adjacency_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """adjacency_closure over the links of all lines."""
+    from ..sources.state import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    lines = _table(spark, sf_dir, "lineitem")
+    links = lines.select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
+    seeds = lines.agg(F.concat(F.lit("o"), F.min("l_orderkey")).alias("node"))
+    return graph.reachable(graph.undirected(links, "a", "b"), seeds).select("node")
+
+
 @query(
     f"""WITH p AS ({_PAGE}), l AS (SELECT page_id, parts[1:2] AS parts FROM p WHERE page_id % 10 = 0)
     SELECT DISTINCT l.page_id AS "left", r.page_id AS "right" FROM l JOIN p r ON l.parts = r.parts[1:len(l.parts)] OR r.parts = l.parts[1:len(r.parts)]"""

@@ -19,3 +19,10 @@ def test_every_page_is_a_lease_and_a_root(spark, tmp_path):
     owners = {k: (None, -1) if p is None else ("/".join(p[:2]), len(p[:2])) for k, p in parts.items()}
     got = crosswalk.QUERIES["most_specific_ancestor_whole"](spark, str(tmp_path)).collect()
     assert {r.page_id: (r.owner, r.depth) for r in got} == owners
+
+
+def test_the_closure_runs_over_all_lines(spark, tmp_path):
+    lines = [(1, 5), (2, 5), (2, 6), (3, 6), (4, 7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = crosswalk.QUERIES["adjacency_closure_whole"](spark, str(tmp_path)).collect()
+    assert sorted(r.node for r in got) == ["o1", "o2", "o3", "s5", "s6"]
