@@ -1,4 +1,8 @@
-"""Connected components of a link table, by alternating star contractions; no vertex's links are ever brought together."""
+"""Connected components of a link table, by alternating star contractions.
+
+A vertex's links are only reduced to their minimum, before and after a shuffle, and joined with that one row; of a join whose
+one vertex is hot the adaptive planner splits the links' side.
+"""
 
 from __future__ import annotations
 
@@ -44,3 +48,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         raise RuntimeError(f"components did not settle in {MAX_TURNS} turns")
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def nearby_labels(edges: DataFrame, a: str, b: str, steps: int = 2) -> DataFrame:
+    """(id, component) of every vertex: the smallest id within a few links. Vertices of one component may differ in it, those of
+    different components never agree."""
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
+    both = materialize(both.union(both.select("v", "u")), "cc-both")
+    labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    for _ in range(steps):
+        over = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("m").alias("m"))
+        labels = over
+    return materialize(labels.select(F.col("u").alias("id"), F.col("m").alias("component")), "cc-labels")

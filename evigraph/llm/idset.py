@@ -12,6 +12,8 @@ from .tokens import mix64
 
 #: Bits at most: 8 MB to each task, whatever the number of ids. A fuller filter lets more rows through, never fewer.
 MAX_BITS = 1 << 26
+#: Bytes that move between executors at a time while a filter is built.
+PIECE = 1 << 16
 
 
 def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -22,31 +24,43 @@ def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
 
 def _fill(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits, bool)
+        held = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for at in places(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                held[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], names=["bits"])
+                np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        pieces = [(k, held[k : k + PIECE]) for k in range(0, len(held), PIECE)]
+        pieces = [(k // PIECE, piece.tobytes()) for k, piece in pieces if piece.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([x for _, x in pieces], pa.binary())], names=["piece", "bits"])
 
     return run
 
 
+def _unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pieces: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            more = np.frombuffer(bits, np.uint8)
+            pieces[k] = pieces[k] | more if k in pieces else more
+    yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([x.tobytes() for x in pieces.values()], pa.binary())], names=["piece", "bits"])
+
+
 def build(ids: DataFrame) -> bytes:
-    """The filter of a one-column table of non-null long ids."""
+    """The filter of a one-column table of non-null long ids. Executors unite the pieces of it; MAX_BITS at most reach the driver."""
     bits = min(MAX_BITS, 1 << max(12, (16 * ids.count()).bit_length()))
     held = np.zeros(bits // 8, np.uint8)
-    for row in ids.coalesce(16).mapInArrow(_fill(bits), "bits binary").toLocalIterator():
-        held |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    pieces = ids.mapInArrow(_fill(bits), "piece int, bits binary").repartition("piece").mapInArrow(_unite, "piece int, bits binary")
+    for row in pieces.collect():
+        held[row["piece"] * PIECE :][: len(row["bits"])] |= np.frombuffer(bytes(row["bits"]), np.uint8)
     return held.tobytes()
 
 
 def may_hold(held: bytes, column: pa.Array) -> np.ndarray:
     """Whether each id may be in the set; a null id is not."""
-    known = np.unpackbits(np.frombuffer(held, np.uint8)).view(bool)
+    known = np.frombuffer(held, np.uint8)
     out = np.array(column.is_valid(), bool) if not isinstance(column, pa.Array) else column.is_valid().to_numpy(zero_copy_only=False).copy()
     ids = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-    for at in places(ids, len(known)):
-        out &= known[at]
+    for at in places(ids, 8 * len(known)):
+        out &= (known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
     return out
 
 

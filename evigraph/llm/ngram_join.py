@@ -1,44 +1,55 @@
 """N-gram Jaccard join: documents linked by the similarity of their sets of word n-grams, and the groups links make.
 
-Exact up to the collision of 64-bit hashes. The steps, each a distributed table in the shared folder:
+N-grams are 64-bit hashes, and the order of those is the global order of n-grams. Links are decided on whole sets of these
+hashes, so results are exact up to their collision. The steps, each a distributed table in the shared folder:
 
 1. One pass hashes every text to its set's size and 128-bit fingerprint. Texts with equal sets form a class, whose smallest
-   id stands for it from here on. The same pass counts n-grams in a sketch of fixed size; n-grams are ordered by that count,
-   rarest first, then by hash: one global order, in which what many documents share comes last.
-2. Two sets that link share an n-gram among the first size - required + 1 of either in that order (their heads). Heads
-   are the first level of the tree: rows (n-gram, class). N-grams with one class are dropped before rows are shuffled.
-3. Every class is checked against one hub of each of its n-grams, so the number of pairs follows the number of rows. The
-   links join classes to components. An n-gram all of whose classes are in one component needs no more checks. A few
-   rounds with other hubs follow while many pairs across components are left; then all pairs across components that pass
-   the bounds on size and position are checked, whatever their number.
-4. Pairs are checked in a prefix tree of the sets paired with one hub: sets sorted in the global order share the overlap
-   counted along their common beginning, and a subtree is left when the overlap so far and the most that can remain are
-   less than required. A first tree holds heads only, a tenth of the data, and leaves what they already rule out; whole sets
-   are made and moved for the pairs that stay.
+   id stands for it from here on. The same pass keeps a mark of the set: the ordered set cut into ranges of the global order,
+   four bits for each range. Two sets that differ in d n-grams differ in at most d ranges of their marks.
+2. Sets of sizes a and b that link differ in at most k(a, b) n-grams. Cut into P > k ranges, they agree in P - k whole
+   ranges at least. A set's tokens are its ranges with what is in them; of two sets that link, the fullest range that both
+   share is among the k + 1 fullest of either. Rows (token, class) of these are dealt by token and those of one class drop
+   out. A token holds several n-grams at once, so common n-grams and common passages do not bring unlike sets together.
+   Rows that share a token within one batch are known to be shared there and are dealt at random: a hot token is one row a batch.
+3. Each class is checked with one hub, the most central class of its tokens, so the number of pairs follows the number of
+   classes; the links found join classes to components. This is repeated while many pairs of different components are left.
+4. Classes at a token that is not in one component go into two prefix trees of their marks, one of the largest component
+   and one of the others. The second is traversed against itself and against the first: all below two nodes share the
+   differences counted up to there, and two subtrees are left as soon as what differs is more than sets of that size may
+   (what agrees so far and all that remains is less than required). Large groups are cut into cells of bounded size.
+5. The pairs that the trees leave are checked on whole sets, again in a prefix tree for each hub.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.column import Column
 
 from . import idset, tokens
-from .components import components
+from .components import components, nearby_labels
 from .runtime import discard, materialize
 
-#: Cells of the sketch; a task sends them deflated, a few bits each.
-SKETCH = 1 << 22
-CHUNKS = 32
-#: Sets in one tree at most, about: pairs of a hub beyond that go to further trees.
-TREE = 256
-#: Rounds of hubs, and the pairs left, as a multiple of the rows, at which no further round is worth it.
-ROUNDS, FEW = 6, 2
+U = np.uint64
+#: Ranges for each one that may differ: in tokens, and in marks.
+SPREAD, FINE = 1.3, 4
+#: Ranges of a mark at most; a coarser mark only leaves more pairs to check on whole sets.
+MARK = 1 << 14
+#: Sets below this size have single n-grams as tokens: their ranges would often be empty.
+TINY = 20
+#: Tokens that a task looks through for shared ones at a time.
+LOOK = 400_000
+#: Sets in one tree at most, about: of a hub, and of one side of a token's cell.
+TREE, CELL = 256, 1024
+#: Rounds of hubs at most, and the pairs left for each row at which no further round is worth it.
+ROUNDS, FEW = 6, 4
+#: Ranges of a mark in one step down a tree; groups of so few rows are compared in one step.
+STEP, FLAT = 32, 24
 
 
 def required(a, b, num: int, den: int):
@@ -46,305 +57,494 @@ def required(a, b, num: int, den: int):
     return -((-num * (a + b)) // (den + num))
 
 
+def may_differ(a, b, num: int, den: int):
+    """The n-grams at most that are in only one of two linked sets of sizes a and b."""
+    return (a + b) * (den - num) // (den + num)
+
+
+@lru_cache
+def _bands() -> np.ndarray:
+    """The first sizes of bands, each about 1.5 times the one before."""
+    at = [1]
+    while at[-1] < 1 << 40:
+        at.append(max(at[-1] + 1, -(-at[-1] * 3 // 2)))
+    return np.array(at, np.int64)
+
+
+def bands(size: int, num: int, den: int) -> range:
+    """The bands in which a set meets its partners, from its own down: a pair meets in the band of its smaller set."""
+    own, last = (int(np.searchsorted(_bands(), x, side="right")) - 1 for x in (size, max(1, -(-num * size // den))))
+    return range(own, last - 1, -1)
+
+
+@lru_cache(maxsize=4096)
+def _band(band: int, num: int, den: int) -> tuple[int, int]:
+    """The largest size of a pair's smaller set in a band, and the most n-grams that a pair differs in."""
+    top = int(_bands()[band + 1]) - 1
+    return top, may_differ(top, top * den // num, num, den)
+
+
+@lru_cache(maxsize=256)
+def _edges(n: int) -> np.ndarray:
+    """The first hash of each of n equal ranges but the first."""
+    return np.arange(1, n, dtype=np.uint64) * U((1 << 64) // n) if n > 1 else np.zeros(0, U)
+
+
+def _ranges(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, hash) of the n-grams of a sorted set in each of n ranges of the global order."""
+    ends = np.concatenate([[0], np.searchsorted(values, _edges(n)), [len(values)]])
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(tokens.mix64(values + U(0x51ED270B0A1F39C1)), dtype=U)])[ends]
+        return np.diff(ends), sums[1:] - sums[:-1]
+
+
+def mark(values: np.ndarray, band: int, num: int, den: int) -> bytes:
+    """The set as four bits for each range of the global order: equal sets of n-grams in a range have equal bits."""
+    n = FINE * (_band(band, num, den)[1] + 1)
+    _, sums = _ranges(values, min(MARK, -(-n // STEP) * STEP))
+    bits = (tokens.mix64(sums) >> U(60)).astype(np.uint8)
+    return (bits[::2] << 4 | bits[1::2]).tobytes()
+
+
+def unpacked(marks: np.ndarray) -> np.ndarray:
+    """Marks, one a row, with a byte for each range."""
+    return np.stack([marks >> 4, marks & 15], axis=2).reshape(len(marks), -1)
+
+
+def band_tokens(values: np.ndarray, band: int, num: int, den: int) -> np.ndarray:
+    """The tokens by which a set meets its partners in a band."""
+    size, (top, most) = len(values), _band(band, num, den)
+    with np.errstate(over="ignore"):
+        salt = tokens.mix64(np.array([band], np.uint64) + U(0xC2B2AE3D27D4EB4F))
+        if top < TINY:
+            return tokens.mix64(values[: size + (-num * size) // den + 1] ^ salt)
+        counts, sums = _ranges(values, int(np.ceil((most + 1) * SPREAD)))
+        found = tokens.mix64(sums ^ tokens.mix64(salt + np.arange(len(sums), dtype=U)))
+        own = may_differ(size, min(top, size) if size > top else size * den // num, num, den) + 1
+        return found[np.lexsort((found, -counts))[:own]]
+
+
 def _fingerprint(values: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
-        one = int(tokens.mix64(values ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64))
-        two = int(tokens.mix64(values + np.uint64(0x165667B19E3779F9)).sum(dtype=np.uint64))
-    return int(np.uint64(one).view(np.int64)), int(np.uint64(two).view(np.int64))
+        one = int(tokens.mix64(values ^ U(0xA5A5A5A5DEADBEEF)).sum(dtype=U))
+        two = int(tokens.mix64(values + U(0x165667B19E3779F9)).sum(dtype=U))
+    return int(U(one).view(np.int64)), int(U(two).view(np.int64))
 
 
-def _signatures(n: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _signatures(n: int, num: int, den: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for part in tokens.slices(batch.column(1)):
-                sizes, ones, twos = [], [], []
+                sizes, prints, marks = [], [], []
                 for values in tokens.shingle_sets(part, n):
-                    one, two = _fingerprint(values)
                     sizes.append(len(values))
-                    ones.append(one)
-                    twos.append(two)
-                    counts[(values & np.uint64(SKETCH - 1)).astype(np.int64)] += np.uint32(1)  # of two in one cell one counts
+                    prints.append(_fingerprint(values))
+                    marks.append([mark(values, band, num, den) for band in bands(len(values), num, den)] if len(values) else [])
                 m = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, m).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                    names=["id", "n_shingles", "f1", "f2", "chunk", "counts"],
-                )
-        pieces = [_pack(x) for x in counts.reshape(CHUNKS, -1)]
-        none = pa.nulls(CHUNKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(pieces, pa.binary())], names=["id", "n_shingles", "f1", "f2", "chunk", "counts"])
+                ids = batch.column(0).slice(part.first, m).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)), pa.array(marks, pa.list_(pa.binary()))], names=["id", "n_shingles", "f1", "f2", "marks"])
 
     return run
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    """Counts by place where few are not zero, else all of them, deflated."""
-    at = np.flatnonzero(counts).astype(np.uint32)
-    sparse = 4 * len(at) < len(counts)
-    return bytes([sparse]) + zlib.compress((np.concatenate([at, counts[at]]) if sparse else counts).tobytes(), 1)
-
-
-def _unpack(piece: bytes, sums: np.ndarray) -> None:
-    values = np.frombuffer(zlib.decompress(piece[1:]), np.uint32)
-    if piece[0]:
-        at, counts = np.split(values, 2)
-        sums[at] += counts
-    else:
-        sums += values
-
-
-def _add_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums a task's pieces of the sketch by chunk."""
-    sums = np.zeros((CHUNKS, SKETCH // CHUNKS), np.int64)
-    for batch in batches:
-        for chunk, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            _unpack(piece.as_py(), sums[chunk])
-    used = [k for k in range(CHUNKS) if sums[k].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_rank(sums[k]).tobytes() for k in used], pa.binary())], names=["chunk", "counts"])
+def _token_lists(n: int, num: int, den: int, held, inside: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts (id, text) whose id may be in the filter, or may not, to (id, lower, token): lower counts bands below the set's own."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(idset.may_hold(held.value, batch.column(0)) == inside))
+            waiting, count = [], 0
+            for part in tokens.slices(batch.column(1)):
+                ids = batch.column(0).slice(part.first, part.last - part.first).cast(pa.int64()).to_pylist()
+                for i, values in zip(ids, tokens.shingle_sets(part, n), strict=True):
+                    for lower, band in enumerate(bands(len(values), num, den) if len(values) else ()):
+                        waiting.append((i, lower, band_tokens(values, band, num, den)))
+                        count += len(waiting[-1][2])
+                if count >= LOOK:
+                    yield _flat(waiting)
+                    waiting, count = [], 0
+            if waiting:
+                yield _flat(waiting)
 
-def _rank(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(1.0 + counts) * 1500, 65535).astype(np.uint16)
+    return run
 
 
-def _ranks(sketch: DataFrame) -> np.ndarray:
-    """The sketch as 16-bit ranks of log counts: 8 MB whatever the input."""
-    ranks = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint16)
-    summed = sketch.repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary")
-    for row in summed.toLocalIterator():
-        ranks[row["chunk"]] = np.frombuffer(bytes(row["counts"]), np.uint16)
-    return ranks.reshape(-1)
+def _flat(lists: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    sizes = [len(x[2]) for x in lists]
+    flat = np.concatenate([x[2] for x in lists]).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[0] for x in lists], np.int64), sizes)), pa.array(np.repeat(np.array([x[1] for x in lists], np.int8), sizes)), pa.array(flat)], names=["id", "lower", "token"])
 
 
-def _keys(values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Sets in the global order: rank in the high 16 bits, hash in the others."""
-    rank = ranks[(values & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
-    return np.sort((rank << np.uint64(47)) | (values >> np.uint64(17)))
+def _dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (id, lower, token) to (at, id, lower, known, token): at says where the row is dealt to. Of the rows of a token that
+    are several here, which are known to be shared, one goes to the token's place, the others anywhere."""
+    flat = batch.column(2).to_numpy(zero_copy_only=False)
+    order = np.argsort(flat, kind="stable")
+    again = np.zeros(len(flat), bool)
+    again[order[1:]] = flat[order[1:]] == flat[order[:-1]]
+    known = again.copy()
+    known[order[:-1]] |= again[order[1:]]
+    with np.errstate(over="ignore"):
+        anywhere = tokens.mix64(flat.view(U) + tokens.mix64(batch.column(0).to_numpy(zero_copy_only=False).view(U)))
+    at = np.where(again, anywhere.view(np.int64), flat)
+    return pa.RecordBatch.from_arrays([pa.array(at), batch.column(0), batch.column(1), pa.array(known), pa.array(flat, mask=~again)], names=["at", "id", "lower", "known", "token"])
 
 
-def _prefixes(n: int, num: int, den: int, ranks) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pre_aggregated(rows: Callable) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens.slices(batch.column(1)):
-                heads, sizes = [], []
-                for values in tokens.shingle_sets(part, n):
-                    size = len(values)
-                    sizes.append(size)
-                    heads.append(_keys(values, ranks.value)[: size + (-num * size) // den + 1 if size else 0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(sizes)).cast(pa.int64()), pa.array(sizes, pa.int32()), tokens.lists(heads)], names=["id", "size", "keys"])
+        for batch in rows(batches):
+            yield _dealt(batch)
 
     return run
 
 
-def _rows(held) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Heads (id, size, keys) to rows (gram, id, size, pos) of the n-grams that may be in the filter of shared ones."""
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (at, token) to those (token, id, lower) whose token is not alone; one row is carried between batches."""
+    last = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+        away = table.column("token").is_valid().to_numpy()
+        at = table.column("at").to_numpy()
+        same = (at[1:] == at[:-1]) & ~away[1:] & ~away[:-1]
+        keep = table.column("known").to_numpy()
+        keep = keep.copy() if not keep.flags.writeable else keep
+        keep[1:] |= same
+        keep[:-1] |= same
+        table = table.set_column(table.schema.get_field_index("known"), "known", pa.array(keep))
+        last = table.slice(len(table) - 1).to_batches()[0] if len(table) else None
+        yield from _kept(table.slice(0, max(0, len(table) - 1)), keep[:-1])
+    if last is not None:
+        yield from _kept(pa.Table.from_batches([last]), last.column("known").to_numpy(zero_copy_only=False))
+
+
+def _kept(table: pa.Table, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    table = table.filter(pa.array(keep))
+    yield from pa.table({"token": pc.coalesce(table.column("token"), table.column("at")), "id": table.column("id"), "lower": table.column("lower")}).to_batches()
+
+
+class Trie:
+    """Marks of equal length as a prefix tree: rows sorted, and for each depth the first row of every node. A tree of step as
+    long as the marks is a root with a leaf for each row."""
+
+    def __init__(self, marks: np.ndarray, step: int = STEP):
+        if step == marks.shape[1]:
+            self.depth, self.order, self.steps, self.split = 1, np.arange(len(marks)), marks[:, None], np.zeros(len(marks), int)
+            return
+        self.order = np.argsort(np.ascontiguousarray(marks).view(f"V{marks.shape[1]}").ravel(), kind="stable")
+        steps = marks[self.order].reshape(len(marks), -1, step)
+        differ = (steps[1:] != steps[:-1]).any(axis=2)
+        self.depth = steps.shape[1]
+        split = np.where(differ.any(axis=1), differ.argmax(axis=1), self.depth) if len(marks) > 1 else np.zeros(0, int)
+        self.split = np.concatenate([[-1], split])  # the depth at which a row leaves the one before it
+        self.steps = steps
+
+    def children(self, nodes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first child's place, number of children) of nodes, given by their first rows, and the rows of all children at a depth.
+        At the last depth every row is a child of its own."""
+        rows = np.flatnonzero(self.split <= depth) if depth < self.depth - 1 else np.arange(len(self.split))
+        parents = np.flatnonzero(self.split < depth) if depth else np.zeros(1, int)
+        at = np.searchsorted(rows, parents)
+        counts = np.diff(np.append(at, len(rows)))
+        which = np.searchsorted(parents, nodes)
+        return at[which], counts[which], rows
+
+
+def trie_pairs(one: Trie, two: Trie | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of rows whose marks differ in at most `most` ranges, of one and two or, for two None, both of one, each pair
+    once; and in how many they differ."""
+    other = one if two is None else two
+    u, v, apart = np.zeros(1, int), np.zeros(1, int), np.zeros(1, int)
+    for depth in range(one.depth):
+        ua, un, urows = one.children(u, depth)
+        va, vn, vrows = other.children(v, depth)
+        n = un * vn
+        pair = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        cu, cv = urows[ua[pair] + place // vn[pair]], vrows[va[pair] + place % vn[pair]]
+        if two is None:  # below a node paired with itself, each pair of children once
+            keep = (u[pair] != v[pair]) | (cu <= cv)
+            pair, cu, cv = pair[keep], cu[keep], cv[keep]
+        now = apart[pair] + _ranges_apart(one.steps, other.steps, cu, cv, depth)
+        keep = now <= most
+        u, v, apart = cu[keep], cv[keep], now[keep]
+        if not len(u):
+            break
+    if two is None:
+        keep = u != v
+        u, v, apart = u[keep], v[keep], apart[keep]
+    return one.order[u], other.order[v], apart
+
+
+def _ranges_apart(a: np.ndarray, b: np.ndarray, at: np.ndarray, bt: np.ndarray, depth: int) -> np.ndarray:
+    out = np.empty(len(at), int)
+    for k in range(0, len(at), 65536):
+        out[k : k + 65536] = np.count_nonzero(a[at[k : k + 65536], depth] != b[bt[k : k + 65536], depth], axis=1)
+    return out
+
+
+def _tries(num: int, den: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (token, cell, id, component, size, inside, mark) sorted by token and cell, to pairs (a, b) of different components
+    that marks do not rule out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = np.diff(batch.column(2).offsets.to_numpy())
-            grams = batch.column(2).flatten()
-            keep = np.flatnonzero(idset.may_hold(held.value, grams))
-            owner = np.repeat(np.arange(batch.num_rows), counts)[keep]
-            pos = keep - (np.cumsum(counts) - counts)[owner]
-            at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([grams.take(pa.array(keep)), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos.astype(np.int32))], names=["gram", "id", "size", "pos"])
+        for rows in _groups(batches, 2):
+            found = [np.zeros((0, 2), np.int64)]
+            by_length: dict[int, list[int]] = {}
+            for k, m in enumerate(rows[6]):
+                by_length.setdefault(len(m), []).append(k)
+            for places in by_length.values():
+                found += _cell([np.array([rows[c][k] for k in places], np.int64) for c in (2, 3, 4)], np.array([rows[5][k] for k in places], bool), unpacked(np.frombuffer(b"".join(rows[6][k] for k in places), np.uint8).reshape(len(places), -1)), rows[1][0], num, den)
+            pairs = np.concatenate(found)
+            if len(pairs):
+                yield _pairs(pairs)
 
     return run
 
 
-def _sets(n: int, ranks, held) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cell(columns: list[np.ndarray], inside: np.ndarray, marks: np.ndarray, cell: int, num: int, den: int) -> list[np.ndarray]:
+    """inside: in the largest component of the token. Of a part of a larger group, cell says whether its outer sets meet each
+    other (0 and more) or only inner ones."""
+    ids, component, size = columns
+    outer, inner = np.flatnonzero(~inside), np.flatnonzero(inside)
+    most = int(may_differ(size.max(), size.max(), num, den))
+    found = []
+    if not len(outer):
+        return found
+    step = marks.shape[1] if len(ids) <= FLAT else STEP
+    trie = Trie(marks[outer], step)
+    for places, against in ((inner, len(inner) > 0), (outer, not len(inner) or cell == WHOLE)):
+        if not against:
+            continue
+        i, j, apart = trie_pairs(trie, Trie(marks[places], step) if places is inner else None, most)
+        i, j = outer[i], places[j]
+        a, b = size[i], size[j]
+        keep = (component[i] != component[j]) & (ids[i] != ids[j]) & (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (apart <= may_differ(a, b, num, den))
+        i, j = ids[i[keep]], ids[j[keep]]
+        found.append(np.stack([np.maximum(i, j), np.minimum(i, j)], axis=1))
+    return found
+
+
+WHOLE = -1
+
+
+def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """The columns of each run of rows that are equal in the first columns; a run is one group of bounded size."""
+    group, rows = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_pylist() for c in batch.columns]
+        heads = np.stack([np.array(c) for c in columns[:keys]])
+        cuts = [0, *(np.flatnonzero((heads[:, 1:] != heads[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in columns[:keys])
+            if key == group:
+                for old, new in zip(rows, columns, strict=True):
+                    old += new[a:b]
+            else:
+                if rows is not None:
+                    yield rows
+                group, rows = key, [c[a:b] for c in columns]
+    if rows is not None:
+        yield rows
+
+
+def _sets(n: int, held) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(idset.may_hold(held.value, batch.column(0))))
             for part in tokens.slices(batch.column(1)):
-                found = [_keys(values, ranks.value) for values in tokens.shingle_sets(part, n)]
-                sizes = pa.array([len(x) for x in found], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)).cast(pa.int64()), sizes, tokens.lists(found)], names=["id", "size", "keys"])
+                found = list(tokens.shingle_sets(part, n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(found)).cast(pa.int64()), tokens.lists(found)], names=["id", "keys"])
 
     return run
 
 
-class Tree:
-    """The path to the last set visited, with the overlap counted along it. Sets may be heads: their first keys in order, of
-    which the whole size is known; then a pair is only ruled out, never confirmed."""
+class Path:
+    """The path of a prefix tree to the last set visited, with the overlap with one hub counted along it."""
 
     BLOCK = 64
 
-    def __init__(self, hub: np.ndarray, size: int, num: int, den: int):
-        self.hub, self.size, self.num, self.den = hub, size, num, den
+    def __init__(self, hub: np.ndarray, num: int, den: int):
+        self.hub, self.num, self.den = hub, num, den
         self.path = np.zeros(0, np.uint64)
         self.overlap = np.zeros(1, np.int64)  # overlap[d]: of the first d of the path; as far as it was counted
 
-    def may_link(self, keys: np.ndarray, size: int) -> bool:
-        """Whether the set can reach the overlap it needs with the hub; for whole sets: whether it does. Sets must come in
-        sorted order."""
-        need = int(required(size, self.size, self.num, self.den))
-        if min(size, self.size) < need:
+    def links(self, keys: np.ndarray) -> bool:
+        """Whether the set links with the hub. Sets must come in sorted order."""
+        size, most = len(keys), len(self.hub)
+        need = int(required(size, most, self.num, self.den))
+        if min(size, most) < need:
             return False
-        m = min(len(keys), len(self.path), len(self.overlap) - 1)
+        m = min(size, len(self.path), len(self.overlap) - 1)
         differ = np.flatnonzero(keys[:m] != self.path[:m])
         shared = int(differ[0]) if len(differ) else m
-        # beyond the last key of the hub's head nothing is known
-        end = len(keys) if len(self.hub) == self.size else int(np.searchsorted(keys, self.hub[-1], side="right"))
         self.path, counted = keys, [self.overlap[: shared + 1]]
         depth, have = shared, int(self.overlap[shared])
-        while depth < end:
-            if have + min(size - depth, self.size - int(np.searchsorted(self.hub, keys[depth]))) < need:
-                break
-            block = keys[depth : min(depth + self.BLOCK, end)]
-            at = np.minimum(np.searchsorted(self.hub, block), len(self.hub) - 1)
+        while depth < size and have + min(size - depth, most - int(np.searchsorted(self.hub, keys[depth]))) >= need:
+            block = keys[depth : depth + self.BLOCK]
+            at = np.minimum(np.searchsorted(self.hub, block), most - 1)
             upto = have + np.cumsum(self.hub[at] == block)
             counted.append(upto)
             depth, have = depth + len(block), int(upto[-1])
         self.overlap = np.concatenate(counted)
-        if depth < end:
-            return False
-        passed = int(np.searchsorted(self.hub, keys[depth - 1], side="right")) if depth else 0
-        return have + min(size - depth, self.size - passed) >= need
+        return depth == size and have >= need
 
 
 def _check(num: int, den: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (hub, part, id, size, keys) sorted by hub, part; those with id null hold the hub's own sets. Yields what may link."""
+    """Rows (hub, part, id, keys) sorted by hub, part; those with id null hold the hub's own sets. Yields the pairs that link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members, hubs = None, [], []
 
         def close() -> list[tuple[int, int]]:
             out = []
-            members.sort(key=lambda x: x[2].astype(">u8").tobytes())
-            for size, keys in hubs:
-                tree = Tree(keys, size, num, den)
-                out += [(i, group[0]) for i, n, own in members if tree.may_link(own, n)]
+            members.sort(key=lambda x: x[1].astype(">u8").tobytes())
+            for keys in hubs:
+                tree = Path(keys, num, den)
+                out += [(i, group[0]) for i, own in members if tree.links(own)]
             return out
 
         for batch in batches:
-            values = batch.column(4)
+            values = batch.column(3)
             flat = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
             offsets = values.offsets.to_numpy()
             found = []
-            for k, (hub, part, i, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            for k, (hub, part, i) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 if (hub, part) != group:
                     found += close()
                     group, members, hubs = (hub, part), [], []
                 keys = flat[offsets[k] : offsets[k + 1]].copy()
-                hubs.append((size, keys)) if i is None else members.append((i, size, keys))
-            yield _pairs(found)
-        yield _pairs(close())
+                hubs.append(keys) if i is None else members.append((i, keys))
+            yield _pairs(np.array(found, np.int64).reshape(-1, 2))
+        yield _pairs(np.array(close(), np.int64).reshape(-1, 2))
 
     return run
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+def _pairs(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["a", "b"])
 
 
 class NgramJoin:
-    """classes: (f1, f2, n_shingles, rep, members); signatures: (id, n_shingles, f1, f2) of every row; links: (a, b) between
+    """classes: (f1, f2, n_shingles, rep, members); signatures: (id, n_shingles, f1, f2, marks) of every row; links: (a, b) between
     representatives, enough of them to connect what links connect; labels: (rep, component) of linked representatives."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100):
         self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        both = materialize(self.texts.mapInArrow(_signatures(n), "id long, n_shingles long, f1 long, f2 long, chunk int, counts binary"), "ngram-signatures")
-        self.ranks = self.spark.sparkContext.broadcast(_ranks(both.where("chunk is not null").select("chunk", "counts")))
-        self.signatures = both.where("chunk is null").select("id", "n_shingles", "f1", "f2")
+        self.known = self.texts.where("id is not null")
+        self.signatures = materialize(self.texts.mapInArrow(_signatures(n, num, den), "id long, n_shingles long, f1 long, f2 long, marks array<binary>"), "ngram-signatures")
         real = self.signatures.where("n_shingles > 0 and id is not null")
         self.classes = materialize(real.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("members")), "ngram-classes")
         self._run()
 
     def _run(self) -> None:
-        heads = self.texts.where("id is not null").mapInArrow(_prefixes(self.n, self.num, self.den, self.ranks), "id long, size int, keys array<long>")
-        reps = self.classes.select(F.col("rep").alias("id")).distinct()
-        heads = materialize(heads.join(reps, "id", "left_semi"), "ngram-heads")
-        counts = heads.select(F.explode("keys").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-        shared = materialize(counts.where("n > 1").select("gram"), "ngram-shared")
-        held = self.spark.sparkContext.broadcast(idset.build(shared))
-        rows = heads.mapInArrow(_rows(held), "gram long, id long, size int, pos int")
-        self.heads = heads
-        rows = materialize(self._with_hub(rows, F.struct("size", "id")), "ngram-rows")
-        limit = FEW * rows.count() + 1_000_000
-        tested, links, left = None, None, 0
-        for turn in range(ROUNDS):
-            pairs = self._new(rows.where((F.col("id") != F.col("hub.id")) & self._fits(F.col("size"), F.col("hub.size"))).select(F.col("id").alias("a"), F.col("hub.id").alias("b")), tested)
+        rows, links = self._rows(), self._repeated()
+        tested = None
+        for turn in range(ROUNDS + 1):
+            rows, left, count = self._open(rows, links)
+            if turn == ROUNDS or (turn and left <= FEW * count) or not left:
+                break
+            pairs = self._hubs(rows, tested)
             found = self._verify(pairs)
             tested = pairs if tested is None else tested.union(pairs)
-            links = found if links is None else links.union(found)
-            rows = self._open(rows.drop("component", "hub"), links)
-            left = rows.groupBy("gram", "component").agg(F.count("*").cast("double").alias("k")).groupBy("gram").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("p"))
-            left = left.agg(F.sum("p")).first()[0] or 0
-            if left <= limit:
+            links = links.union(found)
+            if turn and found.isEmpty():
                 break
-            rows = materialize(self._with_hub(rows, F.struct(F.xxhash64("id", F.lit(turn)), "size", "id")), "ngram-rows")
         if left:
-            pairs = self._new(self._across(rows), tested)
-            links = links.union(self._verify(pairs))
+            links = links.union(self._verify(self._across(rows)))
+        discard(rows)
         self.links = links
         self.labels = components(links, "a", "b").withColumnRenamed("id", "rep")
 
-    def _with_hub(self, rows: DataFrame, order: Column) -> DataFrame:
-        """Adds each n-gram's hub, the class that comes first in the order."""
-        hubs = rows.groupBy("gram").agg(F.min(order).alias("h"), F.count("*").alias("n")).where("n > 1").select("gram", F.struct("h.size", "h.id").alias("hub"))
-        return rows.join(hubs.hint("shuffle_hash"), "gram")
-
-    def _fits(self, a, b):
-        return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
-
-    def _across(self, rows: DataFrame) -> DataFrame:
-        """Pairs of two components at the same n-gram that can still reach the overlap they need."""
-        a = rows.select("gram", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-        b = rows.select("gram", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-        most = F.least("pa", "pb") + 1 + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) - 1
-        enough = most * (self.den + self.num) >= self.num * (F.col("sa") + F.col("sb"))
-        return a.join(b, "gram").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & self._fits(F.col("sa"), F.col("sb")) & enough).select("a", "b")
-
-    def _new(self, pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-        """Pairs (member a, hub b), once each and not tested before."""
-        pairs = pairs.distinct()
+    def _rows(self) -> DataFrame:
+        """(token, id, lower) of the tokens that several representatives have."""
+        reps = self.classes.select(F.col("rep").alias("id")).distinct()
+        copies = self.classes.where("members > 1").select("f1", "f2", "n_shingles")
+        copies = self.signatures.where("id is not null").join(copies, ["f1", "f2", "n_shingles"], "left_semi").select("id")
+        held = self.spark.sparkContext.broadcast(idset.build(materialize(copies, "ngram-copies")))
+        lists = [_token_lists(self.n, self.num, self.den, held, inside) for inside in (False, True)]
+        alone = self.known.mapInArrow(_pre_aggregated(lists[0]), "at long, id long, lower byte, known boolean, token long")
+        some = self.known.mapInArrow(lists[1], "id long, lower byte, token long").join(reps, "id", "left_semi")
+        some = some.select(F.col("token").alias("at"), "id", "lower", F.lit(False).alias("known"), F.lit(None).cast("long").alias("token"))
+        rows = alone.unionByName(some).repartition("at").sortWithinPartitions("at", "token")
+        rows = materialize(rows.mapInArrow(_shared, "token long, id long, lower byte"), "ngram-rows")
+        held.unpersist()
+        return rows
+
+    def _repeated(self) -> DataFrame:
+        """Links between the classes that one id is in."""
+        again = self.signatures.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.min("f1").alias("p"), F.max("f1").alias("q"), F.min("f2").alias("r"), F.max("f2").alias("s")).where("p <> q or r <> s").select("id")
+        of = self.signatures.where("n_shingles > 0").join(again, "id", "left_semi").select("id", "f1", "f2", "n_shingles")
+        of = of.join(self.classes, ["f1", "f2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        return materialize(of.where("a <> b").distinct(), "ngram-links")
+
+    def _open(self, rows: DataFrame, links: DataFrame) -> tuple[DataFrame, float, int]:
+        """The rows of tokens whose classes are not all known to be in one component, with component and the group's figures; the
+        pairs of different components at one token, and the number of rows.
+
+        What is known here is cheap and may split a component, which only leaves more pairs to check; components themselves
+        are made once, at the end.
+        """
+        labels = nearby_labels(links, "a", "b")
+        own = rows.select("token", "id", "lower").join(labels.withColumnRenamed("id", "rep"), F.col("id") == F.col("rep"), "left")
+        own = materialize(own.select("token", "id", "lower", F.coalesce("component", "id").alias("component")), "ngram-rows")
+        groups = own.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("top"), F.sum(F.col("k").cast("double") * F.col("k")).alias("q"))
+        groups = materialize(groups.where("top.k < n").select("token", "n", F.col("top.k").alias("k"), F.col("top.component").alias("largest"), ((F.col("n").cast("double") * F.col("n") - F.col("q")) / 2).alias("left")), "ngram-open")
+        found = groups.agg(F.sum("left"), F.sum("n")).first()
+        out = materialize(own.join(groups.drop("left"), "token"), "ngram-rows")
+        discard(own, rows, groups)
+        return out, found[0] or 0, found[1] or 0
+
+    def _hubs(self, rows: DataFrame, tested: DataFrame | None) -> DataFrame:
+        """(a, b) for every class a its hub b: the most central class of a token is the one that shares most tokens with others,
+        and of such classes of another component a class takes the one that it meets most often."""
+        scores = rows.groupBy("id").agg(F.sum(F.col("n") - 1).alias("score"))
+        central = rows.join(scores, "id").groupBy("token").agg(F.max(F.struct("score", "id", "component")).alias("hub"))
+        met = rows.join(central, "token").where("hub.component <> component").groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).agg(F.count("*").alias("times"), F.max("hub.score").alias("score"))
         if tested is not None:
-            both = tested.union(tested.select("b", "a"))
-            pairs = pairs.join(both, ["a", "b"], "left_anti")
-        return materialize(pairs, "ngram-pairs")
+            met = met.join(tested, ["a", "b"], "left_anti")
+        return materialize(met.groupBy("a").agg(F.max(F.struct("times", "score", "b")).alias("x")).select("a", "x.b"), "ngram-pairs")
 
-    def _open(self, rows: DataFrame, links: DataFrame) -> DataFrame:
-        """The rows of n-grams whose classes are not all known to be in one component, with component.
-
-        What is known here is cheap: the least neighbour, and the least neighbour of that. It may split a component, which
-        only leaves more pairs to check; components themselves are made once, at the end.
-        """
-        both = links.union(links.select("b", "a"))
-        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "ngram-low")
-        over = low.select(F.col("a").alias("m"), F.col("m").alias("mm"))
-        labels = low.join(over, "m", "left").select(F.col("a").alias("rep"), F.coalesce("mm", "m").alias("component"))
-        rows = rows.join(labels, F.col("id") == F.col("rep"), "left").drop("rep").withColumn("component", F.coalesce("component", "id"))
-        open_ = rows.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-        return materialize(rows.join(open_.hint("shuffle_hash"), "gram", "left_semi"), "ngram-rows")
+    def _across(self, rows: DataFrame) -> DataFrame:
+        """Pairs of different components that the trees of marks leave. Groups of more than CELL rows are cut into blocks, of inner
+        rows (of the largest component) and of outer ones; a cell is two blocks, one at least of outer rows."""
+        outer, inner = (F.ceil(x / F.lit(CELL)).cast("long") for x in (F.col("n") - F.col("k"), F.col("k")))
+        block = lambda blocks: F.pmod(F.xxhash64("id"), blocks)
+        upto = lambda blocks: F.sequence(F.lit(0).cast("long"), blocks - 1)
+        rows = rows.withColumns({"inside": F.col("component") == F.col("largest"), "o": outer, "i": inner}).withColumn("block", F.when(F.col("inside"), block(F.col("i"))).otherwise(block(F.col("o"))))
+        # cell numbers: first outer with outer (x, y), x <= y, then outer with inner
+        with_outer = F.transform(upto(F.col("o")), lambda x: F.least(x, F.col("block")) * F.col("o") + F.greatest(x, F.col("block")))
+        with_inner = F.transform(upto(F.col("i")), lambda x: F.col("o") * F.col("o") + F.col("block") * F.col("i") + x)
+        inners = F.transform(upto(F.col("o")), lambda x: F.col("o") * F.col("o") + x * F.col("i") + F.col("block"))
+        cells = F.when(F.col("n") <= CELL, F.array(F.lit(WHOLE).cast("long"))).when(F.col("inside"), inners).otherwise(F.concat(with_outer, with_inner))
+        marks = self.signatures.where("n_shingles > 0 and id is not null").select(F.col("id").alias("_id"), F.col("n_shingles").alias("size"), "marks")
+        rows = rows.join(marks, F.col("id") == F.col("_id")).where("lower < size(marks)")
+        rows = rows.select("token", F.explode(cells).alias("cell"), "id", "component", "size", "inside", F.element_at("marks", F.col("lower") + 1).alias("mark"))
+        rows = rows.repartition("token", "cell").sortWithinPartitions("token", "cell")
+        return materialize(rows.mapInArrow(_tries(self.num, self.den), "a long, b long").distinct(), "ngram-pairs")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs that link."""
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-ids")
-        heads, _ = idset.split(self.heads, "id", idset.build(wanted))  # the others need not be shuffled
-        possible = self._trees(pairs, heads)
-        ids = materialize(possible.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-ids")
+        """Those pairs that link, decided on whole sets. A hub of very many members has several trees."""
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-ids")
         held = self.spark.sparkContext.broadcast(idset.build(ids))
-        sets = self.texts.mapInArrow(_sets(self.n, self.ranks, held), "id long, size int, keys array<long>")
+        sets = self.known.mapInArrow(_sets(self.n, held), "id long, keys array<long>")
         sets = materialize(sets.join(ids, "id", "left_semi"), "ngram-sets")
-        found = self._trees(possible, sets)
-        discard(sets)
-        return found
-
-    def _trees(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (member a, hub b) that trees of these sets leave. A hub of very many members has several trees."""
+        held.unpersist()
         parts = materialize(pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / F.lit(TREE)).cast("int").alias("parts")), "ngram-hubs")
         part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
-        members = pairs.join(sets, pairs.a == sets.id).join(parts, F.col("b") == F.col("hub")).select("hub", part.alias("part"), "id", "size", "keys")
-        hubs = sets.join(parts, sets.id == parts.hub).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"), "size", "keys")
+        members = pairs.join(sets, pairs.a == sets.id).join(parts, F.col("b") == F.col("hub")).select("hub", part.alias("part"), "id", "keys")
+        hubs = sets.join(parts, sets.id == parts.hub).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"), "keys")
         trees = members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part")
-        return materialize(trees.mapInArrow(_check(self.num, self.den), "a long, b long"), "ngram-links")
+        found = materialize(trees.mapInArrow(_check(self.num, self.den), "a long, b long"), "ngram-links")
+        discard(sets, ids, parts)
+        return found
 
     def documents(self) -> DataFrame:
         """One row for each row of the input: id, n_shingles, component_id, class_id and class_size."""
         labelled = self.classes.join(self.labels, "rep", "left").select("f1", "f2", "n_shingles", "rep", "members", F.coalesce("component", "rep").alias("_c"))
-        out = self.signatures.join(labelled, ["f1", "f2", "n_shingles"], "left")
+        out = self.signatures.drop("marks").join(labelled, ["f1", "f2", "n_shingles"], "left")
         return out.select("id", "n_shingles", F.coalesce("_c", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("members", F.lit(1)).alias("class_size"))
 
 

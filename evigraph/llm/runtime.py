@@ -42,21 +42,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts lineage and survives lost executors.
 
-    The writing tasks are at most a few for each core of the cluster, each taking several partitions in turn, so that a small
-    table does not become very many files.
+    The tasks are those of df's own plan: splits of a scan, or partitions that the adaptive planner has sized.
     """
     path = new_path(df.sparkSession, name)
-    df.coalesce(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism)).write.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that materialize() made and that no later plan reads."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for file in df.inputFiles()[:1]:
-        parent = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-        parent.getFileSystem(conf).delete(parent, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialize() made and that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for file in df.inputFiles()[:1]:
+            parent = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+            parent.getFileSystem(conf).delete(parent, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

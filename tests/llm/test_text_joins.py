@@ -79,15 +79,25 @@ def test_components_against_all_pairs(spark, n, num):
     assert kept == {c for _, c in brute_components(rows, n, num, 100).values()}
 
 
-def test_residual_pairs_are_checked_too(spark, monkeypatch):
-    """Without further rounds of hubs, and with trees of few sets, links stay the same."""
-    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_pairs_of_the_tries_make_all_links(spark, monkeypatch, rounds):
+    """Without rounds of hubs, or with one, and with cells and trees of few sets, components stay the same."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "TREE", 2)
+    monkeypatch.setattr(ngram_join, "CELL", 3)
+    monkeypatch.setattr(ngram_join, "LOOK", 50)
     rows = list(enumerate(near_texts(8, groups=4, size=25)))
     found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), num=80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 3, 80, 100)
 
 
+def test_an_id_in_several_classes_joins_them(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four", "red green blue white")
+    rows = [(3, a), (5, a), (5, b), (4, b), (5, c), (9, "none of these at all")]
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (4, 3), (5, 3), (5, 3), (5, 3), (9, 9)]
+
+
 def test_join_of_copies_null_ids_and_nothing(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (None, "A b c d"), (9, "a b c d "), (7, None), (None, None), (3, "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -97,16 +107,71 @@ def test_join_of_copies_null_ids_and_nothing(spark):
     assert ngram_join.ngram_components(df.limit(0)).collect() == []
 
 
-def test_tree_agrees_with_sets():
+def near_sets(r, size, count):
+    base = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+    own = lambda: np.unique(np.concatenate([r.choice(base, int(len(base) * r.uniform(0.75, 1)), replace=False), r.integers(0, 2**63, r.integers(0, 1 + size // 6)).astype(np.uint64)]))
+    return [base, *(own() for _ in range(count))]
+
+
+def test_a_path_agrees_with_sets():
     r = np.random.default_rng(3)
     for _ in range(60):
-        hub = np.unique(r.integers(0, 400, 200).astype(np.uint64))
-        sets = sorted((np.unique(np.concatenate([r.choice(hub, int(len(hub) * r.uniform(0.7, 1)), replace=False), r.integers(0, 400, r.integers(0, 30)).astype(np.uint64)])) for _ in range(12)), key=lambda x: x.astype(">u8").tobytes())
-        whole, heads = ngram_join.Tree(hub, len(hub), 80, 100), ngram_join.Tree(hub[:40], len(hub), 80, 100)
-        for s in sets:
-            links = 100 * len(np.intersect1d(s, hub)) >= 80 * len(np.union1d(s, hub))
-            assert whole.may_link(s, len(s)) == links
-            assert heads.may_link(s[:40], len(s)) or not links
+        hub, *sets = near_sets(r, 200, 12)
+        tree = ngram_join.Path(hub, 80, 100)
+        for s in sorted(sets, key=lambda x: x.astype(">u8").tobytes()):
+            assert tree.links(s) == (100 * len(np.intersect1d(s, hub)) >= 80 * len(np.union1d(s, hub)))
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100), (1, 2), (100, 100)])
+def test_sets_that_link_share_a_token_and_marks_leave_them(num, den):
+    r = np.random.default_rng(num)
+    linked = 0
+    for size in [1, 2, 3, 5, 8, 12, 19, 20, 22, 27, 40, 60, 90, 300]:
+        for _ in range(12):
+            sets = near_sets(r, size, 5)
+            for one, two in itertools.combinations(sets, 2):
+                small, large = sorted((one, two), key=len)
+                if not len(small) or den * len(np.intersect1d(one, two)) < num * len(np.union1d(one, two)):
+                    continue
+                linked += 1
+                band = ngram_join.bands(len(small), num, den)[0]
+                assert band in ngram_join.bands(len(large), num, den)
+                assert set(ngram_join.band_tokens(one, band, num, den).tolist()) & set(ngram_join.band_tokens(two, band, num, den).tolist())
+                marks = ngram_join.unpacked(np.stack([np.frombuffer(ngram_join.mark(x, band, num, den), np.uint8) for x in (one, two)]))
+                apart = int((marks[0] != marks[1]).sum())
+                assert apart <= ngram_join.may_differ(len(one), len(two), num, den)
+                i, j, d = ngram_join.trie_pairs(ngram_join.Trie(marks), None, apart)
+                assert (set(i.tolist() + j.tolist()), d.tolist()) == ({0, 1}, [apart])
+    assert linked > 100
+
+
+@pytest.mark.parametrize("most", [0, 3, 20, 200])
+def test_tries_find_the_pairs_that_differ_little(most):
+    r = np.random.default_rng(most)
+    base = r.integers(0, 16, (3, 160)).astype(np.uint8)
+    marks = np.concatenate([np.where(r.random((20, 160)) < r.random((20, 1)) * 0.3, r.integers(0, 16, (20, 160)), b) for b in base] + [base, base]).astype(np.uint8)
+    apart = (marks[:, None] != marks[None]).sum(axis=2)
+    i, j, d = ngram_join.trie_pairs(ngram_join.Trie(marks), None, most)
+    got = {(min(x, y), max(x, y)): z for x, y, z in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)}
+    assert len(got) == len(i) and got == {(x, y): apart[x, y] for x in range(len(marks)) for y in range(x + 1, len(marks)) if apart[x, y] <= most}
+    i, j, d = ngram_join.trie_pairs(ngram_join.Trie(marks[:30]), ngram_join.Trie(marks[30:]), most)
+    got = {(x, y + 30): z for x, y, z in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)}
+    assert got == {(x, y): apart[x, y] for x in range(30) for y in range(30, len(marks)) if apart[x, y] <= most}
+
+
+def test_rows_of_a_token_alone_drop_out():
+    r = np.random.default_rng(1)
+    flat = np.concatenate([r.integers(0, 40, 60), r.integers(100, 2**62, 60)])
+    rows = [(i, t) for i, t in enumerate(flat.tolist())]
+    dealt = []
+    for part in (rows[:50], rows[50:90], rows[90:]):
+        batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in part]), pa.array([0] * len(part), pa.int8()), pa.array([x[1] for x in part])], names=["id", "lower", "token"])
+        dealt += ngram_join._dealt(batch).to_pylist()
+    schema = pa.schema([("at", pa.int64()), ("id", pa.int64()), ("lower", pa.int8()), ("known", pa.bool_()), ("token", pa.int64())])
+    dealt.sort(key=lambda x: (x["at"], x["token"] is not None))
+    batches = [pa.RecordBatch.from_pylist(dealt[k : k + 7], schema) for k in range(0, len(dealt), 7)]
+    got = sorted((x["id"], x["token"]) for b in ngram_join._shared(batches) for x in b.to_pylist())
+    assert got == [(i, t) for i, t in rows if flat.tolist().count(t) > 1]
 
 
 def test_connected_components(spark):
