@@ -53,10 +53,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def nearby_labels(edges: DataFrame, a: str, b: str, steps: int = 2) -> DataFrame:
     """(id, component) of every vertex: the smallest id within a few links. Vertices of one component may differ in it, those of
     different components never agree."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    both = materialize(both.union(both.select("v", "u")), "cc-both")
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    both = both.union(both.select("v", "u"))
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     for _ in range(steps):
-        over = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("m").alias("m"))
-        labels = over
-    return materialize(labels.select(F.col("u").alias("id"), F.col("m").alias("component")), "cc-labels")
+        labels = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("m").alias("m"))
+    return labels.select(F.col("u").alias("id"), F.col("m").alias("component"))

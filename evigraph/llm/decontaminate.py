@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .runtime import bound_batches
 
 LENGTH, K = 10, 5
 WINDOW = LENGTH - K + 1
@@ -151,6 +152,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_words: int =
     itself; equal item ids count once. Where the benchmark exceeds block_words the documents are read once a block.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     rows = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
@@ -195,6 +197,7 @@ def _drop_hit(block, text_at: int) -> Callable[[Iterable[pa.RecordBatch]], Itera
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs, with all their columns; null and empty texts stay."""
+    bound_batches(docs.sparkSession)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     for block in _blocks(items, block_words):
         docs = docs.mapInArrow(_drop_hit(docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")), docs.schema)

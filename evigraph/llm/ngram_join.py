@@ -33,23 +33,26 @@ from pyspark.sql import functions as F
 
 from . import idset, tokens
 from .components import components, nearby_labels
-from .runtime import discard, materialize
+from .runtime import bound_batches, discard, materialize
 
 U = np.uint64
 #: Ranges for each one that may differ: in tokens, and in marks.
 SPREAD, FINE = 1.3, 4
-#: Ranges of a mark at most; a coarser mark only leaves more pairs to check on whole sets.
-MARK = 1 << 14
+#: Ranges of a mark at least and at most; a coarser mark only leaves more pairs to check on whole sets.
+LEAST_MARK, MARK = 512, 1 << 14
 #: Sets below this size have single n-grams as tokens: their ranges would often be empty.
 TINY = 20
 #: Tokens that a task looks through for shared ones at a time.
 LOOK = 400_000
 #: Sets in one tree at most, about: of a hub, and of one side of a token's cell.
 TREE, CELL = 256, 1024
-#: Rounds of hubs at most, and the pairs left for each row at which no further round is worth it.
-ROUNDS, FEW = 6, 4
+#: Rounds of hubs at most; the pairs left for each row, and the pairs for each link that a round has found, at which no further
+#: round is worth it. Pairs that are left then all go through the trees.
+ROUNDS, FEW, PAYS = 6, 4, 50
 #: Ranges of a mark in one step down a tree; groups of so few rows are compared in one step.
 STEP, FLAT = 32, 24
+#: Pairs of nodes that a tree join looks at, at a time.
+WINDOW = 1 << 15
 
 
 def required(a, b, num: int, den: int):
@@ -101,7 +104,7 @@ def _ranges(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def mark(values: np.ndarray, band: int, num: int, den: int) -> bytes:
     """The set as four bits for each range of the global order: equal sets of n-grams in a range have equal bits."""
     n = FINE * (_band(band, num, den)[1] + 1)
-    _, sums = _ranges(values, min(MARK, -(-n // STEP) * STEP))
+    _, sums = _ranges(values, min(MARK, max(LEAST_MARK, -(-n // STEP) * STEP)))
     bits = (tokens.mix64(sums) >> U(60)).astype(np.uint8)
     return (bits[::2] << 4 | bits[1::2]).tobytes()
 
@@ -253,69 +256,74 @@ def trie_pairs(one: Trie, two: Trie | None, most: int) -> tuple[np.ndarray, np.n
     """Places (i, j) of rows whose marks differ in at most `most` ranges, of one and two or, for two None, both of one, each pair
     once; and in how many they differ."""
     other = one if two is None else two
-    u, v, apart = np.zeros(1, int), np.zeros(1, int), np.zeros(1, int)
-    for depth in range(one.depth):
-        ua, un, urows = one.children(u, depth)
-        va, vn, vrows = other.children(v, depth)
-        n = un * vn
-        pair = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    found = [np.zeros((3, 0), int)]
+    waiting = [_below(one, other, np.zeros((3, 1), int), 0, most, two is None)]
+    while waiting:
+        pairs = next(waiting[-1], None)
+        if pairs is None:
+            waiting.pop()
+        elif len(waiting) == one.depth:
+            found.append(pairs if two is not None else pairs[:, pairs[0] != pairs[1]])
+        elif pairs.shape[1]:
+            waiting.append(_below(one, other, pairs, len(waiting), most, two is None))
+    u, v, apart = np.concatenate(found, axis=1)
+    return one.order[u], other.order[v], apart
+
+
+def _below(one: Trie, other: Trie, pairs: np.ndarray, depth: int, most: int, same: bool) -> Iterator[np.ndarray]:
+    """Pairs of children of pairs (u, v, apart) of nodes, in windows of bounded size, without those too far apart."""
+    u, v, apart = pairs
+    ua, un, urows = one.children(u, depth)
+    va, vn, vrows = other.children(v, depth)
+    ends = np.cumsum(un * vn)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, WINDOW):
+        at = np.arange(lo, min(lo + WINDOW, int(ends[-1])))
+        pair = np.searchsorted(ends, at, side="right")
+        place = at - (ends - un * vn)[pair]
         cu, cv = urows[ua[pair] + place // vn[pair]], vrows[va[pair] + place % vn[pair]]
-        if two is None:  # below a node paired with itself, each pair of children once
+        if same:  # below a node paired with itself, each pair of children once
             keep = (u[pair] != v[pair]) | (cu <= cv)
             pair, cu, cv = pair[keep], cu[keep], cv[keep]
-        now = apart[pair] + _ranges_apart(one.steps, other.steps, cu, cv, depth)
+        now = apart[pair] + np.count_nonzero(one.steps[cu, depth] != other.steps[cv, depth], axis=1)
         keep = now <= most
-        u, v, apart = cu[keep], cv[keep], now[keep]
-        if not len(u):
-            break
-    if two is None:
-        keep = u != v
-        u, v, apart = u[keep], v[keep], apart[keep]
-    return one.order[u], other.order[v], apart
-
-
-def _ranges_apart(a: np.ndarray, b: np.ndarray, at: np.ndarray, bt: np.ndarray, depth: int) -> np.ndarray:
-    out = np.empty(len(at), int)
-    for k in range(0, len(at), 65536):
-        out[k : k + 65536] = np.count_nonzero(a[at[k : k + 65536], depth] != b[bt[k : k + 65536], depth], axis=1)
-    return out
+        yield np.stack([cu[keep], cv[keep], now[keep]])
 
 
 def _tries(num: int, den: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (token, cell, id, component, size, inside, mark) sorted by token and cell, to pairs (a, b) of different components
-    that marks do not rule out."""
+    """Rows (token, cell, own, inside, id, component, size, block, mark) sorted by token and cell, to pairs (a, b) of different
+    components that marks do not rule out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 2):
-            found = [np.zeros((0, 2), np.int64)]
             by_length: dict[int, list[int]] = {}
-            for k, m in enumerate(rows[6]):
+            for k, m in enumerate(rows[8]):
                 by_length.setdefault(len(m), []).append(k)
+            found = []
             for places in by_length.values():
-                found += _cell([np.array([rows[c][k] for k in places], np.int64) for c in (2, 3, 4)], np.array([rows[5][k] for k in places], bool), unpacked(np.frombuffer(b"".join(rows[6][k] for k in places), np.uint8).reshape(len(places), -1)), rows[1][0], num, den)
-            pairs = np.concatenate(found)
-            if len(pairs):
-                yield _pairs(pairs)
+                marks = unpacked(np.frombuffer(b"".join(rows[8][k] for k in places), np.uint8).reshape(len(places), -1))
+                found += _cell([np.array([rows[c][k] for k in places], np.int64) for c in (4, 5, 6, 7)], np.array([rows[3][k] for k in places], bool), marks, rows[2][0], num, den)
+            if sum(map(len, found)):
+                yield _pairs(np.concatenate(found))
 
     return run
 
 
-def _cell(columns: list[np.ndarray], inside: np.ndarray, marks: np.ndarray, cell: int, num: int, den: int) -> list[np.ndarray]:
-    """inside: in the largest component of the token. Of a part of a larger group, cell says whether its outer sets meet each
-    other (0 and more) or only inner ones."""
-    ids, component, size = columns
+def _cell(columns: list[np.ndarray], inside: np.ndarray, marks: np.ndarray, own: bool, num: int, den: int) -> list[np.ndarray]:
+    """Columns ids, component, size and block. inside: in the largest component of the token. Outer rows meet the inner ones and,
+    if own, each other; without inner ones and if not own, those of one block meet those of the other."""
+    ids, component, size, block = columns
     outer, inner = np.flatnonzero(~inside), np.flatnonzero(inside)
-    most = int(may_differ(size.max(), size.max(), num, den))
-    found = []
+    if not own and not len(inner):
+        outer, inner = outer[block[outer] == block[outer].min()], outer[block[outer] != block[outer].min()]
     if not len(outer):
-        return found
+        return []
+    most = int(may_differ(size.max(), size.max(), num, den))
     step = marks.shape[1] if len(ids) <= FLAT else STEP
     trie = Trie(marks[outer], step)
-    for places, against in ((inner, len(inner) > 0), (outer, not len(inner) or cell == WHOLE)):
-        if not against:
-            continue
-        i, j, apart = trie_pairs(trie, Trie(marks[places], step) if places is inner else None, most)
+    met = [(inner, trie_pairs(trie, Trie(marks[inner], step), most))] if len(inner) else []
+    met += [(outer, trie_pairs(trie, None, most))] if own else []
+    found = []
+    for places, (i, j, apart) in met:
         i, j = outer[i], places[j]
         a, b = size[i], size[j]
         keep = (component[i] != component[j]) & (ids[i] != ids[j]) & (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (apart <= may_differ(a, b, num, den))
@@ -324,9 +332,6 @@ def _cell(columns: list[np.ndarray], inside: np.ndarray, marks: np.ndarray, cell
     return found
 
 
-WHOLE = -1
-
-
 def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """The columns of each run of rows that are equal in the first columns; a run is one group of bounded size."""
     group, rows = None, None
@@ -432,6 +437,7 @@ class NgramJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100):
         self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
+        bound_batches(self.spark)
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         self.known = self.texts.where("id is not null")
         self.signatures = materialize(self.texts.mapInArrow(_signatures(n, num, den), "id long, n_shingles long, f1 long, f2 long, marks array<binary>"), "ngram-signatures")
@@ -440,18 +446,23 @@ class NgramJoin:
         self._run()
 
     def _run(self) -> None:
+        """Rounds of hubs go on while they pay: while many pairs of different components are left, and most of what hubs can
+        still link is not yet linked."""
         rows, links = self._rows(), self._repeated()
-        tested = None
-        for turn in range(ROUNDS + 1):
-            rows, left, count = self._open(rows, links)
-            if turn == ROUNDS or (turn and left <= FEW * count) or not left:
-                break
+        rows, tested, left, pays = rows.withColumn("component", F.col("id")), None, None, True
+        for turn in range(ROUNDS):
             pairs = self._hubs(rows, tested)
             found = self._verify(pairs)
             tested = pairs if tested is None else tested.union(pairs)
             links = links.union(found)
-            if turn and found.isEmpty():
+            pays = found.count() * PAYS >= pairs.count()
+            if turn and not pays:
                 break
+            rows, left, count = self._open(rows, links)
+            if left <= FEW * count:
+                break
+        if left is None:
+            rows, left, count = self._open(rows, links)
         if left:
             links = links.union(self._verify(self._across(rows)))
         discard(rows)
@@ -487,20 +498,21 @@ class NgramJoin:
         What is known here is cheap and may split a component, which only leaves more pairs to check; components themselves
         are made once, at the end.
         """
-        labels = nearby_labels(links, "a", "b")
-        own = rows.select("token", "id", "lower").join(labels.withColumnRenamed("id", "rep"), F.col("id") == F.col("rep"), "left")
+        labels = nearby_labels(links, "a", "b").withColumnRenamed("id", "rep")
+        own = rows.select("token", "id", "lower").join(labels, F.col("id") == F.col("rep"), "left")
         own = materialize(own.select("token", "id", "lower", F.coalesce("component", "id").alias("component")), "ngram-rows")
         groups = own.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("top"), F.sum(F.col("k").cast("double") * F.col("k")).alias("q"))
-        groups = materialize(groups.where("top.k < n").select("token", "n", F.col("top.k").alias("k"), F.col("top.component").alias("largest"), ((F.col("n").cast("double") * F.col("n") - F.col("q")) / 2).alias("left")), "ngram-open")
-        found = groups.agg(F.sum("left"), F.sum("n")).first()
-        out = materialize(own.join(groups.drop("left"), "token"), "ngram-rows")
-        discard(own, rows, groups)
-        return out, found[0] or 0, found[1] or 0
+        groups = groups.where("top.k < n").select("token", "n", F.col("top.k").alias("k"), F.col("top.component").alias("largest"), ((F.col("n").cast("double") * F.col("n") - F.col("q")) / 2).alias("left"))
+        out = materialize(own.join(groups, "token"), "ngram-rows")
+        found = out.agg(F.sum(F.col("left") / F.col("n")), F.count("*")).first()
+        discard(own, rows)
+        return out, found[0] or 0, found[1]
 
     def _hubs(self, rows: DataFrame, tested: DataFrame | None) -> DataFrame:
         """(a, b) for every class a its hub b: the most central class of a token is the one that shares most tokens with others,
         and of such classes of another component a class takes the one that it meets most often."""
-        scores = rows.groupBy("id").agg(F.sum(F.col("n") - 1).alias("score"))
+        counts = rows.groupBy("token").agg(F.count("*").alias("others"))
+        scores = rows.join(counts, "token").groupBy("id").agg(F.sum("others").alias("score"))
         central = rows.join(scores, "id").groupBy("token").agg(F.max(F.struct("score", "id", "component")).alias("hub"))
         met = rows.join(central, "token").where("hub.component <> component").groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).agg(F.count("*").alias("times"), F.max("hub.score").alias("score"))
         if tested is not None:
@@ -515,13 +527,14 @@ class NgramJoin:
         upto = lambda blocks: F.sequence(F.lit(0).cast("long"), blocks - 1)
         rows = rows.withColumns({"inside": F.col("component") == F.col("largest"), "o": outer, "i": inner}).withColumn("block", F.when(F.col("inside"), block(F.col("i"))).otherwise(block(F.col("o"))))
         # cell numbers: first outer with outer (x, y), x <= y, then outer with inner
-        with_outer = F.transform(upto(F.col("o")), lambda x: F.least(x, F.col("block")) * F.col("o") + F.greatest(x, F.col("block")))
-        with_inner = F.transform(upto(F.col("i")), lambda x: F.col("o") * F.col("o") + F.col("block") * F.col("i") + x)
-        inners = F.transform(upto(F.col("o")), lambda x: F.col("o") * F.col("o") + x * F.col("i") + F.col("block"))
-        cells = F.when(F.col("n") <= CELL, F.array(F.lit(WHOLE).cast("long"))).when(F.col("inside"), inners).otherwise(F.concat(with_outer, with_inner))
+        cell = lambda number, own: F.struct(number.alias("cell"), own.alias("own"))
+        with_outer = F.transform(upto(F.col("o")), lambda x: cell(F.least(x, F.col("block")) * F.col("o") + F.greatest(x, F.col("block")), x == F.col("block")))
+        with_inner = F.transform(upto(F.col("i")), lambda x: cell(F.col("o") * F.col("o") + F.col("block") * F.col("i") + x, F.lit(False)))
+        inners = F.transform(upto(F.col("o")), lambda x: cell(F.col("o") * F.col("o") + x * F.col("i") + F.col("block"), F.lit(False)))
+        cells = F.when(F.col("n") <= CELL, F.array(cell(F.lit(-1).cast("long"), F.lit(True)))).when(F.col("inside"), inners).otherwise(F.concat(with_outer, with_inner))
         marks = self.signatures.where("n_shingles > 0 and id is not null").select(F.col("id").alias("_id"), F.col("n_shingles").alias("size"), "marks")
         rows = rows.join(marks, F.col("id") == F.col("_id")).where("lower < size(marks)")
-        rows = rows.select("token", F.explode(cells).alias("cell"), "id", "component", "size", "inside", F.element_at("marks", F.col("lower") + 1).alias("mark"))
+        rows = rows.withColumn("_", F.explode(cells)).select("token", "_.cell", "_.own", "inside", "id", "component", "size", "block", F.element_at("marks", F.col("lower") + 1).alias("mark"))
         rows = rows.repartition("token", "cell").sortWithinPartitions("token", "cell")
         return materialize(rows.mapInArrow(_tries(self.num, self.den), "a long, b long").distinct(), "ngram-pairs")
 
@@ -532,13 +545,13 @@ class NgramJoin:
         sets = self.known.mapInArrow(_sets(self.n, held), "id long, keys array<long>")
         sets = materialize(sets.join(ids, "id", "left_semi"), "ngram-sets")
         held.unpersist()
-        parts = materialize(pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / F.lit(TREE)).cast("int").alias("parts")), "ngram-hubs")
+        parts = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / F.lit(TREE)).cast("int").alias("parts"))
         part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
         members = pairs.join(sets, pairs.a == sets.id).join(parts, F.col("b") == F.col("hub")).select("hub", part.alias("part"), "id", "keys")
         hubs = sets.join(parts, sets.id == parts.hub).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"), "keys")
         trees = members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part")
         found = materialize(trees.mapInArrow(_check(self.num, self.den), "a long, b long"), "ngram-links")
-        discard(sets, ids, parts)
+        discard(sets, ids)
         return found
 
     def documents(self) -> DataFrame:

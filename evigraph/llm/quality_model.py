@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .labelled import SAMPLE_ROWS, sample, sigmoid
-from .runtime import fold
+from .runtime import bound_batches, fold
 
 DIMENSIONS = 1 << 18
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.02, 0.5
@@ -150,6 +150,7 @@ def score(docs: DataFrame, weights: bytes) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    bound_batches(spark)
     return texts.mapInArrow(_score(spark.sparkContext.broadcast(weights)), f"doc_id {kind}, score double")
 
 

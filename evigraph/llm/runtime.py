@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 _OWN: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch.
+BATCH_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +62,12 @@ def discard(*tables: DataFrame) -> None:
             parent.getFileSystem(conf).delete(parent, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers a few MB at a time: unless the session sets it itself, its bytes in an Arrow batch are lowered."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

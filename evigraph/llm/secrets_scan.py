@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bound_batches
+
 #: The forms of candidates. Group "v" is the candidate. No form bounds a value's length: each run starts where
 #: the one before has ended and is taken possessively, so that a text is read a fixed number of times.
 PATTERNS = {
@@ -270,6 +272,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5)
 
     Documents without a candidate, null and empty texts have no row; repeated rows are scanned each for itself.
     """
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(forest or train())
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -295,6 +298,7 @@ def _redact(model, text_at: int, chars_at: int | None) -> Callable[[Iterable[pa.
 
 def redact(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     """docs with confirmed secrets replaced in text and n_chars, where there is one, following; every row and column stays."""
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(forest or train())
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     return docs.mapInArrow(_redact(model, docs.columns.index("text"), chars), docs.schema)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 500_000
 U = np.uint64
 
 

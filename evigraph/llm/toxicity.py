@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .labelled import SAMPLE_ROWS, sample, sigmoid
-from .runtime import fold, materialize
+from .runtime import bound_batches, fold, materialize
 
 DIMENSIONS, PIECE = 1 << 20, 5
 STEPS, RATE, L1, START = 200, 1.0, 0.0005, -6.0
@@ -227,6 +227,7 @@ def score(docs: DataFrame, weights: bytes, threshold: float = 0.5) -> DataFrame:
     and empty texts have no sentence and score 0.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {kind}, score double, n_sentences bigint, offending array<struct<start:bigint,end:bigint,score:double>>"
@@ -267,5 +268,6 @@ def _clean(weights, text_at: int, threshold: float) -> Callable[[Iterable[pa.Rec
 
 def keep_clean(docs: DataFrame, weights: bytes, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores below the threshold, with all their columns; null and empty texts stay."""
+    bound_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(weights)
     return docs.mapInArrow(_clean(weights, docs.columns.index("text"), threshold), docs.schema)
