@@ -1,8 +1,9 @@
 """WARC archives with revisit resolution, through Spark's own writers and readers.
 
 Records are written by the text writer whose line end is the record end CRLF CRLF, so the files are committed task by task
-to any store that Spark writes to, and a lost executor's files are written again. Headers meet by payload digest; of equal
-payloads one stays a response and the others become revisit records that name it.
+to any store that Spark writes to, and a lost executor's files are written again. Headers, not payloads, meet by payload
+digest; of equal payloads one stays a response and the others become revisit records that name it. Compressed archives are
+read through the text reader with the same line end, record by record, so memory holds a record and not a file.
 """
 
 from __future__ import annotations
@@ -12,15 +13,19 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .runtime import materialize, new_path
+from . import idset
+from .runtime import bound_batches, materialize, new_path
 
 #: Payloads below this many bytes are always written in full.
 MIN_REVISIT = 1000
-#: Records in one file at most, which bounds what a reader holds.
+#: Records in one file at most: a file is read by one task.
 FILE_RECORDS = 2000
+END = b"\r\n\r\n"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,20 +37,48 @@ SCHEMA = "record_id string, record_type string, target_uri string, payload_diges
 def plan_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Adds payload, payload_bytes, payload_digest, record_type and refers_to to pages(page_id, url, html).
 
-    Only digests and ids are grouped, with partial sums, so a payload of very many copies costs one row a task. Pages with
-    small payloads take no part in the join. Of rows that repeat the largest page_id of a payload all are responses. A null
-    page_id never is what others refer to, unless no other page has its payload.
+    Digests and ids are grouped first, with partial sums. Pages whose digest is not among the repeated ones pass with the
+    scan. Of the others the payload is dropped before they are shuffled wherever a larger id with the same payload is seen
+    in the same batch, so a payload of very many copies moves once a batch; a revisit's payload is null. Of rows that
+    repeat the largest page_id of a payload all are responses. A null page_id never is what others refer to, unless no
+    other page has its payload. Other columns stay; columns with the names added here are replaced.
     """
-    rows = pages.withColumn("payload", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")}).drop("html")
+    bound_batches(pages.sparkSession)
+    rows = pages.withColumn("payload", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")).drop("html")
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     large = rows.where(F.col("payload_bytes") >= min_bytes)
     first = large.groupBy(F.col("payload_digest").alias("_d")).agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    found = large.join(first, F.col("payload_digest") == F.col("_d"), "left").drop("_d")
+    first = materialize(first, "warc-first")
+    held = idset.build(first.select(F.xxhash64("_d").alias("h")))
+    keyed = rows.withColumn("_h", F.when(F.col("payload_bytes") >= min_bytes, F.xxhash64("payload_digest")))
+    some, rest = idset.split(keyed, "_h", held)
+    names = some.columns
+    schema = StructType([StructField(f.name, f.dataType, True) for f in some.schema])  # a payload may become null
+    some = some.mapInArrow(_drop_known_revisits(*(names.index(x) for x in ("page_id", "payload", "payload_digest"))), schema)
+    found = some.join(first, F.col("payload_digest") == F.col("_d"), "left").drop("_d", "_h")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    rest = rows.where(F.col("payload_bytes") < min_bytes)
-    full = F.lit("response")
+    full, none = F.lit("response"), F.lit(None).cast(pages.schema["page_id"].dataType)
     found = found.withColumns({"record_type": F.when(revisit, "revisit").otherwise(full), "refers_to": F.when(revisit, F.col("_first"))}).drop("_first")
-    return found.unionByName(rest.withColumns({"record_type": full, "refers_to": F.lit(None).cast(pages.schema["page_id"].dataType)}))
+    found = found.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
+    return found.unionByName(rest.drop("_h").withColumns({"record_type": full, "refers_to": none}))
+
+
+def _drop_known_revisits(id_at: int, payload_at: int, digest_at: int):
+    """Payloads of rows that are not of the largest id of their digest in the batch become null: they are revisits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, digests = batch.column(id_at).to_pylist(), batch.column(digest_at).to_pylist()
+            best: dict = {}
+            for i, d in zip(ids, digests, strict=True):
+                if best.get(d) is None or (i is not None and i > best[d]):
+                    best[d] = i
+            keep = pa.array([i == best[d] for i, d in zip(ids, digests, strict=True)], pa.bool_())
+            columns = list(batch.columns)
+            columns[payload_at] = pc.if_else(keep, columns[payload_at], pa.scalar(None, columns[payload_at].type))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return run
 
 
 def record_text(record_id, record_type, uri, digest, length, refers_to, payload, compact: bool = True):
@@ -90,49 +123,112 @@ def parse(data: bytes) -> Iterator[tuple]:
                 raise ValueError("gzip member ends too early")
             data = one.unused_data
         data = b"".join(parts)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].split(b"\r\n")
-        if end < 0 or not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.decode().partition(":") for x in lines[1:])}
-        size = int(head["content-length"])
-        payload = data[end + 4 : end + 4 + size]
-        if len(payload) < size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} ends too early")
-        digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-        if head["warc-type"] != "revisit" and digest and hashlib.sha1(payload).hexdigest() != digest:
-            raise ValueError(f"payload of record at byte {at} does not have its digest")
-        length = int(head.get("x-payload-length", size))
-        yield (_bare(head["warc-record-id"]), head["warc-type"], head.get("warc-target-uri"), digest, length, _bare(head.get("warc-refers-to")), payload)
-        at = end + 8 + size
+    records = Records()
+    records.add(data)
+    yield from records.whole()
+    records.close()
+
+
+class Records:
+    """Takes an archive's bytes piece by piece and gives its records, keeping no more than the one that is not yet whole."""
+
+    def __init__(self):
+        self.held, self.need, self.passed = bytearray(), 1, 0
+
+    def add(self, data: bytes) -> None:
+        self.held += data
+
+    def whole(self) -> Iterator[tuple]:
+        at = 0
+        while len(self.held) - at >= self.need:
+            end = self.held.find(END, at)
+            if not self.held.startswith((b"WARC/", b"WARC/"[: len(self.held) - at]), at):
+                raise ValueError(f"no record at byte {self.passed + at}")
+            if end < 0:
+                break
+            head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in self.held[at:end].decode().split("\r\n")[1:])}
+            size = int(head["content-length"])
+            self.need = end + 8 + size - at
+            if len(self.held) - at < self.need:
+                break
+            payload = bytes(self.held[end + 4 : end + 4 + size])
+            if self.held[end + 4 + size : end + 8 + size] != END:
+                raise ValueError(f"record at byte {self.passed + at} does not end where it says")
+            digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
+            if head["warc-type"] != "revisit" and digest and hashlib.sha1(payload).hexdigest() != digest:
+                raise ValueError(f"payload of record at byte {self.passed + at} does not have its digest")
+            length = int(head.get("x-payload-length", size))
+            yield (_bare(head["warc-record-id"]), head["warc-type"], head.get("warc-target-uri"), digest, length, _bare(head.get("warc-refers-to")), payload)
+            at, self.need = end + 8 + size, 1
+        del self.held[:at]
+        self.passed += at
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError(f"record at byte {self.passed} ends too early")
 
 
 def _bare(urn: str | None) -> str | None:
     return urn.removeprefix("<urn:page:").removesuffix(">") if urn is not None else None
 
 
-def _parse_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-    names = ["record_id", "record_type", "target_uri", "payload_digest", "payload_length", "refers_to", "payload"]
-    for batch in batches:
-        for value in batch.column(0):
+_KINDS = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+_NAMES = ["record_id", "record_type", "target_uri", "payload_digest", "payload_length", "refers_to", "payload"]
+
+
+def _batched(records: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for row in records:
+        rows.append(row)
+        size += len(row[-1])
+        if size > 4_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
             rows, size = [], 0
-            for row in parse(value.as_py()):
-                rows.append(row)
-                size += len(row[-1])
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+
+
+def _parse_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _batched(row for batch in batches for value in batch.column(0) for row in parse(value.as_py()))
+
+
+def _parse_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, piece): the pieces of each file between record ends, in order."""
+
+    def last(records: Records) -> Iterator[tuple]:
+        # whether a record end follows the last piece is not told: it is where a record still waits for it
+        if records.held:
+            records.add(END)
+            yield from records.whole()
+        records.close()
+
+    def rows() -> Iterator[tuple]:
+        name, records = None, Records()
+        for batch in batches:
+            for file, piece in zip(batch.column(0), batch.column(1), strict=True):
+                if (file := file.as_py()) != name:
+                    yield from last(records)
+                    name, records = file, Records()
+                else:
+                    records.add(END)
+                records.add(piece.as_py())
+                yield from records.whole()
+        yield from last(records)
+
+    yield from _batched(rows())
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of every archive file below path; each file is one task's row, payload digests are checked."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(_parse_files, SCHEMA)
+    """The records of every archive file below path; payload digests are checked.
+
+    A gzip file is one task's stream of records. A plain file is one row of a task (2 GB at most), for streams of those would
+    be cut between tasks at any byte.
+    """
+    bound_batches(spark)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "part-*[!z]").load(path).select("content")
+    packed = spark.read.option("lineSep", END.decode()).option("pathGlobFilter", "part-*.gz").text(path)
+    packed = packed.select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
+    return plain.mapInArrow(_parse_files, SCHEMA).unionByName(packed.mapInArrow(_parse_pieces, SCHEMA))
 
 
 def resolve(records: DataFrame) -> DataFrame:

@@ -262,7 +262,7 @@ PAGES = [
 
 
 def test_warc_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, payload string").drop("payload")
+    df = spark.createDataFrame([(*p, "x", 5) for p in PAGES], "page_id long, url string, html string, payload string, record_type long")
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()), key=str)
     want = []
     for i, _, html in PAGES:
@@ -279,6 +279,31 @@ def test_warc_round_trip(spark, tmp_path):
         assert full == {i: h or "" for i, _, h in PAGES}
 
 
+def test_warc_of_many_copies_and_odd_ids(spark):
+    """Only one payload a batch moves; null and repeated ids, and payloads that hold the record end."""
+    same, odd = "same " * 400, "a\r\n\r\nWARC/1.1\r\n\r\n" * 100 + "\r\n"
+    rows = [*((k, None, same) for k in range(40)), (39, None, same), (None, None, same), (70, None, odd), (71, "u", odd), (80, None, "\r\n"), (None, None, "n" * 2000), (None, None, "n" * 2000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    plan = warc.plan_revisits(df).collect()
+    assert len(plan) == len(rows) and sum(r.record_type == "revisit" for r in plan) == 41
+    assert all((r.payload is None) == (r.record_type == "revisit") for r in plan)
+    got = warc.round_trip(df).collect()
+    assert {r.page_id for r in got if r.record_type == "response"} == {39, 71, 80, None} and sum(r.page_id == 39 for r in got) == 2
+    assert {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {*((k, 39) for k in range(39)), (None, 39), (70, 71)}
+    assert all(r.payload_digest == hashlib.sha1(h.encode()).hexdigest() for r in got for i, _, h in rows if i == r.page_id and i is not None)
+
+
+def test_warc_records_come_out_of_any_pieces():
+    good = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(b), b) for k, b in enumerate([b"", b"\r\n\r\n", b"WARC/1.1\r\n\r\n", b"x" * 3000]))
+    for size in (1, 7, 64, 10000):
+        records, got = warc.Records(), []
+        for k in range(0, len(good), size):
+            records.add(good[k : k + size])
+            got += [(r[0], len(r[-1])) for r in records.whole()]
+        records.close()
+        assert got == [("0", 0), ("1", 4), ("2", 12), ("3", 3000)]
+
+
 def test_warc_refuses_broken_archives():
     good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [r[0] for r in warc.parse(good * 2)] == ["1", "1"]
