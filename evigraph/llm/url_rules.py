@@ -1,9 +1,9 @@
 """URL filter rules, indexed by the rarest literal token of each rule.
 
 A rule is a regular expression with literal tokens that every URL it fits must contain. The index holds each rule under
-the one of its tokens that the fewest URLs have; the tokens of a URL fetch candidate rules, and only those run. Within
-the inline bound the index is a literal of hash buckets next to the scan, so no row is shuffled; above it, it is a table
-joined by token.
+the one of its tokens that the fewest URLs have; the tokens of a URL fetch candidate rules, and only those run. Up to
+MAX_INLINE_RULES the index is a literal of hash buckets next to the scan, so no row is shuffled; a longer list is a table
+joined by token, with the same verdicts.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-#: At most so many rules are put into the plan itself.
-MAX_INLINE_RULES = 2_000
+#: At most so many rules are put into the plan itself, each with its own compiled expression.
+MAX_INLINE_RULES = 200
 #: URLs whose tokens the rarity of a rule's tokens is counted on: it settles speed only, never a verdict.
 TOKEN_SPLIT = "[^A-Za-z0-9]+"
 
@@ -66,7 +66,7 @@ URL_PATTERNS = [
     url_pattern("[?&]utm_source=", "block", ["utm", "source"]),
     url_pattern("[?&]page=[0-9]+(&|$)", "block", ["page"]),
     url_pattern("[?&]ref=", "block", ["ref"]),
-    url_pattern("/(login|logout|signup)([/?#]|$)", "block", []),
+    *(url_pattern(f"/{word}([/?#]|$)", "block", [word]) for word in ("login", "logout", "signup")),
 ]
 DEFAULT_VERDICT = "allow"
 
@@ -110,7 +110,7 @@ def judge(pages: DataFrame, place_rules: list[Rule], patterns: list[Rule], defau
     """
     rules = [*place_rules, *patterns]
     if len(rules) > MAX_INLINE_RULES:
-        raise ValueError(f"{len(rules)} rules exceed {MAX_INLINE_RULES}; use judge_by_join")
+        return judge_by_join(pages, rule_table(pages.sparkSession, rules), default, url)
     index = rarest(rules, token_counts(pages, (t for r in rules if len(r.tokens) > 1 for t in r.tokens), url))
     held = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     held = held.withColumn("_tokens", F.array_distinct(F.split(F.lower(F.coalesce(F.col(url), F.lit(""))), TOKEN_SPLIT)))
@@ -125,11 +125,9 @@ def judge(pages: DataFrame, place_rules: list[Rule], patterns: list[Rule], defau
     fetched = F.flatten(F.transform("_tokens", lambda t: F.transform(F.filter(F.element_at(literal, _bucket_of(t, size) + 1), lambda e: e["token"] == t), lambda e: e["rule"])))
     always = F.array(*(F.lit(i) for i in index.get(None, []))).cast("array<int>")
     held = held.withColumn("_candidates", F.concat(fetched, always))
-    defs = F.array(*(F.struct(F.lit(r.regex).alias("regex"), F.lit(r.target == "place").alias("place")) for r in rules))
-    text = F.concat("host", "path")
-    url_text = F.coalesce(F.col(url), F.lit(""))
-    fits = F.filter("_candidates", lambda i: F.rlike(F.when(F.element_at(defs, i + 1)["place"], text).otherwise(url_text), F.element_at(defs, i + 1)["regex"]))
-    held = held.withColumn("_fits", fits)
+    text = {"place": F.concat("host", "path"), "url": F.coalesce(F.col(url), F.lit(""))}
+    fits = F.array(*(F.when(F.array_contains("_candidates", i), F.when(text[r.target].rlike(r.regex), i)) for i, r in enumerate(rules)))
+    held = held.withColumn("_fits", F.array_compact(fits.cast("array<int>")))
     # best: longest place rule, first listed; patterns come after all place rules, first listed
     n = len(place_rules)
     scores = F.array(*(F.struct(F.lit(-len(r.text) if k < n else 0).alias("a"), F.lit(k).alias("b")) for k, r in enumerate(rules)))
@@ -144,11 +142,13 @@ def judge(pages: DataFrame, place_rules: list[Rule], patterns: list[Rule], defau
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, url: str = "url") -> DataFrame:
     """The same for any number of rules(ord, rule, verdict, regex, place, tokens): distinct URLs meet rules by token.
 
-    Every rule needs a token here. Each distinct URL is judged once and its verdict joined back, so copies of one URL cost
-    one row, and rules are filed under the token that the fewest distinct URLs hold.
+    Each distinct URL is judged once and its verdict joined back, so copies of one URL cost one row, and rules are filed
+    under the token that the fewest distinct URLs hold. Rules without a token are filed under the empty one, which every
+    URL has. Ties and nulls are as in judge(); columns host, path, rule, verdict of the input are replaced.
     """
-    urls = pages.select(F.col(url).alias("_u")).where(F.col("_u").isNotNull()).distinct()
-    held = urls.select("_u", F.explode(F.array_distinct(F.split(F.lower("_u"), TOKEN_SPLIT))).alias("_t"))
+    urls = pages.select(F.coalesce(F.col(url), F.lit("")).alias("_u")).distinct()
+    held = urls.select("_u", F.explode(F.array_union(F.split(F.lower("_u"), TOKEN_SPLIT), F.array(F.lit("")))).alias("_t"))
+    rules = rules.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(""))))
     wanted = rules.select(F.explode("tokens").alias("_t")).distinct()
     counts = held.join(wanted, "_t").groupBy("_t").agg(F.count("*").alias("_n"))
     filed = rules.select("*", F.explode("tokens").alias("_t")).join(counts, "_t", "left")
@@ -157,10 +157,16 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VER
     found = held.join(filed, "_t").where(F.rlike(text, F.col("regex")))
     score = F.struct((~F.col("place")).alias("p"), F.when(F.col("place"), -F.length("rule")).otherwise(0).alias("l"), F.col("ord").alias("o"))
     best = found.groupBy("_u").agg(F.min_by(F.struct(F.when(F.col("place"), F.col("rule")).alias("rule"), "verdict"), score).alias("_b"))
-    out = pages.drop("host", "path", "rule", "verdict").join(best, F.col(url) == F.col("_u"), "left").drop("_u")
+    out = pages.drop("host", "path", "rule", "verdict").join(best, F.coalesce(F.col(url), F.lit("")) == F.col("_u"), "left").drop("_u")
     return out.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url)), "rule": F.col("_b.rule"), "verdict": F.coalesce("_b.verdict", F.lit(default))}).drop("_b")
 
 
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """Rules as the table that judge_by_join takes."""
+    rows = [(i, r.text, r.verdict, r.regex, r.target == "place", list(r.tokens)) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "ord int, rule string, verdict string, regex string, place boolean, tokens array<string>")
+
+
 def _bucket(token: str, size: int) -> int:
     import zlib
 
