@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bound_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this public vocabulary splits a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -77,7 +79,7 @@ def _count(data, rule: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
                 text = batch.column(1)[k].as_py() or ""
                 raw = np.frombuffer(text.encode(), np.uint8)
                 own = batch.column(2)[k].as_py() if batch.num_columns > 2 else None
-                bounds = line_bounds(raw) if own is None else _byte_bounds(raw, [0, *sorted(own), len(text)])
+                bounds = line_bounds(raw) if own is None else _byte_bounds(raw, [0, *sorted(x for x in own if x is not None), len(text)])
                 ids = np.asarray(encoder.encode_ordinary(text), np.int64)
                 ends = np.cumsum(lengths[ids])
                 if len(raw) != (ends[-1] if len(ends) else 0):
@@ -99,12 +101,14 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "maj
 
     Sections are lines with their line feed, or the pieces between the code point offsets in the array column ``cuts``.
     n_tokens is the sum of section_tokens. Null and empty texts have no token and no section (with cuts: sections without
-    tokens). Repeated rows count each for itself.
+    tokens). A null offset is no cut, and a null array says that sections are lines. Offsets beyond the text cut at its
+    end. Repeated rows count each for itself. Texts of any length are encoded whole. Other columns are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     with open(vocabulary, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *([F.col(cuts)] if cuts else []))
     found = rows.mapInArrow(_count(data, rule), f"doc_id {kind}, n_tokens bigint, n_crossing bigint, section_tokens array<bigint>")
