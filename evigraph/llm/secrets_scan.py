@@ -10,6 +10,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -69,15 +70,19 @@ def candidates(text: str) -> list[Finding]:
     """Candidates in order of place; of overlapping ones that of the first pattern in PATTERNS stays."""
     if not _HINT.search(text):
         return []
-    found: list[Finding] = []
+    found: list[Finding] = []  # apart from each other and in order, so ends are in order too
     for kind, pattern in _ANY:
         if kind == "signed" and "eyJ" not in text:
             continue
-        for m in pattern.finditer(text):
-            start, end = m.span("v")
-            if end > start and not any(f.start < end and start < f.end for f in found):
-                found.append(Finding(kind, start, end))
-    return sorted(found, key=lambda f: (f.start, f.end))
+        fresh = [Finding(kind, *m.span("v")) for m in pattern.finditer(text)]
+        fresh = [f for f in fresh if f.end > f.start and not _overlaps(found, f)]
+        found = sorted([*found, *fresh], key=lambda f: f.start)
+    return found
+
+
+def _overlaps(found: list[Finding], f: Finding) -> bool:
+    at = bisect_left(found, f.end, key=lambda x: x.start)
+    return at > 0 and found[at - 1].end > f.start
 
 
 def _kind_of(c: str) -> int:
@@ -270,7 +275,9 @@ def _scan(model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """One row for each candidate in docs(doc_id, text): doc_id, kind, start and end in code points, score, is_secret.
 
-    Documents without a candidate, null and empty texts have no row; repeated rows are scanned each for itself.
+    Documents without a candidate, null and empty texts have no row; repeated rows are scanned each for itself. Whole texts
+    of any length are read, and candidates of any length are found, in time that follows the text. A null doc_id is kept.
+    Other columns are not read. An empty table gives no row.
     """
     bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(forest or train())

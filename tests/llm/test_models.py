@@ -1,6 +1,9 @@
 """Classifiers by held-out accuracy; secret scans and token counts against plain readings; edge cases of all."""
 
 import random
+import re
+import string
+import time
 import zlib
 
 import numpy as np
@@ -147,6 +150,80 @@ def test_secret_scan_and_redaction(spark):
     assert secrets_scan.redact(df.limit(0), forest).collect() == [] and df.columns == secrets_scan.redact(df).columns
 
 
+def planted(seed):
+    """(text, secret or None): values in forms of configuration, code and logs that the training findings do not have."""
+    r = random.Random(seed)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    low, hexa, mixed = string.ascii_lowercase, "0123456789abcdef", string.ascii_letters + string.digits
+    prose = lambda: " ".join(pick(low, r.randint(2, 9)) for _ in range(r.randint(5, 30)))
+    secret = [
+        lambda: ('{"user": "x", "password": "%s", "port": 80}', pick(mixed + "!%*", r.randint(12, 20))),
+        lambda: ("export API_KEY=%s\n", pick(mixed, r.randint(28, 44))),
+        lambda: ("aws_secret_access_key: %s", pick(mixed + "/+", 40)),
+        lambda: ("curl -H 'Authorization: Bearer %s'", "eyJ" + pick(mixed, 20) + "." + pick(mixed, 70) + "." + pick(mixed + "_-", 43)),
+        lambda: ("key id AKIA%s is live", pick(string.ascii_uppercase + string.digits, 16)),
+        lambda: ("git clone with glpat-%s now", pick(mixed, 20)),
+        lambda: ("client.token='%s'", pick(hexa, 40)),
+        lambda: ("-----BEGIN EC PRIVATE KEY-----\n%s\n-----END EC PRIVATE KEY-----", pick(mixed + "+/", 64) + "\n" + pick(mixed + "+/", 64)),
+    ]
+    clean = [
+        lambda: ("checksum sha256 %s of the file", pick(hexa, 64)),
+        lambda: ("revision %s was merged", pick(hexa, 40)),
+        lambda: ("password=%s in the sample", r.choice(["changeme", "your_password", "example", "<password>", "********"])),
+        lambda: ("token: %s", r.choice(["${TOKEN}", "null", "undefined", "{{ token }}", "string"])),
+        lambda: ("see /usr/share/%s for it", "/".join(pick(low, 6) for _ in range(6)) + "9"),
+        lambda: ("auth: %s and so on", pick(low, r.randint(7, 11))),
+    ]
+    out = []
+    for k in range(600):
+        form, value = r.choice(clean if k % 2 else secret)()
+        out.append((f"{prose()} {form % value} {prose()}", None if k % 2 else value))
+    return out
+
+
+def test_planted_secrets_that_the_forest_was_not_trained_on():
+    """Recall and precision on forms that no rule of the training findings makes; what is masked is masked whole."""
+    forest, caught, wrong = secrets_scan.train(), 0, 0
+    cases = planted(5)
+    for text, value in cases:
+        out = secrets_scan.redact_text(text, forest)
+        if value is None:
+            wrong += out != text
+        else:
+            caught += not any(part in out for part in value.split("\n"))
+            assert out.startswith(text[: text.index(value)][:20])
+    secrets = sum(v is not None for _, v in cases)
+    assert caught >= 0.95 * secrets and wrong <= 0.05 * (len(cases) - secrets), (caught, wrong, secrets)
+
+
+def brute_candidates(text):
+    """Every pattern over the text; a match stays if it overlaps none that stayed before it."""
+    taken, out = set(), []
+    for kind, pattern in secrets_scan.PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            place = set(range(*m.span("v")))
+            if place and not place & taken:
+                taken |= place
+                out.append((kind, *m.span("v")))
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_candidates_against_brute_force():
+    r = random.Random(3)
+    pieces = ["password=", "token: ", "ghp_", "AKIA", "eyJ", ".", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", " ", "\n", '"', "a1b2c3d4e5f6a7b8", "Zz9", "secret", "AAAA1111BBBB2222", "x" * 20, "é"]
+    for _ in range(400):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 40)))
+        assert [(f.kind, f.start, f.end) for f in secrets_scan.candidates(text)] == brute_candidates(text)
+
+
+def test_many_hits_take_time_in_proportion():
+    r = random.Random(4)
+    text = "\n".join("".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(40000))
+    began = time.monotonic()
+    found = secrets_scan.candidates(text)
+    assert len(found) > 39900 and time.monotonic() - began < 10
+
+
 TOKEN_TEXTS = ["two words\nand a second line\n", "", None, "a\n\n\nb", "é\nñandú ñ\n", "  \n  \n x", "x" * 50000, "don't stop\r\nnow 12345\n", "日本語\nテスト"]
 
 
