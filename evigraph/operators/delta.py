@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -35,12 +37,26 @@ SIGNAL_EFFECTS = {
 
 def merge_facts(facts: DataFrame, keys: list[str], sets: list[str], ranks: list[str], values: list[str]) -> DataFrame:
     """One fact a key: unions of set columns (sorted arrays), least ranks, and the distinct values of value columns as a
-    sorted array, in which a missing value counts as one (null first)."""
-    aggs = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in sets]
-    aggs += [F.min(c).alias(c) for c in ranks]
-    aggs += [F.sort_array(F.collect_set(F.struct(F.col(c).alias("v")))).alias(c) for c in values]
-    merged = facts.groupBy(*keys).agg(*aggs)
-    return merged.withColumns({c: F.transform(c, lambda x: x["v"]) for c in values})
+    sorted array, in which a missing value counts as one (null first).
+
+    Members are made distinct, with partial sums, before a key's are brought together, so what is gathered for a hot key
+    follows its distinct members and not its rows. A null key is a key. A set that is null or empty everywhere is empty.
+    """
+    lists = {c: facts.select(*keys, F.explode(c).alias("v")) for c in sets} | {c: facts.select(*keys, F.col(c).alias("v")) for c in values}
+    merged = facts.groupBy(*keys).agg(F.lit(0).alias("_"), *(F.min(c).alias(c) for c in ranks))
+    for c, rows in lists.items():
+        gathered = rows.distinct().groupBy(*keys).agg(F.collect_list(F.struct("v")).alias("_s"))
+        merged = _beside(merged, gathered.withColumn(c, F.transform(F.sort_array("_s"), lambda x: x["v"])).drop("_s"), keys)
+        if c in sets:
+            merged = merged.withColumn(c, F.coalesce(c, F.array().cast(facts.schema[c].dataType)))
+    return merged.select(*keys, *sets, *ranks, *values)
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns of right at the same keys, null keys too."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys))
+    return left.join(other, same, "left").drop(*(f"_r_{k}" for k in keys))
 
 
 def classify(regressions: Column, improvements: Column, incomparable: Column, has_base: Column, has_current: Column, baseline_available: Column | None = None) -> Column:
@@ -113,11 +129,12 @@ def signals(deltas: DataFrame, ranks: list[str] = (), opacity: Column | None = N
     return counts.select(F.explode(pairs).alias("p")).select("p.*").where("n > 0")
 
 
-def decide(raised: DataFrame) -> DataFrame:
-    """(decision, n_signals): the strongest effect of the signals raised; without any the decision is to allow."""
+def decide(raised: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys, decision, n_signals): the strongest effect of the signals raised; without any the decision is to allow. A signal
+    that is not known here has no effect."""
     effect = F.element_at(F.create_map(*(F.lit(x) for s, e in SIGNAL_EFFECTS.items() for x in (s, EFFECTS.index(e)))), F.col("signal"))
-    top = raised.agg(F.coalesce(F.max(effect), F.lit(0)).alias("e"), F.count("*").alias("n_signals"))
-    return top.select(F.element_at(F.array(*map(F.lit, DECISIONS)), F.col("e") + 1).alias("decision"), "n_signals")
+    top = raised.groupBy(*keys).agg(F.coalesce(F.max(effect), F.lit(0)).alias("e"), F.count("signal").alias("n_signals"))
+    return top.select(*keys, F.element_at(F.array(*map(F.lit, DECISIONS)), F.col("e") + 1).alias("decision"), "n_signals")
 
 
 def input_changes(baseline: DataFrame, current: DataFrame, key: str, record: list[str], leased: DataFrame, protected: DataFrame) -> DataFrame:

@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 
 MAX_ROUNDS = 10_000
+#: Frontiers that are read as separate tables at most.
+MERGE = 24
 
 
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Both directions of every link as (src, dst), once each; links to itself and null ends are left out."""
+    """Both directions of every link as (src, dst), once each; links to itself and null ends are left out. What has no link
+    is no vertex here; adjacency() keeps it."""
     one = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     return one.union(edges.select(F.col(b), F.col(a))).where("src <> dst").distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, node: str = "node") -> DataFrame:
+def adjacency(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, neighbours) of every node, isolated ones included: neighbours as a sorted array without repeats."""
+    near = undirected(edges, a, b).groupBy(F.col("src").alias(node)).agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
+    none = F.array().cast(near.schema["neighbours"].dataType)
+    return nodes.select(node).distinct().join(near, node, "left").withColumn("neighbours", F.coalesce("neighbours", none))
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, node: str = "node", symmetric: bool = False) -> DataFrame:
     """(node, distance) of all that edges(src, dst) reach from the seeds, seeds at distance 0.
 
-    A frontier loop: each round joins only what the last one found, takes away what is known, and is cut by a checkpoint, so
-    neither the plan nor the work of a round grows with the rounds before. It ends with an empty frontier.
+    A frontier loop: each round joins only what the last one found, takes away what is known, and is cut by a checkpoint. Each
+    frontier is written once. symmetric says that every link goes both ways: what a round finds again is then in the last
+    two frontiers, and only those are taken away, so the work of a round does not grow with the rounds before. Otherwise it
+    is taken from all, which are brought together from time to time to keep the plan small.
     """
-    known = seeds.select(F.col(node).alias("node")).where("node is not null").distinct().withColumn("distance", F.lit(0)).checkpoint()
-    frontier = known
+    rounds = [seeds.select(F.col(node).alias("node")).where("node is not null").distinct().withColumn("distance", F.lit(0)).checkpoint()]
     edges = edges.checkpoint()
     for k in range(1, MAX_ROUNDS):
-        nearby = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        last = rounds[-1]
+        known = reduce(DataFrame.unionByName, rounds[-2:] if symmetric else rounds)
+        nearby = last.join(edges, last.node == edges.src).select(F.col("dst").alias("node")).distinct()
         frontier = nearby.join(known, "node", "left_anti").withColumn("distance", F.lit(k)).checkpoint()
         if frontier.isEmpty():
-            return known
-        known = known.unionByName(frontier).checkpoint()
+            return reduce(DataFrame.unionByName, rounds)
+        rounds.append(frontier)
+        if len(rounds) > MERGE:
+            rounds = [reduce(DataFrame.unionByName, rounds[:-2]).checkpoint(), *rounds[-2:]]
     raise RuntimeError(f"the closure did not end in {MAX_ROUNDS} rounds")
 
 

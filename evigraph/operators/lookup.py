@@ -56,11 +56,14 @@ def longest_pattern(rows: DataFrame, text: str, patterns: list[tuple[str, str]])
 
 def most_specific_key(rows: DataFrame, text: str, keys: DataFrame, pattern: str, group: list[str]) -> DataFrame:
     """Adds key: of the patterns of the row's group the exact one, else that with the most UTF-16 units before its star,
-    then in all. A pattern's literal prefix is looked up among the text's own prefixes, so no pair is tried in vain."""
+    then in all. A pattern's literal prefix is looked up among the text's own prefixes, so no pair is tried in vain; only
+    prefixes of a length that a pattern of the group has are made, so a long text costs no more than there are lengths."""
     p = F.col(pattern)
     held = keys.select(*group, p.alias("_key"), F.substring_index(p, "*", 1).alias("_prefix"), p.contains("*").alias("_star"))
     texts = rows.select(*group, F.col(text).alias("_t")).distinct()
-    tried = texts.select(*group, "_t", F.explode(F.transform(F.sequence(F.lit(0), F.length("_t")), lambda i: F.substring(F.col("_t"), F.lit(1), i))).alias("_prefix"))
+    lengths = held.groupBy(*group).agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    own = F.filter("_lengths", lambda n: n <= F.length("_t"))
+    tried = texts.join(lengths, group).select(*group, "_t", F.explode(F.transform(own, lambda n: F.substring(F.col("_t"), F.lit(1), n))).alias("_prefix"))
     found = tried.join(held, [*group, "_prefix"])
     found = found.where(F.when(F.col("_star"), paths.star_capture(F.col("_t"), F.col("_key")).isNotNull()).otherwise(F.col("_key") == F.col("_t")))
     rank = F.struct(~F.col("_star"), paths.utf16_length(F.col("_prefix")), paths.utf16_length(F.col("_key")), F.col("_key"))

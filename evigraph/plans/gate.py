@@ -1,28 +1,70 @@
 """Write gate: evidence before and after a planned change, reduced to one decision.
 
-Opening reserves paths and keeps the evidence of that moment as a run. Closing audits again, compares inputs and findings
-with it, and decides. Reservations that overlap those of another open gate are refused.
+Opening reserves paths to write and to read, and keeps the evidence of that moment as a run. Closing audits again, brings the
+baseline up to the transitions that other gates have published since, compares inputs, findings and limitations with it, and
+decides. Only a decision that lets the change stand closes the gate and publishes its changes as a transition; any other one
+leaves it open. The control document holds open gates and their ledger; evidence is in the store's runs.
 """
 
 from __future__ import annotations
 
+import os
+import stat
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import delta, graph
+from ..operators import delta, gates, graph, ledger
 from .audit import Audit, audit
 from .runs import RunStore, now_ms
 
-FACT_KEYS = ["rule_id", "path", "namespace", "exported_name"]
+FACT_KEYS = ["family", "rule_id", "path", "namespace", "name"]
 OPEN, CLOSED, ABANDONED = "open", "closed", "abandoned"
-
-
-def facts(findings: DataFrame) -> DataFrame:
-    """Findings as delta facts: one target, the disposition as evidence."""
-    return findings.select(*FACT_KEYS, F.array("path").alias("targets"), F.col("disposition.kind").alias("evidence"))
+#: Confidence by rank, the surer the higher.
+CONFIDENCE = ("heuristic", "grounded")
+PENDING = "path string, gate string"
+
+
+def facts(findings: DataFrame, limitations: DataFrame) -> DataFrame:
+    """Findings and limitations as delta facts: what they are about as targets, confidence and grounding as ranks, the disposition
+    or the candidates as evidence. Limitations are the family of opaque facts; equal keys are merged."""
+    rank = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("confidence")).cast("int")
+    shown = findings.select(F.lit("finding").alias("family"), "rule_id", "path", "namespace", F.col("exported_name").alias("name"), F.array("claim").alias("targets"), rank.alias("confidence"), F.when(F.col("start").isNotNull(), 1).otherwise(0).alias("grounding"), F.col("disposition.kind").alias("evidence"))
+    opaque = limitations.select(F.lit("opacity").alias("family"), F.col("reason").alias("rule_id"), "path", F.lit("").alias("namespace"), F.col("detail").alias("name"), F.col("candidates").alias("targets"), F.lit(1).alias("confidence"), F.lit(1).alias("grounding"), F.lit(None).cast("string").alias("evidence"))
+    return delta.merge_facts(shown.unionByName(opaque), FACT_KEYS, ["targets"], ["confidence", "grounding"], ["evidence"])
+
+
+def unsupported(root: str, path: str) -> str | None:
+    """Why a declared path cannot be reserved; None if it can. A path that does not exist yet can."""
+    parts = path.split("/")
+    if not path or "\0" in path:
+        return "empty"
+    if path.startswith("/") or "\\" in path:
+        return "not-relative"
+    if ".." in parts:
+        return "escapes-root"
+    if any(p in ("", ".") for p in parts):
+        return "not-canonical"
+    if parts[0] == ".git":
+        return "pruned"
+    at = root
+    for k, part in enumerate(parts):
+        at = os.path.join(at, part)
+        try:
+            kind = os.lstat(at).st_mode
+        except FileNotFoundError:
+            return None
+        except OSError:
+            return "unreadable"
+        if stat.S_ISLNK(kind):
+            return "symbolic-link"
+        if k < len(parts) - 1 and not stat.S_ISDIR(kind):
+            return "below-a-file"
+        if k == len(parts) - 1 and not (stat.S_ISDIR(kind) or stat.S_ISREG(kind)):
+            return "not-regular"
+    return None
 
 
 def _tables(found: Audit) -> dict[str, DataFrame]:
@@ -33,35 +75,40 @@ class Gate:
     def __init__(self, spark: SparkSession, root: str, store: RunStore):
         self.spark, self.root, self.store = spark, root, store
 
-    def _paths(self, values: Sequence[str], key: str) -> DataFrame:
-        rows = self.spark.createDataFrame([(key, v) for v in values], "gate string, path string")
+    def _paths(self, values: dict[str, Sequence[str]]) -> DataFrame:
+        """(gate, path, parts) of the paths of each gate."""
+        rows = self.spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "gate string, path string")
         return rows.withColumn("parts", paths.components(F.col("path")))
 
-    def open(self, leases: Sequence[str], operation: str | None = None) -> dict:
-        """{gate, decision, run}. leases are files or directories that the change may write."""
-        body = ["open", self.root, sorted(leases)]
+    def _overlap(self, mine: Sequence[str], theirs: dict[str, Sequence[str]]) -> bool:
+        if not mine or not any(theirs.values()):
+            return False
+        return not graph.overlaps(self._paths({"": mine}), self._paths(theirs), "gate", "parts").isEmpty()
+
+    def open(self, leases: Sequence[str], reads: Sequence[str] = (), operation: str | None = None) -> dict:
+        """{gate, decision, run, signals}. leases are files or directories that the change may write, reads those that must not
+        change meanwhile. A reservation that meets that of another open gate, or a path that cannot be declared, is refused."""
+        body = ["open", self.root, sorted(leases), sorted(reads)]
         with self.store.control() as c:
             if (old := self.store.once(c, operation, body)) is not None:
                 return old
-            others = {g: x["leases"] for g, x in c.setdefault("gates", {}).items() if x["state"] == OPEN}
+            others = {g: x for g, x in c.setdefault("gates", {}).items() if x["state"] == OPEN}
             gate = f"gate-{self.store.next(c, 'gate'):016x}"
-            c["gates"][gate] = {"state": OPEN, "leases": sorted(leases), "opened_ms": now_ms(), "revisions": []}
+            baseline = c["sequences"].get("transition", 0)
+            c["gates"][gate] = {"state": OPEN, "leases": sorted(leases), "reads": sorted(reads), "baseline": baseline, "references": [], "opened_ms": now_ms(), "revisions": []}
         signals = []
-        if others:
-            held = self.spark.createDataFrame([(g, p) for g, ps in others.items() for p in ps], "gate string, path string").withColumn("parts", paths.components(F.col("path")))
-            if not graph.overlaps(self._paths(leases, gate), held, "gate", "parts").isEmpty():
-                signals.append("write-conflict")
-        if any(".." in p.split("/") or p.startswith("/") for p in leases):
+        if self._overlap(leases, {g: x["leases"] for g, x in others.items()}):
+            signals.append("write-conflict")
+        if self._overlap(leases, {g: x["reads"] for g, x in others.items()}) or self._overlap(reads, {g: x["leases"] for g, x in others.items()}):
+            signals.append("semantic-input-conflict")
+        if any(unsupported(self.root, p) for p in (*leases, *reads)):
             signals.append("declared-path-unsupported")
         if signals:
             return self._finish(gate, ABANDONED, signals, None, operation, body)
         found = audit(self.spark, self.root)
         run = self.store.publish(_tables(found), found.state())
-        if found.state() != "complete":
-            signals.append("required-evidence-incomplete")
-        elif not found.findings.isEmpty():
-            signals.append("pre-existing-adverse-facts")
-        return self._finish(gate, OPEN, signals, run, operation, body)
+        raised = gates.opening_signals(found.limitations, found.findings, found.limitations.where(F.lit(False)))
+        return self._finish(gate, OPEN, [r.signal for r in raised.collect()], run, operation, body)
 
     def close(self, gate: str, operation: str | None = None) -> dict:
         """{gate, decision, run, signals}: what changed since the gate was opened, and whether the plan covers it."""
@@ -72,32 +119,85 @@ class Gate:
             entry = c["gates"][gate]
             if entry["state"] != OPEN:
                 raise KeyError(f"{gate} is {entry['state']}")
-        base = entry["revisions"][-1]["run"]
+            others = {g: x for g, x in c["gates"].items() if x["state"] == OPEN and g != gate}
+            moves = [t for t in c.get("transitions", []) if t["sequence"] > entry["baseline"]]
+        base = next(r["run"] for r in entry["revisions"] if r["run"])
         found = audit(self.spark, self.root)
         run = self.store.publish(_tables(found), found.state())
-        before, after = self.store.read(base, "sources"), self.store.read(run, "sources")
-        changed = delta.input_changes(before, after, "path", ["payload_sha256"], before.limit(0), before.limit(0)).select("path", paths.components(F.col("path")).alias("parts"))
-        leased = self._paths(entry["leases"], gate)
-        # a changed input is planned if a lease is the path or one of its ancestors
-        under = changed.select("path", F.explode(paths.ancestors(F.col("parts"))).alias("p"))
-        unplanned = changed.join(under.join(leased.select(F.col("parts").alias("p")), "p"), "path", "left_anti")
-        names = [] if unplanned.isEmpty() else ["unplanned-write"]
+        names = []
+        before, broken = self._reconciled(self.store.read(base, "sources"), [t for t in moves if t["sequence"] in entry["references"]])
+        if broken:
+            names.append("transition-chain-broken")
+        if self._catalog_changed(gate, entry, moves):
+            names.append("transition-catalog-changed")
+        after = self.store.read(run, "sources").select("path", "payload_sha256")
+        both = before.select("path").union(after.select("path")).distinct().withColumn("parts", paths.components(F.col("path")))
+        leased = gates.covered(both, "path", "parts", self._paths({gate: entry["leases"]}), "parts")
+        read = gates.covered(both, "path", "parts", self._paths({gate: entry["reads"]}), "parts")
+        changes = gates.closing_inputs(before, after, "path", ["payload_sha256"], leased, before.join(read, "path", "left_semi")).checkpoint()
+        names += [r.signal for r in gates.closing_signals(changes).collect()]
+        touched = changes.select("path").join(both, "path")
+        if others and not gates.pending(touched, "path", "parts", self._paths({g: x["leases"] for g, x in others.items()}), "gate", "parts").isEmpty():
+            names.append("active-transition-pending")
         if found.state() != "complete":
             names.append("required-evidence-incomplete")
-        deltas = delta.lifecycle(facts(self.store.read(base, "findings")), facts(self.store.read(run, "findings")), FACT_KEYS, ["targets"], [], ["evidence"])
-        names += [r.signal for r in delta.signals(deltas).collect()]
-        return self._finish(gate, CLOSED, names, run, operation, body)
-
-    def abandon(self, gate: str) -> dict:
-        return self._finish(gate, ABANDONED, [], None, None, None)
-
-    def _finish(self, gate: str, state: str, signals: list[str], run: str | None, operation: str | None, body: object) -> dict:
-        raised = self.spark.createDataFrame([(s, 1) for s in signals], "signal string, n long")
-        decision = delta.decide(raised).first()["decision"]
-        result = {"gate": gate, "decision": decision, "run": run, "signals": sorted(signals)}
+        was, now = (facts(self.store.read(r, "findings"), self.store.read(r, "limitations")) for r in (base, run))
+        deltas = delta.lifecycle(was, now, FACT_KEYS, ["targets"], ["confidence", "grounding"], ["evidence"])
+        names += [r.signal for r in delta.signals(deltas, ["confidence", "grounding"], F.col("family") == "opacity").collect()]
+        old, new = (df.select("path", F.col("payload_sha256").alias(name)) for df, name in ((before, "before"), (after, "after")))
+        moved = changes.where("scope = 'leased'").select("path").join(old, "path", "left").join(new, "path", "left").collect()
+        return self._finish(gate, CLOSED, names, run, operation, body, [[r["path"], r["before"], r["after"]] for r in moved])
+
+    def _reconciled(self, sources: DataFrame, moves: list[dict]) -> tuple[DataFrame, bool]:
+        """(path, payload_sha256) of a baseline after other gates' transitions, and whether one of them does not fit."""
+        state = sources.select("path", "payload_sha256")
+        if not moves:
+            return state, False
+        rows = self.spark.createDataFrame([(p, t["sequence"], a, b) for t in moves for p, a, b in t["paths"]], "path string, sequence long, before string, after string")
+        out = ledger.reconcile(rows, ["path"], "sequence", "before", "after", state, "payload_sha256").checkpoint()
+        return out.where("expected is not null").select("path", F.col("expected").alias("payload_sha256")), not out.where("broken_at is not null").isEmpty()
+
+    def _catalog_changed(self, gate: str, entry: dict, moves: list[dict]) -> bool:
+        """Whether the transitions that a gate refers to are not those of the ledger behind its baseline."""
+        if not moves and not entry["references"]:
+            return False
+        ledger_rows = self.spark.createDataFrame([(t["gate"], t["sequence"]) for t in moves], "gate string, sequence long")
+        held = self.spark.createDataFrame([(gate, s) for s in entry["references"]], "gate string, sequence long")
+        one = self.spark.createDataFrame([(gate, entry["baseline"])], "gate string, baseline long")
+        return not gates.reference_faults(held, gates.attach(ledger_rows, one, "gate", "sequence", "baseline"), "gate", "sequence").isEmpty()
+
+    def abandon(self, gate: str, operation: str | None = None) -> dict:
+        """Gives an open gate's reservations back, without a decision on what was changed. Others are refused."""
+        body = ["abandon", gate]
         with self.store.control() as c:
-            c["gates"][gate]["state"] = state
-            c["gates"][gate]["revisions"].append({"run": run, "decision": decision, "signals": sorted(signals), "at_ms": now_ms()})
-            if state != OPEN:
-                c["gates"][gate]["leases"] = [] if state == ABANDONED else c["gates"][gate]["leases"]
+            if (old := self.store.once(c, operation, body)) is not None:
+                return old
+            entry = c["gates"][gate]
+            if entry["state"] != OPEN:
+                raise KeyError(f"{gate} is {entry['state']}")
+            self._release(entry, ABANDONED)
+            entry["revisions"].append({"run": None, "decision": None, "signals": [], "at_ms": now_ms()})
+            return self.store.done(c, operation, body, {"gate": gate, "decision": None, "run": None, "signals": []})
+
+    @staticmethod
+    def _release(entry: dict, state: str) -> None:
+        entry["state"], entry["references"] = state, []
+        if state == ABANDONED:
+            entry["leases"] = entry["reads"] = []
+
+    def _finish(self, gate: str, state: str, signals: list[str], run: str | None, operation: str | None, body: object, moved: Sequence[list] = ()) -> dict:
+        raised = self.spark.createDataFrame([(s,) for s in signals], "signal string")
+        verdict = delta.decide(raised).withColumn("stands", gates.authorises(F.col("decision"))).first()
+        result = {"gate": gate, "decision": verdict["decision"], "run": run, "signals": sorted(set(signals))}
+        with self.store.control() as c:
+            entry = c["gates"][gate]
+            entry["revisions"].append({"run": run, "decision": verdict["decision"], "signals": result["signals"], "at_ms": now_ms()})
+            if state == ABANDONED or (state == CLOSED and verdict["stands"]):
+                self._release(entry, state)
+            if entry["state"] == CLOSED and moved:
+                sequence = self.store.next(c, "transition")
+                c.setdefault("transitions", []).append({"sequence": sequence, "gate": gate, "revision": len(entry["revisions"]), "paths": sorted(map(list, moved))})
+                for g, x in c["gates"].items():
+                    if g != gate and x["state"] == OPEN and x["baseline"] < sequence:
+                        x["references"].append(sequence)
             return self.store.done(c, operation, body, result)

@@ -14,15 +14,15 @@ def test_every_page_is_a_lease_and_a_root(spark, tmp_path):
     parts = {k: parts_of(v) for k, v in URLS.items()}
     covers = lambda a, b: b[: len(a)] == a
     pairs = sorted((a, b) for a, p in parts.items() for b, q in parts.items() if p is not None and q is not None and (covers(p[:2], q) or covers(q, p[:2])))
-    got = crosswalk.QUERIES["lease_overlap_whole"](spark, str(tmp_path)).collect()
+    got = crosswalk.QUERIES["lease_overlap"](spark, str(tmp_path)).collect()
     assert sorted((r.left, r.right) for r in got) == pairs
     owners = {k: (None, -1) if p is None else ("/".join(p[:2]), len(p[:2])) for k, p in parts.items()}
-    got = crosswalk.QUERIES["most_specific_ancestor_whole"](spark, str(tmp_path)).collect()
+    got = crosswalk.QUERIES["most_specific_ancestor"](spark, str(tmp_path)).collect()
     assert {r.page_id: (r.owner, r.depth) for r in got} == owners
 
 
 def test_the_closure_runs_over_all_lines(spark, tmp_path):
     lines = [(1, 5), (2, 5), (2, 6), (3, 6), (4, 7)]
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = crosswalk.QUERIES["adjacency_closure_whole"](spark, str(tmp_path)).collect()
+    got = crosswalk.QUERIES["adjacency_closure"](spark, str(tmp_path)).collect()
     assert sorted(r.node for r in got) == ["o1", "o2", "o3", "s5", "s6"]

@@ -95,10 +95,47 @@ def test_gate_decides_by_what_changed(spark, store, tmp_path):
     (root / "src" / "lib.ts").write_text("export const used = 1; export const dead = 2")
     closed = gate.close(first["gate"])
     assert closed["decision"] == "deny" and closed["signals"] == ["adverse-fact-introduced"]
+    assert gate.open(["src/lib.ts"])["signals"] == ["write-conflict"]  # a refused change keeps its gate open
+    assert gate.abandon(first["gate"], "o2") == gate.abandon(first["gate"], "o2")
+    with pytest.raises(KeyError):
+        gate.abandon(first["gate"])
     second = gate.open(["src/lib.ts"])
-    assert second["decision"] == "allow-with-warnings"
+    assert (second["decision"], second["signals"]) == ("allow-with-warnings", ["finding-warnings"])
     (root / "src" / "main.ts").write_text("import {used} from './lib'\nused()")
     (root / "src" / "lib.ts").write_text("export const used = 1")
     assert gate.close(second["gate"])["signals"] == ["unplanned-write"]
+    (root / "src" / "main.ts").write_text("import {used} from './lib'")
+    assert gate.close(second["gate"])["decision"] == "allow"
     with pytest.raises(KeyError):
         gate.close(second["gate"])
+
+
+def test_gates_side_by_side(spark, store, tmp_path):
+    """A transition of one gate is part of the other's baseline; what a gate reads must stay; reservations do not cross."""
+    root = tmp_path / "repo"
+    (root / "src").mkdir(parents=True)
+    for name in ("a", "b", "c"):
+        (root / "src" / f"{name}.ts").write_text(f"export const {name} = 1")
+    (root / "src" / "main.ts").write_text("import {a} from './a'; import {b} from './b'; import {c} from './c'")
+    gate = Gate(spark, str(root), store)
+    one, two = gate.open(["src/a.ts"])["gate"], gate.open(["src/b.ts"], reads=["src/c.ts"])["gate"]
+    assert gate.open(["src/c.ts"])["signals"] == ["semantic-input-conflict"]
+    for bad in ("/etc/x", "../x", "src//a.ts", "", "src/a.ts/below", ".git/x"):
+        assert "declared-path-unsupported" in gate.open([bad])["signals"]
+    (root / "src" / "a.ts").write_text("export const a = 2")
+    assert gate.close(one)["decision"] == "allow"
+    with store.control(write=False) as c:
+        assert c["gates"][two]["references"] == [1] and [t["paths"][0][0] for t in c["transitions"]] == ["src/a.ts"]
+    (root / "src" / "c.ts").write_text("export const c = 2")
+    assert (late := gate.close(two))["signals"] == ["protected-input-changed"] and late["decision"] == "stale"
+    (root / "src" / "c.ts").write_text("export const c = 1")
+    (root / "src" / "a.ts").write_text("export const a = 3")
+    assert gate.close(two)["signals"] == ["unplanned-write"]  # not what the transition left there
+    (root / "src" / "a.ts").write_text("export const a = 2")
+    (root / "src" / "b.ts").write_text("export const b = 2")
+    with store.control() as c:
+        c["gates"][two]["references"] = []
+    assert "transition-catalog-changed" in gate.close(two)["signals"]
+    with store.control() as c:
+        c["gates"][two]["references"] = [1]
+    assert gate.close(two)["decision"] == "allow"
