@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, paths
 from ..operators import delta, fanin, gates, graph, integrity, ledger, lookup, paging, reduce, retention
+from . import specimen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -700,3 +701,12 @@ def checked_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "?").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
     stay, _ = retention.checked_delete(orders, "o_orderkey", "o_orderstatus", planned)
     return orders.select("o_orderkey").join(stay.select("o_orderkey", F.lit(True).alias("s")), "o_orderkey", "left").select("o_orderkey", F.coalesce("s", F.lit(False)).alias("stays"))
+
+
+@query(specimen.SQL)
+def audit_generated_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit, from scan to findings, of a repository that has a module for every supplier."""
+    from ..sources.state import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return specimen.unused(spark, specimen.write(spark, sf_dir))
