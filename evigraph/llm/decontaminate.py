@@ -1,9 +1,10 @@
 """Benchmark decontamination by winnowing.
 
 Of the K-gram hashes of a text the smallest in each window of WINDOW consecutive ones is kept, all of them on a tie. Two
-texts that share LENGTH = K + WINDOW - 1 words in a row therefore keep a common hash. Documents and benchmark items meet on
-these fingerprints, and each meeting is extended word by word along its diagonal; runs of LENGTH words or more are hits, so
-the result is exactly the set of shared windows. Items of fewer words than LENGTH are matched as a whole by their hash.
+texts that share LENGTH = K + WINDOW - 1 words in a row therefore keep a common hash. Documents and benchmark items are joined
+on these fingerprints. A fingerprint carries the words that any window around it can have, so each meeting is extended word
+by word where it is met; runs of LENGTH words or more are hits. Every shared window has a fingerprint of its own, so the
+union of the runs is exactly the set of shared windows. Items of fewer words than LENGTH are joined as a whole by their hash.
 """
 
 from __future__ import annotations
@@ -16,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
-from .runtime import bound_batches
+from . import idset, tokens
+from .runtime import bound_batches, materialize
 
 LENGTH, K = 10, 5
 WINDOW = LENGTH - K + 1
-#: Words of benchmark items sent to the tasks at once; a larger benchmark is taken in several passes over the documents.
-BLOCK_WORDS = 2_000_000
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -41,134 +40,136 @@ def winnow(hashes: np.ndarray, ok: np.ndarray, window: int = WINDOW) -> np.ndarr
     return np.flatnonzero(kept & ok)
 
 
-class Block:
-    """Some benchmark items: their words in one array, the sorted fingerprints of the long ones, the hashes of the short ones."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        self.names = [x[0] for x in items]
-        words, firsts = [], [0]
-        for part in tokens.slices(pa.array([x[1] for x in items], pa.large_string()), tokens.LETTERS):
-            words.append(part.hashes)
-            firsts += (part.word_offsets[1:] + firsts[part.first]).tolist()
-        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        self.firsts = np.array(firsts, np.int64)
-        self.item = np.repeat(np.arange(len(items)), np.diff(self.firsts))
-        sizes = np.diff(self.firsts)
-        grams = tokens.grams(self.words, K)
-        ok = (self.item[: len(grams)] == self.item[K - 1 :]) & (sizes[self.item[: len(grams)]] >= LENGTH) if len(grams) else np.zeros(0, bool)
-        at = winnow(grams, ok)
-        order = np.argsort(grams[at], kind="stable")
-        self.print_at, self.prints = at[order], grams[at][order]
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for k in np.flatnonzero((sizes > 0) & (sizes < LENGTH)).tolist():
-            whole = int(tokens.grams(self.words[self.firsts[k] : self.firsts[k + 1]], int(sizes[k]))[0])
-            self.short.setdefault(int(sizes[k]), {}).setdefault(whole, []).append(k)
-
-
-def _common(a: np.ndarray, i: int, stop_i: int, b: np.ndarray, j: int, stop_j: int, step: int) -> int:
-    """How many words agree from (i, j) on, in steps of +1 or -1, before either end."""
-    most, n, size = min((stop_i - i) * step, (stop_j - j) * step), 0, 16
-    while n < most:
-        m = min(size, most - n)
-        x = a[i + n : i + n + m] if step > 0 else a[i - n - m + 1 : i - n + 1][::-1]
-        y = b[j + n : j + n + m] if step > 0 else b[j - n - m + 1 : j - n + 1][::-1]
-        differ = np.flatnonzero(x != y)
-        if len(differ):
-            return n + int(differ[0])
-        n, size = n + m, size * 4
-    return n
-
-
-def _hits(part: tokens.Slice, block: Block) -> tuple[np.ndarray, dict[int, set[int]]]:
-    """A flag for each word of the slice, and the items of each text that has any."""
+def _around(words: np.ndarray, of: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
+    """For each K-gram position its words and the LENGTH - K before and behind it; outside stands for those of another text."""
+    place = at[:, None] + np.arange(K - LENGTH, LENGTH)
+    inside = (place >= 0) & (place < len(words))
+    place = np.clip(place, 0, max(len(words) - 1, 0))
+    return np.where(inside & (of[place] == of[at][:, None]), words[place], np.uint64(outside))
+
+
+def _prints(part: tokens.Slice, outside: int, sizes: tuple[int, ...], whole: bool, held=None) -> tuple[np.ndarray, ...]:
+    """(text, size, print, position, words around) of the texts of a slice, by text.
+
+    Size 0 marks winnowed K-grams of texts of LENGTH words or more. Size n marks n-grams: with whole, that of each text that has
+    just n words, else all of them. Only prints that the filter may hold, if one is given.
+    """
     words, of = part.hashes, part.text_of_word()
-    hit, items = np.zeros(len(words), bool), {}
-    grams = tokens.grams(words, K)
-    if len(grams) and len(block.prints):
-        at = winnow(grams, tokens.gram_ok(part, K))
-        found = grams[at]
-        left, right = np.searchsorted(block.prints, found, "left"), np.searchsorted(block.prints, found, "right")
-        seen: dict[tuple[int, int], int] = {}  # text and diagonal of item: the end of the last extended run
-        for k in np.flatnonzero(right > left).tolist():
-            i = int(at[k])
-            text = int(of[i])
-            for j in block.print_at[left[k] : right[k]].tolist():
-                if seen.get((text, i - j), -1) > i:
-                    continue
-                item = int(block.item[j])
-                ahead = _common(words, i, int(part.word_offsets[text + 1]), block.words, j, int(block.firsts[item + 1]), 1)
-                back = _common(words, i, int(part.word_offsets[text]) - 1, block.words, j, int(block.firsts[item]) - 1, -1) if ahead else 1
-                seen[text, i - j] = i + max(ahead, 1)
-                if ahead + back - 1 >= LENGTH:
-                    hit[i - back + 1 : i + ahead] = True
-                    items.setdefault(text, set()).add(item)
-    for n, wholes in block.short.items():
-        runs = tokens.grams(words, n)
-        if len(runs):
-            for i in np.flatnonzero(np.isin(runs, np.array(list(wholes), np.uint64)) & tokens.gram_ok(part, n)).tolist():
-                hit[i : i + n] = True
-                items.setdefault(int(of[i]), set()).update(wholes[int(runs[i])])
-    return hit, items
-
-
-def _scan(block) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    counts = np.diff(part.word_offsets)
+    found = []
+    for n in (0, *sizes):
+        grams = tokens.grams(words, n or K)
+        at = winnow(grams, tokens.gram_ok(part, K) & (counts[of[: len(grams)]] >= LENGTH)) if not n else np.flatnonzero(tokens.gram_ok(part, n) & (~np.bool_(whole) | (counts[of[: len(grams)]] == n)))
+        if held is not None and len(at):
+            at = at[idset.may_hold(held, pa.array(_filed(grams[at], n)))]
+        around = _around(words, of, at, outside) if not n else np.zeros((len(at), 0), np.uint64)
+        found += [(int(of[i]), n, int(g), int(i - part.word_offsets[of[i]]), x) for i, g, x in zip(at.tolist(), grams[at].view(np.int64).tolist(), around.view(np.int64), strict=True)]
+    found.sort(key=lambda x: x[0])
+    return found
+
+
+def _filed(prints: np.ndarray, n: int) -> np.ndarray:
+    """Prints as the filter has them, apart by size."""
+    return tokens.mix64(prints ^ tokens.mix64(np.array([n + 1], np.uint64))).view(np.int64)
+
+
+def _item_prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, text) to (item, size, print, filed, around)."""
+    for batch in batches:
+        for part in tokens.slices(batch.column(1), tokens.LETTERS):
+            rows = _prints(part, 1, tuple(range(1, LENGTH)), True)
+            items = batch.column(0).slice(part.first, part.last - part.first).take(pa.array([r[0] for r in rows], pa.int64()))
+            filed = [int(_filed(np.array([r[2]], np.int64).view(np.uint64), r[1])[0]) for r in rows]
+            yield pa.RecordBatch.from_arrays([items, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array(filed, pa.int64()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], names=["item", "size", "print", "filed", "around"])
+
+
+_PRINT = pa.struct([("size", pa.int32()), ("print", pa.int64()), ("at", pa.int32()), ("around", pa.list_(pa.int64()))])
+
+
+def _document_prints(held, sizes: tuple[int, ...]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(row1, row2, doc_id, text) to (row1, row2, doc_id, n_words, prints): prints that the filter of item prints may hold."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch.column(1), tokens.LETTERS):
-                hit, items = _hits(part, block.value)
+            for part in tokens.slices(batch.column(3), tokens.LETTERS):
                 n = part.last - part.first
-                places, names = [], []
-                for k in range(n):
-                    own = items.get(k)
-                    places.append(np.flatnonzero(hit[part.word_offsets[k] : part.word_offsets[k + 1]]).astype(np.int32) if own else [])
-                    names.append(sorted((block.value.names[x] for x in own), key=lambda x: (x is None, x or "")) if own else [])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, n), pa.array(np.diff(part.word_offsets), pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
-                    names=["row", "n_words", "hits", "items"],
-                )
+                prints: list[list] = [[] for _ in range(n)]
+                for text, size, value, at, around in _prints(part, 0, sizes, False, held.value):
+                    prints[text].append({"size": size, "print": value, "at": at, "around": around})
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.first, n) for c in range(3)), pa.array(np.diff(part.word_offsets), pa.int64()), pa.array(prints, pa.list_(_PRINT))], names=["row1", "row2", "doc_id", "n_words", "prints"])
 
     return run
 
 
-def _blocks(items: DataFrame, words: int) -> Iterator[Block]:
-    held, size = [], 0
-    for row in items.toLocalIterator():
-        n = len(row["text"]) // 2 + 1  # a bound on its words
-        if held and size + n > words:
-            yield Block(held)
-            held, size = [], 0
-        held.append((row["item"], row["text"]))
-        size += n
-    if held:
-        yield Block(held)
+def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Meetings (row1, row2, item, size, at, mine, theirs) of equal prints to hits (row1, row2, item, first, last): the run of equal
+    words around a K-gram, if it has LENGTH words, and the whole n-gram of a shorter item."""
+    for batch in batches:
+        size, at = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (3, 4))
+        long = np.flatnonzero(size == 0)
+        first, last = at.copy(), at + size
+        if len(long):
+            width = 2 * LENGTH - K
+            mine, theirs = (batch.column(c).take(pa.array(long)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for c in (5, 6))
+            same = mine == theirs
+            side = LENGTH - K
+            back = np.cumprod(same[:, :side][:, ::-1], axis=1).sum(axis=1)
+            ahead = np.cumprod(same[:, side + K :], axis=1).sum(axis=1)
+            whole = same[:, side : side + K].all(axis=1) & (back + K + ahead >= LENGTH)
+            first[long], last[long] = at[long] - back, np.where(whole, at[long] + K + ahead, -1)
+        keep = pa.array(last >= 0)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in range(3)), pa.array(first.astype(np.int32)).filter(keep), pa.array((last - 1).astype(np.int32)).filter(keep)], names=["row1", "row2", "item", "first", "last"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, n_words, hits (positions of hit words) and items (ids whose windows occur).
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with two hashes of id and text, by which rows are told apart."""
+    doc, text = F.col("doc_id").cast("string"), F.col("text").cast("string")
+    return docs.withColumns({_ROW[0]: F.xxhash64(doc.isNull(), doc, text), _ROW[1]: F.xxhash64(F.lit(1), text, doc)})
 
-    Words are runs of digits, letters and characters beyond ASCII, with A-Z lower-cased. A window is LENGTH consecutive
-    words of an item, or all words of a shorter one; items without words have none. Null and empty texts have no words and
-    no hits. Null item ids name no item, though their windows hit. Repeated documents and items are matched each for
-    itself; equal item ids count once. Where the benchmark exceeds block_words the documents are read once a block.
+
+_ROW = ("_decontaminate_row1", "_decontaminate_row2")
+
+
+def _meet(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every row with its number of words, hits(row1, row2, item, first, last)): documents and items joined by fingerprint.
+
+    The benchmark's prints are a table. A filter of bounded size made of them lets few prints of other documents through to
+    the join; where it is too full for a very large benchmark, more rows move and the result is the same.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    rows = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, n_words bigint, hits array<int>, items array<string>"
-    passes = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(block)), schema) for block in _blocks(items, block_words)]
-    if not passes:
-        passes = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(Block([]))), schema)]
-    found = passes[0]
-    if len(passes) > 1:
-        # every pass has every row; only rows with hits are merged, by id and text
-        some = passes[0].where("size(items) > 0").select("row", "hits", "items")
-        for one in passes[1:]:
-            some = some.unionByName(one.where("size(items) > 0").select("row", "hits", "items"))
-        merged = some.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"))
-        found = found.join(merged, "row", "left").select("row", "n_words", F.coalesce("_hits", "hits").alias("hits"), F.coalesce("_items", "items").alias("items"))
-    return found.select("row.doc_id", "n_words", "hits", F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull()))).alias("items"))
+    theirs = materialize(items.mapInArrow(_item_prints, "item string, size int, print long, filed long, around array<long>"), "decontaminate-items")
+    sizes = tuple(sorted(r["size"] for r in theirs.where("size > 0").select("size").distinct().collect()))  # nine at most
+    held = spark.sparkContext.broadcast(idset.build(theirs.select("filed")))
+    rows = _keyed(docs.select("doc_id", "text")).select(F.col(_ROW[0]).alias("row1"), F.col(_ROW[1]).alias("row2"), "doc_id", F.col("text").cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row1 long, row2 long, doc_id {kind}, n_words long, prints array<struct<size:int,print:long,at:int,around:array<long>>>"
+    mine = materialize(rows.mapInArrow(_document_prints(held, sizes), schema), "decontaminate-prints")
+    held.unpersist()
+    told = mine.where("size(prints) > 0").select("row1", "row2", F.explode("prints").alias("p")).select("row1", "row2", "p.size", "p.print", "p.at", F.col("p.around").alias("mine"))
+    met = told.join(theirs.select("size", "print", "item", F.col("around").alias("theirs")), ["size", "print"])
+    hits = met.select("row1", "row2", "item", "size", "at", "mine", "theirs").mapInArrow(_extend, "row1 long, row2 long, item string, first int, last int")
+    return mine.drop("prints"), hits
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """For each row of docs(doc_id, text): doc_id, n_words, hits (positions of hit words) and items (ids whose windows occur).
+
+    Words are runs of digits, letters and characters beyond ASCII, with A-Z lower-cased. A window is LENGTH consecutive
+    words of an item, or all words of a shorter one; items without words have none. Null and empty texts have no words and
+    no hits. Null item ids name no item, though their windows hit. Rows that repeat an id are told apart by their text, and
+    repeated rows have the same hits each; equal item ids count once. Texts of any length are read whole; other columns are
+    not read. Empty tables of documents or items give no row, or no hits.
+    """
+    rows, hits = _meet(docs, benchmark)
+    hits = materialize(hits.distinct(), "decontaminate-hits")
+    row = ["row1", "row2"]
+    places = hits.select(*row, "first", "last").distinct().select(*row, F.explode(F.sequence("first", "last")).alias("at")).distinct()
+    places = places.groupBy(*row).agg(F.array_sort(F.collect_list("at")).alias("_hits"))
+    names = hits.where("item is not null").select(*row, "item").distinct().groupBy(*row).agg(F.array_sort(F.collect_list("item")).alias("_items"))
+    found = rows.join(places.join(names, row, "left"), row, "left")
+    return found.select("doc_id", "n_words", F.coalesce("_hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -184,24 +185,14 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _drop_hit(block, text_at: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for part in tokens.slices(batch.column(text_at), tokens.LETTERS):
-                keep[[part.first + k for k in _hits(part, block.value)[1]]] = False
-            yield batch.filter(pa.array(keep))
-
-    return run
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs, with all their columns; null and empty texts stay."""
-    bound_batches(docs.sparkSession)
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    for block in _blocks(items, block_words):
-        docs = docs.mapInArrow(_drop_hit(docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")), docs.schema)
-    return docs
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs, with all their columns; null and empty texts stay. Only rows
+    that may be hit are shuffled."""
+    _, hits = _meet(docs, benchmark)
+    hit = materialize(hits.select("row1", "row2").distinct(), "decontaminate-hit")
+    some, rest = idset.split(_keyed(docs), _ROW[0], idset.build(hit.select("row1")))
+    some = some.join(hit, (F.col(_ROW[0]) == F.col("row1")) & (F.col(_ROW[1]) == F.col("row2")), "left_anti")
+    return rest.unionByName(some).select(docs.columns)
 
 
 def sha256_of(items: Iterable[str]) -> str:

@@ -207,8 +207,10 @@ def brute_hits(text, items):
     return len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 40])
-def test_contamination_against_all_windows(spark, block_words):
+@pytest.mark.parametrize("bits", [idset.MAX_BITS, 64])
+def test_contamination_against_all_windows(spark, bits, monkeypatch):
+    """With a filter that lets only what may meet through, and with one that is full."""
+    monkeypatch.setattr(idset, "MAX_BITS", bits)
     r = random.Random(6)
     word = lambda: r.choice(["ab", "cd", "ef", "gh", "Éi", "k9"])
     items = [(i, " ".join(word() for _ in range(r.choice([3, 9, 10, 11, 30])))) for i in range(14)] + [(50, None), (51, ""), (52, "., !"), (10, "ab cd ef gh ab cd ef gh ab cd ef")]
@@ -223,13 +225,13 @@ def test_contamination_against_all_windows(spark, block_words):
     docs += [(100, None), (101, ""), (102, "..."), (103, "ab " * 20000), (5, docs[5][1])]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.find_contamination(df, bench, block_words).collect()
+    found = decontaminate.find_contamination(df, bench).collect()
     want = {i: brute_hits(t, items) for i, t in docs if i != 103}
     got = {x.doc_id: (x.n_words, len(x.hits), len(x.items), decontaminate.sha256_of(x.items), bool(x.hits)) for x in found}
     assert len(found) == len(docs) and {k: v for k, v in got.items() if k != 103} == want
     digest = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in decontaminate.contamination_digest(df, bench).collect()}
     assert digest == got
-    kept = {x.doc_id for x in decontaminate.keep_clean(df, bench, block_words).collect()}
+    kept = {x.doc_id for x in decontaminate.keep_clean(df, bench).collect()}
     assert kept == {k for k, v in got.items() if not v[4]}
 
 

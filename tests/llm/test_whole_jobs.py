@@ -65,14 +65,13 @@ def test_a_clean_text_is_not_toxic_by_its_length(spark, labelled):
     assert kept == {k for k, (toxic, _) in predicted.items() if not toxic}
 
 
-@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 1])
-def test_items_without_id_hit_but_are_not_named(spark, block_words):
+def test_items_without_id_hit_but_are_not_named(spark):
     a, b = " ".join(f"a{k}" for k in range(12)), " ".join(f"b{k}" for k in range(12))
     bench = spark.createDataFrame([(7, a), (None, a), (None, b), (None, b), (5, "short one")], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"x {a} y {b} short one"), (2, b), (3, "clean"), (4, "a short one")], "doc_id long, text string")
-    found = {r.doc_id: (len(r.hits), r["items"]) for r in decontaminate.find_contamination(docs, bench, block_words).collect()}
+    found = {r.doc_id: (len(r.hits), r["items"]) for r in decontaminate.find_contamination(docs, bench).collect()}
     assert found == {1: (26, ["5", "7"]), 2: (12, []), 3: (0, []), 4: (2, ["5"])}
-    assert [r.doc_id for r in decontaminate.keep_clean(docs, bench, block_words).collect()] == [3]
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()] == [3]
 
 
 def test_a_revisit_without_its_response_is_an_error(spark, monkeypatch):
