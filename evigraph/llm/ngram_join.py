@@ -587,3 +587,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     one = some.where("_n is null or _n = 1").select(docs.columns)
     again = some.where("_n > 1").groupBy("_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
     return rest.unionByName(one).unionByName(again)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM g GROUP BY doc_id
+), o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+), r(a, c) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a
+), m AS (
+  SELECT a, min(c) AS component_id FROM r GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(min(n.doc_id) OVER k, d.doc_id) AS class_id, CASE WHEN n.n IS NULL THEN 1 ELSE count(*) OVER k END AS class_size
+FROM d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id WINDOW k AS (PARTITION BY coalesce(n.h, CAST(d.doc_id AS VARCHAR)))
+"""

@@ -77,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": ngram_join.ORACLE,
     "op3_mix": mixing.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_warc": warc.ORACLE,

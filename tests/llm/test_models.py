@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy; secret scans and token counts against plain readings; edge cases of all."""
 
+import math
 import random
 import re
 import string
@@ -97,6 +98,76 @@ def test_models_without_labels_or_documents(spark, data):
     assert quality_model.classify(docs.limit(0), labels).collect() == [] and toxicity.classify(docs.limit(0), labels).collect() == []
 
 
+def test_quality_fit_against_plain_steps():
+    """Follow-the-regularised-leader coordinate by coordinate, as its formulas are written."""
+    r = np.random.default_rng(5)
+    rows = [(int(r.integers(0, 2)), np.sort(r.choice(40, 6, replace=False)), r.random(6)) for _ in range(60)]
+    z, n = {}, {}
+    a, b, l1, l2 = quality_model.ALPHA, quality_model.BETA, quality_model.L1, quality_model.L2
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        sign = 1 if z[k] > 0 else -1
+        return -(z[k] - sign * l1) / ((b + n[k] ** 0.5) / a + l2)
+
+    for _ in range(3):
+        for label, places, values in rows:
+            x = [*zip(places.tolist(), values.tolist(), strict=True), (quality_model.DIMENSIONS, 1.0)]
+            w = {k: weight(k) for k, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x)))
+            for k, v in x:
+                g = (p - label) * v
+                sigma = ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / a
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    got = quality_model.fit(rows, epochs=3)
+    assert set(np.flatnonzero(got).tolist()) == {k for k in z if weight(k)}
+    assert all(abs(got[k] - weight(k)) < 1e-5 for k in z)
+
+
+def test_toxicity_fit_against_plain_steps():
+    """The same steps with the slope of the noisy-or's log loss taken by differences of the loss itself."""
+    r = random.Random(8)
+    rows = []
+    for k in range(40):
+        sentences, places = [], []
+        for s in range(4):
+            for f in sorted(r.sample(range(10), 3)) + ([77] if k % 2 and s == 1 else []):
+                sentences.append(s)
+                places.append(f)
+        rows.append((k % 2, np.array(sentences), np.array(places), 4))
+    names = [*range(10), 77, "bias"]
+
+    def loss(v):
+        total = 0.0
+        for label, sentences, places, n in rows:
+            none = 1.0
+            for s in range(n):
+                none *= 1 - 1 / (1 + math.exp(-(sum(v[f] for f in places[sentences == s].tolist()) + v["bias"])))
+            total -= math.log(1 - none) if label else math.log(none)
+        return total
+
+    def slope(v, f):
+        return (loss(v | {f: v[f] + 1e-4}) - loss(v | {f: v[f] - 1e-4})) / 2e-4
+
+    steps, v, seen = 12, dict.fromkeys(names, 0.0) | {"bias": toxicity.START}, dict.fromkeys(names, 1e-8)
+    for k in range(steps):
+        g = {f: slope(v, f) for f in names}
+        for f in names:
+            seen[f] += g[f] ** 2
+            size = toxicity.RATE / seen[f] ** 0.5
+            if f == "bias":
+                v[f] -= 0.2 * size * g[f]
+            else:
+                moved = v[f] - size * g[f]
+                cut = size * toxicity.L1 * sum(x[0] for x in rows) * min(1.0, 2 * k / steps)
+                v[f] = math.copysign(max(abs(moved) - cut, 0.0), moved)
+    got = toxicity.fit(rows, steps).astype(np.float64)
+    assert all(abs(got[toxicity.DIMENSIONS if f == "bias" else f] - v[f]) < 1e-2 for f in names), (v, [got[f] for f in (*range(10), 77, toxicity.DIMENSIONS)])
+    assert int(np.argmax(toxicity.fit(rows)[: toxicity.DIMENSIONS])) == 77
+
+
 def test_noisy_or_of_sentences():
     w = np.zeros(toxicity.DIMENSIONS + 1, np.float32)
     part = next(tokens.slices(pa.array(["bad words. fine words. bad!"]), tokens.LETTERS))
