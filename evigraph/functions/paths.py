@@ -82,6 +82,18 @@ def candidate_paths(path: Column, types: Column, bare: Column) -> Column:
     return F.when(~name.contains("."), F.when(bare, F.when(types, filled(kinds)).otherwise(filled(values))).otherwise(F.array(path))).otherwise(out)
 
 
+def requested_as(path: Column) -> Column:
+    """The paths that candidate_paths turns into this one, itself first: those with a longer ending are its type."""
+    out = [path]
+    for suffix, lists in SUBSTITUTES.items():
+        for ending in sorted({x for names in lists for x in names} - {suffix[1:]}):
+            stem = F.substring(path, F.lit(1), F.length(path) - F.lit(len(ending) + 1))
+            out.append(F.when(path.endswith(f".{ending}"), F.concat(stem, F.lit(suffix))))
+            if suffix == ".js":
+                out.append(F.when(path.endswith(f".{ending}"), stem))
+    return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
+
+
 def glob_regex(pattern: str) -> str:
     """An anchored expression for a component pattern: * stays in a component, ** spans any number of whole ones."""
     out: list[str] = []

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, paths
 from ..operators import fanin, integrity, lookup, paging, reduce
-from ..sources import documents
+from ..sources import documents, settings
 from ..sources.modules import module_facts
 from ..sources.sfc import component_facts
 from ..sources.state import ensure_checkpoint_dir
 from ..sources.tree import scan
+from . import workspaces
 
 RULE = "dead-export"
 #: Dialects without a parser here, and option names that the resolver reads or may ignore.
@@ -32,7 +33,19 @@ noImplicitAny noImplicitReturns noFallthroughCasesInSwitch strictNullChecks comp
 allowSyntheticDefaultImports verbatimModuleSyntax allowImportingTsExtensions emitDeclarationOnly importHelpers removeComments
 experimentalDecorators emitDecoratorMetadata downlevelIteration noEmitOnError noUncheckedIndexedAccess exactOptionalPropertyTypes
 noImplicitOverride noPropertyAccessFromIndexSignature inlineSources inlineSourceMap newLine moduleDetection""".split())
-NODE_PROFILES = ("node16", "nodenext", "node18", "node20")
+NODE_PROFILES = ("node16", "nodenext")
+#: The module settings that go with a resolution profile.
+MODULES = {"node": ("commonjs",), "bundler": ("preserve", "es2015", "es2020", "es2022", "esnext"), "node16": ("node16",), "nodenext": ("nodenext",)}
+#: Conditions of package exports by the lane that a request takes, beside default and, for types, types. The
+#: legacy lane does not read exports.
+CONDITIONS = {"bundler": ("import",), "import": ("node", "import"), "require": ("node", "require")}
+LEGACY = "legacy"
+#: Manifest fields in the order they are tried, by lane; a lane that is not here tries main alone.
+VALUE_FIELDS = {"bundler": ("module", "main")}
+TYPE_FIELDS = ("typings", "types")
+
+#: Characters of a configuration table that may be broadcast.
+SMALL = 8_000_000
 
 _EXPORT = "struct<name:string,local:string,namespace:string,start:bigint,end:bigint>"
 _USE = "struct<specifier:string,imported:string,local:string,namespace:string,kind:string,request:string,start:bigint,end:bigint>"
@@ -73,9 +86,10 @@ class Config:
 
     def __init__(self, files: dict[str, bytes], override: str | None = None):
         self.documents = {p: documents.parse(p, b) for p, b in files.items()}
+        self.profile = override
         self.limitations: list[tuple[str, str, str]] = []  # reason, path, detail
-        self.packages: list[tuple[list[str], str | None, bool, bool]] = []
-        self.surfaces: list[tuple[list[str], str, str, str, int]] = []
+        self.packages: list[tuple[list[str], str | None, bool, bool, list[str] | None]] = []
+        self.surfaces: list[tuple[list[str], str, str | None, str, str, int]] = []
         self.mappings: list[tuple[list[str], str, int, list[str]]] = []
         self.configs: list[tuple[list[str], str | None, str, bool]] = []
         for path, doc in sorted(self.documents.items()):
@@ -84,33 +98,61 @@ class Config:
                 self._package(path, root, doc)
             elif name == "tsconfig.json" or (name == "jsconfig.json" and path.replace("jsconfig", "tsconfig") not in self.documents):
                 self._compiler(path, root, override)
+        self._workspaces()
+
+    def _workspaces(self) -> None:
+        """Gives every package its workspace, and takes a name from all packages of a workspace that share it."""
+        owner, told = workspaces.owners(self.documents, [tuple(p[0]) for p in self.packages])
+        self.limitations += told
+        twice = workspaces.repeated([(tuple(p[0]), p[1]) for p in self.packages if p[1]], owner)
+        for root, name, *_ in self.packages:
+            if tuple(root) in twice:
+                self.limitations.append(("package-identity-unsupported", "/".join([*root, "package.json"]), name))
+        place = lambda root: None if (w := owner.get(tuple(root))) is None else list(w)
+        self.packages = [(root, None if tuple(root) in twice else name, private, esm, place(root)) for root, name, private, esm, _ in self.packages]
 
     def _package(self, path: str, root: list[str], doc: object) -> None:
         if not isinstance(doc, dict) or not isinstance(doc.get("name", ""), str):
             self.limitations.append(("package-metadata-unobservable", path, "manifest is no object or its name no string"))
             return
-        self.packages.append((root, doc.get("name"), doc.get("private") is True, doc.get("type") == "module"))
+        name = doc.get("name")
+        if name is not None and not workspaces.valid_name(name):
+            self.limitations.append(("package-identity-unsupported", path, f"{name} is no package name"))
+            name = None
+        self.packages.append((root, name, doc.get("private") is True, doc.get("type") == "module", None))
         base = "/".join(root)
-        add = lambda key, target, ns, order: self.surfaces.append((root, key, normpath(f"{base}/{target}").lstrip("/"), ns, order))
-        if "exports" in doc:
-            for ns in ("value", "type"):
-                try:
-                    for key, target in self._exports(doc["exports"], ns):
-                        add(key, target, ns, 0)
-                except documents.DocumentError as e:
-                    self.limitations.append(("public-surface-unsupported", path, str(e)))
-                    break
-            return
-        for order, field in enumerate(("module", "main")):
-            if isinstance(doc.get(field), str):
-                add(".", doc[field], "value", order)
-        for order, field in enumerate(("typings", "types", "module", "main")):
-            if isinstance(doc.get(field), str):
-                add(".", doc[field], "type", order)
-
-    def _exports(self, value: object, ns: str) -> list[tuple[str, str]]:
-        """(key, target) by the conditions that a bundler's import sees; the first active condition wins, null blocks."""
-        active = {"default", "import"} | ({"types"} if ns == "type" else set())
+        place = lambda target: target and normpath(f"{base}/{target}").lstrip("/")
+        try:
+            for lane in (*CONDITIONS, LEGACY):
+                for ns in ("value", "type"):
+                    if lane != LEGACY and "exports" in doc:
+                        self.surfaces += [(root, key, place(target), ns, lane, 0) for key, target in self._exports(doc["exports"], ns, lane)]
+                        continue
+                    targets = self._fields(doc, ns, lane)
+                    self.surfaces += [(root, ".", place(target), ns, lane, order) for order, target in enumerate(targets)]
+        except documents.DocumentError as e:
+            self.limitations.append(("public-surface-unsupported", path, str(e)))
+
+    @staticmethod
+    def _fields(doc: dict, ns: str, lane: str) -> list[str]:
+        """What a package without exports is asked for, in order: the fields that name a file, then its index. Where a file
+        may be named without extension, a folder stands for its index. A type is looked for beside the value."""
+        fields = [*(TYPE_FIELDS if ns == "type" else ()), *VALUE_FIELDS.get(lane, ("main",))]
+        out = []
+        for field in fields:
+            if field not in doc:
+                continue
+            if not isinstance(doc[field], str) or not doc[field]:
+                raise documents.DocumentError(f"{field} must be a string that is not empty")
+            out.append(doc[field])
+            if lane != "import" and "." not in doc[field].rpartition("/")[2].removesuffix(".").removeprefix("."):
+                out.append(f"{doc[field]}/index.js")
+        return out if lane == "import" else [*out, "index.js"]
+
+    def _exports(self, value: object, ns: str, lane: str) -> list[tuple[str, str | None]]:
+        """(key, target) by the conditions that a lane sees; the first active condition wins. A null target closes its key to
+        patterns that would fit as well."""
+        active = {"default", *CONDITIONS[lane]} | ({"types"} if ns == "type" else set())
 
         def pick(x: object) -> str | None:
             if x is None or isinstance(x, str):
@@ -126,7 +168,7 @@ class Config:
         for _, target in found:
             if target is not None and (not target.startswith("./") or any(x in ("", ".", "..", "node_modules") or "%2f" in x.lower() or "%5c" in x.lower() for x in target[2:].split("/"))):
                 raise documents.DocumentError(f"exports target {target} is not safe")
-        return [(k, t) for k, t in found if t is not None]
+        return found
 
     def _compiler(self, path: str, root: list[str], override: str | None) -> None:
         options: dict = {}
@@ -157,7 +199,11 @@ class Config:
                 options[key] = (here, value)
 
         load(path)
-        profile = override or str(options.get("moduleResolution", ("", "bundler"))[1]).lower()
+        profile = override or {"node10": "node"}.get(p := str(options.get("moduleResolution", ("", "bundler"))[1]).lower(), p)
+        module = options.get("module")
+        if profile not in MODULES or (module is not None and str(module[1]).lower() not in MODULES[profile]):
+            blocked = True
+            self.limitations.append(("tsconfig-semantics-unsupported", path, f"module {module and module[1]} with resolution {profile}"))
         base = options.get("baseUrl")
         base_url = normpath(f"{base[0]}/{base[1]}").lstrip("/").removeprefix(".") if base else None
         self.configs.append((root, base_url, profile, blocked))
@@ -166,18 +212,60 @@ class Config:
             self.mappings.append((root, pattern, order, [normpath(f"{base_url if base_url is not None else here}/{t}").lstrip("/") for t in targets]))
 
 
+def small(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of configuration, to be broadcast only if it is at most SMALL characters."""
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if sum(len(str(r)) for r in rows) <= SMALL else made
+
+
+def surfaces_of(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    return small(spark, rows, "p_root array<string>, key string, target string, ns string, lane string, ord int")
+
+
+def surface_candidates(rows: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Adds in_package, the ordered candidates of rows(p_root, ns, lane, request): the targets of the most specific key, each
+    tried as its lane allows. A key that is closed has none."""
+    group = ["p_root", "ns", "lane"]
+    rows = lookup.most_specific_key(rows, "request", surfaces.select(*group, "key").distinct(), "key", group)
+    targets = surfaces.groupBy(*group, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "target"))), lambda x: x["target"]).alias("s_targets"))
+    rows = rows.join(targets, [*group, "key"], "left")
+    captured = F.coalesce(paths.star_capture(F.col("request"), F.col("key")), F.lit(""))
+    tried = lambda t: paths.candidate_paths(paths.star_replace(t, captured), F.col("ns") == "type", F.col("lane") != "import")
+    return rows.withColumn("in_package", F.filter(F.flatten(F.transform("s_targets", tried)), lambda x: x.isNotNull()))
+
+
+def public_requests(spark: SparkSession, config: Config, sources: DataFrame) -> DataFrame:
+    """(p_root, ns, lane, request) that anyone may ask a public package for. A key with a star stands for what it makes of the
+    sources below the package's root, each compared with the patterns of packages around it only."""
+    open_roots = {tuple(p[0]) for p in config.packages if p[1] and not p[2]}
+    public = [x for x in config.surfaces if tuple(x[0]) in open_roots]
+    keys = surfaces_of(spark, public)
+    made = F.col("key").contains("*") & F.coalesce(F.col("target").contains("*"), F.lit(False))
+    plain = keys.where(~made).select("p_root", "ns", "lane", F.col("key").alias("request"))
+    if not any("*" in x[1] and "*" in (x[2] or "") for x in public):
+        return plain.distinct()
+    roots = small(spark, [(list(r),) for r in sorted(open_roots)], "p_root array<string>")
+    inside = sources.select("path", F.explode(paths.ancestors(F.col("parts"))).alias("p_root")).join(roots, "p_root")
+    met = inside.select("p_root", F.explode(paths.requested_as(F.col("path"))).alias("_asked")).join(keys.where(made), "p_root")
+    met = met.withColumn("_star", paths.star_capture(F.col("_asked"), F.col("target"))).where("_star is not null")
+    return plain.union(met.select("p_root", "ns", "lane", paths.star_replace(F.col("key"), F.col("_star")))).distinct()
+
+
 def resolve(spark: SparkSession, uses: DataFrame, sources: DataFrame, config: Config) -> DataFrame:
     """Adds kind (internal, unresolved, external, unsupported, asset), target, candidates and reason to each use."""
-    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    table = lambda rows, schema: small(spark, rows, schema)
     configs = table(config.configs, "c_root array<string>, base_url string, profile string, blocked boolean")
-    packages = table([p for p in config.packages if p[1]], "p_root array<string>, p_name string, private boolean, esm boolean")
+    packages = table(config.packages, "p_root array<string>, p_name string, private boolean, esm boolean, w_root array<string>")
     own = sources.select("source_id", "path", "parts", "kind")
-    own = lookup.nearest_ancestor(own, "parts", configs, "c_root").withColumnRenamed("owner", "c_root").join(F.broadcast(configs), "c_root", "left")
-    own = lookup.nearest_ancestor(own, "parts", table(config.packages, packages.schema), "p_root").withColumnRenamed("owner", "p_root")
-    own = own.join(F.broadcast(table(config.packages, packages.schema).select("p_root", "esm")), "p_root", "left")
+    own = lookup.nearest_ancestor(own, "parts", configs, "c_root").withColumnRenamed("owner", "c_root").join(configs, "c_root", "left")
+    own = lookup.nearest_ancestor(own, "parts", packages, "p_root").withColumnRenamed("owner", "p_root")
+    own = own.join(packages.select("p_root", "esm", "w_root"), "p_root", "left")
     own = own.withColumn("esm", F.col("kind").isin("mts", "mjs") | (F.coalesce("esm", F.lit(False)) & ~F.col("kind").isin("cts", "cjs"))).checkpoint()
-    strict = F.coalesce("profile", F.lit("bundler")).isin(*NODE_PROFILES) & F.col("esm")
-    rows = uses.join(own.select("source_id", "parts", "c_root", "base_url", "blocked", (~strict).alias("bare")), "source_id")
+    profile = F.lit(config.profile) if config.profile else F.coalesce("profile", F.lit("bundler"))
+    strict = profile.isin(*NODE_PROFILES) & F.col("esm")
+    rows = uses.join(own.select("source_id", "parts", "c_root", "base_url", "blocked", (~strict).alias("bare"), profile.alias("profile"), "esm", "w_root"), "source_id")
+    by_request = F.when(F.col("request_kind") == "dynamic-import", "import").when(F.col("request_kind") == "require", "require").when(F.col("esm"), "import").otherwise("require")
+    rows = rows.withColumn("lane", F.when(F.col("profile") == "node", LEGACY).when(F.col("profile").isin(*NODE_PROFILES), by_request).otherwise("bundler"))
     rows = rows.withColumn("types", F.col("namespace") == "type")
     spec = F.col("specifier")
     relative = spec.rlike(r"^\.{1,2}/")
@@ -185,7 +273,7 @@ def resolve(spark: SparkSession, uses: DataFrame, sources: DataFrame, config: Co
     tried = lambda p: paths.candidate_paths(p, F.col("types"), F.col("bare"))
     # a mapping that fits is final, so its candidates stand alone
     mapped = table(config.mappings, "c_root array<string>, pattern string, ord int, targets array<string>")
-    hit = rows.where(~relative).join(F.broadcast(mapped), "c_root")
+    hit = rows.where(~relative).join(mapped, "c_root")
     captured = paths.star_capture(spec, F.col("pattern"))
     hit = hit.where((spec == F.col("pattern")) | captured.isNotNull())
     rank = F.struct(~F.col("pattern").contains("*"), F.instr("pattern", "*"), -F.col("ord"))
@@ -193,20 +281,16 @@ def resolve(spark: SparkSession, uses: DataFrame, sources: DataFrame, config: Co
     rows = rows.join(best, "use_id", "left").checkpoint()
     replaced = F.transform("m.targets", lambda t: paths.star_replace(t, F.coalesce(paths.star_capture(spec, F.col("m.pattern")), F.lit(""))))
     from_mapping = F.flatten(F.transform(replaced, tried))
-    # a workspace package by its name, then the most specific key of its surface
+    # a package of the importer's workspace by its name, then the most specific key of its surface
     name = paths.package_name(spec)
-    known = F.broadcast(packages.select("p_root", F.col("p_name").alias("n")))
-    rows = rows.join(known, name == F.col("n"), "left")
+    known = packages.where("p_name is not null and w_root is not null").select("p_root", F.col("p_name").alias("n"), F.col("w_root").alias("n_root"))
+    rows = rows.join(known, (name == F.col("n")) & (F.col("w_root") == F.col("n_root")), "left")
     rest = F.concat(F.lit("."), F.substring(spec, F.length("n") + 1, F.length(spec)))
     rows = rows.withColumns({"request": F.when(F.col("n").isNotNull(), rest), "ns": F.col("namespace")}).checkpoint()
-    surfaces = table(config.surfaces, "p_root array<string>, key string, target string, ns string, ord int")
-    rows = lookup.most_specific_key(rows, "request", surfaces.select("p_root", "key", "ns").distinct(), "key", ["p_root", "ns"])
-    targets = surfaces.groupBy("p_root", "ns", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "target"))), lambda x: x["target"]).alias("s_targets"))
-    rows = rows.join(F.broadcast(targets), ["p_root", "ns", "key"], "left")
-    in_package = F.flatten(F.transform("s_targets", lambda t: paths.candidate_paths(paths.star_replace(t, F.coalesce(paths.star_capture(F.col("request"), F.col("key")), F.lit(""))), F.col("types"), F.lit(True))))
+    rows = surface_candidates(rows, surfaces_of(spark, config.surfaces))
     none = F.array().cast("array<string>")
     from_base = F.when(F.col("base_url").isNotNull(), tried(F.when(F.col("base_url") == "", spec).otherwise(F.concat("base_url", F.lit("/"), spec))))
-    bare_list = F.when(F.col("m").isNotNull(), from_mapping).otherwise(F.concat(F.coalesce(from_base, none), F.coalesce(in_package, none)))
+    bare_list = F.when(F.col("m").isNotNull(), from_mapping).otherwise(F.concat(F.coalesce(from_base, none), F.coalesce("in_package", none)))
     rows = rows.withColumn("candidates", F.when(relative, F.when(base.isNotNull(), tried(base)).otherwise(none)).otherwise(F.coalesce(bare_list, none))).checkpoint()
     found = lookup.first_candidate(rows, "use_id", "candidates", sources.select("path", "source_id"), "path", "source_id")
     last = F.element_at(F.split(spec, "/"), -1)
@@ -233,24 +317,31 @@ def resolve(spark: SparkSession, uses: DataFrame, sources: DataFrame, config: Co
 def blocked_scope(limitations: DataFrame, sources: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(paths without findings, rows that block the whole workspace) of limitations(reason, path, candidates).
 
-    A limitation of a package blocks the sources whose nearest package is its own; one whose owner is unknown blocks all.
+    A limitation of a package blocks the sources whose nearest package is its own, one of a manifest that cannot be read or of
+    a workspace all below it; one whose owner is unknown blocks all.
     """
     spark = sources.sparkSession
     listed = limitations.where("reason = 'internal-specifier-unresolved'").select(F.explode("candidates").alias("path"))
-    owned = ("public-surface-unsupported", "package-imports-unsupported", "tsconfig-semantics-unsupported", "tsconfig-payload-unavailable", "package-metadata-unobservable", "sfc-external-script-unresolved")
+    owned = ("public-surface-unsupported", "package-imports-unsupported", "tsconfig-semantics-unsupported", "tsconfig-payload-unavailable", "sfc-external-script-unresolved")
     roots = spark.createDataFrame([(p[0],) for p in config.packages], "r array<string>")
     local = limitations.where(F.col("reason").isin(*owned)).select("path", paths.components(F.col("path")).alias("l_parts"))
     local = lookup.nearest_ancestor(local, "l_parts", roots, "r").withColumnRenamed("owner", "l_owner")
     owners = lookup.nearest_ancestor(sources.select("path", "parts"), "parts", roots, "r")
     inside = owners.join(local.where("l_owner is not null").select(F.col("l_owner").alias("owner")).distinct(), "owner", "left_semi").select("path")
+    below = limitations.where(F.col("reason").isin("package-metadata-unobservable", workspaces.OWNERSHIP, workspaces.DEPENDENCY)).select(paths.parent(paths.components(F.col("path"))).alias("_a")).distinct()
+    under = sources.select("path", F.explode(paths.ancestors(F.col("parts"))).alias("_a")).join(below, "_a", "left_semi").select("path")
     everywhere = limitations.where(F.col("reason").isin("js-module-use-unknown", "source-payload-unavailable", "package-identity-unsupported", "sfc-dialect-unavailable")).select("reason")
-    return listed.union(inside).distinct(), everywhere.union(local.where("l_owner is null").select(F.lit("unknown owner")))
+    return listed.union(inside).union(under).distinct(), everywhere.union(local.where("l_owner is null").select(F.lit("unknown owner")))
 
 
 def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), roles: Sequence[tuple[str, str]] = (), profile: str | None = None) -> Audit:
-    """Audits a repository. The sources are read once; every step is kept in the checkpoint folder."""
+    """Audits a repository. The sources are read once; every step is kept in the checkpoint folder.
+
+    The scan's configuration at the root applies: includes given here replace its own, excludes add to it, and role rules
+    given here come after its rules. One that cannot be read is an error, as a scan of other files would be a wrong answer.
+    """
     ensure_checkpoint_dir(spark)  # each step is cut off: a plan of all of them would be analysed again at every join
-    scanned = scan(spark, root, include, exclude, roles).checkpoint()
+    scanned = scan(spark, root, *settings.read(root).merged(include, exclude, roles)).checkpoint()
     files = {r.path: bytes(r.bytes) for r in scanned.where("is_config and error is null").select("path", "bytes").toLocalIterator()}
     config = Config(files, profile)
     sources = scanned.where("kind is not null and error is null")
@@ -266,9 +357,7 @@ def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude:
     row = lambda df, reason, path, detail, candidates=None: df.select(F.lit(reason).alias("reason"), F.col(path).alias("path"), detail.alias("detail"), (candidates if candidates is not None else F.array().cast("array<string>")).alias("candidates"))
     unknown = parsed.select("source_id", F.explode("unknown").alias("why")).join(places.select("source_id", "path"), "source_id")
     bad = resolved.where("outcome = 'unsupported'").join(places.select("source_id", "path"), "source_id")
-    named = [p for p in config.packages if p[1]]
-    twice = [(p[1], "/".join([*p[0], "package.json"])) for p in named if sum(q[1] == p[1] for q in named) > 1]
-    told = spark.createDataFrame([*config.limitations, *(("package-identity-unsupported", path, name) for name, path in twice)], "r string, path string, d string")
+    told = spark.createDataFrame(config.limitations, "r string, path string, d string")
     limitations = (
         row(unknown, "js-module-use-unknown", "path", F.col("why"))
         .union(row(scanned.where("error is not null"), "source-payload-unavailable", "path", F.col("error")))
@@ -286,10 +375,9 @@ def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude:
     key = [F.col("target").alias("source_id"), "namespace"]
     exact = internal.where(F.col("use_kind").isin("named", "default", "reexport-named")).select(*key, F.col("imported").alias("name"), "is_test")
     broad = internal.where(F.col("use_kind").isin("namespace", "dynamic-broad")).select(*key, "is_test")
-    public = [(t, ns) for (root_, _, target, ns, _) in config.surfaces for p in config.packages if p[0] == root_ and not p[2] for t in [target]]
-    surface = spark.createDataFrame(public, "path string, namespace string").distinct()
-    surface = surface.withColumn("use_id", F.concat_ws("#", "path", "namespace")).withColumn("candidates", paths.candidate_paths(F.col("path"), F.col("namespace") == "type", F.lit(True)))
-    surface = lookup.first_candidate(surface, "use_id", "candidates", places, "path", "source_id").where("target is not null").select(F.col("target").alias("source_id"), "namespace")
+    public = surface_candidates(public_requests(spark, config, places), surfaces_of(spark, config.surfaces))
+    public = public.select("ns", F.concat_ws("#", F.to_json("p_root"), "ns", "lane", "request").alias("use_id"), F.col("in_package").alias("candidates"))
+    surface = lookup.first_candidate(public, "use_id", "candidates", places, "path", "source_id").where("target is not null").select(F.col("target").alias("source_id"), F.col("ns").alias("namespace")).distinct()
     counted = fanin.fan_in(exports, ["source_id", "namespace", "name"], exact, broad, ["source_id", "namespace"], surface, ["source_id", "namespace"])
     counted = counted.join(places.select("source_id", "path", "parts", "generated", "vendored", "declaration"), "source_id").checkpoint()
     idle = fanin.unused(counted, F.col("declaration"))
@@ -306,11 +394,14 @@ def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude:
     return Audit(places, resolved, counted, limitations, findings)
 
 
-#: Findings order: severity and confidence are one value each here, so rule, path, span and id decide.
-FINDINGS_ORDER = [("rule_id", True), ("path_key", True), ("start", True), ("end", True), ("finding_id", True)]
+#: Severities and confidences from the least on.
+SEVERITIES, CONFIDENCES = ("warning",), ("grounded",)
+#: Findings order: the most severe and the surest first, then rule, path, span and id.
+FINDINGS_ORDER = [("severity_rank", False), ("confidence_rank", False), ("rule_id", True), ("path_key", True), ("start", True), ("end", True), ("finding_id", True)]
 
 
 def findings_page(findings: DataFrame, run: str, cursor: str | None = None, size: int = paging.PAGE) -> paging.Page:
     """A page of a run's findings; the cursor only opens the run it came from."""
-    ordered = findings.withColumn("path_key", F.hex("path_key"))
+    rank = lambda column, values: F.array_position(F.array(*map(F.lit, values)), F.col(column)).cast("int")
+    ordered = findings.withColumns({"path_key": F.hex("path_key"), "severity_rank": rank("severity", SEVERITIES), "confidence_rank": rank("confidence", CONFIDENCES)})
     return paging.page(ordered, FINDINGS_ORDER, paging.Scope(run, "findings.v1"), cursor, size)

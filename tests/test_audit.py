@@ -2,8 +2,9 @@
 
 import pytest
 
-from evigraph.plans.audit import audit, findings_page
-from evigraph.sources import documents, sfc
+from evigraph.plans import workspaces
+from evigraph.plans.audit import Config, audit, findings_page
+from evigraph.sources import documents, settings, sfc
 from evigraph.sources.modules import module_facts
 from evigraph.sources.tree import IgnoreRules, walk
 
@@ -86,13 +87,13 @@ def test_extends_paths_and_base_url(spark, tree):
 
 
 def test_duplicate_package_names_have_no_winner(spark, tree):
-    a = audit(spark, tree({"p/a/package.json": '{"name":"x"}', "p/b/package.json": '{"name":"x"}', "p/a/i.ts": "export const a=1"}))
+    a = audit(spark, tree({"package.json": '{"private":true,"workspaces":["p/*"]}', "p/a/package.json": '{"name":"x"}', "p/b/package.json": '{"name":"x"}', "p/a/i.ts": "export const a=1"}))
     assert names(a) == [] and reasons(a) == ["package-identity-unsupported"] and a.limitations.count() == 2
 
 
 def test_workspace_packages_by_key_and_public_surface(spark, tree):
     root = tree({
-        "package.json": '{"private":true}',
+        "package.json": '{"private":true,"workspaces":["packages/*"]}',
         "packages/lib/package.json": '{"name":"@w/lib","private":true,"exports":{".":{"node":"./src/n.ts","default":"./src/index.ts"},"./*":"./src/f/*.ts","./exact":"./src/e.ts"}}',
         "packages/lib/src/index.ts": "export const main = 1, mainDead = 1", "packages/lib/src/n.ts": "export const nodeOnly = 1",
         "packages/lib/src/f/one.ts": "export const one = 1, oneDead = 1", "packages/lib/src/f/exact.ts": "export const patternDead = 1", "packages/lib/src/e.ts": "export const e = 1, exactDead = 1",
@@ -105,6 +106,84 @@ def test_workspace_packages_by_key_and_public_surface(spark, tree):
     assert names(a) == ["exactDead", "mainDead", "nodeOnly", "oneDead", "patternDead", "siblingDead"]
 
 
+def test_names_hold_within_a_workspace_only(spark, tree):
+    lib = {"a/lib/package.json": '{"name":"lib","private":true,"main":"./i.js"}', "a/lib/i.ts": "export const used = 1, dead = 1", "b/app/m.ts": "import {used} from 'lib'", "b/app/package.json": '{"name":"app","private":true}'}
+    a = audit(spark, tree({**lib, "a/package.json": '{"private":true,"workspaces":{"packages":["*"]}}', "b/package.json": '{"private":true,"workspaces":["app"]}'}))
+    assert names(a) == ["dead", "used"] and reasons(a) == []
+    b = audit(spark, tree({"pnpm-workspace.yaml": "packages: ['*/*', '!x/*']\n", "a/package.json": '{"private":true}', "b/package.json": '{"private":true}'}))
+    assert names(b) == ["dead"] and reasons(b) == []
+
+
+def test_a_list_file_replaces_the_manifest_beside_it():
+    roots = [(), ("p", "a"), ("p", "b"), ("q", "c"), ("p", "a", "deep")]
+    manifest = {"package.json": {"workspaces": ["p/*"]}}
+    assert workspaces.owners(manifest, roots) == ({(): (), ("p", "a"): (), ("p", "b"): ()}, [])
+    listed = {**manifest, "pnpm-workspace.yaml": {"packages": ["!p/b", "**"]}, "p/a/package.json": {"workspaces": ["deep"]}}
+    assert workspaces.owners(listed, roots)[0] == {(): (), ("p", "a"): ("p", "a"), ("q", "c"): (), ("p", "a", "deep"): ("p", "a")}
+    assert workspaces.owners({**manifest, "pnpm-workspace.yaml": None}, roots) == ({(): ()}, [])
+    odd, told = workspaces.owners({"package.json": {"workspaces": ["!x"]}, "q/pnpm-workspace.yaml": {"catalog": {}, "odd": 1, "packages": "x"}}, roots)
+    assert odd == {(): ()} and sorted(r for r, _, _ in told) == [workspaces.DEPENDENCY, workspaces.OWNERSHIP, workspaces.OWNERSHIP, workspaces.OWNERSHIP]
+
+
+@pytest.mark.parametrize(("name", "fits"), [("a", True), ("@s/a.b_c-1", True), ("", False), ("A", False), ("@s", False), ("@s/a/b", False), ("a/b", False), (".a", False), ("a" * 214, True), ("a" * 215, False), ("a\n", False), ("é", False)])
+def test_package_names(name, fits):
+    assert workspaces.valid_name(name) is fits
+
+
+@pytest.mark.parametrize(("pattern", "fits"), [("a/*", True), ("**/b", True), ("a*b", True), ("", False), ("/a", False), ("a/", False), ("a//b", False), ("../a", False), ("a**", False), ("{a,b}", False), ("a\\b", False)])
+def test_workspace_patterns(pattern, fits):
+    assert workspaces.valid_pattern(pattern) is fits
+
+
+def test_workspace_faults_block_what_is_below(spark, tree):
+    a = audit(spark, tree({"x/pnpm-workspace.yaml": "odd: 1\n", "x/a.ts": "export const a = 1", "x/p/package.json": '{"name":"p","private":true}', "x/p/b.ts": "export const b = 1", "y.ts": "export const y = 1"}))
+    assert names(a) == ["y"] and reasons(a) == [workspaces.OWNERSHIP]
+
+
+def test_lanes_choose_their_conditions(spark, tree):
+    exports = '{".":{"types":"./t.d.ts","node":"./n.ts","require":"./r.ts","import":"./i.ts"},"./sub":{"require":"./r.ts","import":"./i.ts"},"./in/*":"./in/*.ts","./in/no/*":null}'
+    root = tree({
+        "package.json": '{"private":true,"workspaces":["*"]}', "lib/package.json": '{"name":"lib","private":true,"main":"./m","exports":%s}' % exports,
+        "lib/n.ts": "export const x = 'n'", "lib/r.ts": "export const x = 'r'", "lib/i.ts": "export const x = 'i'", "lib/m/index.ts": "export const x = 'm'", "lib/in/no/a.ts": "export const x = 0",
+        "app/package.json": '{"name":"app","private":true}', "app/m.ts": "import {x} from 'lib'; import {x as y} from 'lib/sub'; import {x as z} from 'lib/in/no/a'",
+    })
+    target = lambda a: sorted(r.path for r in a.resolved.where("outcome = 'internal'").join(a.sources, a.resolved.target == a.sources.source_id).select("path").collect())
+    closed = lambda a: [r.specifier for r in a.resolved.where("outcome = 'unresolved'").collect()]
+    bundler, legacy, node = (audit(spark, root, profile=p) for p in ("bundler", "node", "node16"))
+    assert (target(bundler), closed(bundler)) == (["lib/i.ts", "lib/i.ts"], ["lib/in/no/a"])
+    assert target(node) == ["lib/n.ts", "lib/r.ts"]
+    assert target(legacy) == ["lib/m/index.ts"] and sorted(closed(legacy)) == ["lib/in/no/a", "lib/sub"]
+
+
+def test_patterns_of_a_public_package_open_what_they_fit(spark, tree):
+    root = tree({
+        "package.json": '{"name":"pub","exports":{"./*":"./src/*.js","./hidden/*":null}}',
+        "src/a.ts": "export const a = 1", "src/hidden/b.ts": "export const b = 1", "other/c.ts": "export const c = 1", "src/in/package.json": '{"private":true}', "src/in/d.ts": "export const d = 1",
+    })
+    a = audit(spark, root)
+    assert names(a) == ["b", "c"] and reasons(a) == []
+
+
+@pytest.mark.parametrize(("options", "complete"), [('"moduleResolution":"node10","module":"CommonJS"', True), ('"moduleResolution":"node16","module":"esnext"', False), ('"module":"ESNext"', True), ('"module":"commonjs"', False), ('"moduleResolution":"classic"', False)])
+def test_module_setting_must_go_with_the_resolution(options, complete):
+    config = Config({"tsconfig.json": ('{"compilerOptions":{%s}}' % options).encode()})
+    assert (config.limitations == []) is complete and config.configs[0][3] is not complete
+
+
+def test_scan_configuration(spark, tree):
+    text = '{"schemaVersion":"evigraph-config.v1","entries":["a.ts"],"scan":{"include":["in/**"],"exclude":["in/no/**"],"roles":[{"pattern":"in/g/**","role":"generated"}]}}'
+    root = tree({"evigraph.json": text, "in/a.ts": "export const a = 1", "in/no/b.ts": "export const b = 1", "in/g/c.ts": "export const c = 1", "d.ts": "export const d = 1"})
+    kinds = lambda a: {r.exported_name: r.disposition.kind for r in a.findings.collect()}
+    assert kinds(audit(spark, root)) == {"a": "actionable", "c": "review-only"}
+    assert kinds(audit(spark, root, include=["in/g/**", "in/no/**"], roles=[("in/g/**", "authored")])) == {"c": "actionable"}
+
+
+@pytest.mark.parametrize("text", ["{}", "[]", '{"schemaVersion":"v0"}', '{"schemaVersion":"evigraph-config.v1","odd":1}', '{"schemaVersion":"evigraph-config.v1","entries":["../a"]}', '{"schemaVersion":"evigraph-config.v1","scan":{"roles":[{"pattern":"a","role":"x"}]}}', '{"schemaVersion":"evigraph-config.v1","scan":{"roles":[{"role":"test"}]}}'])
+def test_scan_configuration_is_strict(text):
+    with pytest.raises(documents.DocumentError):
+        settings.parse(text.encode())
+
+
 def test_encoded_export_target_blocks_its_package(spark, tree):
     a = audit(spark, tree({"package.json": '{"name":"x","exports":"./a%2Fb.ts"}', "a.ts": "export const a=1"}))
     assert names(a) == [] and reasons(a) == ["public-surface-unsupported"]
