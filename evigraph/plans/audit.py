@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, paths
-from ..operators import fanin, integrity, lookup, paging, reduce
+from ..operators import fanin, gates, integrity, lookup, paging, reduce
 from ..sources import documents, settings
 from ..sources.modules import module_facts
 from ..sources.sfc import component_facts
@@ -49,7 +49,8 @@ SMALL = 8_000_000
 
 _EXPORT = "struct<name:string,local:string,namespace:string,start:bigint,end:bigint>"
 _USE = "struct<specifier:string,imported:string,local:string,namespace:string,kind:string,request:string,start:bigint,end:bigint>"
-_FACTS = f"source_id string, exports array<{_EXPORT}>, uses array<{_USE}>, unknown array<string>"
+_TAG = "struct<tag:string,binding:string,kind:string,start:bigint,end:bigint>"
+_FACTS = f"source_id string, exports array<{_EXPORT}>, uses array<{_USE}>, unknown array<string>, tags array<{_TAG}>"
 
 
 @dataclass(frozen=True)
@@ -72,13 +73,14 @@ class Audit:
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     export = pa.struct([("name", pa.string()), ("local", pa.string()), ("namespace", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     use = pa.struct([(k, pa.string()) for k in ("specifier", "imported", "local", "namespace", "kind", "request")] + [("start", pa.int64()), ("end", pa.int64())])
+    tag = pa.struct([(k, pa.string()) for k in ("tag", "binding", "kind")] + [("start", pa.int64()), ("end", pa.int64())])
     for batch in batches:
         found = []
         for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             found.append(component_facts(data) if kind == "vue" else module_facts(data, kind))
         rows = lambda xs: [vars(x) for x in xs]
-        columns = [batch.column(0), pa.array([rows(f.exports) for f in found], pa.list_(export)), pa.array([rows(f.uses) for f in found], pa.list_(use)), pa.array([f.unknown for f in found], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["source_id", "exports", "uses", "unknown"])
+        columns = [batch.column(0), pa.array([rows(f.exports) for f in found], pa.list_(export)), pa.array([rows(f.uses) for f in found], pa.list_(use)), pa.array([f.unknown for f in found], pa.list_(pa.string())), pa.array([rows(f.tags) for f in found], pa.list_(tag))]
+        yield pa.RecordBatch.from_arrays(columns, names=["source_id", "exports", "uses", "unknown", "tags"])
 
 
 class Config:
@@ -322,7 +324,7 @@ def blocked_scope(limitations: DataFrame, sources: DataFrame, config: Config) ->
     """
     spark = sources.sparkSession
     listed = limitations.where("reason = 'internal-specifier-unresolved'").select(F.explode("candidates").alias("path"))
-    owned = ("public-surface-unsupported", "package-imports-unsupported", "tsconfig-semantics-unsupported", "tsconfig-payload-unavailable", "sfc-external-script-unresolved")
+    owned = ("public-surface-unsupported", "package-imports-unsupported", "tsconfig-semantics-unsupported", "tsconfig-payload-unavailable", "sfc-external-script-unresolved", "vue-template-opaque")
     roots = spark.createDataFrame([(p[0],) for p in config.packages], "r array<string>")
     local = limitations.where(F.col("reason").isin(*owned)).select("path", paths.components(F.col("path")).alias("l_parts"))
     local = lookup.nearest_ancestor(local, "l_parts", roots, "r").withColumnRenamed("owner", "l_owner")
@@ -334,6 +336,19 @@ def blocked_scope(limitations: DataFrame, sources: DataFrame, config: Config) ->
     return listed.union(inside).union(under).distinct(), everywhere.union(local.where("l_owner is null").select(F.lit("unknown owner")))
 
 
+def unbound_tags(tags: DataFrame, uses: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(source_id, detail) of the template tags(source_id, tag, binding, kind) that do not stand for exactly one binding of
+    the component's scripts, one in another file included. What such a tag uses cannot be told."""
+    bound = uses.where("namespace = 'value' and local is not null").select("source_id", F.col("local").alias("binding"))
+    scripts = resolved.where("outcome = 'internal' and use_kind = 'namespace' and request_kind = 'static-import' and local is null").select(F.col("source_id").alias("component"), "target")
+    inside = scripts.join(bound, F.col("target") == F.col("source_id")).select(F.col("component").alias("source_id"), "binding")
+    known = bound.union(inside).join(tags.select("source_id").distinct(), "source_id", "left_semi").withColumn("one", F.lit(1))
+    asked = gates.bind_one(tags.where("kind = 'static'").select("source_id", "tag", "binding").distinct().withColumnRenamed("binding", "wanted"), known.withColumnRenamed("binding", "wanted"), ["source_id", "wanted"], "one")
+    why = F.concat(F.lit("template component "), "tag", F.when(F.col("outcome") == "none", " has no binding in a script").otherwise(" has several bindings in scripts"))
+    loose = tags.where("kind <> 'static'").select("source_id", F.concat(F.lit("template component "), "tag", F.lit(" is bound at run time or below a namespace")).alias("detail"))
+    return asked.where("outcome <> 'bound'").select("source_id", why.alias("detail")).union(loose).distinct()
+
+
 def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), roles: Sequence[tuple[str, str]] = (), profile: str | None = None) -> Audit:
     """Audits a repository. The sources are read once; every step is kept in the checkpoint folder.
 
@@ -356,12 +371,15 @@ def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude:
 
     row = lambda df, reason, path, detail, candidates=None: df.select(F.lit(reason).alias("reason"), F.col(path).alias("path"), detail.alias("detail"), (candidates if candidates is not None else F.array().cast("array<string>")).alias("candidates"))
     unknown = parsed.select("source_id", F.explode("unknown").alias("why")).join(places.select("source_id", "path"), "source_id")
+    tags = parsed.select("source_id", F.explode("tags").alias("t")).select("source_id", "t.*")
+    loose = unbound_tags(tags, uses, resolved).join(places.select("source_id", "path"), "source_id")
     bad = resolved.where("outcome = 'unsupported'").join(places.select("source_id", "path"), "source_id")
     told = spark.createDataFrame(config.limitations, "r string, path string, d string")
     limitations = (
         row(unknown, "js-module-use-unknown", "path", F.col("why"))
         .union(row(scanned.where("error is not null"), "source-payload-unavailable", "path", F.col("error")))
         .union(row(sources.where(F.col("kind").isin(*NO_PARSER)), "sfc-dialect-unavailable", "path", F.col("kind")))
+        .union(row(loose, "vue-template-opaque", "path", F.col("detail")))
         .union(row(bad.where("reason = 'package imports'"), "package-imports-unsupported", "path", F.col("specifier")))
         .union(row(bad.where("reason not in ('package imports') and reason not like '%configuration%'"), "js-module-use-unknown", "path", F.col("reason")))
         .union(row(resolved.where("outcome = 'unresolved'").join(places.select("source_id", "path"), "source_id"), "internal-specifier-unresolved", "path", F.col("specifier"), F.col("candidates")))

@@ -8,7 +8,8 @@ a false finding.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import accumulate
 
 #: Sources that hold module syntax; CommonJS forms are not lowered.
 JS_KINDS = ("ts", "tsx", "mts", "js", "jsx", "mjs", "declaration")
@@ -55,15 +56,33 @@ class Use:
     end: int
 
 
+@dataclass(frozen=True)
+class Tag:
+    tag: str
+    binding: str
+    kind: str  # static, dynamic, namespace
+    start: int
+    end: int
+
+
 @dataclass
 class Facts:
     exports: list[Export] = field(default_factory=list)
     uses: list[Use] = field(default_factory=list)
     unknown: list[str] = field(default_factory=list)
+    tags: list[Tag] = field(default_factory=list)
 
     def ordered(self) -> Facts:
         key = lambda x: (x.start, x.end, str(x))
-        return Facts(sorted(self.exports, key=key), sorted(self.uses, key=key), sorted(set(self.unknown)))
+        return Facts(sorted(self.exports, key=key), sorted(self.uses, key=key), sorted(set(self.unknown)), sorted(self.tags, key=key))
+
+    def in_bytes(self, text: str) -> Facts:
+        """The same facts with spans that count the bytes of the text in UTF-8 instead of its characters."""
+        if text.isascii():
+            return self
+        at = [0, *accumulate(len(c.encode()) for c in text)]
+        moved = lambda xs: [replace(x, start=at[x.start], end=at[x.end]) for x in xs]
+        return Facts(moved(self.exports), moved(self.uses), self.unknown, moved(self.tags))
 
 
 def tokenize(text: str, markup: bool = False) -> list[Token]:
@@ -432,7 +451,7 @@ def module_facts(data: bytes, kind: str) -> Facts:
         return Facts(unknown=["CommonJS exports are not lowered"])
     try:
         text = data.decode("utf-8")
-        return _Reader(tokenize(text, kind in ("tsx", "jsx"))).read().ordered()
+        return _Reader(tokenize(text, kind in ("tsx", "jsx"))).read().ordered().in_bytes(text)
     except UnicodeDecodeError:
         return Facts(unknown=["source is not UTF-8"])
     except NotPlaced as e:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from .modules import Facts, NotPlaced, Use, module_facts
+from .modules import Facts, NotPlaced, Tag, Use, module_facts
 
 _TAG = re.compile(r"<(/?)([A-Za-z][\w.:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*?)(/?)>|<!--.*?-->", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -57,18 +57,28 @@ def binding_name(tag: str) -> str:
     return "".join(x[:1].upper() + x[1:] for x in tag.split("-"))
 
 
-def component_tags(template: str) -> tuple[list[str], bool]:
-    """(component names used in a template, whether one is chosen at run time)."""
-    found, dynamic = set(), False
+def template_tags(template: str) -> list[Tag]:
+    """The components that a template uses, each tag where it begins. A static one stands for the script's binding of its
+    name; one chosen at run time or below a namespace has no such name."""
+    found = []
     for m in _TAG.finditer(template):
+        tag = m[2]
         if m[0].startswith("<!--") or m[1]:
             continue
-        tag = m[2]
         if tag.lower() == "component":
-            dynamic = dynamic or re.search(r"(?:^|\s)(?::is|v-bind:is)\s*=", m[3]) is not None
+            if re.search(r"(?:^|\s)(?::is|v-bind:is)\s*=", m[3]):
+                found.append(Tag(tag, "", "dynamic", m.start(), m.end()))
+        elif "." in tag:
+            found.append(Tag(tag, tag.partition(".")[0], "namespace", m.start(), m.end()))
         elif tag.lower() not in BUILT_IN and not (tag.islower() and tag in NATIVE):
-            found.add(tag.partition(".")[0] if "." in tag else binding_name(tag))
-    return sorted(found), dynamic
+            found.append(Tag(tag, binding_name(tag), "static", m.start(), m.end()))
+    return found
+
+
+def component_tags(template: str) -> tuple[list[str], bool]:
+    """(component names used in a template, whether one is chosen at run time)."""
+    found = template_tags(template)
+    return sorted({t.binding for t in found if t.binding}), any(t.kind == "dynamic" for t in found)
 
 
 def style_references(css: str) -> list[str]:
@@ -79,8 +89,8 @@ def style_references(css: str) -> list[str]:
 
 
 def component_facts(data: bytes) -> Facts:
-    """Uses of a component file: its scripts' own, shifted to the file, an external script, and style references. It has no
-    named exports. Anything unreadable makes the whole file unknown."""
+    """Uses of a component file: its scripts' own, shifted to the file, an external script, and style references, and the tags
+    of its template. Spans count bytes. It has no named exports. Anything unreadable makes the whole file unknown."""
     try:
         text = data.decode("utf-8")
         found = blocks(text)
@@ -93,14 +103,19 @@ def component_facts(data: bytes) -> Facts:
         return Facts(unknown=["component has more blocks of a kind than its format allows"])
     out = Facts()
     for b in found:
+        start, end = (len(text[:k].encode()) for k in (b.start, b.end))
+        inside = text[b.start : b.end]
+        shifted = lambda xs, by=start: [replace(x, start=x.start + by, end=x.end + by) for x in xs]
         if b.tag == "script" and "src" in b.attributes:
-            out.uses.append(Use(b.attributes["src"], None, None, "value", "namespace", "static-import", b.start, b.end))
+            out.uses.append(Use(b.attributes["src"], None, None, "value", "namespace", "static-import", start, end))
         elif b.tag == "script":
-            own = module_facts(text[b.start : b.end].encode(), b.attributes.get("lang", "js"))
+            own = module_facts(inside.encode(), b.attributes.get("lang", "js"))
             out.unknown += own.unknown
-            out.uses += [Use(u.specifier, u.imported, u.local, u.namespace, u.kind, u.request, u.start + b.start, u.end + b.start) for u in own.uses]
+            out.uses += shifted(own.uses)
         elif b.tag == "style":
-            out.uses += [Use(x, None, None, "value", "side-effect", "static-import", b.start, b.end) for x in style_references(text[b.start : b.end])]
+            out.uses += [Use(x, None, None, "value", "side-effect", "static-import", start, end) for x in style_references(inside)]
         elif b.tag == "template" and "src" in b.attributes:
             out.unknown.append("template is in another file")
+        elif b.tag == "template":
+            out.tags += shifted(Facts(tags=template_tags(inside)).in_bytes(inside).tags)
     return out.ordered()

@@ -200,6 +200,31 @@ def test_components_use_their_imports(spark, tree):
     assert names(b) == [] and reasons(b) == ["sfc-dialect-unavailable"]
 
 
+def test_template_tags_need_one_binding(spark, tree):
+    page = lambda body, script: f"<template>{body}</template><script setup>{script}</script>"
+    root = tree({
+        "package.json": '{"private":true}', "p/package.json": '{"private":true}', "q/package.json": '{"private":true}', "lib.ts": "export const dead = 1", "p/lib.ts": "export const hidden = 1", "q/lib.ts": "export const shown = 1",
+        "p/A.vue": page("<my-card/><transition/>", ""), "q/B.vue": "<template><my-card/></template><script src='./b.ts'></script>", "q/b.ts": "import MyCard from './C.vue'", "q/C.vue": "<template><p/></template>",
+    })
+    a = audit(spark, root)
+    assert (names(a), reasons(a)) == (["dead", "shown"], ["vue-template-opaque"])
+    assert [r.detail for r in a.limitations.collect()] == ["template component my-card has no binding in a script"]
+    two = "<template><a-b/><component :is='x'/><n.S/></template><script>import AB from './C.vue'</script><script setup>import {x as AB} from './C.vue'; import * as n from './C.vue'</script>"
+    b = audit(spark, tree({"p/A.vue": two, "p/C.vue": "<template><p/></template>"}))
+    assert sorted(r.detail for r in b.limitations.where("reason = 'vue-template-opaque'").collect()) == ["template component a-b has several bindings in scripts", "template component component is bound at run time or below a namespace", "template component n.S is bound at run time or below a namespace"]
+
+
+def test_spans_count_bytes():
+    text = "const é = '漢';\nexport const b = 1; import {c} from './d'"
+    got = module_facts(text.encode(), "ts")
+    data = text.encode()
+    assert data[got.exports[0].start : got.exports[0].end].decode().startswith(("b", "export", "const"))
+    page = f"<!-- é --><template><p>漢</p><my-card/></template><script>{text}</script>".encode()
+    facts = sfc.component_facts(page)
+    assert [page[t.start : t.end] for t in facts.tags] == [b"<my-card/>"]
+    assert page[facts.uses[0].start : facts.uses[0].end] == data[got.uses[0].start : got.uses[0].end]
+
+
 def test_walk_honours_ignore_files_and_links(tree, tmp_path):
     root = tree({".gitignore": "*.log\n/out/\n!keep.log\n", "a.log": "", "keep.log": "", "out/x.ts": "", "src/out/y.ts": "", "node_modules/z.ts": "", "src/.gitignore": "y.ts\n", ".hidden.ts": ""})
     (tmp_path / "in.ts").symlink_to(tmp_path / ".hidden.ts")
