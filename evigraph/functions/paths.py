@@ -60,6 +60,15 @@ def package_name(specifier: Column) -> Column:
     return F.when(specifier.rlike(r"^(\.{1,2}(/|$)|/|#|$)"), None).when(specifier.startswith("@"), scoped).otherwise(parts[0])
 
 
+#: The form of a package's name, and its longest length.
+PACKAGE_NAME, PACKAGE_LENGTH = r"(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*", 214
+
+
+def valid_package(name: Column) -> Column:
+    """Whether a text is the name of a package: one segment, or a scope and one; null for null."""
+    return name.rlike(rf"\A{PACKAGE_NAME}\z") & (F.length(name) <= PACKAGE_LENGTH)
+
+
 #: What a request is tried as, in order, by its extension; the second list is for type-only uses.
 SUBSTITUTES = {
     ".js": (("ts", "tsx", "js", "jsx"), ("ts", "tsx", "d.ts", "js", "jsx")),

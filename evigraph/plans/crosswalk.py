@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, paths
 from ..operators import delta, fanin, gates, graph, integrity, ledger, lookup, paging, reduce, retention
-from . import specimen
+from . import report, specimen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -703,6 +703,45 @@ def checked_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey").join(stay.select("o_orderkey", F.lit(True).alias("s")), "o_orderkey", "left").select("o_orderkey", F.coalesce("s", F.lit(False)).alias("stays"))
 
 
+@query(
+    """SELECT doc_id, CAST(coalesce(len(l), 0) AS INT) AS n_items, list_transform(l, lambda x: CAST(len(x) AS INT)) AS n_chars, list_transform(l, lambda x: CAST(len(string_split(x, ' ')) AS INT)) AS n_words
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
+)
+def nested_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records, their lines as revisions with words as a list: shown as counts."""
+    line = lambda x: F.struct(F.length(x).alias("n_chars"), F.split(x, " ").alias("words"))
+    records = _table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), line).alias("items"))
+    shown = report.counted(records, "doc_id", "items", ["words"], ["n_chars"])
+    return shown.select("doc_id", "n_items", F.col("items.n_chars").alias("n_chars"), F.col("items.n_words").alias("n_words"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, 0 AS at, CASE l_returnflag WHEN 'A' THEN 'finding-warnings' WHEN 'R' THEN 'unplanned-write' ELSE 'analysis-contract-changed' END AS kind,
+      CASE WHEN l_returnflag = 'A' THEN CAST(l_partkey AS VARCHAR) END AS "count", CASE WHEN l_returnflag = 'R' THEN CAST(l_partkey AS VARCHAR) END AS path FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, 1, 'write-conflict', NULL, CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE l_quantity >= 25"""
+)
+def signal_flattening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with one or two signals: warnings with a count, writes with a path, others with nothing."""
+    none = F.create_map().cast("map<string,string>")
+    one = lambda field, column: F.create_map(F.lit(field), F.col(column).cast("string"))
+    signal = lambda kind, payload: F.struct(kind.alias("kind"), payload.alias("payload"))
+    flag = F.col("l_returnflag")
+    kind = F.when(flag == "A", "finding-warnings").when(flag == "R", "unplanned-write").otherwise("analysis-contract-changed")
+    first = signal(kind, F.when(flag == "A", one("count", "l_partkey")).when(flag == "R", one("path", "l_partkey")).otherwise(none))
+    both = F.array(first, signal(F.lit("write-conflict"), one("path", "l_suppkey")))
+    lines = _table(spark, sf_dir, "lineitem").withColumn("signals", F.when(F.col("l_quantity") >= 25, both).otherwise(F.array(first)))
+    return report.flat_signals(lines, ["l_orderkey", "l_linenumber"], "signals", ["count", "path"])
+
+
+_NAME = "CASE p_partkey % 4 WHEN 0 THEN lower(p_type) WHEN 1 THEN p_name WHEN 2 THEN '@' || lower(p_type) || '/' || CAST(p_partkey AS VARCHAR(10)) WHEN 3 THEN p_brand END"
+
+
+@query(f"SELECT p_partkey, regexp_full_match(nm, '(@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*') AND len(nm) <= 214 AS valid FROM (SELECT p_partkey, {_NAME} AS nm FROM part)")
+def package_name_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made from every part: plain, with blanks, with a scope, with capitals."""
+    return _table(spark, sf_dir, "part").select("p_partkey", F.expr(_NAME).alias("nm")).select("p_partkey", paths.valid_package(F.col("nm")).alias("valid"))
+
+
 @query(specimen.SQL)
 def audit_generated_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An audit, from scan to findings, of a repository that has a module for every supplier."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import delta, gates, graph, ledger
+from . import report
 from .audit import Audit, audit
 from .runs import RunStore, now_ms
 
@@ -179,6 +180,11 @@ class Gate:
             entry["revisions"].append({"run": None, "decision": None, "signals": [], "at_ms": now_ms()})
             return self.store.done(c, operation, body, {"gate": gate, "decision": None, "run": None, "signals": []})
 
+    def show(self, gate: str) -> dict:
+        """A gate's record as it is shown; a KeyError for what never was."""
+        with self.store.control(write=False) as c:
+            return report.gate_summary(gate, c.get("gates", {})[gate])
+
     @staticmethod
     def _release(entry: dict, state: str) -> None:
         entry["state"], entry["references"] = state, []

@@ -15,17 +15,13 @@ from ..sources.documents import DocumentError
 LIST_FILE = "pnpm-workspace.yaml"
 DEPENDENCY_FIELDS = ("catalog", "catalogs", "packageConfigs")
 OWNERSHIP, DEPENDENCY = "workspace-ownership-unsupported", "pnpm-dependency-semantics-unsupported"
-#: Fixed value: the longest name of a package.
-NAME_LENGTH = 214
-_SEGMENT = r"[a-z0-9][a-z0-9._-]*"
-_NAME = re.compile(rf"(?:@{_SEGMENT}/)?{_SEGMENT}")
 
 Root = tuple[str, ...]
 
 
 def valid_name(name: str) -> bool:
     """One segment, or a scope and one, each of lower-case letters, digits, dots, underscores and hyphens."""
-    return len(name) <= NAME_LENGTH and _NAME.fullmatch(name) is not None
+    return len(name) <= paths.PACKAGE_LENGTH and re.fullmatch(paths.PACKAGE_NAME, name) is not None
 
 
 def valid_pattern(pattern: str) -> bool:
