@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import delta, gates, graph, ledger
+from ..sources.tree import root_identity
 from . import report
 from .audit import Audit, audit
 from .runs import RunStore, now_ms
@@ -96,7 +97,7 @@ class Gate:
             others = {g: x for g, x in c.setdefault("gates", {}).items() if x["state"] == OPEN}
             gate = f"gate-{self.store.next(c, 'gate'):016x}"
             baseline = c["sequences"].get("transition", 0)
-            c["gates"][gate] = {"state": OPEN, "leases": sorted(leases), "reads": sorted(reads), "baseline": baseline, "references": [], "opened_ms": now_ms(), "revisions": []}
+            c["gates"][gate] = {"state": OPEN, "leases": sorted(leases), "reads": sorted(reads), "baseline": baseline, "root": root_identity(self.root), "references": [], "opened_ms": now_ms(), "revisions": []}
         signals = []
         if self._overlap(leases, {g: x["leases"] for g, x in others.items()}):
             signals.append("write-conflict")
@@ -125,7 +126,7 @@ class Gate:
         base = next(r["run"] for r in entry["revisions"] if r["run"])
         found = audit(self.spark, self.root)
         run = self.store.publish(_tables(found), found.state())
-        names = []
+        names = ["analysis-contract-changed"] if entry["root"] != root_identity(self.root) else []
         before, broken = self._reconciled(self.store.read(base, "sources"), [t for t in moves if t["sequence"] in entry["references"]])
         if broken:
             names.append("transition-chain-broken")

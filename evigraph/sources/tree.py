@@ -111,6 +111,15 @@ def walk(root: str) -> Iterator[tuple[str, str | None]]:
     yield from visit(top, [])
 
 
+def root_identity(root: str) -> dict:
+    """The root by its canonical path and by what it is on disk: another folder put in its place has another identity."""
+    path = Path(root).resolve(strict=True)
+    if not path.is_dir():
+        raise NotADirectoryError(root)
+    found = path.stat()
+    return {"path": path.as_posix(), "physical": f"{found.st_dev}:{found.st_ino}"}
+
+
 def _reader(root: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -83,6 +83,33 @@ def test_retention_protects_and_resumes(spark, store):
     assert store.lookup(a) == "pruned" and sorted(os.listdir(store.top / "runs")) == [b, c] and os.listdir(store.top / "trash") == []
 
 
+def test_a_store_moves_as_a_whole(spark, store, tmp_path):
+    first, second = (store.publish(tables(spark, n), "complete") for n in (2, 3))
+    store.pin(first, "keep")
+    moved = store.migrate(str(tmp_path / "next"))
+    assert moved.read(first, "findings").count() == 2 and moved.latest() == second == store.latest()
+    assert moved.publish(tables(spark), "complete") > second and not list(tmp_path.glob(".next*"))
+    with pytest.raises(FileExistsError):
+        store.migrate(str(tmp_path / "next"))
+    part = next((store.top / "runs" / first / "findings").glob("part-*"))
+    part.write_bytes(part.read_bytes() + b"x")
+    with pytest.raises(IntegrityError):
+        store.migrate(str(tmp_path / "other"))
+    assert not list(tmp_path.glob("*other*"))
+
+
+def test_a_gate_holds_for_its_root(spark, store, tmp_path):
+    root = tmp_path / "repo"
+    for k in range(2):
+        root.mkdir()
+        (root / "a.ts").write_text("console.log(1)")
+        if k == 0:
+            opened = Gate(spark, str(root), store).open(["a.ts"])
+            root.rename(tmp_path / "old")
+    closed = Gate(spark, str(root), store).close(opened["gate"])
+    assert closed["decision"] == "stale" and closed["signals"] == ["analysis-contract-changed"]
+
+
 def test_gate_decides_by_what_changed(spark, store, tmp_path):
     root = tmp_path / "repo"
     (root / "src").mkdir(parents=True)
