@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    conversation_repair,
     decontaminate,
+    filter_audit,
     mixing,
     ngram_join,
     quality_model,
     quality_rules,
     secrets_scan,
+    simhash_dedup,
     token_counts,
     toxicity,
     url_rules,
@@ -64,6 +67,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.PLACE_RULES, url_rules.URL_PATTERNS).drop("url")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = filter_audit.mark(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.count(marked, table(spark, sf_dir, "labels")))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -75,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_join.ORACLE,
@@ -82,4 +101,6 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_warc": warc.ORACLE,
     "op10_url_filter": url_rules.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
