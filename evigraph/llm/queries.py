@@ -103,4 +103,5 @@ ORACLES: dict[str, str] = {
     "op10_url_filter": url_rules.ORACLE,
     "op11_conversation_repair": conversation_repair.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_simhash_dedup": simhash_dedup.ORACLE,
 }

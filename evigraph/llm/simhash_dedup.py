@@ -200,7 +200,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, limit: int = LIMIT) -> DataF
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, limit: int = LIMIT) -> DataFrame:
     """(id_col, fingerprint, component_id) of each row: its fingerprint as 16 hexadecimal digits, and the smallest id that links
     of max_bits differing bits reach.
 
@@ -210,10 +210,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     prints = materialize(fingerprints(docs, id_col, text, n), "simhash-docs")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    found = materialize(links(classes, max_bits), "simhash-links")
+    found = materialize(links(classes, max_bits, limit), "simhash-links")
     groups = components(found, "a", "b").withColumnRenamed("id", "fp")
     named = classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.select("fp", "component").join(roots, "component").select("fp", "component_id")
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+
+
+def _oracle() -> str:
+    """DuckDB SQL of near_duplicates(documents): XXH64 from its definition, in 128-bit arithmetic, and every pair of fingerprints."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    m = "18446744073709551616::UHUGEINT"
+    low = lambda x: f"(({x}) % {m})"
+    turn = lambda x, r: f"(({x}) * {1 << r}::UHUGEINT % {m} + ({x}) // {1 << (64 - r)}::UHUGEINT)"
+    xor = lambda a, b: f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+    word = lambda at, size: "('0x' || " + " || ".join(f"h[2 * ({at}) + {2 * k + 1}:2 * ({at}) + {2 * k + 2}]" for k in reversed(range(size))) + ")::UBIGINT::UHUGEINT"
+    fold = lambda start, items, body: f"list_reduce([{start}] || list_transform({items}), lambda a, k: {body})"
+    once = lambda a, k: low(f"{turn(low(f'{a} + ({k}) * {p2}'), 31)} * {p1}")
+    lanes = [f"({SEED}::UHUGEINT + {p1} + {p2}) % {m}", f"({SEED}::UHUGEINT + {p2}) % {m}", f"{SEED}::UHUGEINT", f"({SEED}::UHUGEINT + {m} - {p1}) % {m}"]
+    lanes = ", ".join(fold(v, f"range(0, n // 32), lambda i: {word(f'32 * i + {8 * j}', 8)}", once("a", "k")) + f" AS v{j}" for j, v in enumerate(lanes))
+    merged = low(" + ".join(turn(f"v{j}", r) for j, r in enumerate((1, 7, 12, 18))))
+    for j in range(4):
+        merged = f"({xor(merged, once('0::UHUGEINT', f'v{j}'))} * {p1} + {p4}) % {m}"
+    eights = fold("a0", f"range(n // 32 * 4, n // 8), lambda i: {word('8 * i', 8)}", low(f"{turn(xor('a', once('0::UHUGEINT', 'k')), 27)} * {p1} + {p4}"))
+    four = low(f"{turn(xor('a1', low(f'{word("n // 8 * 8", 4)} * {p1}')), 23)} * {p2} + {p3}")
+    ones = fold("a2", f"range(n // 4 * 4, n), lambda i: {word('i', 1)}", low(f"{turn(xor('a', low(f'k * {p5}')), 11)} * {p1}"))
+    end = [("a4", xor("a3", f"a3 // {1 << 33}") + f" * {p2} % {m}"), ("a5", xor("a4", f"a4 // {1 << 29}") + f" * {p3} % {m}"), ("a6", xor("a5", f"a5 // {1 << 32}"))]
+    votes = " + ".join(f"CASE WHEN 2 * count(*) FILTER (g[{k}] = '1') > count(*) THEN {1 << k}::UHUGEINT ELSE 0::UHUGEINT END" for k in range(64))
+    votes = votes.replace("g[", "b[64 - ")
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({lower}, '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (SELECT r, unnest(list_transform(range(1, greatest(len(ws) - {SHINGLE_WORDS - 2}, 2)), lambda i: array_to_string(ws[i:i + {SHINGLE_WORDS - 1}], ' '))) AS t FROM w WHERE len(ws) > 0),
+    d AS (SELECT t, hex(t) AS h, length(hex(t)) // 2 AS n FROM (SELECT DISTINCT t FROM s)),
+    l AS (SELECT *, {lanes} FROM d),
+    x0 AS (SELECT t, h, n, (CASE WHEN n >= 32 THEN {merged} ELSE {SEED}::UHUGEINT + {p5} END + n::UHUGEINT) % {m} AS a0 FROM l),
+    x1 AS (SELECT *, {eights} AS a1 FROM x0), x2 AS (SELECT *, CASE WHEN n % 8 >= 4 THEN {four} ELSE a1 END AS a2 FROM x1),
+    x3 AS (SELECT *, {ones} AS a3 FROM x2), x4 AS (SELECT *, {end[0][1]} AS a4 FROM x3), x5 AS (SELECT *, {end[1][1]} AS a5 FROM x4),
+    x6 AS (SELECT t, lpad(bin(({end[2][1]})::UBIGINT), 64, '0') AS b FROM x5),
+    f AS (SELECT r, ({votes})::UBIGINT AS fp FROM s JOIN x6 USING (t) GROUP BY r),
+    p AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM w LEFT JOIN f USING (r)),
+    c AS (SELECT fp, min(doc_id) AS least FROM p GROUP BY fp),
+    k AS (SELECT a.fp AS a, b.fp AS b FROM c a JOIN c b ON bit_count(xor(a.fp, b.fp)) <= {MAX_BITS}),
+    go(a, b) AS (SELECT fp, fp FROM c UNION SELECT go.a, k.b FROM go JOIN k ON go.b = k.a),
+    g AS (SELECT a AS fp, min(least) AS component_id FROM go JOIN c ON c.fp = go.b GROUP BY a)
+    SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM p JOIN g USING (fp)"""
+
+
+ORACLE = _oracle()
