@@ -59,6 +59,41 @@ def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(other, same, "left").drop(*(f"_r_{k}" for k in keys))
 
 
+def merge_payloads(facts: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """(keys, payload) of facts with a map from field to struct(value, rank): one map a key.
+
+    A field that all facts of a key have alike stays. One on which they differ, or that some lack, becomes unranked, its value
+    the distinct ones joined in their order. Distinct values are found with partial sums, so a hot key gathers only those.
+    """
+    at = F.explode(F.coalesce(payload, F.create_map().cast(facts.schema[payload].dataType))).alias("_f", "_v")
+    rows = facts.select(*keys, at).groupBy(*keys, "_f", F.col("_v.value").alias("v"), F.col("_v.rank").alias("r")).agg(F.count("*").alias("n"))
+    values = rows.groupBy(*keys, "_f").agg(F.sum("n").alias("_has"), F.array_sort(F.collect_list(F.struct("v", "r"))).alias("_s"))
+    out = _beside(values, facts.groupBy(*keys).agg(F.count("*").alias("_all")), keys)
+    text = lambda x: F.concat(F.coalesce(x["v"], F.lit("-")), F.lit("@"), F.coalesce(x["r"].cast("string"), F.lit("-")))
+    alike = (F.size("_s") == 1) & (F.col("_has") == F.col("_all"))
+    joined = F.concat(F.array_join(F.transform("_s", text), ","), F.when(F.col("_has") < F.col("_all"), F.lit(",absent")).otherwise(F.lit("")))
+    none = F.lit(None).cast("int")
+    one = F.when(alike, F.struct(F.get("_s", F.lit(0))["v"].alias("value"), F.get("_s", F.lit(0))["r"].cast("int").alias("rank"))).otherwise(F.struct(joined.alias("value"), none.alias("rank")))
+    maps = out.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_f", one.alias("_v")))).alias("_m"))
+    empty = F.create_map().cast("map<string,struct<value:string,rank:int>>")
+    return _beside(facts.select(*keys).distinct(), maps, keys).select(*keys, F.coalesce("_m", empty).alias(payload))
+
+
+def payload_changes(was: Column, now: Column) -> dict[str, Column]:
+    """The fields of two payload maps that regressed, improved or changed incomparably, each as a sorted array of names.
+
+    Of two ranks the lower is the worse; a field without a rank on either side, or absent on one, is incomparable if it differs.
+    """
+
+    def change(_, a, b):
+        same, worse, better = a.eqNullSafe(b), b["rank"] < a["rank"], b["rank"] > a["rank"]
+        return F.when(~same, F.when(worse, "regressions").when(better, "improvements").otherwise("incomparable"))
+
+    zipped = F.map_zip_with(was, now, change)
+    pick = lambda name: F.array_sort(F.map_keys(F.map_filter(zipped, lambda _, v: F.coalesce(v == name, F.lit(False)))))
+    return {name: pick(name) for name in ("regressions", "improvements", "incomparable")}
+
+
 def classify(regressions: Column, improvements: Column, incomparable: Column, has_base: Column, has_current: Column, baseline_available: Column | None = None) -> Column:
     """The class of a key from whether its dimensions regressed, improved or changed incomparably. Total: never null."""
     out = (
@@ -72,16 +107,19 @@ def classify(regressions: Column, improvements: Column, incomparable: Column, ha
     return out if baseline_available is None else F.when(baseline_available, out).otherwise("baseline-unavailable")
 
 
-def lifecycle(baseline: DataFrame, current: DataFrame, keys: list[str], sets: list[str] = (), ranks: list[str] = (), values: list[str] = (), baseline_available: bool = True) -> DataFrame:
-    """Full outer comparison of two fact tables with unique keys.
+def lifecycle(baseline: DataFrame, current: DataFrame, keys: list[str], sets: list[str] = (), ranks: list[str] = (), values: list[str] = (), baseline_available: bool = True, payload: str | None = None) -> DataFrame:
+    """Full outer comparison of two fact tables with unique keys; a null key is a key.
 
     regressions, improvements and incomparable list the dimensions as text: added and lost members of sets (name+member,
     name-member), lowered and raised ranks (name), changed values (name). A raised rank is an improvement whatever it means.
-    A rank missing on one side is incomparable.
+    A rank missing on one side is incomparable. payload names a map from field to struct(value, rank), compared field by field
+    and listed as name.field.
     """
-    b = baseline.select(*keys, *(F.col(c).alias(f"_b_{c}") for c in (*sets, *ranks, *values)), F.lit(True).alias("_base"))
-    c = current.select(*keys, *(F.col(x).alias(f"_c_{x}") for x in (*sets, *ranks, *values)), F.lit(True).alias("_cur"))
-    rows = b.join(c, keys, "full")
+    held = (*sets, *ranks, *values, *([payload] if payload else []))
+    b = baseline.select(*(F.col(k).alias(f"_kb_{k}") for k in keys), *(F.col(c).alias(f"_b_{c}") for c in held), F.lit(True).alias("_base"))
+    c = current.select(*(F.col(k).alias(f"_kc_{k}") for k in keys), *(F.col(x).alias(f"_c_{x}") for x in held), F.lit(True).alias("_cur"))
+    rows = b.join(c, reduce(lambda x, y: x & y, (F.col(f"_kb_{k}").eqNullSafe(F.col(f"_kc_{k}")) for k in keys)), "full")
+    rows = rows.withColumns({k: F.coalesce(f"_kb_{k}", f"_kc_{k}") for k in keys})
     both = F.col("_base").isNotNull() & F.col("_cur").isNotNull()
     none = F.array().cast("array<string>")
     tag = lambda xs, sign: F.transform(xs, lambda x: F.concat(F.lit(sign), x.cast("string")))
@@ -98,6 +136,11 @@ def lifecycle(baseline: DataFrame, current: DataFrame, keys: list[str], sets: li
         other.append(F.when(was.isNull() != now.isNull(), F.array(F.lit(x))).otherwise(none))
     for x in values:
         other.append(F.when(~F.col(f"_b_{x}").eqNullSafe(F.col(f"_c_{x}")), F.array(F.lit(x))).otherwise(none))
+    if payload:
+        empty = F.create_map().cast(baseline.schema[payload].dataType)
+        fields = payload_changes(F.coalesce(f"_b_{payload}", empty), F.coalesce(f"_c_{payload}", empty))
+        for to, name in ((worse, "regressions"), (better, "improvements"), (other, "incomparable")):
+            to.append(F.transform(fields[name], lambda x: F.concat(F.lit(f"{payload}."), x)))
     lists = {"regressions": worse, "improvements": better, "incomparable": other}
     rows = rows.withColumns({k: F.when(both, F.array_sort(F.concat(*v))).otherwise(none) for k, v in lists.items()})
     some = lambda k: F.size(k) > 0

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions import paths
+from . import graph
+from .identity import SOURCE, STATES
 
+#: What a lease names; all but the first protect every source.
+FILE, DIRECTORY, NEW_FILE = "file", "directory", "new-file"
 #: Decisions that let a change stand, and the kinds of retained records in their order.
 AUTHORISING = ("allow", "allow-with-warnings")
 ITEM_KINDS = ("gate", "evidence", "revision", "finding", "operation", "transition")
@@ -42,6 +46,25 @@ def covered(changed: DataFrame, key: str, parts: str, leases: DataFrame, lease_p
     return up.join(leases.select(F.col(lease_parts).alias("_p")).distinct(), "_p", "left_semi").select(key).distinct()
 
 
+def protected_inputs(leases: DataFrame, gate: str, kind: str, path: str, inputs: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """(gate, path) of the inputs(path, state) that each gate fixes by what it leases.
+
+    A lease on a file fixes all sources that links(a, b) between sources connect with it, itself included; one on a directory
+    or on a new file fixes all sources. What is no source is fixed by every gate. Links go both ways, so the closures of all
+    gates are read off one labelling of connected sources; a source without links is its own.
+    """
+    sources = inputs.where(F.col("state") == SOURCE).select(path).distinct()
+    named = graph.components(links, a, b).withColumnRenamed("node", path)
+    placed = sources.join(named, path, "left").withColumn("component", F.coalesce("component", F.col(path))).checkpoint()
+    ours = leases.select(gate, kind, path)
+    files = ours.where(F.col(kind) == FILE).join(placed, path).select(gate, "component").distinct()
+    wide = ours.where(F.col(kind) != FILE).select(gate).distinct()
+    close = files.join(wide, gate, "left_anti").join(placed, "component").select(gate, path)
+    rest = F.array(*(F.lit(x) for x in STATES if x != SOURCE))
+    kinds = ours.select(gate).distinct().select(gate, F.explode(rest).alias("state")).union(wide.select(gate, F.lit(SOURCE)))
+    return close.union(inputs.select(path, "state").join(kinds, "state").select(gate, path)).distinct()
+
+
 def closing_inputs(baseline: DataFrame, current: DataFrame, key: str, record: Sequence[str], leased: DataFrame, protected: DataFrame) -> DataFrame:
     """(key, change, scope) of every input that differs: change is added, removed or changed.
 

@@ -71,3 +71,66 @@ def aliases(rows: DataFrame, key: str, physical: str) -> DataFrame:
     """(key, alias): every other name of the same physical file, itself included."""
     a = rows.select(F.col(key), F.col(physical).alias("_f"))
     return a.join(rows.select(F.col(key).alias("alias"), F.col(physical).alias("_f")), "_f").select(key, "alias").distinct()
+
+
+def reach(edges: DataFrame, seeds: DataFrame, label: str, node: str) -> DataFrame:
+    """(label, node, distance) of all that edges(src, dst) reach from each label's seeds: one frontier of (label, node) for all
+    labels, so many sets cost as many rounds as the longest one."""
+    rounds = [seeds.select(F.col(label).alias("label"), F.col(node).alias("node")).where("node is not null").distinct().withColumn("distance", F.lit(0)).checkpoint()]
+    edges = edges.checkpoint()
+    for k in range(1, MAX_ROUNDS):
+        known = reduce(DataFrame.unionByName, rounds)
+        nearby = rounds[-1].join(edges, F.col("node") == F.col("src")).select("label", F.col("dst").alias("node")).distinct()
+        front = nearby.join(known, ["label", "node"], "left_anti").withColumn("distance", F.lit(k)).checkpoint()
+        if front.isEmpty():
+            return known.select(F.col("label").alias(label), F.col("node").alias(node), "distance")
+        rounds.append(front)
+        if len(rounds) > MERGE:
+            rounds = [reduce(DataFrame.unionByName, rounds[:-1]).checkpoint(), rounds[-1]]
+    raise RuntimeError(f"the closure did not end in {MAX_ROUNDS} rounds")
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component) of every end of links that go both ways: component is the smallest node connected with it.
+
+    By turns every node's larger neighbours, then its smaller ones and itself, are hung below its smallest neighbour, until
+    nothing changes: the turns grow with the logarithm of the longest way. A node's links are only reduced to their minimum,
+    before and after a shuffle, and joined with that one row.
+    """
+    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
+    before = mark(links)
+    for _ in range(MAX_ROUNDS):
+        both = links.union(links.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        hung = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").checkpoint()
+        least = hung.groupBy("u").agg(F.min("v").alias("m"))
+        rest = hung.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = rest.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        now = mark(links)
+        if now == before:
+            roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+        before = now
+    raise RuntimeError(f"the components did not settle in {MAX_ROUNDS} turns")
+
+
+def alias_groups(rows: DataFrame, key: str, physical: str) -> DataFrame:
+    """(key, representative, n_names) of every name: the smallest name of the same physical file, and how many it has.
+
+    Names are summed by file before they move and then given their file's one row, so a file of many names costs a row a name
+    and no pair. A name without a file stands for itself; repeated rows count once.
+    """
+    names = rows.select(F.col(key), F.col(physical).alias("_f")).distinct()
+    held = names.where("_f is not null").groupBy("_f").agg(F.min(key).alias("representative"), F.count("*").alias("n_names"))
+    out = names.join(held, "_f", "left")
+    return out.select(key, F.coalesce("representative", F.col(key)).alias("representative"), F.coalesce("n_names", F.lit(1).cast("long")).alias("n_names"))
+
+
+def follow_aliases(leases: DataFrame, label: str, key: str, groups: DataFrame) -> DataFrame:
+    """(label, key, declared) of leases(label, key) with every other name of the files they name: who may write a file by one
+    name writes it by all. groups are alias_groups(); a name that they lack stays as declared."""
+    own = leases.select(label, key).distinct()
+    held = own.join(groups, key).select(label, "representative").distinct()
+    named = held.join(groups.select(key, "representative"), "representative").select(label, key)
+    return own.withColumn("_o", F.lit(True)).join(named.distinct(), [label, key], "full").select(label, key, F.coalesce("_o", F.lit(False)).alias("declared"))

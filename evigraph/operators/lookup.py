@@ -69,3 +69,31 @@ def most_specific_key(rows: DataFrame, text: str, keys: DataFrame, pattern: str,
     rank = F.struct(~F.col("_star"), paths.utf16_length(F.col("_prefix")), paths.utf16_length(F.col("_key")), F.col("_key"))
     best = found.groupBy(*group, "_t").agg(F.max_by("_key", rank).alias("key"))
     return rows.join(best.withColumnRenamed("_t", text), [*group, text], "left")
+
+
+def longest_pattern_of(rows: DataFrame, text: str, patterns: DataFrame, pattern: str, order: str, group: list[str]) -> DataFrame:
+    """Adds key, order and captured: of the patterns of the row's group the exact one, else the one-star pattern with the longest
+    literal prefix, the earliest of equals; captured is what its star stands for.
+
+    Patterns are indexed by both literal ends. A text only makes the ends of lengths that patterns of its group have, in the
+    pairs in which they occur, and looks them up at once, so no pattern is met that does not fit and the cost of a text follows
+    the pairs of lengths, not the patterns. Distinct texts are looked up once. Null groups and texts have no pattern.
+    """
+    p = F.col(pattern)
+    star = p.contains("*")
+    ends = lambda last: F.when(star, F.substring_index(p, "*", last)).otherwise(p if last == 1 else F.lit(""))
+    held = patterns.select(*group, p.alias("key"), F.col(order).alias("order"), star.alias("_star"), ends(1).alias("_head"), ends(-1).alias("_tail"))
+    held = held.groupBy(*group, "_star", "_head", "_tail").agg(F.min("order").alias("order"), F.min_by("key", "order").alias("key"))
+    shape = F.struct("_star", F.length("_head").alias("h"), F.length("_tail").alias("t"))
+    shapes = held.groupBy(*group).agg(F.collect_set(shape).alias("_shapes"))
+    texts = rows.select(*group, F.col(text).alias("_x")).where("_x is not null").distinct().join(shapes, group)
+    fits = lambda s: F.when(s["_star"], s["h"] + s["t"] <= F.length("_x")).otherwise(s["h"] == F.length("_x"))
+    tried = texts.select(*group, "_x", F.explode(F.filter("_shapes", fits)).alias("s"))
+    x = F.col("_x")
+    tried = tried.select(*group, "_x", F.col("s._star").alias("_star"), F.substring(x, F.lit(1), F.col("s.h")).alias("_head"), F.substring(x, F.length(x) - F.col("s.t") + 1, F.col("s.t")).alias("_tail"))
+    found = tried.join(held, [*group, "_star", "_head", "_tail"])
+    middle = F.when(F.col("_star"), F.substring(x, F.length("_head") + 1, F.length(x) - F.length("_head") - F.length("_tail"))).otherwise(F.lit(""))
+    rank = F.struct(~F.col("_star"), F.length("_head"), -F.col("order"))
+    best = found.groupBy(*group, "_x").agg(F.max_by(F.struct("key", "order", middle.alias("captured")), rank).alias("_m"))
+    out = rows.join(best.withColumnRenamed("_x", text), [*group, text], "left")
+    return out.withColumns({c: F.col(f"_m.{c}") for c in ("key", "order", "captured")}).drop("_m")

@@ -36,7 +36,7 @@ class Page:
 
 def encode_cursor(scope: Scope, anchor: Sequence) -> str:
     body = {"schema": SCHEMA, "source": scope.source, "ordering": scope.ordering, "filters": {}, "anchor": list(anchor)}
-    return base64.urlsafe_b64encode(json.dumps(body, separators=(",", ":"), sort_keys=True).encode()).decode().rstrip("=")
+    return base64.urlsafe_b64encode(json.dumps(body, separators=(",", ":"), sort_keys=True, default=str).encode()).decode().rstrip("=")
 
 
 def decode_cursor(cursor: str, scope: Scope) -> list:
@@ -103,6 +103,37 @@ def tagged(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def tagged_page(parts: Sequence[DataFrame], columns: Sequence[Sequence[tuple[str, bool]]], scope: Scope, cursor: str | None = None, size: int = PAGE) -> Page:
+    """A page over several tables, one behind the other, each in a total order of its own columns; rows come with their tag.
+
+    A cursor names the table of the last row shown and that row's order columns, which must still be there. Tables before it
+    are not read, the one it is in from there on, and a later one only as far as the page still has room.
+    """
+    tag, kept, truncated, last = 0, [], False, None
+    ordered = [[*own] for own in columns]
+    if cursor is not None:
+        anchor = decode_cursor(cursor, scope)
+        if not anchor or anchor[0] not in range(len(parts)) or len(anchor) != 1 + len(ordered[anchor[0]]):
+            raise CursorError("malformed cursor")
+        tag, values = anchor[0], anchor[1:]
+        same = [F.col(c) == F.lit(v).cast(parts[tag].schema[c].dataType) for (c, _), v in zip(ordered[tag], values, strict=True)]
+        if not parts[tag].where(_all(same)).head(1):
+            raise CursorError("the cursor's row is gone")
+    for k in range(tag, len(parts)):
+        rows = after(parts[k], ordered[k], values) if cursor is not None and k == tag else parts[k]
+        found = rows.orderBy(*sort_key(ordered[k])).limit(size + 1 - len(kept)).collect()
+        truncated = len(kept) + len(found) > size
+        found = found[: size - len(kept)]
+        kept += [(k, r) for r in found]
+        if found:
+            last = [k, *(found[-1][c] for c, _ in ordered[k])]
+        if truncated:
+            break
+    spark = parts[0].sparkSession
+    shown = [spark.createDataFrame([r for t, r in kept if t == k], part.schema) for k, part in enumerate(parts)]
+    return Page(tagged(shown), truncated, encode_cursor(scope, last) if truncated else None)
+
+
 def probe(rows: DataFrame, size: int = PAGE) -> DataFrame:
     """(shown, total, truncated) of a table at a page size."""
     counted = rows.agg(F.count("*").alias("total"))

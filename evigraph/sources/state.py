@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +17,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not given and not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="evigraph-"))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the folder that driver and executors share, which nothing else uses."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

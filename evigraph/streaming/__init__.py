@@ -1 +1 @@
-
+"""Operators over unbounded inputs by Structured Streaming."""
