@@ -13,9 +13,10 @@ from posixpath import normpath
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from ..functions import hashing, paths
-from ..operators import fanin, gates, integrity, lookup, paging, reduce
+from ..operators import fanin, gates, identity, integrity, lookup, paging, reduce
 from ..sources import documents, settings
 from ..sources.modules import module_facts
 from ..sources.sfc import component_facts
@@ -60,6 +61,17 @@ class Audit:
     exports: DataFrame
     limitations: DataFrame
     findings: DataFrame
+    inputs: DataFrame
+
+    def gaps(self) -> DataFrame:
+        """Limitations that leave required evidence out. One that lists what an unresolved request may have meant is bounded: it
+        is compared from run to run like a finding, and only advises."""
+        return self.limitations.where(~bounded())
+
+    def links(self) -> DataFrame:
+        """(source, target) paths of the requests between sources."""
+        named = lambda key, as_: self.sources.select(F.col("source_id").alias(key), F.col("path").alias(as_))
+        return self.resolved.where("outcome = 'internal'").select("source_id", "target").distinct().join(named("source_id", "source"), "source_id").join(named("target", "to"), "target").select("source", F.col("to").alias("target"))
 
     def state(self) -> str:
         return "complete" if self.limitations.isEmpty() else "incomplete"
@@ -70,6 +82,11 @@ class Audit:
         return one.join(n, F.lit(True))  # one row each
 
 
+def bounded() -> Column:
+    """Whether a row of limitations is an unresolved request with a list of what it may have meant."""
+    return (F.col("reason") == "internal-specifier-unresolved") & (F.size("candidates") > 0)
+
+
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     export = pa.struct([("name", pa.string()), ("local", pa.string()), ("namespace", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     use = pa.struct([(k, pa.string()) for k in ("specifier", "imported", "local", "namespace", "kind", "request")] + [("start", pa.int64()), ("end", pa.int64())])
@@ -94,6 +111,7 @@ class Config:
         self.surfaces: list[tuple[list[str], str, str | None, str, str, int]] = []
         self.mappings: list[tuple[list[str], str, int, list[str]]] = []
         self.configs: list[tuple[list[str], str | None, str, bool]] = []
+        self.missing: set[str] = set()
         for path, doc in sorted(self.documents.items()):
             name, root = path.rpartition("/")[2], [x for x in path.rpartition("/")[0].split("/") if x]
             if name == "package.json":
@@ -180,6 +198,8 @@ class Config:
         def load(p: str) -> None:
             nonlocal blocked
             doc = self.documents.get(p)
+            if p not in self.documents:
+                self.missing.add(p)
             if p in seen or not isinstance(doc, dict):
                 blocked = True
                 self.limitations.append(("tsconfig-payload-unavailable", path, f"{p} is missing, no object, or extends itself"))
@@ -401,15 +421,19 @@ def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude:
     idle = fanin.unused(counted, F.col("declaration"))
     some, everywhere = blocked_scope(limitations, places, config)
     idle = integrity.outside_scope(idle, some, ["path"], everywhere)
-    text = lambda tail: F.concat(F.lit("export `"), "name", F.lit(tail))
-    claim = F.when(F.col("test_uses") > 0, text("` has zero production fan-in and is consumed only by test-like sources")).otherwise(text("` has zero grounded exact fan-in"))
+    text = lambda tail: F.concat(F.lit("nothing in production asks for `"), "name", F.lit(tail))
+    claim = F.when(F.col("test_uses") > 0, text("`; tests do")).otherwise(text("`, and no test does"))
     findings = idle.select(
         hashing.content_identity(F.lit(RULE), F.col("source_id"), F.col("namespace"), F.col("name"), prefix="fnd-").alias("finding_id"),
         F.lit(RULE).alias("rule_id"), F.lit("warning").alias("severity"), F.lit("grounded").alias("confidence"),
         fanin.disposition(F.col("generated"), F.col("vendored")).alias("disposition"), claim.alias("claim"),
         "source_id", "path", "start", "end", F.col("name").alias("exported_name"), "namespace", paths.canonical(F.col("parts")).alias("path_key"),
     )
-    return Audit(places, resolved, counted, limitations, findings)
+    read = F.when(F.col("error").isNull(), identity.PRESENT).when(F.col("error").contains("link"), identity.NON_REGULAR).otherwise(identity.UNREADABLE)
+    asked = scanned.where("is_config").select("path", read.alias("state"), "payload_sha256", "physical_id", F.col("error").alias("detail"))
+    absent = spark.createDataFrame([(p, identity.MISSING, None, None, None) for p in sorted(config.missing)], asked.schema)
+    inputs = identity.semantic_inputs(places, asked.union(absent))
+    return Audit(places, resolved, counted, limitations, findings, inputs)
 
 
 #: Severities and confidences from the least on.

@@ -1,9 +1,11 @@
 """Write gate: evidence before and after a planned change, reduced to one decision.
 
-Opening reserves paths to write and to read, and keeps the evidence of that moment as a run. Closing audits again, brings the
-baseline up to the transitions that other gates have published since, compares inputs, findings and limitations with it, and
-decides. Only a decision that lets the change stand closes the gate and publishes its changes as a transition; any other one
-leaves it open. The control document holds open gates and their ledger; evidence is in the store's runs.
+Opening reserves paths to write and to read, and keeps the evidence of that moment as a run. What must not change meanwhile is
+found from the analysis: all configuration, and the sources that links connect with what is leased (all sources, where that
+is a directory or a new file). A lease on a file holds for all of its names. Closing audits again, brings the baseline up to
+the transitions that other gates have published since, compares inputs, findings and limitations with it, and decides. Only
+a decision that lets the change stand closes the gate and publishes its changes as a transition; any other one leaves it
+open. The control document holds open gates and their ledger; evidence and reservations are in the store's runs.
 """
 
 from __future__ import annotations
@@ -16,26 +18,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import delta, gates, graph, ledger
+from ..operators import delta, gates, graph, identity, ledger
 from ..sources.tree import root_identity
 from . import report
-from .audit import Audit, audit
+from .audit import SEVERITIES, Audit, audit, bounded
 from .runs import RunStore, now_ms
 
 FACT_KEYS = ["family", "rule_id", "path", "namespace", "name"]
+SETS, RANKS = ["targets", "affected"], ["confidence", "grounding"]
 OPEN, CLOSED, ABANDONED = "open", "closed", "abandoned"
 #: Confidence by rank, the surer the higher.
 CONFIDENCE = ("heuristic", "grounded")
-PENDING = "path string, gate string"
+#: What of an input is compared: how it was met, and its bytes.
+RECORD = ["state", "payload_sha256"]
+#: Times that the reservations of others may change while one's own are compared with them.
+TRIES = 5
+
+
+class GateError(RuntimeError):
+    """The gate has changed under the operation, which must be asked for again."""
+
+
+def _rank(column: str, values: Sequence[str]):
+    return F.array_position(F.array(*map(F.lit, values)), F.col(column)).cast("int")
 
 
 def facts(findings: DataFrame, limitations: DataFrame) -> DataFrame:
-    """Findings and limitations as delta facts: what they are about as targets, confidence and grounding as ranks, the disposition
-    or the candidates as evidence. Limitations are the family of opaque facts; equal keys are merged."""
-    rank = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("confidence")).cast("int")
-    shown = findings.select(F.lit("finding").alias("family"), "rule_id", "path", "namespace", F.col("exported_name").alias("name"), F.array("claim").alias("targets"), rank.alias("confidence"), F.when(F.col("start").isNotNull(), 1).otherwise(0).alias("grounding"), F.col("disposition.kind").alias("evidence"))
-    opaque = limitations.select(F.lit("opacity").alias("family"), F.col("reason").alias("rule_id"), "path", F.lit("").alias("namespace"), F.col("detail").alias("name"), F.col("candidates").alias("targets"), F.lit(1).alias("confidence"), F.lit(1).alias("grounding"), F.lit(None).cast("string").alias("evidence"))
-    return delta.merge_facts(shown.unionByName(opaque), FACT_KEYS, ["targets"], ["confidence", "grounding"], ["evidence"])
+    """Findings and bounded limitations as delta facts; equal keys are merged.
+
+    A finding is about itself and affects its source. Where it stands is its evidence, which changes incomparably; what its
+    owner says of it is a payload, of which only the severity has ranks. An unresolved request is an opaque fact about what it
+    may have meant, keyed by its importer and what was asked for, a relative request without the extension .js. Limitations
+    without such a list are gaps and no facts.
+    """
+    say = lambda value, rank=None: F.struct(value.cast("string").alias("value"), (F.lit(None) if rank is None else rank).cast("int").alias("rank"))
+    payload = F.create_map(F.lit("claim"), say(F.col("claim")), F.lit("disposition"), say(F.to_json("disposition")), F.lit("severity"), say(F.col("severity"), _rank("severity", SEVERITIES)))
+    at = F.concat_ws(":", "path", "start", "end")
+    shown = findings.select(F.lit("finding").alias("family"), "rule_id", "path", "namespace", F.col("exported_name").alias("name"), F.array("finding_id").alias("targets"), F.array("source_id").alias("affected"), _rank("confidence", CONFIDENCE).alias("confidence"), F.when(F.col("start").isNotNull(), 1).otherwise(0).alias("grounding"), at.alias("evidence"), payload.alias("payload"))
+    asked = F.when(F.col("detail").rlike(r"^\.\.?/.*\.js$"), F.regexp_replace("detail", r"\.js$", "")).otherwise(F.col("detail"))
+    none = F.create_map().cast(shown.schema["payload"].dataType)
+    opaque = limitations.where(bounded()).select(F.lit("opacity").alias("family"), F.lit("unresolved-request").alias("rule_id"), "path", F.lit("").alias("namespace"), asked.alias("name"), F.col("candidates").alias("targets"), F.array("path").alias("affected"), F.lit(len(CONFIDENCE)).alias("confidence"), F.lit(1).alias("grounding"), F.concat_ws(":", "path", asked).alias("evidence"), none.alias("payload"))
+    both = shown.unionByName(opaque)
+    merged = delta.merge_facts(both, FACT_KEYS, SETS, RANKS, ["evidence"])
+    return merged.join(delta.merge_payloads(both, FACT_KEYS, "payload"), FACT_KEYS)
 
 
 def unsupported(root: str, path: str) -> str | None:
@@ -69,8 +94,14 @@ def unsupported(root: str, path: str) -> str | None:
     return None
 
 
-def _tables(found: Audit) -> dict[str, DataFrame]:
-    return {"sources": found.sources.select("source_id", "path", "parts", "payload_sha256", "physical_id"), "findings": found.findings, "limitations": found.limitations}
+def lease_kind(root: str, path: str) -> str:
+    """What a declared path is now."""
+    full = os.path.join(root, path)
+    return gates.DIRECTORY if os.path.isdir(full) else gates.FILE if os.path.exists(full) else gates.NEW_FILE
+
+
+def _parts(df: DataFrame) -> DataFrame:
+    return df.withColumn("parts", paths.components(F.col("path")))
 
 
 class Gate:
@@ -87,9 +118,54 @@ class Gate:
             return False
         return not graph.overlaps(self._paths({"": mine}), self._paths(theirs), "gate", "parts").isEmpty()
 
+    def _reserved(self, others: dict[str, dict]) -> DataFrame | None:
+        """(path, parts, role) of what other open gates have reserved by their analyses."""
+        held = [self.store.read(x["reserved"], "reserved") for x in others.values() if x.get("reserved")]
+        out = None
+        for one in held:
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def _reserve(self, gate: str, found: Audit, leases: Sequence[str], reads: Sequence[str]) -> DataFrame:
+        """(path, parts, role) of a gate: leases with every name of the files they name, and the inputs that must not change."""
+        declared = self.spark.createDataFrame([(gate, lease_kind(self.root, p), p) for p in leases], "gate string, kind string, path string")
+        names = graph.alias_groups(found.sources, "path", "physical_id")
+        files = declared.where(F.col("kind") == gates.FILE)
+        files = graph.follow_aliases(files, "gate", "path", names).select("gate", F.lit(gates.FILE).alias("kind"), "path")
+        ours = declared.unionByName(files).distinct()
+        fixed = gates.protected_inputs(ours, "gate", "kind", "path", found.inputs, found.links(), "source", "target").select("path")
+        asked = gates.covered(_parts(found.inputs.select("path")), "path", "parts", self._paths({gate: reads}), "parts")
+        held = ours.select("path", F.lit("lease").alias("role")).union(fixed.union(asked).distinct().withColumn("role", F.lit("read")))
+        return _parts(held.distinct())
+
+    def _meets(self, mine: DataFrame, others: dict[str, dict]) -> list[str]:
+        """The conflicts of a gate's reservations(path, parts, role) with those of other open gates, declared or found."""
+        if not others:
+            return []
+        of = lambda role: mine.where(F.col("role") == role)
+        theirs = [_parts(self.spark.createDataFrame([(p, r) for x in others.values() for r, k in (("lease", "leases"), ("read", "reads")) for p in x[k]], "path string, role string"))]
+        found = self._reserved(others)
+        held = theirs[0].select("path", "parts", "role") if found is None else theirs[0].select("path", "parts", "role").unionByName(found)
+        leased, read = (held.where(F.col("role") == r).distinct().checkpoint() for r in ("lease", "read"))
+        out = []
+        if not graph.overlaps(of("lease"), leased, "path", "parts").isEmpty():
+            out.append("write-conflict")
+        if not gates.covered(of("read"), "path", "parts", leased, "parts").isEmpty() or not gates.covered(read, "path", "parts", of("lease"), "parts").isEmpty():
+            out.append("semantic-input-conflict")
+        return out
+
+    def _others(self, gate: str) -> dict[str, dict]:
+        with self.store.control(write=False) as c:
+            return {g: x for g, x in c.get("gates", {}).items() if x["state"] == OPEN and g != gate}
+
+    @staticmethod
+    def _holds(others: dict[str, dict]) -> dict:
+        return {g: (x["leases"], x["reads"], x.get("reserved")) for g, x in others.items()}
+
     def open(self, leases: Sequence[str], reads: Sequence[str] = (), operation: str | None = None) -> dict:
         """{gate, decision, run, signals}. leases are files or directories that the change may write, reads those that must not
-        change meanwhile. A reservation that meets that of another open gate, or a path that cannot be declared, is refused."""
+        change meanwhile beside what the analysis protects. A reservation that meets that of another open gate, a path that
+        cannot be declared, and a file that is not analysed are refused. If the analysis fails nothing stays reserved."""
         body = ["open", self.root, sorted(leases), sorted(reads)]
         with self.store.control() as c:
             if (old := self.store.once(c, operation, body)) is not None:
@@ -107,10 +183,37 @@ class Gate:
             signals.append("declared-path-unsupported")
         if signals:
             return self._finish(gate, ABANDONED, signals, None, operation, body)
-        found = audit(self.spark, self.root)
-        run = self.store.publish(_tables(found), found.state())
-        raised = gates.opening_signals(found.limitations, found.findings, found.limitations.where(F.lit(False)))
-        return self._finish(gate, OPEN, [r.signal for r in raised.collect()], run, operation, body)
+        try:
+            found = audit(self.spark, self.root)
+            files = [(p,) for p in leases if lease_kind(self.root, p) == gates.FILE]
+            named = self.spark.createDataFrame(files, "path string")
+            if files and not named.join(found.sources, "path", "left_anti").isEmpty():
+                return self._finish(gate, ABANDONED, ["declared-path-unsupported"], None, operation, body)
+            reserved = self._reserve(gate, found, leases, reads).checkpoint()
+            run = self._publish(found, reserved)
+            raised = gates.opening_signals(found.gaps(), found.findings, found.limitations.where(bounded()))
+            signals = [r.signal for r in raised.collect()]
+            for _ in range(TRIES):
+                others = self._others(gate)
+                if met := self._meets(reserved, others):
+                    return self._finish(gate, ABANDONED, met, run, operation, body)
+                with self.store.control() as c:
+                    if self._holds({g: x for g, x in c["gates"].items() if x["state"] == OPEN and g != gate}) == self._holds(others):
+                        c["gates"][gate]["reserved"] = run
+                        break
+            else:
+                raise GateError("reservations of other gates keep changing")
+            return self._finish(gate, OPEN, signals, run, operation, body)
+        except BaseException:
+            with self.store.control() as c:
+                if c["gates"][gate]["state"] == OPEN and not c["gates"][gate]["revisions"]:
+                    c["gates"][gate]["revisions"].append({"run": None, "decision": None, "signals": ["analysis-failed"], "at_ms": now_ms()})
+                    self._release(c["gates"][gate], ABANDONED)
+            raise
+
+    def _publish(self, found: Audit, reserved: DataFrame | None = None) -> str:
+        tables = {"inputs": found.inputs, "sources": found.sources.select("source_id", "path", "parts", "payload_sha256", "physical_id"), "findings": found.findings, "limitations": found.limitations}
+        return self.store.publish(tables | ({} if reserved is None else {"reserved": reserved}), found.state())
 
     def close(self, gate: str, operation: str | None = None) -> dict:
         """{gate, decision, run, signals}: what changed since the gate was opened, and whether the plan covers it."""
@@ -121,43 +224,57 @@ class Gate:
             entry = c["gates"][gate]
             if entry["state"] != OPEN:
                 raise KeyError(f"{gate} is {entry['state']}")
+            if not entry.get("reserved"):
+                raise GateError(f"{gate} is still being opened")
             others = {g: x for g, x in c["gates"].items() if x["state"] == OPEN and g != gate}
             moves = [t for t in c.get("transitions", []) if t["sequence"] > entry["baseline"]]
-        base = next(r["run"] for r in entry["revisions"] if r["run"])
+            seen = c["sequences"].get("transition", 0), len(entry["revisions"])
+        base = entry["reserved"]
         found = audit(self.spark, self.root)
-        run = self.store.publish(_tables(found), found.state())
+        run = self._publish(found)
         names = ["analysis-contract-changed"] if entry["root"] != root_identity(self.root) else []
-        before, broken = self._reconciled(self.store.read(base, "sources"), [t for t in moves if t["sequence"] in entry["references"]])
+        before, broken = self._reconciled(self.store.read(base, "inputs"), [t for t in moves if t["sequence"] in entry["references"]])
         if broken:
             names.append("transition-chain-broken")
         if self._catalog_changed(gate, entry, moves):
             names.append("transition-catalog-changed")
-        after = self.store.read(run, "sources").select("path", "payload_sha256")
-        both = before.select("path").union(after.select("path")).distinct().withColumn("parts", paths.components(F.col("path")))
-        leased = gates.covered(both, "path", "parts", self._paths({gate: entry["leases"]}), "parts")
-        read = gates.covered(both, "path", "parts", self._paths({gate: entry["reads"]}), "parts")
-        changes = gates.closing_inputs(before, after, "path", ["payload_sha256"], leased, before.join(read, "path", "left_semi")).checkpoint()
+        after = self.store.read(run, "inputs").select("path", *RECORD)
+        reserved = self.store.read(base, "reserved")
+        role = lambda x: reserved.where(F.col("role") == x)
+        both = _parts(before.select("path").union(after.select("path")).distinct()).checkpoint()
+        leased = gates.covered(both, "path", "parts", role("lease"), "parts")
+        changes = gates.closing_inputs(before, after, "path", RECORD, leased, before.join(role("read"), "path", "left_semi")).checkpoint()
         names += [r.signal for r in gates.closing_signals(changes).collect()]
+        if not self._late_names(run, leased).isEmpty():
+            names.append("unplanned-write")
         touched = changes.select("path").join(both, "path")
-        if others and not gates.pending(touched, "path", "parts", self._paths({g: x["leases"] for g, x in others.items()}), "gate", "parts").isEmpty():
+        theirs = self._paths({g: x["leases"] for g, x in others.items()}) if others else None
+        if others and not gates.pending(touched, "path", "parts", theirs, "gate", "parts").isEmpty():
             names.append("active-transition-pending")
-        if found.state() != "complete":
+        if not found.gaps().isEmpty():
             names.append("required-evidence-incomplete")
         was, now = (facts(self.store.read(r, "findings"), self.store.read(r, "limitations")) for r in (base, run))
-        deltas = delta.lifecycle(was, now, FACT_KEYS, ["targets"], ["confidence", "grounding"], ["evidence"])
-        names += [r.signal for r in delta.signals(deltas, ["confidence", "grounding"], F.col("family") == "opacity").collect()]
+        deltas = delta.lifecycle(was, now, FACT_KEYS, SETS, RANKS, ["evidence"], payload="payload")
+        names += [r.signal for r in delta.signals(deltas, RANKS, F.col("family") == "opacity").collect()]
         old, new = (df.select("path", F.col("payload_sha256").alias(name)) for df, name in ((before, "before"), (after, "after")))
         moved = changes.where("scope = 'leased'").select("path").join(old, "path", "left").join(new, "path", "left").collect()
-        return self._finish(gate, CLOSED, names, run, operation, body, [[r["path"], r["before"], r["after"]] for r in moved])
+        return self._finish(gate, CLOSED, names, run, operation, body, [[r["path"], r["before"], r["after"]] for r in moved], seen)
 
-    def _reconciled(self, sources: DataFrame, moves: list[dict]) -> tuple[DataFrame, bool]:
-        """(path, payload_sha256) of a baseline after other gates' transitions, and whether one of them does not fit."""
-        state = sources.select("path", "payload_sha256")
+    def _late_names(self, run: str, leased: DataFrame) -> DataFrame:
+        """Names, not leased, of files of which another name is."""
+        groups = graph.alias_groups(self.store.read(run, "sources"), "path", "physical_id").where("n_names > 1")
+        held = groups.join(leased, "path", "left_semi").select("representative").distinct()
+        return groups.join(held, "representative", "left_semi").join(leased, "path", "left_anti")
+
+    def _reconciled(self, inputs: DataFrame, moves: list[dict]) -> tuple[DataFrame, bool]:
+        """(path, state, payload_sha256) of a baseline after other gates' transitions, and whether one of them does not fit."""
         if not moves:
-            return state, False
+            return inputs.select("path", *RECORD), False
+        fixed, state = (inputs.where(c).select("path", *RECORD) for c in (F.col("state") != identity.SOURCE, F.col("state") == identity.SOURCE))
         rows = self.spark.createDataFrame([(p, t["sequence"], a, b) for t in moves for p, a, b in t["paths"]], "path string, sequence long, before string, after string")
         out = ledger.reconcile(rows, ["path"], "sequence", "before", "after", state, "payload_sha256").checkpoint()
-        return out.where("expected is not null").select("path", F.col("expected").alias("payload_sha256")), not out.where("broken_at is not null").isEmpty()
+        now = out.where("expected is not null").select("path", F.lit(identity.SOURCE).alias("state"), F.col("expected").alias("payload_sha256"))
+        return fixed.union(now), not out.where("broken_at is not null").isEmpty()
 
     def _catalog_changed(self, gate: str, entry: dict, moves: list[dict]) -> bool:
         """Whether the transitions that a gate refers to are not those of the ledger behind its baseline."""
@@ -191,13 +308,23 @@ class Gate:
         entry["state"], entry["references"] = state, []
         if state == ABANDONED:
             entry["leases"] = entry["reads"] = []
+            entry.pop("reserved", None)
 
-    def _finish(self, gate: str, state: str, signals: list[str], run: str | None, operation: str | None, body: object, moved: Sequence[list] = ()) -> dict:
+    def _finish(self, gate: str, state: str, signals: list[str], run: str | None, operation: str | None, body: object, moved: Sequence[list] = (), seen: tuple[int, int] | None = None) -> dict:
+        """Puts a revision on record. What was evaluated must still hold under the lock: the gate is open and has no other
+        revision (a GateError, for the operation may be asked for again), and no transition has been published since it was read,
+        which makes the revision stale and leaves the gate open."""
+        with self.store.control(write=False) as c:
+            if seen is not None and c["sequences"].get("transition", 0) != seen[0]:
+                signals = [*signals, "transition-catalog-changed"]
+        last = seen and max(seen[0], c["sequences"].get("transition", 0))
         raised = self.spark.createDataFrame([(s,) for s in signals], "signal string")
         verdict = delta.decide(raised).withColumn("stands", gates.authorises(F.col("decision"))).first()
         result = {"gate": gate, "decision": verdict["decision"], "run": run, "signals": sorted(set(signals))}
         with self.store.control() as c:
             entry = c["gates"][gate]
+            if entry["state"] != OPEN or (seen is not None and (len(entry["revisions"]) != seen[1] or c["sequences"].get("transition", 0) != last)):
+                raise GateError(f"{gate} has changed meanwhile")
             entry["revisions"].append({"run": run, "decision": verdict["decision"], "signals": result["signals"], "at_ms": now_ms()})
             if state == ABANDONED or (state == CLOSED and verdict["stands"]):
                 self._release(entry, state)

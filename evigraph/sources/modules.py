@@ -328,9 +328,9 @@ class _Reader:
                 if source is not None:
                     self.facts.uses.append(Use(source, local, None, ns, "reexport-named", "static-import", start, end))
         elif self.is_("="):
-            self.facts.unknown.append("export assignment is not lowered")
+            self.facts.unknown.append("what `export =` gives cannot be told")
         elif self.is_("as"):
-            self.facts.unknown.append("namespace export is not lowered")
+            self.facts.unknown.append("a global name given by `export as` cannot be told")
         elif self.is_("default"):
             self.take()
             if self.peek() is None:

@@ -130,7 +130,8 @@ def test_gate_decides_by_what_changed(spark, store, tmp_path):
     assert (second["decision"], second["signals"]) == ("allow-with-warnings", ["finding-warnings"])
     (root / "src" / "main.ts").write_text("import {used} from './lib'\nused()")
     (root / "src" / "lib.ts").write_text("export const used = 1")
-    assert gate.close(second["gate"])["signals"] == ["unplanned-write"]
+    late = gate.close(second["gate"])  # main is linked with what is leased
+    assert (late["signals"], late["decision"]) == (["protected-input-changed"], "stale")
     (root / "src" / "main.ts").write_text("import {used} from './lib'")
     assert gate.close(second["gate"])["decision"] == "allow"
     with pytest.raises(KeyError):
@@ -143,7 +144,8 @@ def test_gates_side_by_side(spark, store, tmp_path):
     (root / "src").mkdir(parents=True)
     for name in ("a", "b", "c"):
         (root / "src" / f"{name}.ts").write_text(f"export const {name} = 1")
-    (root / "src" / "main.ts").write_text("import {a} from './a'; import {b} from './b'; import {c} from './c'")
+    for name in ("a", "b", "c"):
+        (root / "src" / f"uses_{name}.ts").write_text(f"import {{{name}}} from './{name}'")
     gate = Gate(spark, str(root), store)
     one, two = gate.open(["src/a.ts"])["gate"], gate.open(["src/b.ts"], reads=["src/c.ts"])["gate"]
     assert gate.open(["src/c.ts"])["signals"] == ["semantic-input-conflict"]
@@ -166,3 +168,65 @@ def test_gates_side_by_side(spark, store, tmp_path):
     with store.control() as c:
         c["gates"][two]["references"] = [1]
     assert gate.close(two)["decision"] == "allow"
+
+
+def test_configuration_and_directories_protect(spark, store, tmp_path):
+    """An unplanned change of configuration is stale, as is one of any source where a directory or a new file is leased."""
+    root = tmp_path / "repo"
+    (root / "src" / "feature").mkdir(parents=True)
+    (root / "tsconfig.json").write_text('{"compilerOptions": {"strict": true}}')
+    (root / "src" / "lib.ts").write_text("export const used = 1")
+    (root / "src" / "main.ts").write_text("import {used} from './lib'; import './gone'")
+    (root / "src" / "alone.ts").write_text("console.log(1)")
+    gate = Gate(spark, str(root), store)
+    opened = gate.open(["src/alone.ts"])
+    assert (opened["decision"], opened["signals"]) == ("allow-with-warnings", ["pre-existing-adverse-facts"])  # a bounded unresolved request
+    (root / "tsconfig.json").write_text('{"compilerOptions": {"strict": true, "baseUrl": "src"}}')
+    closed = gate.close(opened["gate"])
+    assert closed["decision"] == "stale" and "protected-input-changed" in closed["signals"]
+    (root / "tsconfig.json").write_text('{"compilerOptions": {"strict": true}}')
+    (root / "src" / "lib.ts").write_text("export const used = 2")
+    assert gate.close(opened["gate"])["signals"] == ["pre-existing-adverse-facts", "unplanned-write"]
+    (root / "src" / "lib.ts").write_text("export const used = 1")
+    assert gate.close(opened["gate"])["decision"] == "allow-with-warnings"
+    wide = gate.open(["src/feature"])
+    assert gate.open(["src/lib.ts"])["signals"] == ["semantic-input-conflict"]
+    (root / "src" / "alone.ts").write_text("console.log(2)")
+    assert gate.close(wide["gate"])["decision"] == "stale"
+    gate.abandon(wide["gate"])
+    (root / "tsconfig.json").write_text('{"compilerOptions": {"unheardOf": true}}')
+    assert "required-evidence-incomplete" in gate.open(["src/alone.ts"])["signals"]
+
+
+def test_names_of_a_leased_file_and_failures(spark, store, tmp_path, monkeypatch):
+    from evigraph.plans import gate as plan
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "a.ts").write_text("console.log(1)")
+    os.link(root / "a.ts", root / "b.ts")
+    gate = Gate(spark, str(root), store)
+    real = plan.audit
+    monkeypatch.setattr(plan, "audit", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError, match="gone"):
+        gate.open(["a.ts"])
+    monkeypatch.setattr(plan, "audit", real)
+    assert gate.open(["README.md"])["signals"] == []  # a name that is not there yet
+    with store.control(write=False) as c:
+        states = [x["state"] for x in c["gates"].values()]
+    assert states == ["abandoned", "open"]
+    gate.abandon("gate-0000000000000002")
+    opened = gate.open(["a.ts"])
+    assert opened["decision"] == "allow" and "write-conflict" in gate.open(["b.ts"])["signals"]
+    (root / "a.ts").write_text("console.log(2)")  # b.ts is the same file
+    os.link(root / "a.ts", root / "late.ts")
+    assert gate.close(opened["gate"])["decision"] == "deny"
+    (root / "late.ts").unlink()
+
+    def meanwhile(*args):
+        gate.abandon(opened["gate"])
+        return real(*args)
+
+    monkeypatch.setattr(plan, "audit", meanwhile)
+    with pytest.raises(plan.GateError):
+        gate.close(opened["gate"])
