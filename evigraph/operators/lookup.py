@@ -77,12 +77,14 @@ def longest_pattern_of(rows: DataFrame, text: str, patterns: DataFrame, pattern:
 
     Patterns are indexed by both literal ends. A text only makes the ends of lengths that patterns of its group have, in the
     pairs in which they occur, and looks them up at once, so no pattern is met that does not fit and the cost of a text follows
-    the pairs of lengths, not the patterns. Distinct texts are looked up once. Null groups and texts have no pattern.
+    the pairs of lengths, not the patterns. Distinct texts are looked up once. Null groups and texts have no pattern,
+    and a pattern of several stars fits nothing.
     """
     p = F.col(pattern)
     star = p.contains("*")
     ends = lambda last: F.when(star, F.substring_index(p, "*", last)).otherwise(p if last == 1 else F.lit(""))
-    held = patterns.select(*group, p.alias("key"), F.col(order).alias("order"), star.alias("_star"), ends(1).alias("_head"), ends(-1).alias("_tail"))
+    held = patterns.where(F.length(p) - F.length(F.replace(p, F.lit("*"), F.lit(""))) <= 1)
+    held = held.select(*group, p.alias("key"), F.col(order).alias("order"), star.alias("_star"), ends(1).alias("_head"), ends(-1).alias("_tail"))
     held = held.groupBy(*group, "_star", "_head", "_tail").agg(F.min("order").alias("order"), F.min_by("key", "order").alias("key"))
     shape = F.struct("_star", F.length("_head").alias("h"), F.length("_tail").alias("t"))
     shapes = held.groupBy(*group).agg(F.collect_set(shape).alias("_shapes"))

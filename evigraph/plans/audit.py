@@ -295,12 +295,10 @@ def resolve(spark: SparkSession, uses: DataFrame, sources: DataFrame, config: Co
     tried = lambda p: paths.candidate_paths(p, F.col("types"), F.col("bare"))
     # a mapping that fits is final, so its candidates stand alone
     mapped = table(config.mappings, "c_root array<string>, pattern string, ord int, targets array<string>")
-    hit = rows.where(~relative).join(mapped, "c_root")
-    captured = paths.star_capture(spec, F.col("pattern"))
-    hit = hit.where((spec == F.col("pattern")) | captured.isNotNull())
-    rank = F.struct(~F.col("pattern").contains("*"), F.instr("pattern", "*"), -F.col("ord"))
-    best = hit.groupBy("use_id").agg(F.max_by(F.struct("pattern", "targets"), rank).alias("m"))
-    rows = rows.join(best, "use_id", "left").checkpoint()
+    rows = lookup.longest_pattern_of(rows.withColumn("_asked", F.when(~relative, spec)), "_asked", mapped, "pattern", "ord", ["c_root"])
+    known = mapped.select("c_root", F.col("pattern").alias("key"), F.col("ord").alias("order"), "targets")
+    rows = rows.join(known, ["c_root", "key", "order"], "left").withColumn("m", F.when(F.col("key").isNotNull(), F.struct(F.col("key").alias("pattern"), "targets")))
+    rows = rows.drop("key", "order", "captured", "targets", "_asked").checkpoint()
     replaced = F.transform("m.targets", lambda t: paths.star_replace(t, F.coalesce(paths.star_capture(spec, F.col("m.pattern")), F.lit(""))))
     from_mapping = F.flatten(F.transform(replaced, tried))
     # a package of the importer's workspace by its name, then the most specific key of its surface

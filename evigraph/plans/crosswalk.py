@@ -92,18 +92,20 @@ def exact_plus_broad_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 5000),
-    n AS (SELECT s_nationkey AS k, min(s_suppkey) AS t FROM s GROUP BY 1), r AS (SELECT n_regionkey AS k, min(s_suppkey) AS t FROM s GROUP BY 1)
-    SELECT c_custkey, coalesce(n.t, r.t) AS target, CASE WHEN n.t IS NOT NULL THEN 0 WHEN r.t IS NOT NULL THEN 1 END AS stage
-    FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN n ON n.k = c_nationkey LEFT JOIN r ON r.k = n_regionkey"""
+    """WITH s AS (SELECT s_suppkey, s_nationkey, n_regionkey, s_acctbal >= 5000 AS rich FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    n AS (SELECT s_nationkey AS k, min(s_suppkey) AS t FROM s WHERE rich GROUP BY 1), p AS (SELECT s_nationkey AS k, min(s_suppkey) AS t FROM s WHERE NOT rich GROUP BY 1), r AS (SELECT n_regionkey AS k, min(s_suppkey) AS t FROM s WHERE rich GROUP BY 1)
+    SELECT c_custkey, coalesce(n.t, p.t, r.t) AS target, CASE WHEN n.t IS NOT NULL THEN 0 WHEN p.t IS NOT NULL THEN 1 WHEN r.t IS NOT NULL THEN 2 END AS stage
+    FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN n ON n.k = c_nationkey LEFT JOIN p ON p.k = c_nationkey LEFT JOIN r ON r.k = n_regionkey"""
 )
 def ordered_candidate_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    near = lambda n, r: F.array(F.concat(F.lit("n"), F.col(n)), F.concat(F.lit("r"), F.col(r)))
+    """A rich supplier of the customer's nation, else another one there, else a rich one of its region."""
+    at = lambda letter, c: F.concat(F.lit(letter), F.col(c))
     customers = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    customers = customers.select("c_custkey", near("c_nationkey", "n_regionkey").alias("candidates"))
-    suppliers = _table(spark, sf_dir, "supplier").where("s_acctbal >= 5000").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    targets = suppliers.select("s_suppkey", F.explode(near("s_nationkey", "n_regionkey")).alias("path"))
+    customers = customers.select("c_custkey", F.array(at("n", "c_nationkey"), at("p", "c_nationkey"), at("r", "n_regionkey")).alias("candidates"))
+    suppliers = _table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    offers = F.when(F.col("s_acctbal") >= 5000, F.array(at("n", "s_nationkey"), at("r", "n_regionkey"))).otherwise(F.array(at("p", "s_nationkey")))
+    targets = suppliers.select("s_suppkey", F.explode(offers).alias("path"))
     return lookup.first_candidate(customers, "c_custkey", "candidates", targets, "path", "s_suppkey").select("c_custkey", "target", "stage")
 
 
@@ -271,7 +273,7 @@ def decision_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH b AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderkey) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1),
-    c AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderkey) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1998-02-01' GROUP BY 1)
+    c AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderkey) AS m FROM orders GROUP BY 1)
     SELECT coalesce(b.k, c.k) AS o_custkey, CASE WHEN b.k IS NULL THEN 'added' WHEN c.k IS NULL THEN 'removed' ELSE 'changed' END AS change,
       CASE WHEN c_mktsegment = 'BUILDING' THEN 'leased' WHEN c_acctbal < 0 THEN 'protected' ELSE 'unplanned' END AS scope
     FROM b FULL JOIN c ON b.k = c.k JOIN customer ON c_custkey = coalesce(b.k, c.k) WHERE (b.n, b.m) IS DISTINCT FROM (c.n, c.m)"""
@@ -280,7 +282,7 @@ def input_change_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
     state = lambda before: orders.where(f"o_orderdate < timestamp_ntz'{before}'").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("m"))
     customers = _table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
-    return delta.input_changes(state("1998-01-01"), state("1998-02-01"), "o_custkey", ["n", "m"], customers.where("c_mktsegment = 'BUILDING'"), customers.where("c_acctbal < 0"))
+    return delta.input_changes(state("1998-01-01"), state("9999-01-01"), "o_custkey", ["n", "m"], customers.where("c_mktsegment = 'BUILDING'"), customers.where("c_acctbal < 0"))
 
 
 _ORDER = [("o_totalprice", False), ("o_orderkey", True)]
@@ -470,7 +472,7 @@ def ledger_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STATE_AT = "SELECT o_custkey AS k, count(*) AS n, max(o_orderkey) AS m FROM orders WHERE o_orderdate < TIMESTAMP '{}' GROUP BY 1"
-_CLOSING = f"""b AS ({_STATE_AT.format("1998-01-01")}), c AS ({_STATE_AT.format("1998-07-01")}),
+_CLOSING = f"""b AS ({_STATE_AT.format("1998-01-01")}), c AS ({_STATE_AT.format("9999-01-01")}),
     p AS (SELECT z.* FROM ({_STATE_AT.format("1998-04-01")}) z JOIN customer ON c_custkey = k WHERE c_acctbal < 2000),
     d AS (SELECT coalesce(b.k, c.k) AS k, b.k IS NULL AS added, c.k IS NULL AS removed, p.k IS NOT NULL AS fixed, p.k IS NOT NULL AND (p.n, p.m) IS NOT DISTINCT FROM (c.n, c.m) AS settled
       FROM b FULL JOIN c ON b.k = c.k LEFT JOIN p ON p.k = coalesce(b.k, c.k) WHERE (b.n, b.m) IS DISTINCT FROM (c.n, c.m)),
@@ -486,7 +488,7 @@ def _closing(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = lambda before: orders.where(f"o_orderdate < timestamp_ntz'{before}'").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("m"))
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal")
     fixed = state("1998-04-01").join(customers.where("c_acctbal < 2000"), "o_custkey", "left_semi")
-    return gates.closing_inputs(state("1998-01-01"), state("1998-07-01"), "o_custkey", ["n", "m"], customers.where("c_mktsegment = 'BUILDING'"), fixed)
+    return gates.closing_inputs(state("1998-01-01"), state("9999-01-01"), "o_custkey", ["n", "m"], customers.where("c_mktsegment = 'BUILDING'"), fixed)
 
 
 @query(f"WITH {_CLOSING} SELECT * FROM e")
