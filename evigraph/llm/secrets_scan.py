@@ -10,7 +10,6 @@ import math
 import random
 import re
 import string
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -31,7 +30,11 @@ PATTERNS = {
     "prefixed": r"\b(?P<v>(?:gh[pousr]_|sk-|pk-|xox[abprs]-|glpat-)[A-Za-z0-9_-]{16,}+)",
     # What follows the run is looked at once, not from each "eyJ" in it.
     "signed": r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{11,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8})(?:[A-Za-z0-9_-]*?\b)??(?P<v>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
-    "assigned": r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key|auth)[\"']?[ \t]{0,4}(?:=|:)[ \t]{0,4}[\"']?(?P<v>[^\s\"',;]{6,}+)",
+    "assigned": r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key|auth)[\"']?[ \t]*+(?:=|:)[ \t]*+[\"']?(?P<v>[^\s\"',;]{6,}+)",
+    # In quotes a value may hold what ends it elsewhere.
+    "quoted": r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key|auth)[\"']?[ \t]*+(?:=|:)[ \t]*+(?P<q>[\"'])(?P<v>(?:(?!(?P=q))\S){6,}+)(?P=q)",
+    "header": r"(?i:authorization)[\"']?[ \t]*+(?:=|:)[ \t]*+[\"']?(?i:bearer|basic|token)[ \t]++(?P<v>[^\s\"',;]{6,}+)",
+    "url": r"://[^\s/:@\"']*+:(?P<v>[^\s/@\"']{3,}+)@",
     "hex": r"(?<![0-9A-Za-z])(?P<v>(?=[a-f]*+[0-9])[0-9a-f]{32,}+)(?![0-9A-Za-z])",
     "base64": r"(?<![0-9A-Za-z+/_-])(?P<v>(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{32,}+={0,2})(?![0-9A-Za-z+/_-])",
 }
@@ -55,7 +58,7 @@ FEATURES = (
 _KINDS = list(PATTERNS)
 _ANY = [(k, re.compile(p)) for k, p in PATTERNS.items()]
 #: A text that holds none of these has no candidate: the cheap test that most texts stop at.
-_HINT = re.compile(r"-----BEGIN|AKIA|ASIA|gh[pousr]_|sk-|pk-|xox|glpat-|eyJ|(?i:passw|pwd|secret|token|api_?key|access_?key|auth)|[A-Za-z0-9+/_-]{32}")
+_HINT = re.compile(r"-----BEGIN|AKIA|ASIA|gh[pousr]_|sk-|pk-|xox|glpat-|eyJ|(?i:passw|pwd|secret|token|api_?key|access_?key|auth)|[A-Za-z0-9+/_-]{32}|://[^\s/:@]*+:[^\s/@]++@")
 _WORD = re.compile("|".join(sorted(map(re.escape, DICTIONARY), key=len, reverse=True)))
 
 
@@ -67,22 +70,18 @@ class Finding:
 
 
 def candidates(text: str) -> list[Finding]:
-    """Candidates in order of place; of overlapping ones that of the first pattern in PATTERNS stays."""
+    """Candidates in order of place. Matches that overlap are one candidate over all of their span, of the kind that comes first
+    in PATTERNS: what one form knows of a value is not left readable where another form goes on."""
     if not _HINT.search(text):
         return []
-    found: list[Finding] = []  # apart from each other and in order, so ends are in order too
-    for kind, pattern in _ANY:
-        if kind == "signed" and "eyJ" not in text:
-            continue
-        fresh = [Finding(kind, *m.span("v")) for m in pattern.finditer(text)]
-        fresh = [f for f in fresh if f.end > f.start and not _overlaps(found, f)]
-        found = sorted([*found, *fresh], key=lambda f: f.start)
-    return found
-
-
-def _overlaps(found: list[Finding], f: Finding) -> bool:
-    at = bisect_left(found, f.end, key=lambda x: x.start)
-    return at > 0 and found[at - 1].end > f.start
+    found = [(*m.span("v"), rank) for rank, (kind, pattern) in enumerate(_ANY) if kind != "signed" or "eyJ" in text for m in pattern.finditer(text)]
+    out: list[list[int]] = []
+    for start, end, rank in sorted(x for x in found if x[1] > x[0]):
+        if out and start < out[-1][1]:
+            out[-1][1:] = max(end, out[-1][1]), min(rank, out[-1][2])
+        else:
+            out.append([start, end, rank])
+    return [Finding(_KINDS[rank], start, end) for start, end, rank in out]
 
 
 def _kind_of(c: str) -> int:
@@ -143,6 +142,9 @@ def labelled_findings(rows: int = 3000, seed: int = 7) -> list[tuple[str, Findin
         lambda: (pick(mixed + "+/", r.randint(36, 80)), field() + ' = "{}"'),
         lambda: ("eyJ" + pick(mixed, 30) + "." + pick(mixed, 60) + "." + pick(mixed, 43), "bearer {}"),
         lambda: (pick(mixed + "+/", 200), "-----BEGIN PRIVATE KEY-----{}"),
+        lambda: (pick(mixed, r.randint(3, 5)) + r.choice(",;") + pick(mixed + "!%,;", r.randint(8, 16)), field() + r.choice([': "{}"', '="{}"'])),
+        lambda: (pick(mixed + "!%", r.randint(8, 24)), "://" + word() + ":{}@" + word()),
+        lambda: (pick(mixed + "+/", r.randint(16, 60)), "Authorization: " + r.choice(["Bearer", "Basic", "token"]) + " {}"),
     ]
     false = [
         lambda: ("AKIA" + r.choice(["IOSFODNN7EXAMPLE", "X" * 16, "EXAMPLEEXAMPLE12", "0" * 16]), r.choice(["example {}", "{}"])),
@@ -156,6 +158,8 @@ def labelled_findings(rows: int = 3000, seed: int = 7) -> list[tuple[str, Findin
         lambda: ("/".join(word() for _ in range(6)) + str(r.randint(0, 99)), "see {}"),
         lambda: ("-".join(word() for _ in range(8)) + str(r.randint(0, 99)), "{}"),
         lambda: (pick(string.ascii_lowercase, r.randint(6, 12)) + r.choice([".", "", ","]), field() + r.choice([": ", " : "]) + "{}"),
+        lambda: (r.choice([word(), word() + word(), "${" + word().upper() + "}", "*" * r.randint(3, 8)]), "://" + word() + ":{}@" + word()),
+        lambda: (r.choice(["<" + word() + ">", word() + "_" + word(), "$" + word().upper() + word().upper()]), "Authorization: Bearer {}"),
     ]
     out: list[tuple[str, Finding, int]] = []
     while len(out) < rows:
