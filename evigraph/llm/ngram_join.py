@@ -161,6 +161,8 @@ def _token_lists(n: int, num: int, den: int, held, inside: bool) -> Callable[[It
                 ids = batch.column(0).slice(part.first, part.last - part.first).cast(pa.int64()).to_pylist()
                 for i, values in zip(ids, tokens.shingle_sets(part, n), strict=True):
                     for lower, band in enumerate(bands(len(values), num, den) if len(values) else ()):
+                        if not _band(band, num, den)[1]:  # sets that link are equal here, and those are one class already
+                            continue
                         waiting.append((i, lower, band_tokens(values, band, num, den)))
                         count += len(waiting[-1][2])
                 if count >= LOOK:
@@ -576,16 +578,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each component, that of the smallest id, and all columns.
 
-    Rows that repeat a kept id are one row afterwards, the smallest as a struct. Rows with a null id stay. Only rows whose
-    id is in a component of several, or repeated, are shuffled; all others pass with the scan.
+    Rows that repeat a kept id are one row afterwards, the smallest as a struct. Rows with a null id stay, and so do rows whose
+    text is null, empty or without words; long texts count whole. An empty table stays one. Other columns may have any names,
+    but their types must be ordered for ids that repeat. Only rows whose id is in a component of several, or repeated, are
+    shuffled; all others pass with the scan.
     """
     found = NgramJoin(docs, id_col, text_col, n, num, den).documents().where("id is not null")
-    found = found.groupBy("id").agg(F.count("*").alias("_n"), F.min("component_id").alias("_c")).where("_n > 1 or _c <> id")
-    found = materialize(found, "ngram-contested")
+    found = found.groupBy("id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).where("n > 1 or c <> id")
+    found = materialize(found, "ngram-contested").alias("found")
     some, rest = idset.split(docs, id_col, idset.build(found.select("id")))
-    some = some.join(found.withColumnRenamed("id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left").where("_c is null or _c = _id")
-    one = some.where("_n is null or _n = 1").select(docs.columns)
-    again = some.where("_n > 1").groupBy("_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    some = some.select(whole).alias("some").join(found, F.col(f"some.row.`{id_col}`").cast("long") == F.col("found.id"), "left").where("c is null or c = id")
+    one = some.where("n is null or n = 1").select("row.*")
+    again = some.where("n > 1").groupBy("found.id").agg(F.min("row").alias("row")).select("row.*")
     return rest.unionByName(one).unionByName(again)
 
 
