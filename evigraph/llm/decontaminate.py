@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import idset, tokens
-from .runtime import bound_batches, materialize
+from .runtime import bound_batches, fresh, materialize
 
 LENGTH, K = 10, 5
 WINDOW = LENGTH - K + 1
@@ -121,13 +121,10 @@ def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in range(3)), pa.array(first.astype(np.int32)).filter(keep), pa.array((last - 1).astype(np.int32)).filter(keep)], names=["row1", "row2", "item", "first", "last"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with two hashes of id and text, by which rows are told apart."""
+def _keyed(docs: DataFrame, row: tuple[str, str] = ("row1", "row2")) -> DataFrame:
+    """docs with two hashes of id and text, by which rows are told apart, in columns of the given names."""
     doc, text = F.col("doc_id").cast("string"), F.col("text").cast("string")
-    return docs.withColumns({_ROW[0]: F.xxhash64(doc.isNull(), doc, text), _ROW[1]: F.xxhash64(F.lit(1), text, doc)})
-
-
-_ROW = ("_decontaminate_row1", "_decontaminate_row2")
+    return docs.withColumns({row[0]: F.xxhash64(doc.isNull(), doc, text), row[1]: F.xxhash64(F.lit(1), text, doc)})
 
 
 def _meet(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +139,7 @@ def _meet(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     theirs = materialize(items.mapInArrow(_item_prints, "item string, size int, print long, filed long, around array<long>"), "decontaminate-items")
     sizes = tuple(sorted(r["size"] for r in theirs.where("size > 0").select("size").distinct().collect()))  # nine at most
     held = spark.sparkContext.broadcast(idset.build(theirs.select("filed")))
-    rows = _keyed(docs.select("doc_id", "text")).select(F.col(_ROW[0]).alias("row1"), F.col(_ROW[1]).alias("row2"), "doc_id", F.col("text").cast("string").alias("text"))
+    rows = _keyed(docs.select("doc_id", "text")).select("row1", "row2", "doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row1 long, row2 long, doc_id {kind}, n_words long, prints array<struct<size:int,print:long,at:int,around:array<long>>>"
     mine = materialize(rows.mapInArrow(_document_prints(held, sizes), schema), "decontaminate-prints")
@@ -186,13 +183,15 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs, with all their columns; null and empty texts stay. Only rows
-    that may be hit are shuffled."""
+    """The rows of docs in which no window of the benchmark occurs, with all their columns; null and empty texts stay, as do
+    repeated rows and null ids that are clean, and of an empty table or benchmark nothing goes. Long texts are looked at whole;
+    other columns may have any names. Only rows that may be hit are shuffled."""
     _, hits = _meet(docs, benchmark)
-    hit = materialize(hits.select("row1", "row2").distinct(), "decontaminate-hit")
-    some, rest = idset.split(_keyed(docs), _ROW[0], idset.build(hit.select("row1")))
-    some = some.join(hit, (F.col(_ROW[0]) == F.col("row1")) & (F.col(_ROW[1]) == F.col("row2")), "left_anti")
-    return rest.unionByName(some).select(docs.columns)
+    row = fresh(docs, "row1", "row2")
+    hit = hits.select("row1", "row2").distinct().toDF(*row)
+    hit = materialize(hit, "decontaminate-hit")
+    some, rest = idset.split(_keyed(docs, row), row[0], idset.build(hit.select(row[0])))
+    return rest.unionByName(some.join(hit, row, "left_anti")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def sha256_of(items: Iterable[str]) -> str:

@@ -62,6 +62,17 @@ def discard(*tables: DataFrame) -> None:
             parent.getFileSystem(conf).delete(parent, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Texts go to Python workers a few MB at a time: unless the session sets it itself, its bytes in an Arrow batch are lowered."""
     if _BATCH not in spark.conf.getAll:
