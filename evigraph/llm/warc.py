@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import idset
-from .runtime import bound_batches, materialize, new_path
+from .runtime import bound_batches, fresh, materialize, new_path
 
 #: Payloads below this many bytes are always written in full.
 MIN_REVISIT = 1000
@@ -47,20 +47,21 @@ def plan_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     rows = pages.withColumn("payload", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")).drop("html")
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     large = rows.where(F.col("payload_bytes") >= min_bytes)
-    first = large.groupBy(F.col("payload_digest").alias("_d")).agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    d, top, h = fresh(rows, "_d", "_first", "_h")
+    first = large.groupBy(F.col("payload_digest").alias(d)).agg(F.max("page_id").alias(top), F.count("*").alias("n")).where("n > 1").drop("n")
     first = materialize(first, "warc-first")
-    held = idset.build(first.select(F.xxhash64("_d").alias("h")))
-    keyed = rows.withColumn("_h", F.when(F.col("payload_bytes") >= min_bytes, F.xxhash64("payload_digest")))
-    some, rest = idset.split(keyed, "_h", held)
+    held = idset.build(first.select(F.xxhash64(d).alias("h")))
+    keyed = rows.withColumn(h, F.when(F.col("payload_bytes") >= min_bytes, F.xxhash64("payload_digest")))
+    some, rest = idset.split(keyed, h, held)
     names = some.columns
     schema = StructType([StructField(f.name, f.dataType, True) for f in some.schema])  # a payload may become null
     some = some.mapInArrow(_drop_known_revisits(*(names.index(x) for x in ("page_id", "payload", "payload_digest"))), schema)
-    found = some.join(first, F.col("payload_digest") == F.col("_d"), "left").drop("_d", "_h")
-    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    found = some.join(first, F.col("payload_digest") == F.col(d), "left").drop(d, h)
+    revisit = F.col(top).isNotNull() & ~F.col("page_id").eqNullSafe(F.col(top))
     full, none = F.lit("response"), F.lit(None).cast(pages.schema["page_id"].dataType)
-    found = found.withColumns({"record_type": F.when(revisit, "revisit").otherwise(full), "refers_to": F.when(revisit, F.col("_first"))}).drop("_first")
+    found = found.withColumns({"record_type": F.when(revisit, "revisit").otherwise(full), "refers_to": F.when(revisit, F.col(top))}).drop(top)
     found = found.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
-    return found.unionByName(rest.drop("_h").withColumns({"record_type": full, "refers_to": none}))
+    return found.unionByName(rest.drop(h).withColumns({"record_type": full, "refers_to": none}))
 
 
 def _drop_known_revisits(id_at: int, payload_at: int, digest_at: int):

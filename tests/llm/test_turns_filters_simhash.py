@@ -9,10 +9,11 @@ from collections import Counter
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from evigraph.llm import conversation_repair, filter_audit, simhash_dedup
+from evigraph.llm import conversation_repair, decontaminate, filter_audit, ngram_join, simhash_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -269,3 +270,25 @@ def test_radii_find_every_distance():
         for bits in range(8):
             parts = simhash_dedup.segments(count, bits)
             assert sum(b for _, b, _ in parts) == 64 and sum(r + 1 for *_, r in parts) == bits + 1
+
+
+def test_stages_with_names_of_their_own_columns(spark):
+    """Columns that have the names that the work uses come back as they were; small sets that cannot link have no tokens."""
+    names = ["_n", "_c", "_id", "n", "c", "id", "row", "row1", "row2", "_d", "_h", "_first", "h", "found", "a b"]
+    body = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(k, t, f"<p>{'x' * 1000}</p>", *(f"{c}{k}" for c in names)) for k, t in enumerate([body, body.upper(), "short words", None, "", body + " more", "x y z"])] + [(1, "again", None, *names)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "html", *names])
+    kept = ngram_join.keep_one(df).collect()
+    assert sorted(x.doc_id for x in kept) == [0, 2, 3, 4, 6] and all(tuple(x) == rows[x.doc_id] for x in kept)
+    clean = decontaminate.keep_clean(df, spark.createDataFrame([(1, body)], "item_id int, text string")).collect()
+    assert sorted(map(str, map(tuple, clean))) == sorted(str(x) for x in rows if x[1] is None or "twelve" not in x[1].lower())
+    pages = df.withColumnRenamed("doc_id", "page_id").drop("text")
+    plan = warc.plan_revisits(pages).collect()
+    assert sorted(x.page_id for x in plan if x.record_type == "revisit") == [0, 1, 2, 3, 4, 5]
+    assert all([x[c] for c in names] in ([f"{c}{x.page_id}" for c in names], names) for x in plan)
+    assert all(x.refers_to == 6 for x in plan if x.record_type == "revisit")
+    texts = pa.array([" ".join(f"w{k}" for k in range(n)) for n in (4, 5, 9, 10, 40)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), texts], names=["id", "text"])
+    held = spark.sparkContext.broadcast(b"\xff" * 512)
+    dealt = [x for b in ngram_join._token_lists(3, 90, 100, held, True)([batch]) for x in b.column(0).to_pylist()]
+    assert set(dealt) == {3, 4}  # up to seven n-grams only equal sets link
