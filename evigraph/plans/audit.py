@@ -419,8 +419,8 @@ def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude:
     idle = fanin.unused(counted, F.col("declaration"))
     some, everywhere = blocked_scope(limitations, places, config)
     idle = integrity.outside_scope(idle, some, ["path"], everywhere)
-    text = lambda tail: F.concat(F.lit("nothing in production asks for `"), "name", F.lit(tail))
-    claim = F.when(F.col("test_uses") > 0, text("`; tests do")).otherwise(text("`, and no test does"))
+    asked_by = F.when(F.col("test_uses") > 0, "only tests ask for `").otherwise("nothing asks for `")
+    claim = F.concat(asked_by, F.col("name"), F.lit("`"))
     findings = idle.select(
         hashing.content_identity(F.lit(RULE), F.col("source_id"), F.col("namespace"), F.col("name"), prefix="fnd-").alias("finding_id"),
         F.lit(RULE).alias("rule_id"), F.lit("warning").alias("severity"), F.lit("grounded").alias("confidence"),
