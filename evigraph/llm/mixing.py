@@ -19,6 +19,8 @@ MAX_REPEATS = 3
 SLICES = 1024
 #: Ranges of finish time whose sums the driver compares, twice in a row.
 RANGES = 4096
+#: Columns of the result.
+ADDED = ("source_size", "target", "copies", "taken")
 
 
 def text_size(text: Column) -> Column:
@@ -63,11 +65,14 @@ def mix(sized: DataFrame, targets: DataFrame | None = None, max_repeats: int = M
     taken is the number of words of the document in the mix, repeats counted, at most max_repeats * size.
     Null sources are one source of their own. Documents of no words take nothing. Rows that repeat an id are separate
     documents next to each other in the order. An empty table gives an empty result.
-    Columns of other names pass through and are written once to the shared folder, so leave long texts out; names that
-    start with an underscore and the names added here must not exist.
+    Columns of other names pass through, whatever their names, and are written to the shared folder, so leave long texts
+    out. Columns source_size, target, copies and taken of the input are replaced.
     """
+    own = [c for c in sized.columns if c.lower() in ("doc_id", "source", "size")]
+    others = [c for c in sized.columns if c not in own and c.lower() not in ADDED]
+    rest = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("_rest")] if others else []
     by_slice = F.floor(F.col("_h") / F.lit((1 << 60) // slices)).cast("int")
-    base = sized.withColumn("_h", shuffle_key(F.col("doc_id"))).withColumn("_slice", by_slice)
+    base = sized.select(*own, *rest, shuffle_key(F.col("doc_id")).alias("_h")).withColumn("_slice", by_slice)
     base = materialize(base, "mix-sizes")
     sums = base.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
     if targets is None:
@@ -85,7 +90,9 @@ def mix(sized: DataFrame, targets: DataFrame | None = None, max_repeats: int = M
     key = ("_h", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     copies = sum(((F.col("size") > 0) & (F.struct(_finish(F.lit(e)), *key) <= cut)).cast("int") for e in range(max_repeats))
     out = placed.withColumn("copies", F.coalesce(copies, F.lit(0)))
-    return out.withColumn("taken", (F.col("size") * F.col("copies")).cast("long")).drop("_h", "_cum")
+    out = out.withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
+    kept = [F.col(c) if c in own else F.col(f"_rest.`{c}`") for c in sized.columns if c in own or c in others]
+    return out.select(*kept, *ADDED)
 
 
 def _finish(copy: Column) -> Column:

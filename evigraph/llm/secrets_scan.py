@@ -308,7 +308,11 @@ def _redact(model, text_at: int, chars_at: int | None) -> Callable[[Iterable[pa.
 
 
 def redact(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
-    """docs with confirmed secrets replaced in text and n_chars, where there is one, following; every row and column stays."""
+    """docs with confirmed secrets replaced in text and n_chars, where there is one, following; every row and column stays.
+
+    Null and empty texts stay as they are, texts of any length are read whole, repeated rows are masked alike, columns of
+    any other name are handed on, and a table without rows stays one.
+    """
     bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(forest or train())
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from .runtime import fresh
+
 #: At most so many rules are put into the plan itself, each with its own compiled expression.
 MAX_INLINE_RULES = 200
 #: URLs whose tokens the rarity of a rule's tokens is counted on: it settles speed only, never a verdict.
@@ -106,14 +108,16 @@ def judge(pages: DataFrame, place_rules: list[Rule], patterns: list[Rule], defau
     verdict is that of the first fitting pattern, else the default.
 
     Null URLs and those without ``://`` have an empty host and path and fit no place rule. Ties in length go to the rule
-    that is listed first. Repeated rows are judged alike. Columns host, path, rule, verdict of the input are replaced.
+    that is listed first. Repeated rows are judged alike. Columns host, path, rule, verdict of the input are replaced;
+    columns of any other name stay as they are.
     """
     rules = [*place_rules, *patterns]
     if len(rules) > MAX_INLINE_RULES:
         return judge_by_join(pages, rule_table(pages.sparkSession, rules), default, url)
     index = rarest(rules, token_counts(pages, (t for r in rules if len(r.tokens) > 1 for t in r.tokens), url))
+    tokens, candidates, fitting, chosen = fresh(pages, "_tokens", "_candidates", "_fits", "_best")
     held = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    held = held.withColumn("_tokens", F.array_distinct(F.split(F.lower(F.coalesce(F.col(url), F.lit(""))), TOKEN_SPLIT)))
+    held = held.withColumn(tokens, F.array_distinct(F.split(F.lower(F.coalesce(F.col(url), F.lit(""))), TOKEN_SPLIT)))
     buckets: dict[int, list[tuple[str, int]]] = {}
     size = 1 << max(4, (2 * len(index)).bit_length())
     for token, filed in index.items():
@@ -122,21 +126,21 @@ def judge(pages: DataFrame, place_rules: list[Rule], patterns: list[Rule], defau
     entry = lambda token, i: F.struct(F.lit(token).alias("token"), F.lit(i).alias("rule"))
     empty = F.filter(F.array(entry("", 0)), lambda _: F.lit(False))
     literal = F.array(*(F.array(*(entry(*x) for x in buckets[b])) if b in buckets else empty for b in range(size)))
-    fetched = F.flatten(F.transform("_tokens", lambda t: F.transform(F.filter(F.element_at(literal, _bucket_of(t, size) + 1), lambda e: e["token"] == t), lambda e: e["rule"])))
+    fetched = F.flatten(F.transform(tokens, lambda t: F.transform(F.filter(F.element_at(literal, _bucket_of(t, size) + 1), lambda e: e["token"] == t), lambda e: e["rule"])))
     always = F.array(*(F.lit(i) for i in index.get(None, []))).cast("array<int>")
-    held = held.withColumn("_candidates", F.concat(fetched, always))
+    held = held.withColumn(candidates, F.concat(fetched, always))
     text = {"place": F.concat("host", "path"), "url": F.coalesce(F.col(url), F.lit(""))}
-    fits = F.array(*(F.when(F.array_contains("_candidates", i), F.when(text[r.target].rlike(r.regex), i)) for i, r in enumerate(rules)))
-    held = held.withColumn("_fits", F.array_compact(fits.cast("array<int>")))
+    fits = F.array(*(F.when(F.array_contains(candidates, i), F.when(text[r.target].rlike(r.regex), i)) for i, r in enumerate(rules)))
+    held = held.withColumn(fitting, F.array_compact(fits.cast("array<int>")))
     # best: longest place rule, first listed; patterns come after all place rules, first listed
     n = len(place_rules)
     scores = F.array(*(F.struct(F.lit(-len(r.text) if k < n else 0).alias("a"), F.lit(k).alias("b")) for k, r in enumerate(rules)))
-    best = F.array_min(F.transform("_fits", lambda i: F.element_at(scores, i + 1)))["b"]
-    held = held.withColumn("_best", best)
+    best = F.array_min(F.transform(fitting, lambda i: F.element_at(scores, i + 1)))["b"]
+    held = held.withColumn(chosen, best)
     texts = F.array(*(F.lit(r.text if k < n else None).cast("string") for k, r in enumerate(rules)))
     verdicts = F.array(*(F.lit(r.verdict) for r in rules))
-    at = F.col("_best") + 1
-    return held.withColumns({"rule": F.when(F.col("_best").isNotNull(), F.element_at(texts, at)), "verdict": F.coalesce(F.when(F.col("_best").isNotNull(), F.element_at(verdicts, at)), F.lit(default))}).drop("_tokens", "_candidates", "_fits", "_best")
+    at = F.col(chosen) + 1
+    return held.withColumns({"rule": F.when(F.col(chosen).isNotNull(), F.element_at(texts, at)), "verdict": F.coalesce(F.when(F.col(chosen).isNotNull(), F.element_at(verdicts, at)), F.lit(default))}).drop(tokens, candidates, fitting, chosen)
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, url: str = "url") -> DataFrame:
@@ -157,8 +161,10 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VER
     found = held.join(filed, "_t").where(F.rlike(text, F.col("regex")))
     score = F.struct((~F.col("place")).alias("p"), F.when(F.col("place"), -F.length("rule")).otherwise(0).alias("l"), F.col("ord").alias("o"))
     best = found.groupBy("_u").agg(F.min_by(F.struct(F.when(F.col("place"), F.col("rule")).alias("rule"), "verdict"), score).alias("_b"))
-    out = pages.drop("host", "path", "rule", "verdict").join(best, F.coalesce(F.col(url), F.lit("")) == F.col("_u"), "left").drop("_u")
-    return out.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url)), "rule": F.col("_b.rule"), "verdict": F.coalesce("_b.verdict", F.lit(default))}).drop("_b")
+    pages = pages.drop("host", "path", "rule", "verdict")
+    key, won = fresh(pages, "_u", "_b")
+    out = pages.join(best.toDF(key, won), F.coalesce(F.col(url), F.lit("")) == F.col(key), "left").drop(key)
+    return out.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url)), "rule": F.col(won)["rule"], "verdict": F.coalesce(F.col(won)["verdict"], F.lit(default))}).drop(won)
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:

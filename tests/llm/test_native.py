@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from evigraph.llm import mixing, quality_rules, url_rules
@@ -77,6 +78,18 @@ def test_mix_of_nothing_and_of_wordless_documents(spark):
     assert {(x.doc_id, x.taken, x.target) for x in got} == {(1, 0, 0.0), (2, 0, 0.0)}
 
 
+def test_mix_with_columns_of_any_name(spark):
+    plain = [(k, "ab"[k % 2], k % 5) for k in range(40)]
+    want = {x.doc_id: (x.target, x.copies, x.taken) for x in mixing.mix(spark.createDataFrame(plain, "doc_id long, source string, size long")).collect()}
+    names = "_h string, doc_id long, `a.b` int, source string, size long, _slice int, _cum int, _src string, _rest int, Target string, taken int"
+    df = spark.createDataFrame([(f"h{k}", k, k, s, n, 2, 3, "s", 5, "old", 7) for k, s, n in plain], names)
+    got = mixing.mix(df)
+    assert got.columns == ["_h", "doc_id", "a.b", "source", "size", "_slice", "_cum", "_src", "_rest", "source_size", "target", "copies", "taken"]
+    rows = got.collect()
+    assert {x.doc_id: (x.target, x.copies, x.taken) for x in rows} == want
+    assert all((x._h, x["a.b"], x._slice, x._cum, x._src, x._rest) == (f"h{x.doc_id}", x.doc_id, 2, 3, "s", 5) for x in rows)
+
+
 def brute_place(url):
     if url is None or "://" not in url:
         return "", ""
@@ -115,6 +128,20 @@ def test_url_join_agrees_with_inline(spark):
     assert [r.verdict for r in sorted(a, key=lambda r: r.page_id) if r.page_id in (0, 1, 11)] == ["block", "block", "block"]
 
 
+@pytest.mark.parametrize("bound", [200, 2])
+def test_urls_with_columns_of_any_name(spark, monkeypatch, bound):
+    monkeypatch.setattr(url_rules, "MAX_INLINE_RULES", bound)
+    plain = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id int, url string")
+    cols = ["page_id", "host", "path", "rule", "verdict"]
+    want = url_rules.judge(plain, url_rules.PLACE_RULES, url_rules.URL_PATTERNS).select(cols).collect()
+    extra = ["_tokens", "_candidates", "_fits", "_best", "_u", "_b", "_t"]
+    clash = plain.selectExpr("*", *(f"'kept' as {c}" for c in extra), "'old' as Host", "1 as verdict")
+    got = url_rules.judge(clash, url_rules.PLACE_RULES, url_rules.URL_PATTERNS)
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want))
+    assert sorted(c.lower() for c in got.columns) == sorted(["page_id", "url", *extra, "host", "path", "rule", "verdict"])
+    assert {tuple(r) for r in got.select(extra).collect()} == {("kept",) * len(extra)}
+
+
 def test_rules_beyond_the_inline_bound_judge_alike(spark, monkeypatch):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id int, url string")
     cols = ["page_id", "host", "path", "rule", "verdict"]

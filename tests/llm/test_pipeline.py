@@ -79,3 +79,25 @@ def test_every_stage_and_the_whole(spark, folder):
     assert all(abs(taken.get(s, 0) - t) <= 120 for s, t in targets.items())
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted(map(str, whole)) == sorted(map(str, after))
+
+
+def test_pipeline_of_nothing_and_with_columns_of_any_name(spark, folder, tmp_path):
+    sf_dir, docs, _ = folder
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = ["_h", "_slice", "_rest", "_n", "_c", "_id", "row1", "row2", "_decontaminate_row1", "score", "size", "target", "copies", "item_id", "toxic"]
+
+    def run(name, table):
+        table.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf_dir}/{other}.parquet").write.parquet(f"file://{tmp_path}/{name}/{other}.parquet")
+        now = spark.read.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES:
+            columns, now = now.columns, corpus_pipeline.materialize(stage(spark, now, f"file://{tmp_path}/{name}"), "test")
+            if stage_name != "source_mix":
+                assert now.columns == columns
+                assert all(tuple(r) == ("kept",) * len(extra) for r in (now.select(extra).collect() if "_h" in columns else []))
+        return now.collect()
+
+    assert run("none", source.limit(0)) == []
+    clashing = run("more", source.selectExpr(*(f"'kept' as {c}" for c in extra), "*"))
+    assert sorted(map(str, clashing)) == sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect()))
