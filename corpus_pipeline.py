@@ -14,7 +14,10 @@ WORDS, NUM, DEN = 5, 80, 100
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more by a model of the labels outside the held-out fold go."""
+    """Documents that score 0.5 or more by a model of the labels outside the held-out fold go.
+
+    Null and empty texts score 0 and stay; texts of any length are scored whole; repeated rows score alike. Columns may have
+    any other names, and an empty table stays one."""
     weights = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, weights)
 
@@ -30,12 +33,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Confirmed secrets are replaced in the text; every document stays."""
+    """Confirmed secrets are replaced in the text and n_chars follows; every document stays.
+
+    Null and empty texts stay as they are, long texts are read whole, repeated rows are masked alike, columns may have any
+    other names, and an empty table stays one."""
     return secrets_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix: doc_id, lang, source, n_chars, size, source_size, target, and copies and words taken."""
+    """The documents of the mix: doc_id, lang, source, n_chars, size, source_size, target, and copies and words taken.
+
+    Null and wordless texts have size 0 and are not in the mix; a null source is one of its own; of an empty table nothing
+    comes. Other columns are left behind."""
     sized = docs.select("doc_id", "lang", "source", "n_chars", mixing.text_size(F.col("text")).alias("size"))
     return mixing.mix(sized).where("copies > 0")
 
