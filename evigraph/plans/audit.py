@@ -6,6 +6,8 @@ made inside a blocked scope.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from posixpath import normpath
@@ -25,6 +27,10 @@ from ..sources.tree import scan
 from . import workspaces
 
 RULE = "dead-export"
+#: The version of what an analysis makes of its inputs: one of another version is not read in its place.
+CONTRACT = "audit.v1"
+#: What of a scanned file an analysis depends on.
+READ = ("path", "kind", "is_config", "test_like", "generated", "vendored", "declaration", "payload_sha256", "physical_id", "error")
 #: Dialects without a parser here, and option names that the resolver reads or may ignore.
 NO_PARSER = ("svelte", "astro")
 READ_OPTIONS = ("baseUrl", "paths", "moduleResolution", "module")
@@ -55,10 +61,11 @@ _FACTS = f"source_id string, exports array<{_EXPORT}>, uses array<{_USE}>, unkno
 
 
 @dataclass(frozen=True)
-class Audit:
+class Evidence:
+    """What of an analysis is kept; links are (source, target) paths of the requests between sources."""
+
     sources: DataFrame
-    resolved: DataFrame
-    exports: DataFrame
+    links: DataFrame
     limitations: DataFrame
     findings: DataFrame
     inputs: DataFrame
@@ -68,14 +75,15 @@ class Audit:
         is compared from run to run like a finding, and only advises."""
         return self.limitations.where(~bounded())
 
-    def links(self) -> DataFrame:
-        """(source, target) paths of the requests between sources."""
-        named = lambda key, as_: self.sources.select(F.col("source_id").alias(key), F.col("path").alias(as_))
-        return self.resolved.where("outcome = 'internal'").select("source_id", "target").distinct().join(named("source_id", "source"), "source_id").join(named("target", "to"), "target").select("source", F.col("to").alias("target"))
-
     def state(self) -> str:
         return "complete" if self.limitations.isEmpty() else "incomplete"
 
+
+@dataclass(frozen=True)
+class Audit(Evidence):
+    resolved: DataFrame
+    exports: DataFrame
+
     def summary(self) -> DataFrame:
         n = self.limitations.agg(F.count("*").alias("n_limitations"), F.when(F.count("*") == 0, "complete").otherwise("incomplete").alias("state"))
         one = self.findings.agg(F.count("*").alias("n_findings"), F.count_if(F.col("disposition.kind") == "review-only").alias("n_review_only"))
@@ -367,16 +375,42 @@ def unbound_tags(tags: DataFrame, uses: DataFrame, resolved: DataFrame) -> DataF
     return asked.where("outcome <> 'bound'").select("source_id", why.alias("detail")).union(loose).distinct()
 
 
-def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), roles: Sequence[tuple[str, str]] = (), profile: str | None = None) -> Audit:
-    """Audits a repository. The sources are read once; every step is kept in the checkpoint folder.
+@dataclass(frozen=True)
+class Capture:
+    """What an analysis reads, at one moment: scanned files, what configuration files say, and what the scan was asked for."""
+
+    scanned: DataFrame
+    config: Config
+    asked: list
+
+    def key(self) -> str:
+        """One value for all that the analysis depends on: two captures with the same key have the same result."""
+        files = identity.set_identity(self.scanned, READ, distinct=False).first()["identity"]
+        return hashlib.sha256(json.dumps([CONTRACT, self.asked, files]).encode()).hexdigest()
+
+
+def capture(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), roles: Sequence[tuple[str, str]] = (), profile: str | None = None) -> Capture:
+    """Reads a repository. The sources are read once and kept in the checkpoint folder.
 
     The scan's configuration at the root applies: includes given here replace its own, excludes add to it, and role rules
     given here come after its rules. One that cannot be read is an error, as a scan of other files would be a wrong answer.
     """
-    ensure_checkpoint_dir(spark)  # each step is cut off: a plan of all of them would be analysed again at every join
-    scanned = scan(spark, root, *settings.read(root).merged(include, exclude, roles)).checkpoint()
+    ensure_checkpoint_dir(spark)
+    asked = settings.read(root).merged(include, exclude, roles)
+    scanned = scan(spark, root, *asked).checkpoint()
     files = {r.path: bytes(r.bytes) for r in scanned.where("is_config and error is null").select("path", "bytes").toLocalIterator()}
-    config = Config(files, profile)
+    return Capture(scanned, Config(files, profile), [*asked, profile])
+
+
+def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), roles: Sequence[tuple[str, str]] = (), profile: str | None = None) -> Audit:
+    """Audits a repository; see capture() for what is read."""
+    return analyse(capture(spark, root, include, exclude, roles, profile))
+
+
+def analyse(seen: Capture) -> Audit:
+    """The analysis of what was read. Every step is kept in the checkpoint folder: a plan of all of them would be analysed again
+    at every join."""
+    spark, scanned, config = seen.scanned.sparkSession, seen.scanned, seen.config
     sources = scanned.where("kind is not null and error is null")
     places = sources.drop("bytes")
     parsed = sources.where(~F.col("kind").isin(*NO_PARSER)).select("source_id", "kind", "bytes").mapInArrow(_parse, _FACTS).checkpoint()
@@ -431,7 +465,9 @@ def audit(spark: SparkSession, root: str, include: Sequence[str] = (), exclude:
     asked = scanned.where("is_config").select("path", read.alias("state"), "payload_sha256", "physical_id", F.col("error").alias("detail"))
     absent = spark.createDataFrame([(p, identity.MISSING, None, None, None) for p in sorted(config.missing)], asked.schema)
     inputs = identity.semantic_inputs(places, asked.union(absent))
-    return Audit(places, resolved, counted, limitations, findings, inputs)
+    named = lambda key, as_: places.select(F.col("source_id").alias(key), F.col("path").alias(as_))
+    links = resolved.where("outcome = 'internal'").select("source_id", "target").distinct().join(named("source_id", "source"), "source_id").join(named("target", "to"), "target").select("source", F.col("to").alias("target"))
+    return Audit(places, links, limitations, findings, inputs, resolved, counted)
 
 
 #: Severities and confidences from the least on.

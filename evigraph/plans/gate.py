@@ -5,7 +5,8 @@ found from the analysis: all configuration, and the sources that links connect w
 is a directory or a new file). A lease on a file holds for all of its names. Closing audits again, brings the baseline up to
 the transitions that other gates have published since, compares inputs, findings and limitations with it, and decides. Only
 a decision that lets the change stand closes the gate and publishes its changes as a transition; any other one leaves it
-open. The control document holds open gates and their ledger; evidence and reservations are in the store's runs.
+open. Where nothing that an analysis reads has changed since one that the store keeps, that one is read instead; the run
+that a gate was opened with is pinned until the gate is closed or abandoned. The control document holds open gates and their ledger; evidence and reservations are in the store's runs.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import delta, gates, graph, identity, ledger
 from ..sources.tree import root_identity
-from . import report
-from .audit import SEVERITIES, Audit, audit, bounded
+from . import evidence, report
+from .audit import SEVERITIES, Evidence, bounded
 from .runs import RunStore, now_ms
 
 FACT_KEYS = ["family", "rule_id", "path", "namespace", "name"]
@@ -126,14 +127,14 @@ class Gate:
             out = one if out is None else out.unionByName(one)
         return out
 
-    def _reserve(self, gate: str, found: Audit, leases: Sequence[str], reads: Sequence[str]) -> DataFrame:
+    def _reserve(self, gate: str, found: Evidence, leases: Sequence[str], reads: Sequence[str]) -> DataFrame:
         """(path, parts, role) of a gate: leases with every name of the files they name, and the inputs that must not change."""
         declared = self.spark.createDataFrame([(gate, lease_kind(self.root, p), p) for p in leases], "gate string, kind string, path string")
         names = graph.alias_groups(found.sources, "path", "physical_id")
         files = declared.where(F.col("kind") == gates.FILE)
         files = graph.follow_aliases(files, "gate", "path", names).select("gate", F.lit(gates.FILE).alias("kind"), "path")
         ours = declared.unionByName(files).distinct()
-        fixed = gates.protected_inputs(ours, "gate", "kind", "path", found.inputs, found.links(), "source", "target").select("path")
+        fixed = gates.protected_inputs(ours, "gate", "kind", "path", found.inputs, found.links, "source", "target").select("path")
         asked = gates.covered(_parts(found.inputs.select("path")), "path", "parts", self._paths({gate: reads}), "parts")
         held = ours.select("path", F.lit("lease").alias("role")).union(fixed.union(asked).distinct().withColumn("role", F.lit("read")))
         return _parts(held.distinct())
@@ -184,13 +185,13 @@ class Gate:
         if signals:
             return self._finish(gate, ABANDONED, signals, None, operation, body)
         try:
-            found = audit(self.spark, self.root)
+            found, key, _ = evidence.gather(self.store, self.root)
             files = [(p,) for p in leases if lease_kind(self.root, p) == gates.FILE]
             named = self.spark.createDataFrame(files, "path string")
             if files and not named.join(found.sources, "path", "left_anti").isEmpty():
                 return self._finish(gate, ABANDONED, ["declared-path-unsupported"], None, operation, body)
             reserved = self._reserve(gate, found, leases, reads).checkpoint()
-            run = self._publish(found, reserved)
+            run = evidence.publish(self.store, found, key, {"reserved": reserved})
             raised = gates.opening_signals(found.gaps(), found.findings, found.limitations.where(bounded()))
             signals = [r.signal for r in raised.collect()]
             for _ in range(TRIES):
@@ -200,6 +201,7 @@ class Gate:
                 with self.store.control() as c:
                     if self._holds({g: x for g, x in c["gates"].items() if x["state"] == OPEN and g != gate}) == self._holds(others):
                         c["gates"][gate]["reserved"] = run
+                        c["pins"][run] = sorted({*c["pins"].get(run, []), gate})
                         break
             else:
                 raise GateError("reservations of other gates keep changing")
@@ -208,13 +210,9 @@ class Gate:
             with self.store.control() as c:
                 if c["gates"][gate]["state"] == OPEN and not c["gates"][gate]["revisions"]:
                     c["gates"][gate]["revisions"].append({"run": None, "decision": None, "signals": ["analysis-failed"], "at_ms": now_ms()})
-                    self._release(c["gates"][gate], ABANDONED)
+                    self._release(c, gate, ABANDONED)
             raise
 
-    def _publish(self, found: Audit, reserved: DataFrame | None = None) -> str:
-        tables = {"inputs": found.inputs, "sources": found.sources.select("source_id", "path", "parts", "payload_sha256", "physical_id"), "findings": found.findings, "limitations": found.limitations}
-        return self.store.publish(tables | ({} if reserved is None else {"reserved": reserved}), found.state())
-
     def close(self, gate: str, operation: str | None = None) -> dict:
         """{gate, decision, run, signals}: what changed since the gate was opened, and whether the plan covers it."""
         body = ["close", gate]
@@ -230,8 +228,8 @@ class Gate:
             moves = [t for t in c.get("transitions", []) if t["sequence"] > entry["baseline"]]
             seen = c["sequences"].get("transition", 0), len(entry["revisions"])
         base = entry["reserved"]
-        found = audit(self.spark, self.root)
-        run = self._publish(found)
+        found, key, run = evidence.gather(self.store, self.root)
+        run = run or evidence.publish(self.store, found, key)
         names = ["analysis-contract-changed"] if entry["root"] != root_identity(self.root) else []
         before, broken = self._reconciled(self.store.read(base, "inputs"), [t for t in moves if t["sequence"] in entry["references"]])
         if broken:
@@ -294,7 +292,7 @@ class Gate:
             entry = c["gates"][gate]
             if entry["state"] != OPEN:
                 raise KeyError(f"{gate} is {entry['state']}")
-            self._release(entry, ABANDONED)
+            self._release(c, gate, ABANDONED)
             entry["revisions"].append({"run": None, "decision": None, "signals": [], "at_ms": now_ms()})
             return self.store.done(c, operation, body, {"gate": gate, "decision": None, "run": None, "signals": []})
 
@@ -304,7 +302,10 @@ class Gate:
             return report.gate_summary(gate, c.get("gates", {})[gate])
 
     @staticmethod
-    def _release(entry: dict, state: str) -> None:
+    def _release(c: dict, gate: str, state: str) -> None:
+        entry = c["gates"][gate]
+        if base := entry.get("reserved"):
+            c["pins"][base] = [x for x in c["pins"].get(base, []) if x != gate]
         entry["state"], entry["references"] = state, []
         if state == ABANDONED:
             entry["leases"] = entry["reads"] = []
@@ -327,7 +328,7 @@ class Gate:
                 raise GateError(f"{gate} has changed meanwhile")
             entry["revisions"].append({"run": run, "decision": verdict["decision"], "signals": result["signals"], "at_ms": now_ms()})
             if state == ABANDONED or (state == CLOSED and verdict["stands"]):
-                self._release(entry, state)
+                self._release(c, gate, state)
             if entry["state"] == CLOSED and moved:
                 sequence = self.store.next(c, "transition")
                 c.setdefault("transitions", []).append({"sequence": sequence, "gate": gate, "revision": len(entry["revisions"]), "paths": sorted(map(list, moved))})

@@ -5,6 +5,8 @@ import os
 import pytest
 
 from evigraph.operators.paging import CursorError
+from evigraph.plans import evidence
+from evigraph.plans.audit import audit
 from evigraph.plans.gate import Gate
 from evigraph.plans.runs import Conflict, IntegrityError, RunStore, now_ms
 
@@ -230,3 +232,47 @@ def test_names_of_a_leased_file_and_failures(spark, store, tmp_path, monkeypatch
     monkeypatch.setattr(plan, "audit", meanwhile)
     with pytest.raises(plan.GateError):
         gate.close(opened["gate"])
+
+
+def test_an_audit_is_read_again_only_where_nothing_has_changed(spark, store, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "lib.ts").write_text("export const used = 1; export const dead = 2")
+    (root / "main.ts").write_text("import {used} from './lib'")
+    again = lambda **k: evidence.audited(store, str(root), **k)
+    first = again()
+    assert again() == first and store.latest() == first
+    found, _, run = evidence.gather(store, str(root))
+    plain = audit(spark, str(root))
+    assert run == first
+    for name in ("links", "findings", "limitations", "inputs"):
+        assert sorted(map(str, getattr(found, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
+    assert [tuple(r) for r in found.links.collect()] == [("main.ts", "lib.ts")]
+    others = [again(roles=[("lib.ts", "generated")]), again(exclude=["main.ts"]), again(profile="node16")]
+    assert len({first, *others}) == 4 and again() == first  # what was asked for is part of the key
+    (root / "tsconfig.json").write_text("{}")
+    configured = again()
+    assert configured not in {first, *others}  # so is configuration
+    (root / "gone.ts").symlink_to(tmp_path / "nowhere.ts")
+    assert again() not in {first, configured, *others}  # and what cannot be read
+    (root / "gone.ts").unlink()
+    assert again() == configured
+    part = next((store.top / "runs" / configured / "findings").glob("part-*"))
+    part.write_bytes(part.read_bytes() + b"x")
+    with pytest.raises(IntegrityError):
+        again()
+
+
+def test_retention_keeps_what_an_open_gate_was_opened_with(spark, store, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "a.ts").write_text("export const a = 1")
+    gate = Gate(spark, str(root), store)
+    first = gate.open(["a.ts"])
+    store.publish(tables(spark), "complete")  # the latest run is another one
+    with store.control(write=False) as c:
+        assert [x[0] for x in store._planned(c, now_ms() + 1)["exclusions"]] == [first["run"], store.latest()]
+    closed = gate.close(first["gate"])
+    assert closed["run"] == first["run"] and closed["decision"] == first["decision"] == "allow-with-warnings"  # nothing has changed
+    with store.control(write=False) as c:
+        assert first["run"] in [x[1] for x in store._planned(c, now_ms() + 1)["items"]]
