@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from ..sources.state import drop, keep, new_folder
 from .identity import set_identity
 
 MAX_ROUNDS = 1_000
@@ -26,19 +26,25 @@ def fixpoint(pending: DataFrame, request: Sequence[str], keys: Sequence[str], in
     goes into the next round, and a round fetches only what none before it did. Without a new key a round may still move
     requests on among the known ones; once they all wait for what they waited for before, the round raises Stalled. That is
     told by one identity of (request, keys), kept from the rounds 1, 2, 4, 8, .. without a new key, so a circle of any length
-    is found in three times its length. Rounds are cut by checkpoints; only identities and the keys named reach the driver.
+    is found in three times its length. What a round finds and fetches is added to two tables in the shared folder, so that it
+    is written once, and plans and their estimates stay as small as in the first round; only identities and the keys named
+    reach the driver.
     """
-    wanted, known, done, idle, mark = pending.checkpoint(), inputs.checkpoint(), [], 0, None
-    for _ in range(max_rounds):
+    spark = pending.sparkSession
+    held, ended, waits = (new_folder(spark, name) for name in ("known", "done", "waiting"))
+    wanted, known, idle, mark = keep(pending, f"{waits}-0"), keep(inputs, held), 0, None
+    for k in range(max_rounds):
         found, waiting = resolve(wanted, known)
-        done.append(found.checkpoint())
-        wanted = waiting.checkpoint()
+        done = keep(found, ended)
+        wanted = keep(waiting, f"{waits}-{k + 1}")
+        drop(spark, f"{waits}-{k}")
         if wanted.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            return done
         asked = wanted.select(*keys).distinct()
-        new = asked.join(known.select(*keys), list(keys), "left_anti").checkpoint()
+        new = keep(asked.join(known.select(*keys), list(keys), "left_anti"), f"{waits}-new-{k}")
         if not new.isEmpty():
-            known, idle, mark = known.unionByName(fetch(new)).checkpoint(), 0, None
+            known, idle, mark = keep(fetch(new).select(inputs.columns), held), 0, None
+            drop(spark, f"{waits}-new-{k}")
             continue
         now = set_identity(wanted, [*request, *keys]).first()["identity"]
         if now == mark:

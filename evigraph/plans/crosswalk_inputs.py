@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import capabilities, delta, demand, gates, graph, identity, lookup, paging
-from ..sources.state import ensure_checkpoint_dir, new_folder
+from ..sources.state import ensure_checkpoint_dir, keep, new_folder
 from ..streaming import latest, reconcile
 from .crosswalk import _LEDGER, _PAGE, _RETENTION, ORACLES, _page_paths, _retention, _table, query
 
@@ -103,17 +103,17 @@ def demand_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
     before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    files = orders.select(F.col("o_orderkey").alias("key"), (F.col("o_orderpriority") == "1-URGENT").alias("base"), before.alias("extends")).checkpoint()
+    files = keep(orders.select(F.col("o_orderkey").alias("key"), (F.col("o_orderpriority") == "1-URGENT").alias("base"), before.alias("extends")))
     first = orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("key")).withColumn("hops", F.lit(0).cast("long"))
 
     def resolve(pending: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = pending.join(known, "key", "left")
+        rows = pending.join(known.join(pending.select("key"), "key", "left_semi"), "key", "left")
         ends = F.coalesce(F.col("base") | (F.col("met") & F.col("extends").isNull()), F.lit(False))
         on = F.col("met").isNotNull()
         waits = rows.where(~ends).select("o_custkey", F.when(on, F.col("extends")).otherwise(F.col("key")).alias("key"), F.when(on, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"))
         return rows.where(ends).select("o_custkey", "hops", F.col("key").alias("resolved"), F.col("base").alias("has_base")), waits
 
-    fetch = lambda keys: keys.join(files, "key", "left").withColumn("met", F.lit(True))
+    fetch = lambda keys: keys.join(files.join(keys, "key", "left_semi"), "key", "left").withColumn("met", F.lit(True))
     none = files.where(F.lit(False)).withColumn("met", F.lit(True))
     return demand.fixpoint(first, ["o_custkey"], ["key"], none, resolve, fetch)
 
