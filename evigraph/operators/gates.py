@@ -12,6 +12,7 @@ from pyspark.sql.column import Column
 from ..functions import paths
 from . import graph
 from .identity import SOURCE, STATES
+from .sizes import spread
 
 #: What a lease names; all but the first protect every source.
 FILE, DIRECTORY, NEW_FILE = "file", "directory", "new-file"
@@ -98,22 +99,27 @@ def attach(transitions: DataFrame, gates: DataFrame, gate: str, sequence: str, b
     """(gate, sequence): every transition of another gate behind an open gate's baseline.
 
     A join by range as one by blocks of sequence numbers: a gate is filed under the blocks from its baseline on, so a
-    transition only meets gates of its own block.
+    transition only meets gates of its own block. Tasks are as many as transitions times gates ask for: what goes in is small,
+    what comes out is not.
     """
     block = lambda c: F.floor(c / F.lit(BLOCK)).cast("long")
     rows = transitions.select(F.col(gate).alias("_own"), F.col(sequence), block(F.col(sequence)).alias("_block"))
     last = rows.agg(F.max("_block").alias("_last")).where("_last is not null")
     held = gates.select(gate, F.col(baseline).alias("_base"), block(F.col(baseline)).alias("_first")).join(last, F.col("_first") <= F.col("_last"))  # one row
     held = held.select(gate, "_base", F.explode(F.sequence("_first", "_last")).alias("_block"))
+    rows = spread(rows, transitions.count() * gates.count(), "_block")
     return rows.join(held, "_block").where((F.col(sequence) > F.col("_base")) & ~F.col("_own").eqNullSafe(F.col(gate))).select(gate, sequence)
 
 
 def reference_faults(references: DataFrame, expected: DataFrame, gate: str, sequence: str) -> DataFrame:
-    """(gate, sequence, fault): references that should be there and are missing, that nothing explains, or that are there twice."""
-    have = references.groupBy(gate, sequence).agg(F.count("*").alias("_n"))
-    want = expected.select(gate, sequence).distinct().withColumn("_w", F.lit(True))
-    fault = F.when(F.col("_n").isNull(), "missing").when(F.col("_w").isNull(), "unknown").when(F.col("_n") > 1, "duplicate")
-    return have.join(want, [gate, sequence], "full").select(gate, sequence, fault.alias("fault")).where("fault is not null")
+    """(gate, sequence, fault): references that should be there and are missing, that nothing explains, or that are there twice.
+    Both sides are counted to size the tasks, then go through one shuffle and one grouping; null keys of one side never meet those of the other."""
+    alone = F.when(F.col(gate).isNull() | F.col(sequence).isNull(), F.col("_w")).alias("_alone")
+    row = lambda df, n, w: df.select(gate, sequence, F.lit(n).cast("long").alias("_n"), F.lit(w).alias("_w")).select("*", alone)
+    both = spread(row(references, 1, False).union(row(expected, 0, True)), references.count() + expected.count(), gate, sequence)
+    sums = both.groupBy(gate, sequence, "_alone").agg(F.sum("_n").alias("_n"), F.max("_w").alias("_w"))
+    fault = F.when(F.col("_n") == 0, "missing").when(~F.col("_w"), "unknown").when(F.col("_n") > 1, "duplicate")
+    return sums.select(gate, sequence, fault.alias("fault")).where("fault is not null")
 
 
 def plan_gates(gates: DataFrame, gate: str, state: str, committed: str, cutoff, references: DataFrame, holder: str) -> tuple[DataFrame, DataFrame]:

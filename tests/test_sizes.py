@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evigraph.operators import demand
+from evigraph.operators import demand, gates, integrity, sizes
 from evigraph.sources.state import ensure_checkpoint_dir
 
 
@@ -32,3 +32,17 @@ def test_estimates_do_not_grow_with_the_rounds_of_a_fixpoint(spark):
     found = demand.fixpoint(start, ["id"], ["key"], none, resolve, lambda keys: keys.join(files, "key", "left").withColumn("met", F.lit(True)))
     assert [tuple(r) for r in found.collect()] == [(1, 11)]
     assert len(seen) == 13 and max(seen) < 40
+
+
+def test_reference_faults_of_many_rows_take_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sizes, "ROWS", 1000)
+    moves = spark.range(1, 2001).select(F.lit("own").alias("gate"), F.col("id").alias("seq"))
+    held = spark.range(5).select(F.concat(F.lit("g"), "id").alias("gate"), F.lit(0).cast("long").alias("base"))
+    want = gates.attach(moves, held, "gate", "seq", "base")
+    assert want.rdd.getNumPartitions() == 10
+    nulls = spark.createDataFrame([(None, 1), ("g0", None)], "gate string, seq long")
+    have = want.where("seq <> 7").union(want.where("seq = 9")).union(nulls)
+    found = gates.reference_faults(have, want.union(nulls), "gate", "seq")
+    assert found.rdd.getNumPartitions() == 21
+    expected = [(f"g{k}", s, f) for k in range(5) for s, f in ((7, "missing"), (9, "duplicate"))] + [(g, s, f) for g, s in ((None, 1), ("g0", None)) for f in ("missing", "unknown")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
