@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions import paths
+from .sizes import spread
 
 
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -25,9 +26,10 @@ def closure_report(checks: Sequence[tuple[str, DataFrame, DataFrame, str, str]])
 
 
 def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct rows that only one side has, and which side: one full outer aggregation instead of two differences."""
-    both = left.distinct().withColumn("_l", F.lit(1)).unionByName(right.distinct().withColumn("_l", F.lit(2)))
-    sums = both.groupBy(*left.columns).agg(F.sum("_l").alias("_s")).where("_s <> 3")
+    """Distinct rows that only one side has, and which side: one full outer aggregation instead of two differences. Both sides
+    are counted to size the tasks, then go through one shuffle and one grouping."""
+    both = left.withColumn("_l", F.lit(1)).unionByName(right.withColumn("_l", F.lit(2)))
+    sums = spread(both, left.count() + right.count(), *left.columns).groupBy(*left.columns).agg(F.bit_or("_l").alias("_s")).where("_s <> 3")
     return sums.select(*left.columns, F.when(F.col("_s") == 1, "left").otherwise("right").alias("side"))
 
 

@@ -46,3 +46,12 @@ def test_reference_faults_of_many_rows_take_many_tasks(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 21
     expected = [(f"g{k}", s, f) for k in range(5) for s, f in ((7, "missing"), (9, "duplicate"))] + [(g, s, f) for g, s in ((None, 1), ("g0", None)) for f in ("missing", "unknown")]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_a_symmetric_difference_of_many_rows_takes_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sizes, "ROWS", 1000)
+    side = lambda a, b: spark.range(a, b).select("id", F.when(F.col("id") % 2 == 0, "even").alias("kind")).union(spark.range(a, b).select("id", F.lit(None)))
+    found = integrity.symmetric_difference(side(0, 3000), side(5, 3002))
+    assert found.rdd.getNumPartitions() == 12
+    want = {(i, k, s) for i, s in ((0, "left"), (1, "left"), (2, "left"), (3, "left"), (4, "left"), (3000, "right"), (3001, "right")) for k in ({"even", None} if i % 2 == 0 else {None})}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
