@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions import paths
+from ..sources.state import keep
 from . import graph
 from .identity import SOURCE, STATES
 from .sizes import spread
@@ -52,18 +53,22 @@ def protected_inputs(leases: DataFrame, gate: str, kind: str, path: str, inputs:
 
     A lease on a file fixes all sources that links(a, b) between sources connect with it, itself included; one on a directory
     or on a new file fixes all sources. What is no source is fixed by every gate. Links go both ways, so the closures of all
-    gates are read off one labelling of connected sources; a source without links is its own.
+    gates are read off one labelling of connected sources; a source without links is its own. An input has one row with what it
+    is, and close and fixed have no pair in common, so the pairs need no distinct. Gates, one row each, meet every input.
     """
-    sources = inputs.where(F.col("state") == SOURCE).select(path).distinct()
+    rest = [x for x in STATES if x != SOURCE]
+    has = lambda c: F.coalesce(F.max(c), F.lit(False))
+    flags = spread(inputs.select(path, "state"), inputs.count(), path).groupBy(path).agg(has(F.col("state") == SOURCE).alias("_s"), has(F.col("state").isin(rest)).alias("_r"))
+    flags = keep(flags.where("_s or _r"))
     named = graph.components(links, a, b).withColumnRenamed("node", path)
-    placed = sources.join(named, path, "left").withColumn("component", F.coalesce("component", F.col(path))).checkpoint()
+    placed = keep(flags.where("_s").join(named, path, "left").select(path, "_r", F.coalesce("component", F.col(path)).alias("component")))
     ours = leases.select(gate, kind, path)
-    files = ours.where(F.col(kind) == FILE).join(placed, path).select(gate, "component").distinct()
-    wide = ours.where(F.col(kind) != FILE).select(gate).distinct()
-    close = files.join(wide, gate, "left_anti").join(placed, "component").select(gate, path)
-    rest = F.array(*(F.lit(x) for x in STATES if x != SOURCE))
-    kinds = ours.select(gate).distinct().select(gate, F.explode(rest).alias("state")).union(wide.select(gate, F.lit(SOURCE)))
-    return close.union(inputs.select(path, "state").join(kinds, "state").select(gate, path)).distinct()
+    every = keep(ours.groupBy(gate).agg(has(F.col(kind) != FILE).alias("_wide")))
+    files = ours.where(F.col(kind) == FILE).join(placed.select(path, "component"), path).select(gate, "component").distinct()
+    wide = every.where("_wide").select(F.col(gate).alias("_g"))
+    close = files.join(wide, F.col(gate).eqNullSafe(F.col("_g")), "left_anti").join(placed.where("not _r"), "component").select(gate, path)
+    fixed = flags.join(F.broadcast(every), F.col("_r") | F.col("_wide")).select(gate, path)
+    return close.union(fixed)
 
 
 def closing_inputs(baseline: DataFrame, current: DataFrame, key: str, record: Sequence[str], leased: DataFrame, protected: DataFrame) -> DataFrame:

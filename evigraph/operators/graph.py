@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..sources.state import drop, keep, new_folder
+from .sizes import spread
 
 MAX_ROUNDS = 10_000
-#: Frontiers that are read as separate tables at most.
+#: Without use since frontiers are rows of one table; callers may still set it.
 MERGE = 24
 
 
-def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
+def undirected(edges: DataFrame, a: str, b: str, once: bool = True) -> DataFrame:
     """Both directions of every link as (src, dst), once each; links to itself and null ends are left out. What has no link
-    is no vertex here; adjacency() keeps it."""
+    is no vertex here; adjacency() keeps it. Without once a repeated link stays repeated, which spares a shuffle of all links."""
     one = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-    return one.union(edges.select(F.col(b), F.col(a))).where("src <> dst").distinct()
+    both = one.union(edges.select(F.col(b), F.col(a))).where("src <> dst")
+    return both.distinct() if once else both
 
 
 def adjacency(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -31,23 +32,26 @@ def adjacency(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str) ->
 def reachable(edges: DataFrame, seeds: DataFrame, node: str = "node", symmetric: bool = False) -> DataFrame:
     """(node, distance) of all that edges(src, dst) reach from the seeds, seeds at distance 0.
 
-    A frontier loop: each round joins only what the last one found, takes away what is known, and is cut by a checkpoint. Each
-    frontier is written once. symmetric says that every link goes both ways: what a round finds again is then in the last
-    two frontiers, and only those are taken away, so the work of a round does not grow with the rounds before. Otherwise it
-    is taken from all, which are brought together from time to time to keep the plan small.
+    A frontier loop: each round joins only what the last one found, takes away what is known, and is written once. symmetric
+    says that every link goes both ways: what a round finds again is then in the last two frontiers, and only those are taken
+    away, so the work of a round does not grow with the rounds before. Otherwise it is taken from all. Links and frontiers are
+    tables in the shared folder whose sizes the planner knows: a small frontier is broadcast to the links, which then are only
+    scanned. Repeated links do no harm.
     """
-    rounds = [seeds.select(F.col(node).alias("node")).where("node is not null").distinct().withColumn("distance", F.lit(0)).checkpoint()]
-    edges = edges.checkpoint()
+    spark = edges.sparkSession
+    links, found, folder = new_folder(spark, "links"), new_folder(spark, "reached"), new_folder(spark, "frontier")
+    edges = keep(edges, links)
+    last = keep(seeds.select(F.col(node).alias("node")).where("node is not null").distinct().withColumn("distance", F.lit(0)), f"{folder}-0")
+    known = keep(last, found)
     for k in range(1, MAX_ROUNDS):
-        last = rounds[-1]
-        known = reduce(DataFrame.unionByName, rounds[-2:] if symmetric else rounds)
-        nearby = last.join(edges, last.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier = nearby.join(known, "node", "left_anti").withColumn("distance", F.lit(k)).checkpoint()
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
-        rounds.append(frontier)
-        if len(rounds) > MERGE:
-            rounds = [reduce(DataFrame.unionByName, rounds[:-2]).checkpoint(), *rounds[-2:]]
+        taken = known.where(F.col("distance") >= k - 2) if symmetric else known
+        nearby = edges.join(last.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        last = keep(nearby.join(taken.select("node"), "node", "left_anti").withColumn("distance", F.lit(k)), f"{folder}-{k}")
+        drop(spark, f"{folder}-{k - 1}")
+        if last.isEmpty():
+            drop(spark, links)
+            return known
+        known = keep(last, found)
     raise RuntimeError(f"the closure did not end in {MAX_ROUNDS} rounds")
 
 
@@ -76,17 +80,19 @@ def aliases(rows: DataFrame, key: str, physical: str) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, label: str, node: str) -> DataFrame:
     """(label, node, distance) of all that edges(src, dst) reach from each label's seeds: one frontier of (label, node) for all
     labels, so many sets cost as many rounds as the longest one."""
-    rounds = [seeds.select(F.col(label).alias("label"), F.col(node).alias("node")).where("node is not null").distinct().withColumn("distance", F.lit(0)).checkpoint()]
-    edges = edges.checkpoint()
+    spark = edges.sparkSession
+    links, found, folder = new_folder(spark, "links"), new_folder(spark, "reached"), new_folder(spark, "frontier")
+    edges = keep(edges, links)
+    last = keep(seeds.select(F.col(label).alias("label"), F.col(node).alias("node")).where("node is not null").distinct().withColumn("distance", F.lit(0)), f"{folder}-0")
+    known = keep(last, found)
     for k in range(1, MAX_ROUNDS):
-        known = reduce(DataFrame.unionByName, rounds)
-        nearby = rounds[-1].join(edges, F.col("node") == F.col("src")).select("label", F.col("dst").alias("node")).distinct()
-        front = nearby.join(known, ["label", "node"], "left_anti").withColumn("distance", F.lit(k)).checkpoint()
-        if front.isEmpty():
+        nearby = last.select("label", F.col("node").alias("src")).join(edges, "src").select("label", F.col("dst").alias("node")).distinct()
+        last = keep(nearby.join(known, ["label", "node"], "left_anti").withColumn("distance", F.lit(k)), f"{folder}-{k}")
+        drop(spark, f"{folder}-{k - 1}")
+        if last.isEmpty():
+            drop(spark, links)
             return known.select(F.col("label").alias(label), F.col("node").alias(node), "distance")
-        rounds.append(front)
-        if len(rounds) > MERGE:
-            rounds = [reduce(DataFrame.unionByName, rounds[:-1]).checkpoint(), rounds[-1]]
+        known = keep(last, found)
     raise RuntimeError(f"the closure did not end in {MAX_ROUNDS} rounds")
 
 
@@ -97,16 +103,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     nothing changes: the turns grow with the logarithm of the longest way. A node's links are only reduced to their minimum,
     before and after a shuffle, and joined with that one row.
     """
-    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
+    spark, folder = edges.sparkSession, new_folder(edges.sparkSession, "components")
+    rows = spread(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"), edges.count(), "u")
+    links = keep(rows.distinct(), f"{folder}-0")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
     before = mark(links)
-    for _ in range(MAX_ROUNDS):
-        both = links.union(links.select("v", "u"))
+    for turn in range(MAX_ROUNDS):
+        both = spread(links.union(links.select("v", "u")), 2 * before[0], "u")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        hung = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").checkpoint()
-        least = hung.groupBy("u").agg(F.min("v").alias("m"))
-        rest = hung.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = rest.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        hung = keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), f"{folder}-hung-{turn}")
+        low = spread(hung, before[0], "u")
+        least = low.groupBy("u").agg(F.min("v").alias("m"))
+        rest = low.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = keep(spread(rest.union(least.select("u", F.col("m").alias("v"))).where("u <> v"), before[0], "u").distinct(), f"{folder}-{turn + 1}")
+        drop(spark, f"{folder}-hung-{turn}")
+        drop(spark, f"{folder}-{turn}")
         now = mark(links)
         if now == before:
             roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import capabilities, delta, demand, gates, graph, identity, lookup, paging
+from ..operators.sizes import spread
 from ..sources.state import ensure_checkpoint_dir, keep, new_folder
 from ..streaming import latest, reconcile
 from .crosswalk import _LEDGER, _PAGE, _RETENTION, ORACLES, _page_paths, _retention, _table, query
@@ -81,7 +82,7 @@ def protected_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     customers = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("path"), "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     near = F.lag("path").over(W.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
-    links = customers.select("path", near.alias("before")).where("before is not null")
+    links = spread(customers, customers.count(), "c_nationkey", "c_mktsegment").select("path", near.alias("before")).where("before is not null")
     region = F.col("n_regionkey")
     nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("gate"), F.when(region == 0, gates.DIRECTORY).when(region == 1, gates.NEW_FILE).otherwise(gates.FILE).alias("kind"))
     leases = customers.where("c_acctbal > 9000").join(nation, F.col("c_nationkey") == F.col("gate")).select("gate", "kind", "path")

@@ -36,11 +36,10 @@ def keep(df: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = folder or new_folder(spark, "kept")
-    if folder is None:
-        file, conf = _file(spark, path)
-        file.getFileSystem(conf).deleteOnExit(file)
     df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
     df.write.mode("append").parquet(path)
+    file, conf = _file(spark, path)
+    file.getFileSystem(conf).deleteOnExit(file)  # must exist by then
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evigraph.operators import demand, gates, integrity, sizes
+from evigraph.operators import demand, gates, graph, integrity, sizes
 from evigraph.sources.state import ensure_checkpoint_dir
 
 
@@ -55,3 +55,24 @@ def test_a_symmetric_difference_of_many_rows_takes_many_tasks(spark, monkeypatch
     assert found.rdd.getNumPartitions() == 12
     want = {(i, k, s) for i, s in ((0, "left"), (1, "left"), (2, "left"), (3, "left"), (4, "left"), (3000, "right"), (3001, "right")) for k in ({"even", None} if i % 2 == 0 else {None})}
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_estimates_do_not_grow_with_the_rounds_of_closures_and_components(spark):
+    chain = spark.range(30).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    seeds = spark.createDataFrame([(0,)], "node long")
+    for both in (graph.undirected(chain, "a", "b"), graph.undirected(chain.union(chain), "a", "b", once=False)):
+        found = graph.reachable(both, seeds, symmetric=True)
+        assert estimate(found) < 40 and sorted(map(tuple, found.collect())) == [(k, k) for k in range(31)]
+    found = graph.components(chain, "a", "b")
+    assert estimate(found) < 64 and {tuple(r) for r in found.collect()} == {(k, 0) for k in range(31)}
+
+
+def test_protected_inputs_are_no_pair_twice(spark):
+    """Paths of several states, a gate without a name, and repeated rows."""
+    inputs = spark.createDataFrame([("a", "source"), ("a", "source"), ("a", "missing"), ("b", "source"), ("c", "source"), ("d", "missing"), ("d", "unreadable"), ("e", None), ("f", "other")], "path string, state string")
+    links = spark.createDataFrame([("a", "b"), ("b", "a")], "x string, y string")
+    leases = spark.createDataFrame([("g", "file", "a"), ("g", "file", "b"), ("h", "directory", "z"), (None, "file", "a"), (None, "new-file", "q"), ("i", None, "b")], "gate string, kind string, path string")
+    found = gates.protected_inputs(leases, "gate", "kind", "path", inputs, links, "x", "y")
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().partition("Union")[0]
+    want = {"g": "abd", "h": "abcd", None: "abcd", "i": "ad"}
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((g, p) for g, ps in want.items() for p in ps), key=str)
