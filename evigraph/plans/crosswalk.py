@@ -348,14 +348,32 @@ def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT l.page_id AS "left", r.page_id AS "right" FROM l JOIN p r ON l.parts = r.parts[1:len(l.parts)] OR r.parts = l.parts[1:len(r.parts)]"""
 )
 def lease_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page holds a lease on its first two components: what overlaps is found among distinct paths, then given its pages."""
-    pages = _page_paths(spark, sf_dir).distinct()
-    leases = pages.select("page_id", F.slice("parts", 1, 2).alias("parts")).distinct()
-    held, read = (df.select("parts", F.to_json("parts").alias("path")).distinct() for df in (leases, pages))
-    found = graph.overlaps(held, read, "path", "parts")
-    left = leases.select(F.to_json("parts").alias("left"), F.col("page_id").alias("_l"))
-    right = pages.select(F.to_json("parts").alias("right"), F.col("page_id").alias("_r"))
-    return found.join(left, "left").join(right, "right").select(F.col("_l").alias("left"), F.col("_r").alias("right")).distinct()
+    """Every page holds a lease on its first two components: what overlaps is found among distinct paths, then given its pages.
+
+    The pairs of pages are as many as pages times those of their host, so the join that makes them is the last step and they are
+    not shuffled: each lease path is brought together with its own pages and with the pages it overlaps, in parts of _PAIRS
+    pairs at most or little more. Pages with several paths can meet twice; pairs with such a page alone go through a distinct.
+    """
+    from ..sources.state import keep
+
+    pages = _page_paths(spark, sf_dir).where("parts is not null").distinct()
+    several = pages.groupBy(F.col("page_id").alias("_p")).agg((F.count("*") > 1).alias("several"))
+    pages = keep(pages.join(several, F.col("page_id").eqNullSafe(F.col("_p"))).select("page_id", "parts", F.to_json("parts").alias("right"), "several"))
+    leases = keep(pages.select("page_id", F.slice("parts", 1, 2).alias("parts"), "several").distinct().withColumn("left", F.to_json("parts")))
+    held, read = leases.select("parts", F.col("left").alias("path")).distinct(), pages.select("parts", F.col("right").alias("path")).distinct()
+    right = keep(graph.overlaps(held, read, "path", "parts").join(pages, "right").select("left", F.col("page_id").alias("_r"), F.col("several").alias("_rs")))
+    count = lambda df, name: df.groupBy("left").agg(F.count("*").alias(name))
+    sizes = keep(count(leases, "_m").join(count(right, "_n"), "left").select("left", F.ceil(F.col("_m") * F.col("_n") / _PAIRS).alias("_k")))
+    left = leases.join(sizes, "left").select("left", F.col("page_id").alias("_l"), F.col("several").alias("_ls"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_at"))
+    right = right.join(sizes, "left").select("left", "_r", "_rs", F.pmod(F.xxhash64("_r"), F.col("_k")).alias("_at"))
+    parts = sizes.agg(F.sum("_k")).first()[0] or 1
+    left, right = keep(left), keep(right)
+    pairs = lambda x, y: left.where(x).join(right.where(y).repartition(min(parts, 1000), "left", "_at"), ["left", "_at"]).select(F.col("_l").alias("left"), F.col("_r").alias("right"))
+    return pairs("not _ls", "not _rs").union(pairs("_ls", "true").union(pairs("not _ls", "_rs")).distinct())
+
+
+#: Pairs of pages that one lease path makes in a part of it.
+_PAIRS = 1 << 22
 
 
 @query(f"SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 9000)")

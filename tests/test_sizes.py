@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.operators import demand, gates, graph, integrity, sizes
+from evigraph.plans import crosswalk
 from evigraph.sources.state import ensure_checkpoint_dir
 
 
@@ -76,3 +77,16 @@ def test_protected_inputs_are_no_pair_twice(spark):
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().partition("Union")[0]
     want = {"g": "abd", "h": "abcd", None: "abcd", "i": "ad"}
     assert sorted(map(tuple, found.collect()), key=str) == sorted(((g, p) for g, ps in want.items() for p in ps), key=str)
+
+
+def test_overlapping_leases_shuffle_no_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(crosswalk, "_PAIRS", 7)
+    urls = [(k, f"http://a.x/p/{k % 3}") for k in range(20)] + [(3, "http://a.x/p/other"), (3, "http://b.x/q"), (4, "http://b.x/q"), (None, "http://b.x/q"), (30, "none"), (31, None)]
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = crosswalk.QUERIES["lease_overlap"](spark, str(tmp_path))
+    parts = {(k, tuple(x for x in u.partition("://")[2].split("/") if x)) for k, u in urls if u}
+    want = {(a, b) for a, p in parts for b, q in parts if p[:2] == q[:2] or not p or not q}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and not plan.splitlines()[1].startswith("+- Aggregate") and not plan.splitlines()[1].startswith(":- Aggregate")
