@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import capabilities, delta, demand, gates, graph, identity, lookup, paging
-from ..operators.sizes import spread
+from ..operators.sizes import spread, tasks
 from ..sources.state import ensure_checkpoint_dir, keep, new_folder
 from ..streaming import latest, reconcile
 from .crosswalk import _LEDGER, _PAGE, _RETENTION, ORACLES, _page_paths, _retention, _table, query
@@ -292,12 +292,13 @@ def ledger_reconcile_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     last = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
-    rows = events.withColumn("before", F.when(F.col("event_type") == "purchase", "click").otherwise(last))
+    rows = keep(events.withColumn("before", F.when(F.col("event_type") == "purchase", "click").otherwise(last)))
+    files = max(2, tasks(rows.count()))
     half = events.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0] or 0
     folder = new_folder(spark, "stream")
     for late in (False, True):
         part = rows.where(F.col("event_id") > half if late else F.col("event_id") <= half)
-        part.repartitionByRange(2, "event_id").sortWithinPartitions("event_id").write.mode("append").parquet(folder)
+        part.repartitionByRange(files, "event_id").sortWithinPartitions("event_id").write.mode("append").parquet(folder)
         stream = spark.readStream.schema(rows.schema).parquet(folder)
         reconcile.follow(stream, "user_id", "event_id", "before", "event_type", f"{folder}-out", f"{folder}-state").awaitTermination()
     out = reconcile.ledger_state(spark.read.parquet(f"{folder}-out"))

@@ -20,9 +20,10 @@ def _advance(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> It
     counted and changes nothing, as what it would change has been told already."""
     held = state.getOption
     expected, broken, last, late = held if held is not None else (None, None, None, 0)
-    rows = pd.concat(list(parts)).sort_values("sequence")
+    rows = [row for part in parts for row in zip(*(part[c].tolist() for c in ("sequence", "before", "after", "baseline")), strict=True)]
+    rows.sort(key=lambda row: row[0])
     first = held is None
-    for sequence, before, after, base in zip(rows["sequence"], rows["before"], rows["after"], rows["baseline"], strict=True):
+    for sequence, before, after, base in rows:
         if first:
             expected, first = _text(base), False
         if last is not None and sequence <= last:
